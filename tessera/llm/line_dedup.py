@@ -142,11 +142,11 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     index = materialize(distinct.select(shard, "hi", "lo", "first", "last", "n").groupBy("shard").applyInPandas(_build, INDEX), "line-index")
 
     # copies of a shard's arrays: as many as its probes fill fair shares
-    fair = index.agg(F.greatest(F.avg("load"), F.lit(4096.0)).alias("fair"))
-    copies = index.select("shard", "load").join(F.broadcast(fair)).select("shard", F.ceil(F.col("load") / F.col("fair")).cast("int").alias("copies"))
+    fair = max(4096.0, index.agg(F.avg("load")).first()[0] or 0.0)
+    copies = index.select("shard", F.ceil(F.col("load") / F.lit(fair)).cast("int").alias("copies"))
     served = index.join(copies, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     busy = copies.where("copies > 1")
-    probes = lines.select(shard, "doc", "row", "ord", "hi", "lo").join(F.broadcast(busy) if shards <= 1 << 20 else busy, "shard", "left")
+    probes = lines.select(shard, "doc", "row", "ord", "hi", "lo").join(busy, "shard", "left")
     probes = probes.withColumn("copy", F.when(F.col("copies").isNotNull(), F.pmod(F.xxhash64("doc", "row", "ord"), F.col("copies"))).otherwise(0).cast("int")).drop("copies")
     hits = probes.groupBy("shard", "copy").cogroup(served.groupBy("shard", "copy")).applyInPandas(_probe, "doc long, row long, ord int")
     drops = materialize(hits.groupBy("doc", "row").agg(F.sort_array(F.collect_set("ord")).alias("drops")), "line-drops")
