@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import cdc, decontaminate, jaccard, line_dedup, sharding
+from tessera.llm import cdc, decontaminate, jaccard, line_dedup, repeats, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -71,5 +75,5 @@ SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f.first <> l.doc_id
 FROM lines l LEFT JOIN firsts f ON l.key = f.key GROUP BY l.doc_id
 """
 
-QUERIES = {"op4_decontaminate": op4_decontaminate, "op5_ngram_jaccard": op5_ngram_jaccard, "op10_sharding": op10_sharding, "op8_line_dedup": op8_line_dedup, "op9_chunk_fingerprints": op9_chunk_fingerprints}
+QUERIES = {"op4_decontaminate": op4_decontaminate, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_repeated_passages": op6_repeated_passages, "op10_sharding": op10_sharding, "op8_line_dedup": op8_line_dedup, "op9_chunk_fingerprints": op9_chunk_fingerprints}
 ORACLES = {"op4_decontaminate": OP4_SQL, "op8_line_dedup": OP8_SQL}
