@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import cdc, decontaminate, jaccard, line_dedup, repeats, sharding, toxicity
+from tessera.llm import cdc, decontaminate, jaccard, line_dedup, page_text, repeats, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -80,5 +84,5 @@ SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f.first <> l.doc_id
 FROM lines l LEFT JOIN firsts f ON l.key = f.key GROUP BY l.doc_id
 """
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op4_decontaminate": op4_decontaminate, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_repeated_passages": op6_repeated_passages, "op10_sharding": op10_sharding, "op8_line_dedup": op8_line_dedup, "op9_chunk_fingerprints": op9_chunk_fingerprints}
+QUERIES = {"op2_toxicity": op2_toxicity, "op4_decontaminate": op4_decontaminate, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_repeated_passages": op6_repeated_passages, "op7_main_text": op7_main_text, "op10_sharding": op10_sharding, "op8_line_dedup": op8_line_dedup, "op9_chunk_fingerprints": op9_chunk_fingerprints}
 ORACLES = {"op4_decontaminate": OP4_SQL, "op8_line_dedup": OP8_SQL}
