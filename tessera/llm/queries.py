@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import cdc, decontaminate, jaccard, line_dedup, page_text, repeats, sharding, toxicity
+from tessera.llm import cdc, decontaminate, jaccard, line_dedup, page_text, repeats, secrets, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(secrets.samples_from(docs))).drop("found")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -84,5 +89,5 @@ SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f.first <> l.doc_id
 FROM lines l LEFT JOIN firsts f ON l.key = f.key GROUP BY l.doc_id
 """
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op4_decontaminate": op4_decontaminate, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_repeated_passages": op6_repeated_passages, "op7_main_text": op7_main_text, "op10_sharding": op10_sharding, "op8_line_dedup": op8_line_dedup, "op9_chunk_fingerprints": op9_chunk_fingerprints}
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_secrets": op3_secrets, "op4_decontaminate": op4_decontaminate, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_repeated_passages": op6_repeated_passages, "op7_main_text": op7_main_text, "op10_sharding": op10_sharding, "op8_line_dedup": op8_line_dedup, "op9_chunk_fingerprints": op9_chunk_fingerprints}
 ORACLES = {"op4_decontaminate": OP4_SQL, "op8_line_dedup": OP8_SQL}
