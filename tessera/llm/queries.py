@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import cdc, decontaminate, jaccard, line_dedup, page_text, repeats, secrets, sharding, toxicity
+from tessera.llm import cdc, decontaminate, jaccard, line_dedup, mixing, page_text, repeats, secrets, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op9_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -89,5 +93,5 @@ SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f.first <> l.doc_id
 FROM lines l LEFT JOIN firsts f ON l.key = f.key GROUP BY l.doc_id
 """
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_secrets": op3_secrets, "op4_decontaminate": op4_decontaminate, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_repeated_passages": op6_repeated_passages, "op7_main_text": op7_main_text, "op10_sharding": op10_sharding, "op8_line_dedup": op8_line_dedup, "op9_chunk_fingerprints": op9_chunk_fingerprints}
-ORACLES = {"op4_decontaminate": OP4_SQL, "op8_line_dedup": OP8_SQL}
+QUERIES = {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op3_secrets": op3_secrets, "op4_decontaminate": op4_decontaminate, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_repeated_passages": op6_repeated_passages, "op7_main_text": op7_main_text, "op10_sharding": op10_sharding, "op8_line_dedup": op8_line_dedup, "op9_chunk_fingerprints": op9_chunk_fingerprints}
+ORACLES = {"op1_mixing": mixing.oracle() + "\nSELECT * FROM mixed", "op4_decontaminate": OP4_SQL, "op8_line_dedup": OP8_SQL}
