@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,7 +15,9 @@ from pyspark.sql import functions as F
 #: Stands in for a null doc_id inside the operators: one document, smaller than every other.
 NULL_ID = -(2**63)
 #: Text bytes that a task works on at once (a longer text is taken whole).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
+#: Spark's setting that deletes a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @functools.cache
@@ -31,22 +32,19 @@ def scratch_root(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df below the shared folder and read it back: lineage ends there, lost executors don't redo earlier steps,
-    and later joins know the real size. Files that finished shuffles left are released."""
+    and later joins know the real size. The shuffle files of the run are deleted when it is over."""
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/tessera/{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
-    del df
-    release(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def discard(df: DataFrame) -> None:
     """Delete a table that materialize() wrote and that no later step reads."""
     spark = df.sparkSession
@@ -63,14 +61,41 @@ def key_to_id(name: str) -> Column:
     return F.when(F.col(name) != NULL_ID, F.col(name))
 
 
-def rows_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc (long, never null), row (hash of the text: tells apart texts that share a doc_id), text (string, never null)."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(doc_key(id_col).alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"))
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+
 
+def _row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    repeated = docs.groupBy(doc_key(id_col).alias("doc")).count().where("count > 1").limit(1).count()
+    return F.xxhash64(_text(text_col)) if repeated else F.lit(0).cast("long")
 
-def null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
-    return left.join(right, on, how)
+
+def key_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """doc and row, as in rows_of()."""
+    return [doc_key(id_col).alias("doc"), _row_key(docs, id_col, text_col).alias("row")]
+
+
+def rows_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc (long, never null), row, text (string, never null). row tells apart different texts that share a doc_id: the
+    hash of the text, or 0 where no doc_id repeats."""
+    return docs.select(doc_key(id_col).alias("doc"), _row_key(docs, id_col, text_col).alias("row"), _text(text_col).alias("text"))
+
+
+def keep_rows(docs: DataFrame, keys: DataFrame, once: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose (doc, row) is in keys; once: one of equal rows."""
+    row = _row_key(docs, id_col, text_col)
+    keys = keys.select(F.col("doc").alias("__doc"), F.col("row").alias("__row")).distinct()
+    kept = docs.withColumn("__doc", doc_key(id_col)).withColumn("__row", row).join(keys, ["__doc", "__row"], "left_semi")
+    if once and docs.groupBy(doc_key(id_col).alias("doc"), row.alias("row")).count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["__doc", "__row"])
+    return kept.select(*docs.columns)
+
+
+def drop_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose (doc, row) is not in keys."""
+    row = _row_key(docs, id_col, text_col)
+    keys = keys.select(F.col("doc").alias("__doc"), F.col("row").alias("__row")).distinct()
+    return docs.withColumn("__doc", doc_key(id_col)).withColumn("__row", row).join(keys, ["__doc", "__row"], "left_anti").select(*docs.columns)
 
 
 # -- batches -----------------------------------------------------------------------------------------------------------
