@@ -21,7 +21,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BYTE_CODE, LOWER, blocks, byte_offsets, key_to_id, materialize, ngram_hash, prefix_hash, rows_of, signed, span_hash, word_spans
+from tessera.llm.common import BYTE_CODE, LOWER, blocks, byte_offsets, drop_rows, key_to_id, materialize, ngram_hash, prefix_hash, rows_of, signed, span_hash, word_spans
 
 SPAN, K = 10, 5
 IS_WORD = np.zeros(256, bool)
@@ -129,7 +129,7 @@ def _extend(span: int):
     def run(batches):
         for batch in batches:
             n_words, n_hit, n_items, digests, masks = [], [], [], [], []
-            for items, (low, starts, ends, hashes) in zip(batch.column(2).to_pylist(), texts_words(batch.column(1))):
+            for items, (low, starts, ends, hashes) in zip(batch.column(3).to_pylist(), texts_words(batch.column(2))):
                 found, hit = set(), None
                 if items:
                     base = int(starts[0])
@@ -141,13 +141,13 @@ def _extend(span: int):
                 n_items.append(len(found))
                 digests.append(hashlib.sha256(",".join(sorted(found)).encode()).hexdigest())
                 masks.append(sorted(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(masks, pa.list_(pa.string())), pa.array(digests, pa.string())], names=["doc", "n_words", "n_hit", "n_items", "items", "items_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(masks, pa.list_(pa.string())), pa.array(digests, pa.string())], names=["doc", "row", "n_words", "n_hit", "n_items", "items", "items_sha256"])
 
     return run
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items, items_sha256, contaminated: one row for each row of docs."""
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", keys: bool = False, item_col: str = "item_id") -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items, items_sha256, contaminated: one row for each row of docs. keys: also doc, row."""
     rows = rows_of(docs, id_col, text_col)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item IS NOT NULL").distinct()
     prints = materialize(items.mapInArrow(_item_prints(span), "item string, item_text string, n int, print long"), "item-prints")
@@ -156,6 +156,13 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, id_co
     # a document's hits: the items whose fingerprints it shares
     pairs = seeds.join(prints.select("print", "item", "item_text").distinct(), "print").select("doc", "row", "item", "item_text").distinct()
     hits = materialize(pairs.groupBy("doc", "row").agg(F.collect_list(F.struct("item", "item_text")).alias("items")), "item-hits")
-    out = rows.join(hits, ["doc", "row"], "left").select("doc", "text", "items")
-    out = out.mapInArrow(_extend(span), "doc long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string")
-    return out.select(key_to_id("doc").alias("doc_id"), "n_words", "n_hit", "n_items", "items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
+    out = rows.join(hits, ["doc", "row"], "left").select("doc", "row", "text", "items")
+    out = out.mapInArrow(_extend(span), "doc long, row long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string")
+    return out.select(*(["doc", "row"] if keys else []), key_to_id("doc").alias("doc_id"), "n_words", "n_hit", "n_items", "items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, in which no benchmark window occurs."""
+    found = find_overlaps(docs, benchmark, span, id_col, text_col, True)
+    dirty = materialize(found.where("contaminated").select("doc", "row"), "contaminated")
+    return drop_rows(docs, dirty, id_col, text_col)

@@ -7,8 +7,7 @@ segment subsets, one of the first h + 1 non-empty subsets of each is equal in bo
 shingles serves partners from t * n up, so it takes the bands of those sizes.
 
 The order is cost-based: subsets that many documents hold come last, so that a document spends its h + 1 places on rare ones.
-A document whose shingles crowd into h non-empty subsets or fewer would not be covered (with 0.75 shingles a segment or fewer
-this is a matter of 7 standard deviations). Such documents are counted; where one exists, all documents are also
+A document whose shingles crowd into h non-empty subsets or fewer would not be covered (more than 6 standard deviations off). Such documents are counted; where one exists, all documents are also
 indexed in the finest band, where each shingle is a segment and h + 1 subsets always exist.
 
 A group of documents under one subset is a star around one of them; the pairs of the stars are verified exactly, and the
@@ -27,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BYTE_CODE, LOWER, blocks, byte_offsets, discard, key_to_id, materialize, mix64, ngram_hash, prefix_hash, release, rows_of, signed, span_hash, word_spans
+from tessera.llm.common import BYTE_CODE, LOWER, blocks, byte_offsets, discard, keep_rows, key_to_id, materialize, mix64, ngram_hash, prefix_hash, rows_of, signed, span_hash, word_spans
 from tessera.llm.components import components
 
-#: Sets of up to so many shingles have each shingle as a segment of its own.
-SINGLES = 64
-#: A subset is common if this share of the documents holds it, and at least so many documents.
-COMMON_SHARE, COMMON_LEAST = 0.002, 32
+#: Sets of up to so many shingles have each shingle as a segment of its own; larger ones this many a segment at most.
+SINGLES, PER_SEGMENT = 192, 1.5
+#: A subset is common if so many documents hold it (counted where a batch has some), the most common ones of these.
+COMMON_LEAST, COMMON_IN_BATCH, COMMON_MOST = 32, 4, 1 << 20
+#: Shingles per cell of a sketch.
+PER_CELL = 6
 HASH_BITS = 54  # of a shingle; the other 10 number the documents of a block
 BLOCK_DOCS = 1 << (64 - HASH_BITS)
 KEY_BITS = 53
@@ -67,11 +68,35 @@ def token_sets(column: pa.Array, n: int):
 
 
 def level_of(sizes: np.ndarray) -> np.ndarray:
-    """Half the bits that number the segments for sets of these sizes (as the smaller of a pair); 0: a segment each."""
-    level = np.ceil(np.log2(np.maximum(sizes, 1) / 0.75) / 2).astype(np.int64)
+    """Bits that number the segments for sets of these sizes (as the smaller of a pair); 0: a segment each."""
+    level = np.ceil(np.log2(np.maximum(sizes, 1) / PER_SEGMENT)).astype(np.int64)
     return np.where(sizes <= SINGLES, 0, level)
 
 
+def sketches(tokens: np.ndarray, docs: int) -> list[bytes]:
+    """Each set's counts by range of the hash, in a power of two of cells; 255 also stands for more."""
+    owner = (tokens >> U(HASH_BITS)).astype(np.int64)
+    sizes = np.bincount(owner, minlength=docs)
+    bits = np.ceil(np.log2(np.maximum(sizes / PER_CELL, 1))).astype(np.int64)
+    ends = np.cumsum(1 << bits)
+    body = tokens & U((1 << HASH_BITS) - 1)
+    cell = (body >> (U(HASH_BITS) - bits[owner].astype(U))).astype(np.int64) + (ends - (1 << bits))[owner]
+    counts = np.minimum(np.bincount(cell, minlength=int(ends[-1]) if docs else 0), 255).astype(np.uint8)
+    return [counts[e - (1 << b) : e].tobytes() for e, b in zip(ends.tolist(), bits.tolist())]
+
+
+def may_link(a: bytes, b: bytes, size_a: int, size_b: int, t: float) -> bool:
+    """Whether sets with these sketches can be similar: cell by cell they share at most the lesser count."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if x.max() == 255 or y.max() == 255:
+        return True
+    if len(x) > len(y):
+        x, y = y, x
+    y = y.reshape(len(x), -1).sum(axis=1, dtype=np.int64)
+    most = int(np.minimum(x, y).sum())
+    return 100 * most >= round(100 * t) * (size_a + size_b - most)
+
+
 def subsets(tokens: np.ndarray, docs: int, t: float, finest: bool = False):
     """Every document's non-empty segment subsets in the bands that it needs: (document, key, places it may use)."""
     owner = (tokens >> U(HASH_BITS)).astype(np.int64)
@@ -85,7 +110,7 @@ def subsets(tokens: np.ndarray, docs: int, t: float, finest: bool = False):
     bands = ((np.zeros(docs, np.int64), np.ones(docs, bool)),) if finest else ((own, np.ones(docs, bool)), (low, low != own))
     for levels, used in bands:
         mine = levels[owner]
-        segment = np.where(mine == 0, body, body >> (U(HASH_BITS) - 2 * np.maximum(mine, 1).astype(U)))
+        segment = np.where(mine == 0, body, body >> (U(HASH_BITS) - np.maximum(mine, 1).astype(U)))
         take = used[owner]
         starts = np.flatnonzero(np.append(True, (segment[1:] != segment[:-1]) | (owner[1:] != owner[:-1])) if len(tokens) else np.zeros(0, bool))
         ends = np.append(starts[1:], len(tokens))
@@ -127,10 +152,11 @@ def _survey(n: int, t: float):
     def run(batches):
         for batch in batches:
             doc, row = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            size, node, check, keys, holders, few = [], [], [], [], [], 0
+            size, node, check, sketch, keys, holders, few = [], [], [], [], [], [], 0
             for first, last, tokens in token_sets(batch.column(2), n):
                 s, a, b = set_hashes(tokens, last - first)
                 size.append(s), node.append(signed(a)), check.append(signed(b))
+                sketch += sketches(tokens, last - first)
                 for owner, key, need, _ in subsets(tokens, last - first, t):
                     keys.append(key), holders.append(signed(a)[owner])
                     present = np.bincount(owner, minlength=last - first)
@@ -139,14 +165,16 @@ def _survey(n: int, t: float):
             if keys:
                 keys, holders = np.concatenate(keys), np.concatenate(holders)
                 value, place, count = np.unique(keys, return_index=True, return_counts=True)
-                often = count >= max(2, int(COMMON_SHARE * len(doc)))
+                often = count >= COMMON_IN_BATCH
                 zero = np.zeros(int(often.sum()), np.int64)
                 for c, v in zip(cols, (zero + 1, signed(value[often]), count[often], holders[place[often]], zero, zero)):
                     c.append(v)
             if few:
                 for c, v in zip(cols, (2, few, 0, 0, 0, 0)):
                     c.append(np.array([v], np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64)) for c in cols], names=list("kabcde"))
+            cols = [np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64) for c in cols]
+            sketch += [None] * (len(cols[0]) - len(sketch))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(sketch, pa.binary())], names=["k", "a", "b", "c", "d", "e", "sketch"])
 
     return run
 
@@ -172,18 +200,21 @@ def _index(n: int, t: float, shared, finest: bool = False):
 
 
 def _stars(batches):
-    """Rows sorted by key -> (key, rep, node) for every further node of a key; the first one stands for the group."""
-    last_key, last_rep = None, None
+    """Rows sorted by key -> (key, rep, node) for every further node of a key; the first one stands for the group, unless rep
+    is given."""
+    last_key, last_rep = None, 0
     for batch in batches:
-        key, node = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        if not len(key):
-            continue
-        new = np.append(key[0] != last_key if last_key is not None else True, key[1:] != key[:-1])
-        start = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        rep = np.where(start >= 0, node[start], last_rep if last_rep is not None else 0)
-        last_key, last_rep = key[-1], rep[-1]
-        keep = rep != node
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(rep[keep]), pa.array(node[keep])], names=["key", "rep", "node"])
+        key, node, given = (np.asarray(c) for c in (batch.column(0), batch.column(1), batch.column(2).fill_null(0)))
+        told = ~np.asarray(batch.column(2).is_null())
+        out = [[c[told & (given != node)] for c in (key, given, node)]]
+        key, node = key[~told], node[~told]
+        if len(key):
+            new = np.append(key[0] != last_key, key[1:] != key[:-1])
+            start = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            rep = np.where(start >= 0, node[start], last_rep)
+            last_key, last_rep = key[-1], rep[-1]
+            out.append([c[rep != node] for c in (key, rep, node)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], names=["key", "rep", "node"])
 
 
 def _tokens(n: int):
@@ -218,6 +249,15 @@ def _verify(t: float):
     return run
 
 
+def _prune(t: float):
+    def run(batches):
+        for batch in batches:
+            good = np.array([may_link(a, b, m, n, t) for m, n, a, b in zip(*(batch.column(k).to_pylist() for k in range(2, 6)))], bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
+
+    return run
+
+
 class _Checker:
     """Verifies pairs of nodes; loads only the texts that pairs need."""
 
@@ -227,9 +267,10 @@ class _Checker:
 
     def __call__(self, pairs: DataFrame, label: str) -> DataFrame:
         """Distinct pairs (a < b) -> those that link."""
-        sizes = self.sets.groupBy("node").agg(F.min("size").alias("size"), F.min(F.struct("doc", "row")).alias("at"))
-        a, b = (sizes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
-        pairs = pairs.join(a, "a").join(b, "b").where(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * round(100 * self.t)).select("a", "b")
+        sizes = self.sets.groupBy("node").agg(F.min("size").alias("size"), F.min(F.struct("doc", "row")).alias("at"), F.first("sketch").alias("sketch"))
+        a, b = (sizes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+        pairs = pairs.join(a, "a").join(b, "b").where(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * round(100 * self.t))
+        pairs = pairs.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_prune(self.t), "a long, b long")
         pairs = materialize(pairs, f"{label}-pairs")
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         wanted = materialize(nodes.join(sizes, "node").select("node", "at.doc", "at.row"), f"{label}-nodes")
@@ -247,25 +288,21 @@ def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (links of the document's set that were verified; the components need no
-    others): one row for each row of docs."""
+def _grouped(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc, row, size, node, root) of each row, and the verified links."""
     spark = docs.sparkSession
     rows = rows_of(docs, id_col, text_col)
-    seen = materialize(rows.mapInArrow(_survey(n, threshold), "k long, a long, b long, c long, d long, e long"), "survey")
-    sets = seen.where("k = 0").selectExpr("a AS doc", "b AS row", "c AS size", "d AS node", "e AS check")
-    total = sets.count()
-    common = seen.where("k = 1").groupBy("a").agg(F.sum("b").alias("n"), F.min("c").alias("rep")).where(F.col("n") >= max(COMMON_LEAST, COMMON_SHARE * total))
-    # their number is bounded by subsets per document / COMMON_SHARE, whatever the number of documents
-    common = common.orderBy("a").toPandas()
+    seen = materialize(rows.mapInArrow(_survey(n, threshold), "k long, a long, b long, c long, d long, e long, sketch binary"), "survey")
+    sets = seen.where("k = 0").selectExpr("a AS doc", "b AS row", "c AS size", "d AS node", "e AS check", "sketch")
+    common = seen.where("k = 1").groupBy("a").agg(F.sum("b").alias("n"), F.min("c").alias("rep")).where(F.col("n") >= COMMON_LEAST)
+    common = common.orderBy(F.desc("n"), "a").limit(COMMON_MOST).orderBy("a").toPandas()  # at most 16 MB
     shared = spark.sparkContext.broadcast((common["a"].to_numpy(np.int64).tobytes(), common["rep"].to_numpy(np.int64).tobytes()))
     index = rows.mapInArrow(_index(n, threshold, shared), "key long, node long, rep long")
     if seen.where("k = 2").agg(F.sum("a")).first()[0]:
         index = index.union(rows.mapInArrow(_index(n, threshold, shared, True), "key long, node long, rep long"))
-    index = materialize(index, "subset-index")
-    rare = index.where("rep IS NULL").select("key", "node").repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_stars, "key long, rep long, node long")
-    stars = materialize(rare.union(index.where("rep IS NOT NULL AND rep <> node").select("key", "rep", "node")), "stars")
-    discard(index)
+    # holders of a common subset have their star already: they are spread evenly
+    spread = index.repartition(F.coalesce(F.when(F.col("rep").isNull(), F.col("key")), F.xxhash64("key", "node"))).sortWithinPartitions("key")
+    stars = materialize(spread.mapInArrow(_stars, "key long, rep long, node long"), "stars")
     check = _Checker(rows, sets, n, threshold)
     links = check(stars.select(*_ordered("rep", "node")).distinct(), "star")
     root = materialize(components(links), "roots")
@@ -282,11 +319,24 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.75, id_col
     more = more.join(stars.select(*_ordered("rep", "node")).distinct(), ["a", "b"], "left_anti")
     links = links.union(check(more, "apart"))
     root = materialize(components(links), "last-roots")
-    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    release(spark)
+    placed = sets.join(root, "node", "left").select("doc", "row", "size", "node", F.coalesce("root", "node").alias("root"))
+    return placed, links
+
 
-    placed = sets.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (links of the document's set that were verified; the components need no
+    others): one row for each row of docs."""
+    placed, links = _grouped(docs, n, threshold, id_col, text_col)
+    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     least = placed.groupBy("root").agg(F.min("doc").alias("least"))
-    own = F.when(F.col("size") == 0, F.col("doc")).otherwise(F.col("least"))
     out = placed.join(least, "root").join(degree, "node", "left")
-    return out.select(key_to_id("doc").alias("doc_id"), F.col("size").alias("n_shingles"), own.alias("doc"), F.coalesce("n_links", F.lit(0)).alias("n_links")).select("doc_id", "n_shingles", key_to_id("doc").alias("component_id"), "n_links")
+    out = out.select(key_to_id("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("size") == 0, F.col("doc")).otherwise(F.col("least")).alias("doc"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", "n_shingles", key_to_id("doc").alias("component_id"), "n_links")
+
+
+def keep_one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that have the smallest doc_id of their component; those without words stay."""
+    placed, _ = _grouped(docs, n, threshold, id_col, text_col)
+    group = F.when(F.col("size") == 0, F.concat_ws(":", "doc", "row")).otherwise(F.col("root").cast("string"))
+    first = placed.groupBy(group.alias("group")).agg(F.min(F.struct("doc", "row")).alias("at")).select("at.doc", "at.row")
+    return keep_rows(docs, materialize(first, "kept"), True, id_col, text_col)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import keep_rows, key_columns, materialize
 
 #: Weights are whole numbers; those of one family sum up to this at most (sums stay within 64 bits).
 MOST_WEIGHT = 10_000
@@ -121,6 +121,12 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     return mix(docs, {"domain": domain_of(source), "lang": F.col("lang"), "source": source}, WEIGHTS, **options)
 
 
+def keep_mixed(docs: DataFrame, share: tuple[int, int] = SHARE, seed: int = SEED) -> DataFrame:
+    """The rows of docs, with all their columns, of which one pass takes some token."""
+    mixed = mix_sources(docs, share=share, epochs=1, seed=seed, keep=key_columns(docs))
+    return keep_rows(docs, materialize(mixed.where("take_tokens > 0").select("doc", "row"), "mixed"))
+
+
 def _case(level: str) -> str:
     return f"CASE {level} " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in WEIGHTS[level].items()) + " ELSE 1 END"
 
