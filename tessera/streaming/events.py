@@ -34,8 +34,9 @@ def once(events: DataFrame, key: list[str], late: str = "10 minutes") -> DataFra
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
 
 
-def lifecycle(events: DataFrame, timeout_ms: int = 30 * 60 * 1000) -> DataFrame:
-    """Last status and number of steps of each document; a document that is silent for too long is told as stuck once."""
+def lifecycle(events: DataFrame, timeout_ms: int = 30 * 60 * 1000, late: str = "10 minutes") -> DataFrame:
+    """Last status and number of steps of each document; a document that is silent for too long (in event time) is told as
+    stuck once."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -44,16 +45,18 @@ def lifecycle(events: DataFrame, timeout_ms: int = 30 * 60 * 1000) -> DataFrame:
             yield pd.DataFrame({"document_id": [key[0]], "status": [status], "steps": [steps], "stuck": [True]})
             return
         status, steps = state.get if state.exists else ("", 0)
+        last = state.getCurrentWatermarkMs()
         for pdf in frames:
             if len(pdf):
                 pdf = pdf.sort_values("ts")
                 status, steps = str(pdf["event_type"].iloc[-1]), steps + len(pdf)
+                last = max(last, int(pdf["ts"].iloc[-1].timestamp() * 1000))
         state.update((status, steps))
-        state.setTimeoutDuration(timeout_ms)
+        state.setTimeoutTimestamp(last + timeout_ms)
         yield pd.DataFrame({"document_id": [key[0]], "status": [status], "steps": [steps], "stuck": [False]})
 
-    rows = events.select(F.col("user_id").alias("document_id"), "event_type", "ts")
-    return rows.groupBy("document_id").applyInPandasWithState(step, STATE_OUT, "status string, steps long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.withWatermark("ts", late).select(F.col("user_id").alias("document_id"), "event_type", "ts")
+    return rows.groupBy("document_id").applyInPandasWithState(step, STATE_OUT, "status string, steps long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_memory(rows: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
