@@ -10,6 +10,10 @@ The order is cost-based: subsets that many documents hold come last, so that a d
 A document whose shingles crowd into h non-empty subsets or fewer would not be covered (more than 6 standard deviations off). Such documents are counted; where one exists, all documents are also
 indexed in the finest band, where each shingle is a segment and h + 1 subsets always exist.
 
+Where each shingle is a segment of its own, only a set's own shingles can be missing in the other: the larger set needs its first
+(1 - t) * size + 1 places. Every indexed subset tells its place: what stands before the first common subset of a pair is missing in the
+other set, so a pair counts under a subset only if the rest can still be similar enough.
+
 A group of documents under one subset is a star around one of them; the pairs of the stars are verified exactly, and the
 components of the links found are formed. Members of a group that are still apart are then verified against each other, so no link
 between components is lost, and pairs inside a component are never listed.
@@ -31,10 +35,12 @@ from tessera.llm.components import components
 
 #: Sets of up to so many shingles have each shingle as a segment of its own; larger ones this many a segment at most.
 SINGLES, PER_SEGMENT = 192, 1.5
-#: A subset is common if so many documents hold it (counted where a batch has some), the most common ones of these.
-COMMON_LEAST, COMMON_IN_BATCH, COMMON_MOST = 32, 4, 1 << 20
+#: A subset is common if it is seen so often in lots of LOT subsets that hold it more than once; the most common ones of these.
+COMMON_LEAST, COMMON_MOST, LOT = 8, 1 << 18, 1_000_000
+#: Rounds of pivots at most; pairs per member of a group that are simply listed.
+MOST_TURNS, PAIRS_PER_ROW = 3, 2
 #: Shingles per cell of a sketch.
-PER_CELL = 6
+PER_CELL = 4
 HASH_BITS = 54  # of a shingle; the other 10 number the documents of a block
 BLOCK_DOCS = 1 << (64 - HASH_BITS)
 KEY_BITS = 53
@@ -98,12 +104,11 @@ def may_link(a: bytes, b: bytes, size_a: int, size_b: int, t: float) -> bool:
 
 
 def subsets(tokens: np.ndarray, docs: int, t: float, finest: bool = False):
-    """Every document's non-empty segment subsets in the bands that it needs: (document, key, places it may use)."""
+    """Every document's non-empty segment subsets in the bands that it needs: (document, key, places that it may use, whether each shingle is a segment)."""
     owner = (tokens >> U(HASH_BITS)).astype(np.int64)
     sizes = np.bincount(owner, minlength=docs)
     low, own = level_of(np.ceil(t * sizes - 1e-9)), level_of(sizes)
-    share = (1 - t) / t
-    need = np.floor(share * sizes + 1e-9).astype(np.int64) + 1
+    places = lambda share: np.floor(share * sizes + 1e-9).astype(np.int64) + 1
     body = tokens & U((1 << HASH_BITS) - 1)
     summed = np.zeros(len(tokens) + 1, U)
     np.cumsum(mix64(body), out=summed[1:])
@@ -117,19 +122,27 @@ def subsets(tokens: np.ndarray, docs: int, t: float, finest: bool = False):
         keep = take[starts]
         starts, ends = starts[keep], ends[keep]
         key = mix64(summed[ends] - summed[starts] + mine[starts].astype(U) * U(0x9E3779B97F4A7C15)) >> U(64 - KEY_BITS)
-        yield owner[starts], key, need, levels
+        single = levels == 0
+        yield owner[starts], key, np.where(single, places(1 - t), places((1 - t) / t)), single
 
 
-def chosen(owner: np.ndarray, key: np.ndarray, need: np.ndarray, common: np.ndarray, docs: int):
-    """Each document's first `need` subsets, rare ones first, and which documents have too few."""
-    hot = np.isin(key, common) if len(common) else np.zeros(len(key), bool)
+def chosen(owner: np.ndarray, key: np.ndarray, need: np.ndarray, single: np.ndarray, common: np.ndarray, docs: int):
+    """Each document's first subsets, rare ones first: (document, key, common, 2 * place + 1 if single)."""
+    hot = common[np.minimum(np.searchsorted(common, key), len(common) - 1)] == key if len(common) else np.zeros(len(key), bool)
     order = np.sort((owner.astype(U) << U(HASH_BITS)) | (hot.astype(U) << U(KEY_BITS)) | key)
     owner = (order >> U(HASH_BITS)).astype(np.int64)
-    starts = np.searchsorted(owner, np.arange(docs))
-    rank = np.arange(len(order)) - starts[owner]
-    take = rank < need[owner]
-    counts = np.bincount(owner, minlength=docs)
-    return owner[take], (order & U((1 << KEY_BITS) - 1))[take], ((order >> U(KEY_BITS)) & U(1))[take].astype(bool), counts < need
+    place = np.arange(len(order)) - np.searchsorted(owner, np.arange(docs))[owner]
+    take = place < need[owner]
+    return owner[take], (order & U((1 << KEY_BITS) - 1))[take], ((order >> U(KEY_BITS)) & U(1))[take].astype(bool), (2 * place + single[owner])[take]
+
+
+def can_link(x: str, y: str, t: float) -> str:
+    """SQL: whether two members of a group, told by their `info` (size << 32 | 2 * place + 1 if single), can link if this
+    is their first common subset."""
+    size, place = (lambda c: f"({c} >> 32)"), (lambda c: f"(({c} & 4294967295) >> 1)")
+    twice = f"CASE WHEN {x} & 1 = 1 THEN 2 * least({size(x)} - {place(x)}, {size(y)} - {place(y)}) ELSE {size(x)} + {size(y)} - greatest({place(x)}, {place(y)}) END"
+    whole = round(100 * t)
+    return f"(least({size(x)}, {size(y)}) * 100 >= greatest({size(x)}, {size(y)}) * {whole} AND 100 * ({twice}) >= {whole} * (2 * ({size(x)} + {size(y)}) - ({twice})))"
 
 
 def set_hashes(tokens: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,75 +159,82 @@ def set_hashes(tokens: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _survey(n: int, t: float):
-    """Rows (0, doc, row, size, node, check) for documents; (1, subset, count, a node, 0, 0) for subsets that recur in a batch;
+    """Rows (0, doc, row, size, node, check) for documents; (1, subset, count, a node, 0, 0) for subsets that recur in a lot;
     (2, ...) where a document has too few subsets."""
 
+    def recurring(keys, holders):
+        value, place, count = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
+        often = count > 1
+        return signed(value[often]), count[often], np.concatenate(holders)[place[often]]
+
+    def rows(kind, a, b, c, d=None, e=None, sketch=None):
+        cols = [np.full(len(a), kind, np.int64), *(np.zeros(len(a), np.int64) if x is None else x.astype(np.int64) for x in (a, b, c, d, e))]
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(sketch or [None] * len(a), pa.binary())], names=["k", "a", "b", "c", "d", "e", "sketch"])
+
     def run(batches):
+        keys, holders, held, few = [], [], 0, 0
         for batch in batches:
             doc, row = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            size, node, check, sketch, keys, holders, few = [], [], [], [], [], [], 0
             for first, last, tokens in token_sets(batch.column(2), n):
-                s, a, b = set_hashes(tokens, last - first)
-                size.append(s), node.append(signed(a)), check.append(signed(b))
-                sketch += sketches(tokens, last - first)
+                size, node, check = set_hashes(tokens, last - first)
+                yield rows(0, doc[first:last], row[first:last], size, signed(node), signed(check), sketches(tokens, last - first))
                 for owner, key, need, _ in subsets(tokens, last - first, t):
-                    keys.append(key), holders.append(signed(a)[owner])
+                    keys.append(key), holders.append(signed(node)[owner])
+                    held += len(key)
                     present = np.bincount(owner, minlength=last - first)
                     few += int(np.sum((present > 0) & (present < need)))
-            cols = [[np.zeros(len(doc), np.int64)], [doc], [row], size, node, check]
-            if keys:
-                keys, holders = np.concatenate(keys), np.concatenate(holders)
-                value, place, count = np.unique(keys, return_index=True, return_counts=True)
-                often = count >= COMMON_IN_BATCH
-                zero = np.zeros(int(often.sum()), np.int64)
-                for c, v in zip(cols, (zero + 1, signed(value[often]), count[often], holders[place[often]], zero, zero)):
-                    c.append(v)
-            if few:
-                for c, v in zip(cols, (2, few, 0, 0, 0, 0)):
-                    c.append(np.array([v], np.int64))
-            cols = [np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64) for c in cols]
-            sketch += [None] * (len(cols[0]) - len(sketch))
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(sketch, pa.binary())], names=["k", "a", "b", "c", "d", "e", "sketch"])
+                if held > LOT:
+                    yield rows(1, *recurring(keys, holders))
+                    keys, holders, held = [], [], 0
+        if held:
+            yield rows(1, *recurring(keys, holders))
+        if few:
+            yield rows(2, np.array([few]), np.zeros(1), np.zeros(1))
 
     return run
 
 
 def _index(n: int, t: float, shared, finest: bool = False):
-    """(key, node, rep): rep is null for a rare subset, else the node that stands for all holders of the common subset."""
+    """(key, node, rep, info): rep is null for a rare subset, else the node that stands for all holders of the common subset."""
 
     def run(batches):
         common, reps = (np.frombuffer(x, np.int64) for x in shared.value)
         for batch in batches:
-            keys, nodes, heads, known = [], [], [], []
             for first, last, tokens in token_sets(batch.column(2), n):
-                node = signed(set_hashes(tokens, last - first)[1])
-                for owner, key, need, _ in subsets(tokens, last - first, t, finest):
-                    owner, key, hot, _ = chosen(owner, key, need, common.view(U), last - first)
-                    at = np.minimum(np.searchsorted(common, signed(key)), max(len(common) - 1, 0))
-                    keys.append(signed(key)), nodes.append(node[owner]), known.append(hot)
-                    heads.append(np.where(hot, reps[at] if len(reps) else 0, 0))
-            join = lambda x, d: np.concatenate(x) if x else np.zeros(0, d)
-            yield pa.RecordBatch.from_arrays([pa.array(join(keys, np.int64)), pa.array(join(nodes, np.int64)), pa.array(join(heads, np.int64), mask=~join(known, bool))], names=["key", "node", "rep"])
+                size, node, _ = set_hashes(tokens, last - first)
+                node = signed(node)
+                for owner, key, need, single in subsets(tokens, last - first, t, finest):
+                    owner, key, hot, place = chosen(owner, key, need, single, common.view(U), last - first)
+                    key, rep = signed(key), np.zeros(len(key), np.int64)
+                    rep[hot] = reps[np.searchsorted(common, key[hot])]
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[owner]), pa.array(rep, mask=~hot), pa.array((size[owner] << 32) | place)], names=["key", "node", "rep", "info"])
 
     return run
 
 
+INDEX = "key long, node long, rep long, info long"
+#: A group's members: rep stands for the group; the info of both (0: rep need not be a member itself).
+STARS = "key long, rep long, rep_info long, node long, info long"
+
+
 def _stars(batches):
-    """Rows sorted by key -> (key, rep, node) for every further node of a key; the first one stands for the group, unless rep
+    """Rows sorted by key -> rows of STARS for every further node of a key; the first one stands for the group, unless rep
     is given."""
-    last_key, last_rep = None, 0
+    last_key, last_rep, last_info = None, 0, 0
     for batch in batches:
-        key, node, given = (np.asarray(c) for c in (batch.column(0), batch.column(1), batch.column(2).fill_null(0)))
+        key, node, given, info = (np.asarray(c) for c in (batch.column(0), batch.column(1), batch.column(2).fill_null(0), batch.column(3)))
         told = ~np.asarray(batch.column(2).is_null())
-        out = [[c[told & (given != node)] for c in (key, given, node)]]
-        key, node = key[~told], node[~told]
+        own = told & (given != node)
+        out = [[key[own], given[own], np.zeros(int(own.sum()), np.int64), node[own], info[own]]]
+        key, node, info = key[~told], node[~told], info[~told]
         if len(key):
             new = np.append(key[0] != last_key, key[1:] != key[:-1])
             start = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            rep = np.where(start >= 0, node[start], last_rep)
-            last_key, last_rep = key[-1], rep[-1]
-            out.append([c[rep != node] for c in (key, rep, node)])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], names=["key", "rep", "node"])
+            rep, rep_info = np.where(start >= 0, node[start], last_rep), np.where(start >= 0, info[start], last_info)
+            last_key, last_rep, last_info = key[-1], rep[-1], rep_info[-1]
+            own = rep != node
+            out.append([c[own] for c in (key, rep, rep_info, node, info)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(5)], names=["key", "rep", "rep_info", "node", "info"])
 
 
 def _tokens(n: int):
@@ -288,6 +308,13 @@ def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _apart(group: DataFrame, root: DataFrame) -> DataFrame:
+    """group: (key, x, ...) -> with x_root, and only the keys whose members have several roots."""
+    placed = group.join(root.select(F.col("node").alias("x"), F.col("root").alias("x_root")), "x", "left").withColumn("x_root", F.coalesce("x_root", "x"))
+    several = placed.groupBy("key").agg(F.min("x_root").alias("low"), F.max("x_root").alias("high")).where("low <> high").select("key")
+    return placed.join(several, "key", "left_semi")
+
+
 def _grouped(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(doc, row, size, node, root) of each row, and the verified links."""
     spark = docs.sparkSession
@@ -295,29 +322,41 @@ def _grouped(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: s
     seen = materialize(rows.mapInArrow(_survey(n, threshold), "k long, a long, b long, c long, d long, e long, sketch binary"), "survey")
     sets = seen.where("k = 0").selectExpr("a AS doc", "b AS row", "c AS size", "d AS node", "e AS check", "sketch")
     common = seen.where("k = 1").groupBy("a").agg(F.sum("b").alias("n"), F.min("c").alias("rep")).where(F.col("n") >= COMMON_LEAST)
-    common = common.orderBy(F.desc("n"), "a").limit(COMMON_MOST).orderBy("a").toPandas()  # at most 16 MB
+    common = common.orderBy(F.desc("n"), "a").limit(COMMON_MOST).orderBy("a").toPandas()  # at most 4 MB
     shared = spark.sparkContext.broadcast((common["a"].to_numpy(np.int64).tobytes(), common["rep"].to_numpy(np.int64).tobytes()))
-    index = rows.mapInArrow(_index(n, threshold, shared), "key long, node long, rep long")
+    index = rows.mapInArrow(_index(n, threshold, shared), INDEX)
     if seen.where("k = 2").agg(F.sum("a")).first()[0]:
-        index = index.union(rows.mapInArrow(_index(n, threshold, shared, True), "key long, node long, rep long"))
+        index = index.union(rows.mapInArrow(_index(n, threshold, shared, True), INDEX))
     # holders of a common subset have their star already: they are spread evenly
     spread = index.repartition(F.coalesce(F.when(F.col("rep").isNull(), F.col("key")), F.xxhash64("key", "node"))).sortWithinPartitions("key")
-    stars = materialize(spread.mapInArrow(_stars, "key long, rep long, node long"), "stars")
+    stars = materialize(spread.mapInArrow(_stars, STARS), "stars")
     check = _Checker(rows, sets, n, threshold)
-    links = check(stars.select(*_ordered("rep", "node")).distinct(), "star")
+    tested = stars.where("rep_info = 0 OR " + can_link("rep_info", "info", threshold)).select(*_ordered("rep", "node")).distinct()
+    tested = materialize(tested, "star-tested")
+    links = check(tested, "star")
     root = materialize(components(links), "roots")
 
-    # groups whose members are still in several components
-    rooted = lambda df, x: df.join(root.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")), x, "left").withColumn(f"{x}_root", F.coalesce(f"{x}_root", x))
-    apart = rooted(rooted(stars, "rep"), "node")
-    split = apart.where("rep_root <> node_root").select("key", "rep").distinct()
-    members = apart.join(split, ["key", "rep"], "left_semi")
-    members = members.select("key", F.col("node").alias("x"), F.col("node_root").alias("x_root")).union(members.select("key", F.col("rep"), F.col("rep_root"))).distinct()
-    members = materialize(members, "apart")
-    others = members.select("key", F.col("x").alias("y"), F.col("x_root").alias("y_root"))
-    more = members.join(others, "key").where("x < y AND x_root <> y_root").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    more = more.join(stars.select(*_ordered("rep", "node")).distinct(), ["a", "b"], "left_anti")
-    links = links.union(check(more, "apart"))
+    # groups whose members are still in several components: further pivots, while listing all pairs would take many more
+    group = stars.select("key", F.col("node").alias("x"), "info").union(stars.where("rep_info > 0").select("key", "rep", "rep_info")).distinct()
+    members = materialize(_apart(group, root), "apart-0")
+    alike = F.expr("x_root <> y_root AND " + can_link("info", "y_info", threshold))
+    for turn in range(1, MOST_TURNS):
+        held = members.groupBy("key", "x_root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"))
+        cross, rows_held = held.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if cross <= PAIRS_PER_ROW * rows_held:
+            break
+        # the same pivot for groups of the same members: pairs grow with the members, not with the subsets that they share
+        pivot = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("x", F.lit(turn)), "x", "x_root", "info")).alias("p")).select("key", F.col("p.x").alias("y"), F.col("p.x_root").alias("y_root"), F.col("p.info").alias("y_info"))
+        pairs = members.join(pivot, "key").where(alike).select(*_ordered("x", "y")).distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, f"pivot-{turn}")
+        tested = tested.union(pairs)
+        links = links.union(check(pairs, f"pivot-{turn}"))
+        root = materialize(components(links), "roots")
+        before, members = members, materialize(_apart(members.drop("x_root"), root), f"apart-{turn}")
+        discard(before)
+    others = members.select("key", F.col("x").alias("y"), F.col("x_root").alias("y_root"), F.col("info").alias("y_info"))
+    more = members.join(others, "key").where(alike & (F.col("x") < F.col("y"))).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    links = links.union(check(more.join(tested, ["a", "b"], "left_anti"), "apart"))
     root = materialize(components(links), "last-roots")
     placed = sets.join(root, "node", "left").select("doc", "row", "size", "node", F.coalesce("root", "node").alias("root"))
     return placed, links
