@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from tessera.llm.common import discard, materialize
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _settled(stars: DataFrame) -> bool:
+    """Whether every node points to one root, and roots point to nothing."""
+    ends = stars.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(stars.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR (out = 1 AND into = 1)").limit(1).count() == 0
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges (a, b) -> (node, root) for every node with an edge; root is the component's smallest node."""
     stars = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = _mark(stars)
     for _ in range(most_rounds):
+        if _settled(stars):
+            break
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -27,9 +30,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         before, stars = stars, materialize(small, "small-stars")
         discard(before)
         discard(large)
-        last, mark = mark, _mark(stars)
-        if mark == last:
-            break
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

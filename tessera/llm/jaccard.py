@@ -36,9 +36,9 @@ from tessera.llm.components import components
 #: Sets of up to so many shingles have each shingle as a segment of its own; larger ones this many a segment at most.
 SINGLES, PER_SEGMENT = 192, 1.5
 #: A subset is common if it is seen so often in lots of LOT subsets that hold it more than once; the most common ones of these.
-COMMON_LEAST, COMMON_MOST, LOT = 8, 1 << 18, 1_000_000
-#: Rounds of pivots at most; pairs per member of a group that are simply listed.
-MOST_TURNS, PAIRS_PER_ROW = 3, 2
+COMMON_LEAST, COMMON_MOST, LOT = 8, 1 << 20, 1_000_000
+#: Rounds of pivots at most, and pivots of each; pairs per member of a group that are simply listed.
+MOST_TURNS, PIVOTS, PAIRS_PER_ROW = 3, 4, 2
 #: Shingles per cell of a sketch.
 PER_CELL = 4
 HASH_BITS = 54  # of a shingle; the other 10 number the documents of a block
@@ -104,7 +104,7 @@ def may_link(a: bytes, b: bytes, size_a: int, size_b: int, t: float) -> bool:
 
 
 def subsets(tokens: np.ndarray, docs: int, t: float, finest: bool = False):
-    """Every document's non-empty segment subsets in the bands that it needs: (document, key, places that it may use, whether each shingle is a segment)."""
+    """Every document's non-empty segment subsets in the bands that it needs: (document, key, places that it may use, band)."""
     owner = (tokens >> U(HASH_BITS)).astype(np.int64)
     sizes = np.bincount(owner, minlength=docs)
     low, own = level_of(np.ceil(t * sizes - 1e-9)), level_of(sizes)
@@ -123,24 +123,24 @@ def subsets(tokens: np.ndarray, docs: int, t: float, finest: bool = False):
         starts, ends = starts[keep], ends[keep]
         key = mix64(summed[ends] - summed[starts] + mine[starts].astype(U) * U(0x9E3779B97F4A7C15)) >> U(64 - KEY_BITS)
         single = levels == 0
-        yield owner[starts], key, np.where(single, places(1 - t), places((1 - t) / t)), single
+        yield owner[starts], key, np.where(single, places(1 - t), places((1 - t) / t)), levels
 
 
-def chosen(owner: np.ndarray, key: np.ndarray, need: np.ndarray, single: np.ndarray, common: np.ndarray, docs: int):
-    """Each document's first subsets, rare ones first: (document, key, common, 2 * place + 1 if single)."""
+def chosen(owner: np.ndarray, key: np.ndarray, need: np.ndarray, band: np.ndarray, common: np.ndarray, docs: int):
+    """Each document's first subsets, rare ones first: (document, key, common, place << 6 | band)."""
     hot = common[np.minimum(np.searchsorted(common, key), len(common) - 1)] == key if len(common) else np.zeros(len(key), bool)
     order = np.sort((owner.astype(U) << U(HASH_BITS)) | (hot.astype(U) << U(KEY_BITS)) | key)
     owner = (order >> U(HASH_BITS)).astype(np.int64)
     place = np.arange(len(order)) - np.searchsorted(owner, np.arange(docs))[owner]
     take = place < need[owner]
-    return owner[take], (order & U((1 << KEY_BITS) - 1))[take], ((order >> U(KEY_BITS)) & U(1))[take].astype(bool), (2 * place + single[owner])[take]
+    return owner[take], (order & U((1 << KEY_BITS) - 1))[take], ((order >> U(KEY_BITS)) & U(1))[take].astype(bool), ((place << 6) | band[owner])[take]
 
 
 def can_link(x: str, y: str, t: float) -> str:
-    """SQL: whether two members of a group, told by their `info` (size << 32 | 2 * place + 1 if single), can link if this
+    """SQL: whether two members of a group, told by their `info` (size << 32 | place << 6 | band, 0 for the finest), can link if this
     is their first common subset."""
-    size, place = (lambda c: f"({c} >> 32)"), (lambda c: f"(({c} & 4294967295) >> 1)")
-    twice = f"CASE WHEN {x} & 1 = 1 THEN 2 * least({size(x)} - {place(x)}, {size(y)} - {place(y)}) ELSE {size(x)} + {size(y)} - greatest({place(x)}, {place(y)}) END"
+    size, place = (lambda c: f"({c} >> 32)"), (lambda c: f"(({c} & 4294967295) >> 6)")
+    twice = f"CASE WHEN {x} & 63 = 0 THEN 2 * least({size(x)} - {place(x)}, {size(y)} - {place(y)}) ELSE {size(x)} + {size(y)} - greatest({place(x)}, {place(y)}) END"
     whole = round(100 * t)
     return f"(least({size(x)}, {size(y)}) * 100 >= greatest({size(x)}, {size(y)}) * {whole} AND 100 * ({twice}) >= {whole} * (2 * ({size(x)} + {size(y)}) - ({twice})))"
 
@@ -203,8 +203,8 @@ def _index(n: int, t: float, shared, finest: bool = False):
             for first, last, tokens in token_sets(batch.column(2), n):
                 size, node, _ = set_hashes(tokens, last - first)
                 node = signed(node)
-                for owner, key, need, single in subsets(tokens, last - first, t, finest):
-                    owner, key, hot, place = chosen(owner, key, need, single, common.view(U), last - first)
+                for owner, key, need, band in subsets(tokens, last - first, t, finest):
+                    owner, key, hot, place = chosen(owner, key, need, band, common.view(U), last - first)
                     key, rep = signed(key), np.zeros(len(key), np.int64)
                     rep[hot] = reps[np.searchsorted(common, key[hot])]
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[owner]), pa.array(rep, mask=~hot), pa.array((size[owner] << 32) | place)], names=["key", "node", "rep", "info"])
@@ -315,6 +315,16 @@ def _apart(group: DataFrame, root: DataFrame) -> DataFrame:
     return placed.join(several, "key", "left_semi")
 
 
+def _first_of_equal_groups(members: DataFrame) -> DataFrame:
+    """Of subsets that the same members hold only the one that comes first: whatever pair has its first common subset among
+    them has it there."""
+    place = F.expr("(info & 4294967295) >> 6")
+    # in one band, two subsets of a document never have the same place, so the sums order them as every member does
+    groups = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("x").cast("decimal(38,0)")).alias("who"), F.min(F.col("x")).alias("least"), F.sum(place).alias("places"), F.min(F.expr("info & 63")).alias("band"))
+    first = groups.groupBy("n", "who", "least", "band").agg(F.min_by("key", F.struct("places", "key")).alias("key")).select("key")
+    return members.join(first, "key", "left_semi")
+
+
 def _grouped(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(doc, row, size, node, root) of each row, and the verified links."""
     spark = docs.sparkSession
@@ -322,7 +332,7 @@ def _grouped(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: s
     seen = materialize(rows.mapInArrow(_survey(n, threshold), "k long, a long, b long, c long, d long, e long, sketch binary"), "survey")
     sets = seen.where("k = 0").selectExpr("a AS doc", "b AS row", "c AS size", "d AS node", "e AS check", "sketch")
     common = seen.where("k = 1").groupBy("a").agg(F.sum("b").alias("n"), F.min("c").alias("rep")).where(F.col("n") >= COMMON_LEAST)
-    common = common.orderBy(F.desc("n"), "a").limit(COMMON_MOST).orderBy("a").toPandas()  # at most 4 MB
+    common = common.orderBy(F.desc("n"), "a").limit(COMMON_MOST).orderBy("a").toPandas()  # at most 16 MB
     shared = spark.sparkContext.broadcast((common["a"].to_numpy(np.int64).tobytes(), common["rep"].to_numpy(np.int64).tobytes()))
     index = rows.mapInArrow(_index(n, threshold, shared), INDEX)
     if seen.where("k = 2").agg(F.sum("a")).first()[0]:
@@ -346,7 +356,9 @@ def _grouped(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: s
         if cross <= PAIRS_PER_ROW * rows_held:
             break
         # the same pivot for groups of the same members: pairs grow with the members, not with the subsets that they share
-        pivot = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("x", F.lit(turn)), "x", "x_root", "info")).alias("p")).select("key", F.col("p.x").alias("y"), F.col("p.x_root").alias("y_root"), F.col("p.info").alias("y_info"))
+        heads = [F.min(F.struct(F.xxhash64("x", F.lit(PIVOTS * turn + k)), "x", "x_root", "info")) for k in range(PIVOTS)]
+        pivot = members.groupBy("key").agg(F.array_distinct(F.array(*heads)).alias("p")).select("key", F.explode("p").alias("p"))
+        pivot = pivot.select("key", F.col("p.x").alias("y"), F.col("p.x_root").alias("y_root"), F.col("p.info").alias("y_info"))
         pairs = members.join(pivot, "key").where(alike).select(*_ordered("x", "y")).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, f"pivot-{turn}")
         tested = tested.union(pairs)
@@ -354,6 +366,7 @@ def _grouped(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: s
         root = materialize(components(links), "roots")
         before, members = members, materialize(_apart(members.drop("x_root"), root), f"apart-{turn}")
         discard(before)
+    members = _first_of_equal_groups(members)
     others = members.select("key", F.col("x").alias("y"), F.col("x_root").alias("y_root"), F.col("info").alias("y_info"))
     more = members.join(others, "key").where(alike & (F.col("x") < F.col("y"))).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     links = links.union(check(more.join(tested, ["a", "b"], "left_anti"), "apart"))
