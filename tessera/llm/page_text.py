@@ -1,7 +1,8 @@
 """Main text of web pages by a host suffix array.
 
-Pages are read into blocks of text. The pages of a host (a large host in parts of even size) put their tokens into one stream,
-whose suffixes are ranked to a depth of RUN tokens by prefix doubling. Runs of tokens that recur on several pages of
+Pages are read into blocks of text. The pages of a host put their tokens into one stream, whose suffixes are ranked to a depth of
+RUN tokens by prefix doubling. A large host is ranked in parts of even size; the 64-bit hashes of a part's runs, each with the number of different
+contents that hold it, are then summed over the host, so every page is judged by the counts of its whole host. Runs of tokens that recur on several pages of
 different text are boilerplate; a block which they cover goes, the runs of a page that are its own stay. Markup helps: navigation,
 forms, adverts and the like go at once, and what stands inside <article> or <main> goes only if at least half of the pages repeat it,
 so passages that a few articles share stay.
@@ -13,6 +14,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 
@@ -21,12 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, ngram_hash
 
 #: Tokens of a run that counts as repeated; pages that must have it, beside articles and inside (also this share).
 RUN, PAGES, PAGES_INSIDE, SHARE_INSIDE = 6, 3, 5, 0.5
-#: Pages of a host that share one suffix array.
-PAGES_PER_PART = 512
+#: Pages of a host that share one suffix array; ranges of the hash by which the runs of a host are summed at most.
+PAGES_PER_PART, MOST_RANGES = 512, 4096
 
 # HTML's elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -122,77 +124,171 @@ def blocks_of(page: str, hints: bool = True) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def repeated_runs(tokens: np.ndarray, page: np.ndarray, content: np.ndarray, run: int) -> np.ndarray:
-    """For each token the greatest number of different contents that share a run of `run` tokens over it (0: none). tokens and
-    page: of the stream; content: by page, equal for equal pages."""
-    n = len(tokens) - run + 1
-    out = np.zeros(len(tokens), np.int64)
-    if n <= 0:
-        return out
+def run_ranks(tokens: np.ndarray, run: int) -> np.ndarray:
+    """The rank of each suffix of the stream by its first `run` tokens; equal runs have equal ranks."""
     rank, depth = tokens.astype(np.int64), 1
     while depth < run:  # the order of suffixes by their first 2 * depth tokens, from that by depth
         step = min(depth, run - depth)
         pair = rank[: len(rank) - step] * np.int64(int(rank.max()) + 1) + rank[step:]
         rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
         depth += step
-    inside = np.flatnonzero(page[:n] == page[run - 1 :])
-    holders = np.unique(rank[inside] * np.int64(len(content) + 1) + content[page[inside]]) // np.int64(len(content) + 1)
-    counts = np.zeros(n, np.int64)
-    counts[inside] = np.bincount(holders, minlength=int(rank.max()) + 1)[rank[inside]]
-    for k in range(run):
-        np.maximum(out[k : k + n], counts, out=out[k : k + n])
-    return out
+    return rank
 
 
-def main_texts(pages: list[str]) -> list[str]:
-    """Main text of the pages of one host."""
-    blocks = [blocks_of(p) or blocks_of(p, hints=False) for p in pages]
-    ids: dict[str, int] = {}
-    tokens, owner, whole = [], [], {}
-    content = np.zeros(len(pages), np.int64)
-    for k, page in enumerate(blocks):
-        content[k] = whole.setdefault("\n".join([b[0] for b in page]), len(whole))
-        for text, _, _ in page:
-            own = [ids.setdefault(w, len(ids)) for w in text.split()]
-            tokens.append(np.array(own, np.int64))
-            owner.append(np.full(len(own), k, np.int64))
-    stream = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-    shared = repeated_runs(stream, np.concatenate(owner) if owner else np.zeros(0, np.int64), content, RUN)
-    n_contents, at, out = len(whole), 0, []
+def holders_of(rank: np.ndarray, inside: np.ndarray, page: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """For each rank the number of different contents that hold its run. inside: places whose run lies in one page; content: by
+    page, equal for equal pages, -1 where a page is no evidence."""
+    own = content[page[inside]]
+    inside, own = inside[own >= 0], own[own >= 0]
+    holders = np.unique(rank[inside] * np.int64(len(content) + 1) + own) // np.int64(len(content) + 1)
+    return np.bincount(holders, minlength=int(rank.max()) + 1)
+
+
+class Stream:
+    """The tokens of texts in a row, and the runs of RUN tokens that lie inside one text."""
+
+    def __init__(self, texts: list[str]):
+        self.ids: dict[str, int] = {}
+        tokens = [np.array([self.ids.setdefault(w, len(self.ids)) for w in t.split()], np.int64) for t in texts]
+        self.tokens = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
+        self.page = np.repeat(np.arange(len(texts)), [len(t) for t in tokens]).astype(np.int64)
+        n = max(len(self.tokens) - RUN + 1, 0)
+        self.inside = np.flatnonzero(self.page[:n] == self.page[RUN - 1 :]) if n else np.zeros(0, np.int64)
+
+    def counts(self, content: np.ndarray) -> np.ndarray:
+        """For each inside run the number of contents that hold it."""
+        if not len(self.inside):
+            return np.zeros(0, np.int64)
+        rank = run_ranks(self.tokens, RUN)
+        return holders_of(rank, self.inside, self.page, content)[rank[self.inside]]
+
+    def hashes(self) -> np.ndarray:
+        """For each inside run a hash that is equal in every task."""
+        codes = np.array([int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in self.ids], np.uint64)
+        return ngram_hash(codes[self.tokens], RUN)[self.inside] if len(self.inside) else np.zeros(0, np.uint64)
+
+    def spread(self, counts: np.ndarray) -> np.ndarray:
+        """For each token the greatest count of a run over it."""
+        out = np.zeros(len(self.tokens), np.int64)
+        for k in range(RUN):
+            out[self.inside + k] = np.maximum(out[self.inside + k], counts)
+        return out
+
+
+def parse(page: str) -> tuple[str, str]:
+    """The blocks' texts, one a line, and a digit for each: 1 inside an article or main, 2 only links."""
+    blocks = blocks_of(page) or blocks_of(page, hints=False)
+    return "\n".join([b[0] for b in blocks]), "".join([str(b[1] + 2 * b[2]) for b in blocks])
+
+
+def contents_of(texts: list[str]) -> np.ndarray:
+    whole: dict[str, int] = {}
+    return np.array([whole.setdefault(t, len(whole)) for t in texts], np.int64)
+
+
+def judge(texts: list[str], flags: list[str], shared: np.ndarray, n_contents: int) -> list[str]:
+    """The blocks that stay. shared: for each token the number of the host's contents that repeat a run over it."""
     many = max(PAGES_INSIDE, SHARE_INSIDE * n_contents)
-    number = 0
-    for page in blocks:
+    at, out = 0, []
+    for page, marks in zip(texts, flags):
         kept = []
-        scoped = any(inside for _, inside, _ in page)
-        for text, inside, links in page:
-            size = len(tokens[number])
-            number += 1
+        scoped = any(m in "13" for m in marks)
+        for text, mark in zip(page.split("\n"), marks):
+            size = text.count(" ") + 1
             here = shared[at : at + size]
             at += size
-            if inside:
+            if mark in "13":
                 keep = np.count_nonzero(here >= many) <= 0.9 * size
             elif scoped:
                 keep = False
             else:
-                keep = not links and np.count_nonzero(here >= PAGES) <= 0.5 * size
+                keep = mark != "2" and np.count_nonzero(here >= PAGES) <= 0.5 * size
             if keep:
                 kept.append(text)
         out.append("\n".join(kept))
     return out
 
 
-def _extract(pdf: pd.DataFrame) -> pd.DataFrame:
-    text = main_texts(pdf["html"].tolist())
-    return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text]})
+def main_texts(pages: list[str]) -> list[str]:
+    """Main text of the pages of one host."""
+    parsed = [parse(p) for p in pages]
+    texts, flags = [t for t, _ in parsed], [m for _, m in parsed]
+    stream, content = Stream(texts), contents_of(texts)
+    return judge(texts, flags, stream.spread(stream.counts(content)), len(set(texts)))
+
+
+def _parse(frames):
+    for pdf in frames:
+        parsed = [parse(p) for p in pdf["html"]]
+        yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "host": pdf["host"], "text": [t for t, _ in parsed], "marks": [m for _, m in parsed]})
+
+
+def _evidence(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pages of a part -> by range of the runs' hashes: the runs of the part and how many of its contents hold each."""
+    texts = pdf["text"].tolist()
+    content = np.where(pdf["home"].to_numpy(bool), contents_of(texts), -1)
+    stream = Stream(texts)
+    runs, first = np.unique(stream.hashes(), return_index=True)
+    counts = stream.counts(content)[first]
+    buckets = int(pdf["buckets"].iloc[0])
+    bucket = (runs % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    rows = [(k, runs[order[a:b]].tobytes(), counts[order[a:b]].astype(np.int32).tobytes()) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
+    out = pd.DataFrame(rows, columns=["bucket", "runs", "counts"])
+    return out.assign(host=pdf["host"].iloc[0], part=pdf["part"].iloc[0])
+
+
+def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of a range of a host's runs: for each part its runs that PAGES or more of the host's contents hold, and how many do."""
+    runs = [np.frombuffer(x, np.uint64) for x in pdf["runs"]]
+    value, place = np.unique(np.concatenate(runs), return_inverse=True)
+    total = np.bincount(place, weights=np.concatenate([np.frombuffer(x, np.int32) for x in pdf["counts"]])).astype(np.int64)[place]
+    rows, at = [], 0
+    for part, own in zip(pdf["part"], runs):
+        here = total[at : at + len(own)]
+        at += len(own)
+        often = here >= PAGES
+        if often.any():
+            rows.append((part, own[often].tobytes(), here[often].tobytes()))
+    return pd.DataFrame(rows, columns=["part", "runs", "counts"]).assign(host=pdf["host"].iloc[0])
+
+
+def _judge(pages: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    texts = pages["text"].tolist()
+    stream = Stream(texts)
+    if pages["parts"].iloc[0] == 1:
+        counts = stream.counts(contents_of(texts))
+    else:  # what other parts hold counts too
+        known = np.frombuffer(b"".join(found["runs"]), np.uint64)
+        order = np.argsort(known)
+        known, total = known[order], np.frombuffer(b"".join(found["counts"]), np.int64)[order]
+        own = stream.hashes()
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        counts = np.where(known[at] == own, total[at], 0) if len(known) else np.zeros(len(own), np.int64)
+    text = judge(texts, pages["marks"].tolist(), stream.spread(counts), int(pages["contents"].iloc[0]))
+    return pd.DataFrame({"page_id": pages["page_id"], "url": pages["url"], "text": text, "n_chars": [len(t) for t in text]})
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars: one row for each row of pages."""
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), host.alias("host"))
-    large = rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / PAGES_PER_PART).cast("int").alias("parts")).where("parts > 1")
-    rows = rows.join(materialize(large, "hosts"), "host", "left")
-    # copies of a page fall into one part only by chance: their number says nothing about a part
-    part = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
     kind = pages.schema[id_col].dataType.simpleString()
-    return rows.select("page_id", "url", "html", "host", part).groupBy("host", "part").applyInPandas(_extract, f"page_id {kind}, url string, text string, n_chars long")
+    parsed = materialize(rows.mapInPandas(_parse, f"page_id {kind}, url string, host string, text string, marks string"), "parsed")
+    content = F.xxhash64("text").alias("content")
+    by_content = parsed.groupBy("host", content).agg(F.count(F.lit(1)).alias("n"))
+    parts = F.ceil(F.sum("n") / PAGES_PER_PART).cast("int")
+    hosts = materialize(by_content.groupBy("host").agg(parts.alias("parts"), F.count(F.lit(1)).alias("contents")), "hosts")
+    part = F.pmod(F.xxhash64("page_id", "url"), F.col("parts")).cast("int").alias("part")
+    placed = parsed.join(hosts, "host").select("page_id", "url", "host", "text", "marks", "parts", "contents", part)
+
+    # hosts in several parts: a content counts in the first part that holds it, the runs' counts are summed over the host
+    split = placed.where("parts > 1").select("host", "part", "text", F.least("parts", F.lit(MOST_RANGES)).alias("buckets"), content)
+    homes = split.groupBy("host", "content").agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first < last")
+    split = split.join(materialize(homes.select("host", "content", "first"), "homes"), ["host", "content"], "left")
+    split = split.select("host", "part", "text", "buckets", (F.col("part") == F.coalesce("first", "part")).alias("home"))
+    runs = split.groupBy("host", "part").applyInPandas(_evidence, "host string, part int, bucket int, runs binary, counts binary")
+    summed = runs.groupBy("host", "bucket").applyInPandas(_sum, "host string, part int, runs binary, counts binary")
+    summed = materialize(summed, "runs")
+    return placed.groupBy("host", "part").cogroup(summed.groupBy("host", "part")).applyInPandas(_judge, f"page_id {kind}, url string, text string, n_chars long")

@@ -72,6 +72,26 @@ def test_pages_odd(spark):
     assert page_text.extract_pages(df.limit(0)).count() == 0
 
 
+def test_host_in_parts(spark, monkeypatch):
+    """A large host gives each page the text that it has when all pages of the host are seen at once."""
+    monkeypatch.setattr(page_text, "PAGES_PER_PART", 4)
+    notice = "this notice stands on very few pages of the large site only"
+    motto = "half of all articles repeat this long motto of the house"
+    rows = []
+    for k in range(60):
+        own = f"Story number {k} tells of {k * 7} distinct things {k * 13} in town {k * 17}"
+        note = f"<div>{notice}</div>" if k % 15 == 0 else ""
+        body = f"<article><p>{motto}</p><p>{own}</p></article>" if k % 5 and k < 45 else f"<div>{own}</div>" + note
+        rows.append((k, f"https://big.example/{k}", body))
+    rows += [(100 + k, f"https://big.example/c{k}", "<div>all of these copies say the same few words again</div>") for k in range(20)]
+    rows += [(200, "https://small.example/", f"<div>{notice}</div>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in page_text.extract_pages(df).collect()}
+    want = page_text.main_texts([r[2] for r in rows[:-1]])
+    assert got == dict(zip([r[0] for r in rows], [*want, notice]))
+    assert not any(notice in t for t in want) and want[-1].startswith("all of these")
+
+
 def brute_fill(nodes, budget):
     """nodes: name -> (cap, weight). Rounds of proportional shares until no node is over its cap."""
     left, out, budget = dict(nodes), {}, min(budget, sum(c for c, _ in nodes.values()))
