@@ -16,7 +16,8 @@ other set, so a pair counts under a subset only if the rest can still be similar
 
 A group of documents under one subset is a star around one of them; the pairs of the stars are verified exactly, and the
 components of the links found are formed. Members of a group that are still apart are then verified against each other, so no link
-between components is lost, and pairs inside a component are never listed.
+between components is lost. Only the number of links needs the pairs inside components: their distinct sets are verified all against all, a
+large component's in pairs of blocks.
 
 Results in odd cases: a null or empty text, or one without words, has an empty set, n_shingles 0 and itself as component; with
 fewer words than n the whole sequence is one shingle; repeated rows and copies share a component; a null doc_id counts as
@@ -26,6 +27,7 @@ smaller than all others (a component that holds it has a null component_id); oth
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +41,8 @@ SINGLES, PER_SEGMENT = 192, 1.5
 COMMON_LEAST, COMMON_MOST, LOT = 8, 1 << 20, 1_000_000
 #: Rounds of pivots at most, and pivots of each; pairs per member of a group that are simply listed.
 MOST_TURNS, PIVOTS, PAIRS_PER_ROW = 3, 4, 2
+#: Distinct sets of a component that are verified at once; shingles of a slice of their product.
+BLOCK, COLUMNS = 256, 4096
 #: Shingles per cell of a sketch.
 PER_CELL = 4
 HASH_BITS = 54  # of a shingle; the other 10 number the documents of a block
@@ -375,11 +379,75 @@ def _grouped(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: s
     return placed, links
 
 
+def common_counts(sets: list[np.ndarray], first: int) -> np.ndarray:
+    """Common tokens of each of the first `first` sets with each of all sets."""
+    value, at, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    shared = holders[at] > 1
+    column = (np.cumsum(holders > 1) - 1)[at[shared]]
+    owner = owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((first, len(sets)), np.int64)
+    ends = np.append(np.arange(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS), int(column[-1]) + 1 if len(column) else 0)
+    bounds = np.searchsorted(column, ends)
+    for low, a, b in zip(ends, bounds[:-1], bounds[1:]):
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[owner[a:b], column[a:b] - low] = 1
+        out += (held[:first] @ held.T).astype(np.int64)
+    for k in range(first):
+        out[k, k] = len(sets[k])
+    return out
+
+
+def _count_links(t: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The members of one or two blocks of a component (or of several small components): links of each to others."""
+        nodes, counts = [], []
+        for _, own in pdf.groupby("root"):
+            one, two = int(own["i"].iloc[0]), int(own["j"].iloc[0])
+            own = own.sort_values("block", kind="stable")
+            first = int((own["block"] == one).sum()) if one != two else len(own)
+            sets = [np.frombuffer(x, U) for x in own["tokens"]]
+            copies, sizes = own["copies"].to_numpy(np.int64), np.array([len(x) for x in sets])
+            common = common_counts(sets, first)
+            good = 100 * common >= round(100 * t) * (sizes[:first, None] + sizes[None, :] - common)
+            if one == two:
+                np.fill_diagonal(good, False)
+                here = good @ copies
+            else:
+                good = good[:, first:]
+                here = np.append(good @ copies[first:], good.T @ copies[:first])
+            nodes.append(own["node"].to_numpy(np.int64)), counts.append(here)
+        return pd.DataFrame({"node": np.concatenate(nodes), "n": np.concatenate(counts)})
+
+    return run
+
+
+def link_counts(rows: DataFrame, placed: DataFrame, n: int, t: float) -> DataFrame:
+    """node, n_links: how many other rows have a set as similar as the threshold, copies included. Links lie inside components, so
+    all pairs of a component's distinct sets are verified, a large component's in pairs of blocks."""
+    nodes = placed.where("size > 0").groupBy("node", "root").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "row")).alias("at"))
+    groups = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("k"), F.sum("copies").alias("all"))
+    nodes = materialize(nodes.join(groups, "root"), "link-nodes")
+    wanted = nodes.where("k > 2").select("node", "at.doc", "at.row")
+    tokens = rows.join(wanted, ["doc", "row"]).select("node", "text").mapInArrow(_tokens(n), "node long, tokens binary")
+    few = nodes.where(f"k BETWEEN 3 AND {BLOCK}").count()
+    member = nodes.where("k > 2").select("node", "root", "copies", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")).withColumn("block", F.pmod("node", "blocks").cast("int"))
+    member = member.join(materialize(tokens, "link-sets"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.when(F.col("blocks") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(max(1, 2 * few // BLOCK)))).alias("key")
+    member = member.select(key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "blocks", "block", "root", "node", "copies", "tokens")
+    counted = member.groupBy("key", "i", "j", "blocks").applyInPandas(_count_links(t), "node long, n long")
+    counted = materialize(counted.groupBy("node").agg(F.sum("n").alias("n")), "link-counts")
+    # two sets of a component always link
+    return nodes.join(counted, "node", "left").select("node", F.when(F.col("k") > 2, F.col("n") + F.col("copies") - 1).otherwise(F.col("all") - 1).alias("n_links"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (links of the document's set that were verified; the components need no
-    others): one row for each row of docs."""
-    placed, links = _grouped(docs, n, threshold, id_col, text_col)
-    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    """doc_id, n_shingles, component_id, n_links (other rows whose sets are at least as similar as the threshold, copies
+    included): one row for each row of docs."""
+    placed, _ = _grouped(docs, n, threshold, id_col, text_col)
+    degree = link_counts(rows_of(docs, id_col, text_col), placed, n, threshold)
     least = placed.groupBy("root").agg(F.min("doc").alias("least"))
     out = placed.join(least, "root").join(degree, "node", "left")
     out = out.select(key_to_id("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("size") == 0, F.col("doc")).otherwise(F.col("least")).alias("doc"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

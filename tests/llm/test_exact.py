@@ -102,6 +102,30 @@ def test_jaccard_near_copies(spark):
     assert kept == {c for _, _, c in brute_components(rows)}
 
 
+def brute_links(rows):
+    sets = [shingles(t) for _, t in rows]
+    linked = lambda x, y: bool(x and y) and 100 * len(x & y) >= 75 * len(x | y)
+    return sorted([(i, sum(linked(s, o) for k, o in enumerate(sets) if k != j)) for j, ((i, _), s) in enumerate(zip(rows, sets))], key=repr)
+
+
+def test_jaccard_links(spark, odd, monkeypatch):
+    """Every link counts, also inside components, copies and components of several blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rng = random.Random(11)
+    rows = []
+    for k in range(70):
+        w = [f"a{k // 40}w{i}" for i in range(90)]
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = f"x{rng.randint(0, 10**6)}"
+        rows.append((k, " ".join(w)))
+    rows += [(200 + k, rows[k][1]) for k in range(0, 70, 9)] + [(300 + k, " ".join(f"b{k // 2}w{i}" for i in range(k % 2, 80))) for k in range(12)]
+    rows += [(400, ""), (401, None), (402, "lone words of a text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert pairs_of(jaccard.near_duplicates(df), "doc_id", "n_links") == brute_links(rows)
+    monkeypatch.setattr(jaccard, "BLOCK", 256)
+    assert pairs_of(jaccard.near_duplicates(odd), "doc_id", "n_links") == brute_links([(r[0], r[1]) for r in odd_rows()])
+
+
 def brute_repeats(rows, length=100):
     first = {}
     data = [((i is not None, i or 0), (t or "").encode()) for i, t in rows]
