@@ -5,7 +5,7 @@ word beginnings and whole words with weights; a match inside an exception phrase
 normalised by the number of words, goes through a logistic curve.
 
 Lexicon, exceptions and curve are fitted on labelled documents, at most SAMPLE of each class (those with the least hash of
-doc_id), so the model has a fixed bound at any size of input; every text is scored whole.
+doc_id; of texts that fold alike one of each class), so the model has a fixed bound at any size of input; every text is scored whole.
 
 Results in odd cases: a null or empty text scores as one without any match; rows without a label are only scored; labels that
 are null or neither 0 nor 1 are ignored; without labels of both classes the lexicon is empty and all scores are 0; repeated rows
@@ -14,6 +14,7 @@ each get their row; a null doc_id counts as text "" and is never used for fittin
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
@@ -121,6 +122,14 @@ def strength(text: str, automaton, folds: Folds) -> float:
     return math.log1p(1000 * total / (folded.count(" ") + 10)) if total else 0.0
 
 
+def _folded_hash(batches):
+    """Adds the hash of the whole folded text."""
+    folds = Folds()
+    for batch in batches:
+        digests = [hashlib.blake2b(fold(t, folds).encode(), digest_size=16).digest() for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], names=["doc", "text", "toxic", "folded"])
+
+
 def _features(batches):
     """Labelled texts -> (feature, toxic documents, clean documents), counted per batch."""
     folds = Folds()
@@ -174,8 +183,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, phrases: list[
     taken = marked.where("toxic = 1").orderBy(*order).limit(sample).union(marked.where("toxic = 0").orderBy(*order).limit(sample))
     texts = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # at most 2 * sample rows
-    known = texts.join(F.broadcast(materialize(taken, "labels")), "doc").select("text", "toxic", F.substring("text", 1, 60).alias("head"))
-    known = materialize(known.dropDuplicates(["toxic", "head"]).drop("head"), "labelled")  # copies that begin alike count once
+    known = texts.join(F.broadcast(materialize(taken, "labels")), "doc").select(F.col("doc").cast("string").alias("doc"), "text", "toxic")
+    known = known.mapInArrow(_folded_hash, "doc string, text string, toxic int, folded binary")
+    # copies count once, by the one of the least doc_id
+    least = F.min(F.struct(F.length("doc").alias("size"), "doc", "text")).alias("least")
+    known = materialize(known.groupBy("toxic", "folded").agg(least).select("least.text", "toxic"), "labelled")
     sizes = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return Model()

@@ -41,6 +41,22 @@ def test_toxicity_odd(spark, model):
     assert toxicity.strength("in moron town", automaton, folds) == 0 < toxicity.strength("in moron villages", automaton, folds)
 
 
+def labelled(spark, texts):
+    """Documents (text, toxic) outside the held-out part, and their labels."""
+    ids = [i for i in range(2 * len(texts) + 50) if zlib.crc32(str(i).encode()) % 5][: len(texts)]
+    rows = [(i, *t) for i, t in zip(ids, texts)]
+    return spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], 0, r[2]) for r in rows], "doc_id long, quality int, toxic int")
+
+
+def test_shared_opening(spark):
+    """Texts that only begin alike are examples of their own; copies are not."""
+    banner = "this mail was sent to all members of the long list of our fine club: "
+    texts = [(f"{banner} item{k} grobnik here", 1) for k in range(60)] + [(f"{banner} item{k} pleasant here", 0) for k in range(60)]
+    assert any(f.startswith(" grob") for f in toxicity.fit(*labelled(spark, texts)).lexicon)
+    texts = [(f"{banner} GROBNIK  here" if k % 2 else f"{banner} grobnik here", 1) for k in range(60)] + texts[60:]
+    assert not toxicity.fit(*labelled(spark, texts)).lexicon
+
+
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     bare = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
