@@ -34,8 +34,8 @@ SAMPLE = 12_000
 #: Entries of the lexicon at most.
 ENTRIES = 4_000
 PREFIXES = (3, 4, 5, 6)
-#: An entry is in so many toxic documents at least, in this share of them, and this many times their number's root.
-LEAST_DOCS, LEAST_SHARE, LEAST_ROOT, LEAST_WEIGHT = 3, 0.015, 0.8, 3.5
+#: An entry is in so many toxic documents at least and has this weight; so many entries may get in by chance.
+LEAST_DOCS, LEAST_WEIGHT, BY_CHANCE = 3, 3.5, 0.05
 
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
@@ -145,6 +145,13 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in counts)], names=["feature", "toxic", "clean"])
 
 
+def surprise(t: int, c: int, n_toxic: int, n_clean: int) -> float:
+    """Half the log-likelihood ratio of t toxic and c clean documents against equal shares; exp(-it) bounds the chance about."""
+    share = n_toxic / (n_toxic + n_clean)
+    part = lambda k, want: k * math.log(k / want) if k else 0.0
+    return part(t, (t + c) * share) + part(c, (t + c) * (1 - share))
+
+
 def _lexicon(found: list, n_toxic: int, n_clean: int) -> dict[str, float]:
     """A whole word or longer beginning stands for the shorter ones that it nearly always follows; otherwise the shorter one
     stands for all that follow it."""
@@ -194,8 +201,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, phrases: list[
     counts = known.mapInArrow(_features, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     bound = math.exp(LEAST_WEIGHT) * sizes[1] / sizes[0]
     counts = materialize(counts.where((F.col("toxic") >= LEAST_DOCS) | (F.col("clean") >= 2)), "features")
-    found = counts.where((F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * sizes[1], LEAST_ROOT * sizes[1] ** 0.5)) & (F.col("toxic") >= bound * F.col("clean") * 0.5)).orderBy(F.desc("toxic"), "feature").limit(20 * ENTRIES).collect()
-    model = Model(_lexicon([tuple(r) for r in found], sizes[1], sizes[0]))
+    tried = counts.where(F.col("toxic") >= LEAST_DOCS)
+    least = math.log(max(1, tried.count()) / BY_CHANCE)
+    found = tried.where(F.col("toxic") >= bound * F.col("clean") * 0.5).orderBy(F.desc("toxic"), "feature").limit(20 * ENTRIES).collect()
+    model = Model(_lexicon([tuple(r) for r in found if surprise(r[1], r[2], sizes[1], sizes[0]) >= least], sizes[1], sizes[0]))
     if not model.lexicon:
         return Model()
     # exceptions: whole words under a stem of the lexicon that clean documents use as much as toxic ones

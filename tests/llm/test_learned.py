@@ -57,6 +57,14 @@ def test_shared_opening(spark):
     assert not toxicity.fit(*labelled(spark, texts)).lexicon
 
 
+def test_rare_terms(spark):
+    """A term of one toxic document in a hundred is learned; words that fall into toxic texts by chance are not."""
+    texts = [(f"story {k} tells of zone{k} " + ("grobnik" if k % 100 == 7 else "vexlump"), 1) for k in range(2000)] + [(f"story {k} tells of zone{k} pleasant", 0) for k in range(2000)]
+    found = toxicity.fit(*labelled(spark, texts)).lexicon
+    assert any(f.startswith(" grob") for f in found) and any(f.startswith(" vex") for f in found)
+    assert not any(f.startswith((" zon", " sto", " tel")) for f in found)
+
+
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     bare = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
