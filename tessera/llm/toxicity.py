@@ -31,8 +31,8 @@ from tessera.llm.common import materialize
 
 #: Most labelled documents of each class that the fit uses.
 SAMPLE = 12_000
-#: Entries of the lexicon at most.
-ENTRIES = 4_000
+#: Entries of the lexicon at most, and learned exceptions; words of a learned exception at most.
+ENTRIES, PHRASE = 4_000, 3
 PREFIXES = (3, 4, 5, 6)
 #: An entry is in so many toxic documents at least and has this weight; so many entries may get in by chance.
 LEAST_DOCS, LEAST_WEIGHT, BY_CHANCE = 3, 3.5, 0.05
@@ -145,6 +145,29 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in counts)], names=["feature", "toxic", "clean"])
 
 
+def _around(lexicon: dict[str, float]):
+    """Labelled texts -> (phrase of up to PHRASE words around a match of the lexicon, toxic documents, clean documents)."""
+
+    def matches(word: str) -> bool:
+        return f" {word} " in lexicon or any(f" {word[:k]}" in lexicon for k in PREFIXES if len(word) >= k)
+
+    def run(batches):
+        folds = Folds()
+        for batch in batches:
+            counts = (Counter(), Counter())
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = fold(text, folds).split()
+                own = set()
+                for at in [k for k, w in enumerate(words) if matches(w)]:
+                    for n in range(1, PHRASE + 1):
+                        own.update([f" {' '.join(words[a : a + n])} " for a in range(max(0, at - n + 1), min(at, len(words) - n) + 1)])
+                counts[1 - toxic].update(own)
+            keys = list(counts[0].keys() | counts[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in counts)], names=["feature", "toxic", "clean"])
+
+    return run
+
+
 def surprise(t: int, c: int, n_toxic: int, n_clean: int) -> float:
     """Half the log-likelihood ratio of t toxic and c clean documents against equal shares; exp(-it) bounds the chance about."""
     share = n_toxic / (n_toxic + n_clean)
@@ -184,7 +207,7 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, phrases: list[str] = (), id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """phrases: further exception phrases."""
+    """phrases: further exception phrases, all of which are kept."""
     marked = labels.select(F.col("doc_id").alias("doc"), F.col("toxic").cast("int").alias("toxic")).where("doc IS NOT NULL AND toxic IN (0, 1)").where(~split_row("doc")).distinct()
     order = [F.xxhash64("doc"), "doc"]
     taken = marked.where("toxic = 1").orderBy(*order).limit(sample).union(marked.where("toxic = 0").orderBy(*order).limit(sample))
@@ -200,19 +223,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, phrases: list[
         return Model()
     counts = known.mapInArrow(_features, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     bound = math.exp(LEAST_WEIGHT) * sizes[1] / sizes[0]
-    counts = materialize(counts.where((F.col("toxic") >= LEAST_DOCS) | (F.col("clean") >= 2)), "features")
-    tried = counts.where(F.col("toxic") >= LEAST_DOCS)
+    tried = materialize(counts.where(F.col("toxic") >= LEAST_DOCS), "features")
     least = math.log(max(1, tried.count()) / BY_CHANCE)
     found = tried.where(F.col("toxic") >= bound * F.col("clean") * 0.5).orderBy(F.desc("toxic"), "feature").limit(20 * ENTRIES).collect()
     model = Model(_lexicon([tuple(r) for r in found if surprise(r[1], r[2], sizes[1], sizes[0]) >= least], sizes[1], sizes[0]))
     if not model.lexicon:
         return Model()
-    # exceptions: whole words under a stem of the lexicon that clean documents use as much as toxic ones
-    stems = {s for s in model.lexicon if not s.endswith(" ")}
-    usual = counts.where((F.col("clean") >= 2) & F.col("feature").endswith(" ") & (F.col("clean") * sizes[1] >= F.col("toxic") * sizes[0])).orderBy(F.desc("clean"), "feature").limit(20 * ENTRIES).collect() if stems else []
-    words = [r[0] for r in usual if any(r[0][:k] in stems for k in range(4, len(r[0])))]
+    # exceptions: words under a stem and phrases around matches that clean documents use as much as toxic ones
+    around = known.mapInArrow(_around(model.lexicon), "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    usual = around.where((F.col("clean") >= 2) & (F.col("clean") * sizes[1] >= F.col("toxic") * sizes[0])).orderBy(F.length(F.regexp_replace("feature", "[^ ]", "")), F.desc("clean"), "feature").limit(20 * ENTRIES).collect()
+    learned: set[str] = set()
+    for text in (r[0] for r in usual):  # a part stands for the phrases that hold it
+        words = text.split()
+        parts = (f" {' '.join(words[i:j])} " for i in range(len(words)) for j in range(i + 1, len(words) + 1) if j - i < len(words))
+        if len(learned) < ENTRIES and text not in model.lexicon and learned.isdisjoint(parts):
+            learned.add(text)
     folds = Folds()
-    model.exceptions = sorted({*words, *(fold(p, folds) for p in phrases)} - model.lexicon.keys())[:ENTRIES]
+    model.exceptions = sorted({*learned, *(fold(p, folds) for p in phrases)} - model.lexicon.keys() - {"  "})
     scored = known.mapInArrow(_strengths(model, ["toxic"]), "toxic int, strength double").toPandas()
     model.slope, model.bias = _curve(scored["strength"].to_numpy(), scored["toxic"].to_numpy())
     return model

@@ -65,6 +65,17 @@ def test_rare_terms(spark):
     assert not any(f.startswith((" zon", " sto", " tel")) for f in found)
 
 
+def test_learned_phrases(spark, monkeypatch):
+    """A phrase that is usual in clean documents spares the lexicon's word in it; callers' phrases are never cut."""
+    texts = [(f"person{k} is a moron indeed", 1) for k in range(300)] + [(f"person{k} lives near moron town today" if k < 3 else f"person{k} lives near pleasant hills", 0) for k in range(300)]
+    monkeypatch.setattr(toxicity, "ENTRIES", 40)
+    own = [f"phrase number {chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    found = toxicity.fit(*labelled(spark, texts), phrases=own)
+    automaton, folds = found.automaton(), toxicity.Folds()
+    assert toxicity.strength("they like moron town", automaton, folds) == 0 < toxicity.strength("a moron indeed", automaton, folds)
+    assert {f" {p} " for p in own} <= set(found.exceptions)
+
+
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     bare = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
