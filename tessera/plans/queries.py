@@ -175,10 +175,12 @@ def span_hashes(spark, sf_dir):
     return rows.select(F.col("document_id").alias("doc_id"), "page", "text_hash", "locator_hash", "confidence")
 
 
-def _recipes(spark, sf_dir):
-    """Documents as extracted recipes: lines with even numbers are ingredients, the others steps; confidences come from the id."""
+def _recipes(spark, sf_dir, whole=False):
+    """Documents as extracted recipes: lines with even numbers are ingredients, the others steps; confidences come from the id.
+    whole: all lines, not only those that the SQL reads."""
     docs = table(spark, sf_dir, "documents")
-    parts = F.slice(F.split("text", "\n", -1), 1, 15)
+    parts = F.split("text", "\n", -1)
+    parts = parts if whole else F.slice(parts, 1, 15)
     span = lambda k: F.concat(F.lit("span_"), k.cast("string"))
     pairs = F.transform(parts, lambda x, i: F.struct(i.alias("i"), x.alias("text")))
     return docs.select(
@@ -212,6 +214,12 @@ def validate_hard(spark, sf_dir):
     return _recipes(spark, sf_dir).select("doc_id", F.array_join(ingest.hard_failures(F.col("rec"), window), ",").alias("failures"))
 
 
+@query()
+def validate_hard_whole(spark, sf_dir):
+    window = F.array(*[F.lit(f"span_{k}") for k in range(6)])
+    return _recipes(spark, sf_dir, True).select("doc_id", F.array_join(ingest.hard_failures(F.col("rec"), window), ",").alias("failures"))
+
+
 _EXEMPT = "(n_steps = 0 AND n_ingr BETWEEN 3 AND 12 AND length(text) <= 400)"
 _SOFT = f"""list_filter([
   CASE WHEN n_ingr = 0 THEN 'no_ingredients' END, CASE WHEN n_steps = 0 AND NOT {_EXEMPT} THEN 'no_steps' END, CASE WHEN overall < 0.5 THEN 'low_overall' END, CASE WHEN boundary < 0.5 THEN 'low_boundary' END,
@@ -224,10 +232,16 @@ def validate_soft(spark, sf_dir):
     return _recipes(spark, sf_dir).select("doc_id", F.array_join(found, ",").alias("warnings"), ingest.item_status(found).alias("status"))
 
 
-def _scored(spark, sf_dir):
+@query()
+def validate_soft_whole(spark, sf_dir):
+    found = ingest.soft_warnings(F.col("rec"))
+    return _recipes(spark, sf_dir, True).select("doc_id", F.array_join(found, ",").alias("warnings"), ingest.item_status(found).alias("status"))
+
+
+def _scored(spark, sf_dir, whole=False):
     rec = F.col("rec")
     score = ingest.candidate_score(rec["overall"], rec["boundary"], F.size(rec["ingredients"]) > 0, F.size(rec["steps"]) > 0, F.size(rec["source_span_ids"]) + F.least(F.size(rec["steps"]), F.lit(2)), F.lit(3))
-    return _recipes(spark, sf_dir).select("doc_id", F.lower(F.substring("text", 1, 12)).alias("normalized_title"), F.round(score, 9).alias("candidate_score"), F.col("doc_id").alias("item_id"))
+    return _recipes(spark, sf_dir, whole).select("doc_id", F.lower(F.substring("text", 1, 12)).alias("normalized_title"), F.round(score, 9).alias("candidate_score"), F.col("doc_id").alias("item_id"))
 
 
 _SCORE_SQL = """scored AS (
@@ -241,12 +255,25 @@ def dedup_best(spark, sf_dir):
     return ingest.best_per_title(_scored(spark, sf_dir)).drop("item_id")
 
 
+@query()
+def dedup_best_whole(spark, sf_dir):
+    return ingest.best_per_title(_scored(spark, sf_dir, True)).drop("item_id")
+
+
 @query(f"WITH {LINES_SQL}, parts AS (SELECT doc_id, page, text, page % 5 AS k FROM pages WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' AND strlen(text) <= 8000) SELECT doc_id, page, {CHUNK_TYPE_SQL.format('page')} AS chunk_type, sha256(text) AS text_hash FROM parts")
 def chunk_small(spark, sf_dir):
     rows = lines(spark, sf_dir).where((F.octet_length("text") <= 8000) & X.is_present(F.col("text")))
     return rows.select("doc_id", "page", chunk_type(F.col("page")).alias("chunk_type"), F.sha2("text", 256).alias("text_hash"))
 
 
+@query()
+def chunk_lines(spark, sf_dir):
+    """All lines as chunks; long ones in parts."""
+    none = F.lit(None).cast("string")
+    rows = lines(spark, sf_dir).select(F.struct("doc_id", "page").alias("item_id"), *[none.alias(k) for k in ("title", "summary", "ingredients_text", "steps_text")], F.col("text").alias("body_text"))
+    return ingest.build_chunks(rows).select("item_id.doc_id", "item_id.page", "part", "part_count", F.octet_length("text").alias("bytes"), F.sha2("text", 256).alias("text_hash"))
+
+
 @query()
 def chunk_split_bytes(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.substring("text", 1, 40).alias("title"), F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("ingredients_text"), F.lit(None).cast("string").alias("steps_text"), F.col("text").alias("body_text"))
@@ -520,6 +547,14 @@ def prf_spans(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *[F.round(parts[k], 6).alias(k) for k in ("precision", "recall")])
 
 
+@query()
+def prf_spans_whole(spark, sf_dir):
+    """The words but the last third against the words but the first third."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", X.words(F.col("text")).alias("w")).withColumn("third", F.floor(F.size("w") / 3).cast("int"))
+    parts = evaluation.prf(F.array_distinct(F.slice("w", F.lit(1), F.size("w") - F.col("third"))), F.array_distinct(F.slice("w", F.col("third") + 1, F.size("w"))))
+    return rows.select("doc_id", *[F.round(parts[k], 6).alias(k) for k in ("precision", "recall")])
+
+
 @query(
     """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN CAST(p_size AS DOUBLE) WHEN 1 THEN p_size * 60.0::DOUBLE WHEN 2 THEN p_size * 60.0::DOUBLE + 15 WHEN 3 THEN p_size + 60.0::DOUBLE END AS minutes FROM part"""
 )
