@@ -6,7 +6,9 @@ similarity t or more differ in at most h = (1 - t) / t * size shingles, and so i
 segment subsets, one of the first h + 1 non-empty subsets of each is equal in both. These are indexed. A document of n
 shingles serves partners from t * n up, so it takes the bands of those sizes.
 
-The order is cost-based: subsets that many documents hold come last, so that a document spends its h + 1 places on rare ones.
+The allocation is cost-based: subsets come in classes by how many documents hold them, so that a document spends its h + 1 places
+on the rarest ones. One-deletion neighbourhoods are not part of the index: one for a subset of k shingles is worth two places
+and takes k + 1 rows, and as either side of a pair may lack the shingle, every document would have to index all of them.
 A document whose shingles crowd into h non-empty subsets or fewer would not be covered (more than 6 standard deviations off). Such documents are counted; where one exists, all documents are also
 indexed in the finest band, where each shingle is a segment and h + 1 subsets always exist.
 
@@ -14,9 +16,10 @@ Where each shingle is a segment of its own, only a set's own shingles can be mis
 (1 - t) * size + 1 places. Every indexed subset tells its place: what stands before the first common subset of a pair is missing in the
 other set, so a pair counts under a subset only if the rest can still be similar enough.
 
-A group of documents under one subset is a star around one of them; the pairs of the stars are verified exactly, and the
-components of the links found are formed. Members of a group that are still apart are then verified against each other, so no link
-between components is lost. Only the number of links needs the pairs inside components: their distinct sets are verified all against all, a
+A group of documents under one subset is a star around one of them (for common subsets, the one with the largest share of
+common subsets, which is nearest to all copies); the pairs of the stars are verified exactly, and the components of the links
+found are formed. Members of a group that are still apart meet further such members, then each other, so no link between
+components is lost. Only the number of links, where asked for, needs the pairs inside components: their distinct sets are verified all against all, a
 large component's in pairs of blocks.
 
 Results in odd cases: a null or empty text, or one without words, has an empty set, n_shingles 0 and itself as component; with
@@ -40,14 +43,17 @@ SINGLES, PER_SEGMENT = 192, 1.5
 #: A subset is common if it is seen so often in lots of LOT subsets that hold it more than once; the most common ones of these.
 COMMON_LEAST, COMMON_MOST, LOT = 8, 1 << 20, 1_000_000
 #: Rounds of pivots at most, and pivots of each; pairs per member of a group that are simply listed.
-MOST_TURNS, PIVOTS, PAIRS_PER_ROW = 3, 4, 2
+MOST_TURNS, PIVOTS, PAIRS_PER_ROW = 4, 3, 2
 #: Distinct sets of a component that are verified at once; shingles of a slice of their product.
 BLOCK, COLUMNS = 256, 4096
 #: Shingles per cell of a sketch.
 PER_CELL = 4
 HASH_BITS = 54  # of a shingle; the other 10 number the documents of a block
 BLOCK_DOCS = 1 << (64 - HASH_BITS)
-KEY_BITS = 53
+KEY_BITS, CLASS_BITS = 50, 4  # of a subset, and of the class of its count: the order of subsets
+#: Layout of a member's `info`: share of common subsets (6 bits), size (26), place (25), band (6).
+SHARE_AT, SIZE_AT, PLACE_AT = 57, 31, 6
+MOST_SIZE, MOST_PLACE = (1 << 26) - 1, (1 << 25) - 1
 U = np.uint64
 IS_WORD = np.ones(256, bool)
 IS_WORD[32] = IS_WORD[9:14] = False
@@ -130,20 +136,30 @@ def subsets(tokens: np.ndarray, docs: int, t: float, finest: bool = False):
         yield owner[starts], key, np.where(single, places(1 - t), places((1 - t) / t)), levels
 
 
-def chosen(owner: np.ndarray, key: np.ndarray, need: np.ndarray, band: np.ndarray, common: np.ndarray, docs: int):
-    """Each document's first subsets, rare ones first: (document, key, common, place << 6 | band)."""
-    hot = common[np.minimum(np.searchsorted(common, key), len(common) - 1)] == key if len(common) else np.zeros(len(key), bool)
-    order = np.sort((owner.astype(U) << U(HASH_BITS)) | (hot.astype(U) << U(KEY_BITS)) | key)
+def info_of(share: np.ndarray, size: np.ndarray, place: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Greater sizes and places count as the greatest: bounds get weaker, no pair is lost."""
+    return (share << SHARE_AT) | (np.minimum(size, MOST_SIZE) << SIZE_AT) | (np.minimum(place, MOST_PLACE) << PLACE_AT) | band
+
+
+def chosen(owner: np.ndarray, key: np.ndarray, need: np.ndarray, band: np.ndarray, sizes: np.ndarray, common: np.ndarray, classes: np.ndarray, docs: int):
+    """Each document's first subsets, rare ones first: (document, key, common, info)."""
+    at = np.minimum(np.searchsorted(common, key), max(len(common) - 1, 0))
+    rank = np.where(common[at] == key, classes[at], 0).astype(U) if len(common) else np.zeros(len(key), U)
+    held = np.maximum(np.bincount(owner, minlength=docs), 1)
+    share = (63 * np.bincount(owner, weights=rank > 0, minlength=docs) / held).astype(np.int64)
+    order = np.sort((owner.astype(U) << U(HASH_BITS)) | (rank << U(KEY_BITS)) | key)
     owner = (order >> U(HASH_BITS)).astype(np.int64)
     place = np.arange(len(order)) - np.searchsorted(owner, np.arange(docs))[owner]
     take = place < need[owner]
-    return owner[take], (order & U((1 << KEY_BITS) - 1))[take], ((order >> U(KEY_BITS)) & U(1))[take].astype(bool), ((place << 6) | band[owner])[take]
+    owner, order = owner[take], order[take]
+    hot = (order >> U(KEY_BITS)) & U((1 << CLASS_BITS) - 1) > 0
+    return owner, order & U((1 << KEY_BITS) - 1), hot, info_of(share[owner], sizes[owner], place[take], band[owner])
 
 
 def can_link(x: str, y: str, t: float) -> str:
-    """SQL: whether two members of a group, told by their `info` (size << 32 | place << 6 | band, 0 for the finest), can link if this
+    """SQL: whether two members of a group, told by their `info` (0: not told; band 0: the finest), can link if this
     is their first common subset."""
-    size, place = (lambda c: f"({c} >> 32)"), (lambda c: f"(({c} & 4294967295) >> 6)")
+    size, place = (lambda c: f"(({c} >> {SIZE_AT}) & {MOST_SIZE})"), (lambda c: f"(({c} >> {PLACE_AT}) & {MOST_PLACE})")
     twice = f"CASE WHEN {x} & 63 = 0 THEN 2 * least({size(x)} - {place(x)}, {size(y)} - {place(y)}) ELSE {size(x)} + {size(y)} - greatest({place(x)}, {place(y)}) END"
     whole = round(100 * t)
     return f"(least({size(x)}, {size(y)}) * 100 >= greatest({size(x)}, {size(y)}) * {whole} AND 100 * ({twice}) >= {whole} * (2 * ({size(x)} + {size(y)}) - ({twice})))"
@@ -163,13 +179,19 @@ def set_hashes(tokens: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _survey(n: int, t: float):
-    """Rows (0, doc, row, size, node, check) for documents; (1, subset, count, a node, 0, 0) for subsets that recur in a lot;
-    (2, ...) where a document has too few subsets."""
+    """Rows (0, doc, row, size, node, check) for documents; (1, subset, count, a node, its share, 0) for subsets that recur in a
+    lot, with the node of which most subsets recur; (2, ...) where a document has too few subsets."""
 
     def recurring(keys, holders):
-        value, place, count = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
-        often = count > 1
-        return signed(value[often]), count[often], np.concatenate(holders)[place[often]]
+        keys, holders = np.concatenate(keys), np.concatenate(holders)
+        value, at, count = np.unique(keys, return_inverse=True, return_counts=True)
+        node, own = np.unique(holders, return_inverse=True)
+        again = count[at] > 1
+        share = (1000 * np.bincount(own, weights=again) / np.bincount(own)).astype(np.int64)[own] if len(node) else np.zeros(0, np.int64)
+        at, share, holders = at[again], share[again], holders[again]
+        best = np.lexsort((holders, -share, at))
+        first = best[np.append(True, at[best][1:] != at[best][:-1])] if len(best) else best
+        return signed(value[at[first]]), count[at[first]], holders[first], share[first]
 
     def rows(kind, a, b, c, d=None, e=None, sketch=None):
         cols = [np.full(len(a), kind, np.int64), *(np.zeros(len(a), np.int64) if x is None else x.astype(np.int64) for x in (a, b, c, d, e))]
@@ -202,16 +224,16 @@ def _index(n: int, t: float, shared, finest: bool = False):
     """(key, node, rep, info): rep is null for a rare subset, else the node that stands for all holders of the common subset."""
 
     def run(batches):
-        common, reps = (np.frombuffer(x, np.int64) for x in shared.value)
+        common, reps, classes, alike = (np.frombuffer(x, np.int64) for x in shared.value)
         for batch in batches:
             for first, last, tokens in token_sets(batch.column(2), n):
-                size, node, _ = set_hashes(tokens, last - first)
-                node = signed(node)
+                size, node, check = set_hashes(tokens, last - first)
+                node = np.where(np.isin(signed(node), alike), signed(check), signed(node))
                 for owner, key, need, band in subsets(tokens, last - first, t, finest):
-                    owner, key, hot, place = chosen(owner, key, need, band, common.view(U), last - first)
+                    owner, key, hot, info = chosen(owner, key, need, band, size, common.view(U), classes, last - first)
                     key, rep = signed(key), np.zeros(len(key), np.int64)
                     rep[hot] = reps[np.searchsorted(common, key[hot])]
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[owner]), pa.array(rep, mask=~hot), pa.array((size[owner] << 32) | place)], names=["key", "node", "rep", "info"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[owner]), pa.array(rep, mask=~hot), pa.array(info)], names=["key", "node", "rep", "info"])
 
     return run
 
@@ -322,7 +344,7 @@ def _apart(group: DataFrame, root: DataFrame) -> DataFrame:
 def _first_of_equal_groups(members: DataFrame) -> DataFrame:
     """Of subsets that the same members hold only the one that comes first: whatever pair has its first common subset among
     them has it there."""
-    place = F.expr("(info & 4294967295) >> 6")
+    place = F.expr(f"(info >> {PLACE_AT}) & {MOST_PLACE}")
     # in one band, two subsets of a document never have the same place, so the sums order them as every member does
     groups = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("x").cast("decimal(38,0)")).alias("who"), F.min(F.col("x")).alias("least"), F.sum(place).alias("places"), F.min(F.expr("info & 63")).alias("band"))
     first = groups.groupBy("n", "who", "least", "band").agg(F.min_by("key", F.struct("places", "key")).alias("key")).select("key")
@@ -335,9 +357,15 @@ def _grouped(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: s
     rows = rows_of(docs, id_col, text_col)
     seen = materialize(rows.mapInArrow(_survey(n, threshold), "k long, a long, b long, c long, d long, e long, sketch binary"), "survey")
     sets = seen.where("k = 0").selectExpr("a AS doc", "b AS row", "c AS size", "d AS node", "e AS check", "sketch")
-    common = seen.where("k = 1").groupBy("a").agg(F.sum("b").alias("n"), F.min("c").alias("rep")).where(F.col("n") >= COMMON_LEAST)
-    common = common.orderBy(F.desc("n"), "a").limit(COMMON_MOST).orderBy("a").toPandas()  # at most 16 MB
-    shared = spark.sparkContext.broadcast((common["a"].to_numpy(np.int64).tobytes(), common["rep"].to_numpy(np.int64).tobytes()))
+    # sets are told apart by 128 bits: where two share the first 64, both take the other 64 as their node
+    alike = sets.groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("node").toPandas()["node"].to_numpy(np.int64)  # about one pair in 10**10 sets
+    if len(alike):
+        sets = sets.withColumn("node", F.when(F.col("node").isin([int(x) for x in alike]), F.col("check")).otherwise(F.col("node")))
+    best = F.max(F.struct(F.col("d").alias("share"), F.col("c").alias("rep"))).alias("best")
+    common = seen.where("k = 1").groupBy("a").agg(F.sum("b").alias("n"), best).where(F.col("n") >= COMMON_LEAST)
+    common = common.orderBy(F.desc("n"), "a").limit(COMMON_MOST).selectExpr("a", "n", "best.rep AS rep").orderBy("a").toPandas()  # at most 25 MB
+    classes = np.minimum(np.log2(np.maximum(common["n"].to_numpy(np.float64), COMMON_LEAST) / COMMON_LEAST).astype(np.int64) + 1, (1 << CLASS_BITS) - 1)
+    shared = spark.sparkContext.broadcast(tuple(x.astype(np.int64).tobytes() for x in (common["a"].to_numpy(), common["rep"].to_numpy(), classes, alike)))
     index = rows.mapInArrow(_index(n, threshold, shared), INDEX)
     if seen.where("k = 2").agg(F.sum("a")).first()[0]:
         index = index.union(rows.mapInArrow(_index(n, threshold, shared, True), INDEX))
@@ -355,13 +383,16 @@ def _grouped(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: s
     members = materialize(_apart(group, root), "apart-0")
     alike = F.expr("x_root <> y_root AND " + can_link("info", "y_info", threshold))
     for turn in range(1, MOST_TURNS):
-        held = members.groupBy("key", "x_root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"))
-        cross, rows_held = held.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        # of each root the member with the largest share of common subsets, later any: such a one links with most others
+        central = F.expr(f"info >> {SHARE_AT}") if turn == 1 else F.lit(0)
+        held = members.groupBy("key", "x_root").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(central.alias("share"), F.xxhash64("x", F.lit(turn)).alias("mix"), "x", "info")).alias("best"))
+        cross, rows_held = held.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside")).agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
         if cross <= PAIRS_PER_ROW * rows_held:
             break
-        # the same pivot for groups of the same members: pairs grow with the members, not with the subsets that they share
-        heads = [F.min(F.struct(F.xxhash64("x", F.lit(PIVOTS * turn + k)), "x", "x_root", "info")) for k in range(PIVOTS)]
-        pivot = members.groupBy("key").agg(F.array_distinct(F.array(*heads)).alias("p")).select("key", F.explode("p").alias("p"))
+        # the largest root's and some others'; the same for groups of the same roots, so pairs grow with the members, not with the subsets
+        scores = [F.col("n"), *(F.xxhash64("x_root", F.lit(PIVOTS * turn + k)) for k in range(1, PIVOTS))]
+        heads = [F.max(F.struct(score.alias("score"), "x_root", "best")) for score in scores]
+        pivot = held.groupBy("key").agg(F.array_distinct(F.transform(F.array(*heads), lambda h: F.struct(h["best"]["x"].alias("x"), h["x_root"].alias("x_root"), h["best"]["info"].alias("info")))).alias("p")).select("key", F.explode("p").alias("p"))
         pivot = pivot.select("key", F.col("p.x").alias("y"), F.col("p.x_root").alias("y_root"), F.col("p.info").alias("y_info"))
         pairs = members.join(pivot, "key").where(alike).select(*_ordered("x", "y")).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, f"pivot-{turn}")
@@ -443,15 +474,18 @@ def link_counts(rows: DataFrame, placed: DataFrame, n: int, t: float) -> DataFra
     return nodes.join(counted, "node", "left").select("node", F.when(F.col("k") > 2, F.col("n") + F.col("copies") - 1).otherwise(F.col("all") - 1).alias("n_links"))
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (other rows whose sets are at least as similar as the threshold, copies
-    included): one row for each row of docs."""
+def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.75, count_links: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id: one row for each row of docs. count_links: also n_links, the other rows whose sets are
+    at least as similar as the threshold, copies included; its work grows with the square of the largest component."""
     placed, _ = _grouped(docs, n, threshold, id_col, text_col)
-    degree = link_counts(rows_of(docs, id_col, text_col), placed, n, threshold)
     least = placed.groupBy("root").agg(F.min("doc").alias("least"))
-    out = placed.join(least, "root").join(degree, "node", "left")
-    out = out.select(key_to_id("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("size") == 0, F.col("doc")).otherwise(F.col("least")).alias("doc"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return out.select("doc_id", "n_shingles", key_to_id("doc").alias("component_id"), "n_links")
+    out = placed.join(least, "root")
+    more = []
+    if count_links:
+        out = out.join(link_counts(rows_of(docs, id_col, text_col), placed, n, threshold), "node", "left")
+        more = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
+    out = out.select(key_to_id("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("size") == 0, F.col("doc")).otherwise(F.col("least")).alias("doc"), *more)
+    return out.select("doc_id", "n_shingles", key_to_id("doc").alias("component_id"), *(["n_links"] if more else []))
 
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
