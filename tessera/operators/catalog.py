@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.lifecycle import first_of
+
 # Statuses that end a document's ingest, with and without items.
 TERMINAL_OK = ("ready", "needs_review")
 TERMINAL = (*TERMINAL_OK, "failed")
@@ -108,9 +110,10 @@ def cascade_delete(tables: dict[str, tuple[DataFrame, str]], doomed: DataFrame)
 
 def decide(items: DataFrame, decisions: DataFrame, documents: DataFrame) -> DataFrame:
     """decisions: (item_id, decision) -> items with `outcome`: approved pending items of the newest version go to indexing, rejected ones
-    to rejected; the rest says why not."""
+    to rejected; the rest says why not. Of several decisions for an item the first holds, as in first_of()."""
     newest = items.groupBy("document_id").agg(F.max("source_version").alias("newest"))
     done = documents.select("document_id", F.col("status").isin(*TERMINAL).alias("done"))
+    decisions = first_of(decisions.select("item_id", "decision", *(["at"] if "at" in decisions.columns else [])), ["item_id"]).select("item_id", "decision")
     rows = items.join(decisions, "item_id", "left").join(newest, "document_id").join(done, "document_id", "left")
     outcome = F.when(F.col("decision").isNull(), None).when(~F.coalesce("done", F.lit(False)), "document_busy").when(F.col("status") != "needs_review", "not_pending").when((F.col("decision") == "approve") & (F.col("source_version") < F.col("newest")), "stale")
     outcome = outcome.otherwise(F.when(F.col("decision") == "approve", "indexing").otherwise("rejected"))
@@ -127,7 +130,9 @@ def edit_lines(old: Column, new_lines: Column) -> Column:
 
 
 def apply_edits(items: DataFrame, edits: DataFrame) -> DataFrame:
-    """edits: (item_id, title, body_text) -> items: a ready item goes to indexing, one under review stays; the first edit keeps a snapshot."""
+    """edits: (item_id, title, body_text) -> items: a ready item goes to indexing, one under review stays; the first edit keeps a snapshot.
+    Of several edits of an item the first holds, as in first_of()."""
+    edits = first_of(edits.select("item_id", "title", "body_text", *(["at"] if "at" in edits.columns else [])), ["item_id"])
     rows = items.join(edits.select("item_id", F.col("title").alias("__t"), F.col("body_text").alias("__b"), F.lit(True).alias("__e")), "item_id", "left")
     changed = F.col("__e") & F.col("status").isin("ready", "needs_review")
     rows = rows.withColumn("snapshot", F.when(changed, F.coalesce("snapshot", F.to_json(F.struct("title", "body_text")))).otherwise(F.col("snapshot")))
@@ -137,7 +142,8 @@ def apply_edits(items: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def add_favourites(favourites: DataFrame, new: DataFrame) -> DataFrame:
-    """Known stars keep their time."""
+    """Known stars keep their time; of several new ones of an item the earliest counts."""
+    new = new.groupBy("item_id").agg(F.min("created_at").alias("created_at"))
     return favourites.unionByName(new.join(favourites, "item_id", "left_anti"))
 
 
@@ -148,3 +154,74 @@ def remove_favourites(favourites: DataFrame, gone: DataFrame) -> DataFrame:
 def list_favourites(favourites: DataFrame, items: DataFrame, documents: DataFrame, limit: int = PAGE, offset: int = 0) -> DataFrame:
     rows = favourites.withColumnRenamed("created_at", "starred_at").join(items, "item_id").join(documents, "document_id")
     return rows.orderBy(F.desc("starred_at"), F.desc("item_id")).offset(offset).limit(limit)
+
+
+# Statuses that the listing of a book's items hides.
+HIDDEN = ("superseded", "rejected")
+
+
+def upload_totals(uploads: DataFrame) -> DataFrame:
+    """Totals of a batch of uploads, as classify_uploads() tells them."""
+    return uploads.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("status") == one).alias(name) for one, name in (("created", "created"), ("duplicate", "duplicates"), ("error", "errors"))])
+
+
+def list_runs(runs: DataFrame, documents: DataFrame, version: int | None = None, status: str | None = None) -> DataFrame:
+    """The extraction runs of the given documents (document_id), newest first."""
+    rows = runs.join(documents.select("document_id"), "document_id", "left_semi")
+    rows = rows if version is None else rows.where(F.col("source_version") == version)
+    rows = rows if status is None else rows.where(F.col("status") == status)
+    return rows.orderBy(F.desc("created_at"), F.desc("run_id"))
+
+
+def list_spans(spans: DataFrame, page_start: int | None = None, page_end: int | None = None) -> DataFrame:
+    """Spans that touch a page range, by page number and id."""
+    return overlapping(spans, page_start, page_end).orderBy("page_start", "span_id")
+
+
+def with_stars(items: DataFrame, favourites: DataFrame) -> DataFrame:
+    """Items with the time of their star, null without one."""
+    return items.join(favourites.groupBy("item_id").agg(F.min("created_at").alias("favourited_at")), "item_id", "left")
+
+
+def list_book_items(items: DataFrame, documents: DataFrame, document_id, status: str | None = None, limit: int = PAGE, offset: int = 0) -> DataFrame:
+    """A page of one book's items with the book's title, newest first; HIDDEN ones only where their status is asked for. Raises for a book that
+    doesn't exist."""
+    if not 1 <= limit <= MOST_PAGE or offset < 0:
+        raise ValueError(f"limit is from 1 to {MOST_PAGE}, offset from 0")
+    book = documents.where(F.col("document_id") == document_id).select("document_id", F.col("title").alias("document_title"))
+    if book.isEmpty():
+        raise LookupError(f"no document {document_id!r}")
+    rows = items.where(F.col("document_id") == document_id)
+    rows = rows.where(F.col("status") == status) if status is not None else rows.where(~F.col("status").isin(*HIDDEN))
+    return rows.join(book, "document_id").orderBy(F.desc("created_at"), F.desc("item_id")).offset(offset).limit(limit)
+
+
+def counts_of(documents: DataFrame, spans: DataFrame, chunks: DataFrame) -> DataFrame:
+    """documents with the numbers of their spans and chunks."""
+    count = lambda rows, name: rows.groupBy("document_id").agg(F.count(F.lit(1)).alias(name))
+    return documents.join(count(spans, "n_spans"), "document_id", "left").join(count(chunks, "n_chunks"), "document_id", "left").fillna(0, ["n_spans", "n_chunks"])
+
+
+def pages_progress(documents: DataFrame, spans: DataFrame) -> DataFrame:
+    """documents: (document_id, version) -> with pages_processed and pages_total (the greatest page_end of that version's spans; null without any)."""
+    sums = spans.groupBy("document_id", F.col("source_version").alias("version")).agg(F.count(F.lit(1)).alias("pages_processed"), F.max("page_end").alias("pages_total"))
+    return documents.join(sums, ["document_id", "version"], "left").fillna(0, ["pages_processed"])
+
+
+def document_details(documents: DataFrame, items: DataFrame, spans: DataFrame, chunks: DataFrame) -> DataFrame:
+    """What the page of a document tells: item counts, shown status, numbers of spans and chunks."""
+    return counts_of(with_counts(documents, items), spans, chunks)
+
+
+def ingestion_status(documents: DataFrame, spans: DataFrame, failures: DataFrame) -> DataFrame:
+    """documents: (document_id, status, active_version) -> progress and the latest failure. A finished document tells its active version; an unfinished one
+    the version under way (the newest with spans, 1 before there are any), without progress where that is the active one."""
+    newest = spans.groupBy("document_id").agg(F.max("source_version").alias("newest"))
+    terminal = F.col("status").isin(*TERMINAL)
+    under_way = F.coalesce("newest", F.lit(1))
+    rows = documents.join(newest, "document_id", "left").withColumn("terminal", terminal).withColumn("current_version", F.when(~terminal, under_way))
+    shown = F.when(terminal, F.col("active_version")).when(F.col("active_version").isNull() | (F.col("active_version") != under_way), under_way)
+    rows = pages_progress(rows.withColumn("version", shown), spans)
+    last = latest(failures, ["document_id"], [F.desc("failed_at"), F.desc("reason")]).select("document_id", F.struct("reason", F.col("last_status").alias("stage"), "failed_at").alias("__failure"))
+    out = rows.join(last, "document_id", "left").withColumn("failure", F.when(F.col("status") == "failed", F.col("__failure")))
+    return out.select("document_id", "status", "active_version", "current_version", "pages_processed", "pages_total", "terminal", "failure")

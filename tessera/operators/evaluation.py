@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions import text as X
+
 TOLERANCE, SLACK, HEADLINE, RANK_DROP = 0.01, 1e-9, 0.005, 3
 
 
@@ -114,3 +116,231 @@ def run_status(comparable: bool, query_regressions: int, deltas: list[float]) ->
     if query_regressions or any(d < -HEADLINE for d in deltas):
         return "regression"
     return "improvement" if any(d > HEADLINE for d in deltas) else "no_change"
+
+
+# -- extraction: scores of fields, ingredients and whole sets ----------------------------------------------------------
+
+# Fields of an ingredient that are scored, and of a recipe that hold times.
+SUB_FIELDS = ("raw_text", "quantity_value", "unit_normalized", "item_normalized", "preparation")
+TIMES = ("prep_time", "cook_time", "total_time")
+
+
+def _identities(lines: Column) -> Column:
+    """Of each ingredient its normalized item and its line, trimmed in lower case, null where empty."""
+    clean = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
+    return F.transform(F.coalesce(lines, F.array()), lambda i: F.struct(clean(i["item_normalized"]).alias("item"), clean(i["raw_text"]).alias("raw")))
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("expected", T.IntegerType()), T.StructField("found", T.IntegerType())])))
+def align_lines(expected: pd.Series, found: pd.Series) -> pd.Series:
+    """Pairs of places of ingredients that have the item or the line in common: the same place first, then for each found one the first
+    expected one left. One recipe's lists at a time."""
+
+    def one(e, f):
+        e, f = [list(x) if x is not None else [] for x in (e, f)]
+        same = lambda a, b: (a["item"] is not None and a["item"] == b["item"]) or (a["raw"] is not None and a["raw"] == b["raw"])
+        pairs = [(k, k) for k in range(min(len(e), len(f))) if same(e[k], f[k])]
+        used, done = {a for a, _ in pairs}, {b for _, b in pairs}
+        by_item, by_raw = {}, {}
+        for k, line in enumerate(e):
+            by_item.setdefault(line["item"], []).append(k), by_raw.setdefault(line["raw"], []).append(k)
+        for b in (b for b in range(len(f)) if b not in done):
+            places = [k for table, name in ((by_item, "item"), (by_raw, "raw")) if f[b][name] is not None for k in table.get(f[b][name], ()) if k not in used]
+            if places:
+                used.add(min(places))
+                pairs.append((min(places), b))
+        return sorted(pairs)
+
+    return pd.Series([one(e, f) for e, f in zip(expected, found)])
+
+
+def ingredient_detail(rows: DataFrame, expected: str, found: str) -> DataFrame:
+    """Adds `detail`: precision, recall, F1 over the SUB_FIELDS of all ingredients, numbers of matched and unmatched ones, accuracy of each field over the
+    matched pairs."""
+    e, f = F.coalesce(expected, F.array()), F.coalesce(found, F.array())
+    rows = rows.withColumn("__pairs", align_lines(_identities(F.col(expected)), _identities(F.col(found))))
+    matched = F.size("__pairs")
+
+    def right(name: str) -> Column:
+        pair = lambda p: (F.get(e, p["expected"])[name], F.get(f, p["found"])[name])
+        same = (lambda p: X.same_text(*pair(p))) if name != "quantity_value" else (lambda p: pair(p)[0].eqNullSafe(pair(p)[1]))
+        return F.size(F.filter("__pairs", same))
+
+    rows = rows.withColumn("__right", F.struct(*[right(k).alias(k) for k in SUB_FIELDS]))
+    total = sum((F.col(f"__right.{k}") for k in SUB_FIELDS), F.lit(0)).cast("double")
+    slots = lambda side: F.size(side) * len(SUB_FIELDS)
+    p, r = F.coalesce(F.try_divide(total, slots(f)), F.lit(0.0)), F.coalesce(F.try_divide(total, slots(e)), F.lit(0.0))
+    both_empty = (F.size(e) == 0) & (F.size(f) == 0)
+    rate = lambda c: F.when(both_empty, 1.0).otherwise(c)
+    accuracy = F.struct(*[F.coalesce(F.try_divide(F.col(f"__right.{k}").cast("double"), matched), F.lit(0.0)).alias(k) for k in SUB_FIELDS])
+    detail = F.struct(rate(p).alias("precision"), rate(r).alias("recall"), rate(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))).alias("f1"), matched.alias("matched"), (F.size(f) - matched).alias("unmatched_found"), (F.size(e) - matched).alias("unmatched_expected"), accuracy.alias("accuracy"))
+    return rows.withColumn("detail", detail).drop("__pairs", "__right")
+
+
+def field_scores(rows: DataFrame, expected: str = "expected", found: str = "found") -> DataFrame:
+    """expected, found: recipes (title, yield, the TIMES, ingredients, steps, source_span_ids; found is null where the extraction failed) -> adds `scores`. A
+    yield or a time that the expected recipe doesn't have (or whose time can't be read) is not comparable: null."""
+    rows = ingredient_detail(rows.withColumn("__e", F.col(f"{expected}.ingredients")).withColumn("__f", F.col(f"{found}.ingredients")), "__e", "__f")
+    rows = rows.withColumn("__et", X.normalize_title(F.coalesce(f"{expected}.title", F.lit("")))).withColumn("__ft", X.normalize_title(F.coalesce(f"{found}.title", F.lit(""))))
+    e, f = F.col(expected), F.col(found)
+    time = lambda k: F.when(X.parse_minutes(e[k]).isNotNull(), F.coalesce(X.parse_minutes(e[k]) == X.parse_minutes(f[k]), F.lit(False)))
+    size = lambda side, k: F.size(F.coalesce(side[k], F.array()))
+    spans = prf(F.coalesce(e["source_span_ids"], F.array()), F.coalesce(f["source_span_ids"], F.array()))
+    scores = F.struct(
+        F.coalesce(e["title"] == f["title"], F.lit(False)).alias("title_exact"), (F.col("__et") == F.col("__ft")).alias("title_normalized"), F.when(e["yield"].isNotNull(), X.same_text(e["yield"], f["yield"])).alias("yield"), *[time(k).alias(k) for k in TIMES],
+        (size(e, "ingredients") == size(f, "ingredients")).alias("ingredient_count"), (size(e, "steps") == size(f, "steps")).alias("step_count"), F.col("detail.f1").alias("ingredients_f1"), spans["f1"].alias("spans_f1"),
+    )
+    return rows.withColumn("scores", F.when(f.isNotNull(), scores)).drop("__e", "__f", "__et", "__ft")
+
+
+SCORES = ("title_exact", "title_normalized", "yield", *TIMES, "ingredient_count", "step_count", "ingredients_f1", "spans_f1")
+
+
+def objective_accuracy(scores: Column) -> Column:
+    """Mean of a recipe's comparable scores; null without any."""
+    return F.when(scores.isNotNull(), mean_of(F.array(*[scores[k].cast("double") for k in SCORES if k != "title_exact"])))
+
+
+def missing_fields(expected: Column, found: Column) -> Column:
+    """Fields that the expected recipe has and the found one lacks."""
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    checks = [(X.is_present(expected["title"]) & ~X.is_present(found["title"]), "title"), *[(expected[k].isNotNull() & found[k].isNull(), k) for k in ("yield", *TIMES)], *[((size(expected[k]) > 0) & (size(found[k]) == 0), k) for k in ("ingredients", "steps")]]
+    return F.array_compact(F.array(*[F.when(c, k) for c, k in checks]))
+
+
+def extraction_summary(rows: DataFrame) -> DataFrame:
+    """rows: as field_scores() gives, with confidence and missing -> (metric, value): counts, success rate, mean confidence, mean of each score over
+    the fixtures where it is comparable, how often each field is missing."""
+    one = rows.agg(
+        F.count(F.lit(1)).cast("double").alias("count.fixtures"), F.count_if(F.col("scores").isNotNull()).cast("double").alias("count.success"), F.avg(F.col("scores").isNotNull().cast("double")).alias("success_rate"), F.avg(F.when(F.col("scores").isNotNull(), F.col("confidence"))).alias("mean_confidence"),
+        *[F.avg(F.col(f"scores.{k}").cast("double")).alias(f"accuracy.{k}") for k in SCORES],
+    )
+    named = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").alias("value")) for c in one.columns])
+    lost = rows.where("scores IS NOT NULL").select(F.explode("missing").alias("field")).groupBy("field").count().select(F.concat(F.lit("count.missing."), "field").alias("metric"), F.col("count").cast("double").alias("value"))
+    return one.select(F.explode(named).alias("m")).select("m.metric", "m.value").unionByName(lost)
+
+
+def samples(per_query: DataFrame, metric: str = "ndcg_10", size: int = 3) -> DataFrame:
+    """The best and the worst queries of a report."""
+    best = per_query.orderBy(F.desc(metric), F.asc("query_id")).limit(size).withColumn("sample", F.lit("best"))
+    return best.unionByName(per_query.orderBy(F.asc(metric), F.asc("query_id")).limit(size).withColumn("sample", F.lit("worst")))
+
+
+def worst_drops(base: DataFrame, current: DataFrame, metric: str = "ndcg_10", most: int = 5) -> DataFrame:
+    """The queries of both runs that lost most, losses only."""
+    rows = base.select("query_id", F.col(metric).alias("base")).join(current.select("query_id", F.col(metric).alias("current")), "query_id")
+    return rows.withColumn("delta", F.col("current") - F.col("base")).where("delta < 0").orderBy("delta", "query_id").limit(most)
+
+
+def run_means(per_query: DataFrame, qrels: DataFrame) -> DataFrame:
+    """Means of all metrics over the judged queries; one without results counts as 0."""
+    names = [c for c in per_query.columns if c != "query_id"]
+    judged = qrels.select("query_id").distinct().join(per_query, "query_id", "left")
+    return judged.agg(*[F.avg(F.coalesce(c, F.lit(0.0))).alias(c) for c in names])
+
+
+def retrieval_report(found: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
+    """found: (query_id, item_id, rank) -> (query_id, metrics, retrieved_ids in order, expected_item_ranks: null where not found) of every judged
+    query: the per_query part of a report."""
+    listed = found.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "item_id"))), lambda r: r["item_id"]).alias("retrieved_ids"))
+    ranks = qrels.where("relevance > 0").join(found, ["query_id", "item_id"], "left").groupBy("query_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("item_id", "rank")))).alias("expected_item_ranks"))
+    return ir_metrics(found, qrels, k).join(listed, "query_id", "left").join(ranks, "query_id", "left")
+
+
+# Settings of a run that must agree for a comparison, and the metrics that a report leads with.
+COMPARED, METRICS = ("query_set", "mode", "k", "limit", "reranking_enabled", "embedding_model"), ("ndcg_cut_10", "recall_5", "recall_10", "recip_rank")
+REPORT = "run struct<query_set: string, mode: string, k: string, limit: string, reranking_enabled: string, embedding_model: string>, aggregate map<string, string>, per_query map<string, struct<metrics: map<string, string>, expected_item_ranks: map<string, string>>>"
+
+
+def report_problems(report: Column) -> Column:
+    """What is wrong with a retrieval report (JSON text), as an array of messages; empty for one that can be compared."""
+    r = F.from_json(report, REPORT)
+    number = lambda c: c.rlike(r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$")
+    whole = lambda c: c.rlike(r"^[1-9]\d*$")
+    false = lambda c: ~F.coalesce(c, F.lit(False))
+    queries = F.coalesce(F.map_entries(r["per_query"]), F.array())
+    ranks = lambda q: F.coalesce(F.map_entries(q["value"]["expected_item_ranks"]), F.array())
+    checks = [
+        (r["run"].isNull(), F.lit("run is missing")), *[(r["run"].isNotNull() & r["run"][k].isNull(), F.lit(f"run.{k} is missing")) for k in COMPARED], *[(r["run"][k].isNotNull() & false(whole(r["run"][k])), F.lit(f"run.{k} is no positive whole number")) for k in ("k", "limit")],
+        (r["aggregate"].isNull(), F.lit("aggregate is missing")), *[(r["aggregate"].isNotNull() & false(number(r["aggregate"][m])), F.lit(f"aggregate.{m} is no finite number")) for m in METRICS],
+        (F.size(queries) == 0, F.lit("per_query is missing or empty")),
+        (F.exists(queries, lambda q: false(number(q["value"]["metrics"]["ndcg_cut_10"]))), F.lit("a query's ndcg_cut_10 is no finite number")),
+        (F.exists(queries, lambda q: q["value"]["expected_item_ranks"].isNull()), F.lit("a query has no expected_item_ranks")),
+        (F.exists(queries, lambda q: F.exists(ranks(q), lambda x: x["value"].isNotNull() & ~whole(x["value"]))), F.lit("a rank is no positive whole number")),
+    ]
+    return F.array_compact(F.array(*[F.when(c, message) for c, message in checks]))
+
+
+# -- goldens, judges, alignment ----------------------------------------------------------------------------------------
+
+# The keys of an expected recipe at its levels, and the states of its verification.
+GOLDEN_KEYS = {"$": ("item_type", "title", "source_span_ids", "structured_data"), "$.structured_data": ("schema", "yield", *TIMES, "ingredients", "steps"), "ingredients": SUB_FIELDS, "steps": ("text",)}
+VERIFIED = ("draft", "verified")
+
+
+def verification_status(notes: Column) -> Column:
+    """"draft" or "verified" as the notes say, else null."""
+    found = F.lower(F.regexp_extract(notes, r"(?m)^\s*[-*]?\s*Verification:\s*([A-Za-z]+)\b", 1))
+    return F.when(found.isin(*VERIFIED), found)
+
+
+def golden_problems(text: Column, span_id: Column) -> Column:
+    """What is wrong with an expected recipe (JSON text), as an array of messages: unknown and missing keys at every level, empty names, times that can't be
+    read, ingredients that nothing can be matched to, other spans than span_id."""
+    get = lambda path: F.get_json_object(text, path)
+    keys = lambda where, js, want: [(F.size(F.array_except(F.array(*map(F.lit, want)), F.coalesce(F.json_object_keys(js), F.array()))) > 0, F.lit(f"{where}: missing keys")), (F.size(F.array_except(F.coalesce(F.json_object_keys(js), F.array()), F.array(*map(F.lit, want)))) > 0, F.lit(f"{where}: unknown keys"))]
+    parts = {k: F.from_json(get(f"$.structured_data.{k}"), "array<string>") for k in ("ingredients", "steps")}
+    listed = lambda k: F.coalesce(parts[k], F.array())
+    wrong = lambda k: F.exists(listed(k), lambda j: F.size(F.array_union(F.array_except(F.array(*map(F.lit, GOLDEN_KEYS[k])), F.coalesce(F.json_object_keys(j), F.array())), F.array_except(F.coalesce(F.json_object_keys(j), F.array()), F.array(*map(F.lit, GOLDEN_KEYS[k]))))) > 0)
+    checks = [
+        *keys("recipe", text, GOLDEN_KEYS["$"]), *keys("structured_data", get("$.structured_data"), GOLDEN_KEYS["$.structured_data"]),
+        (~F.coalesce(get("$.item_type") == "recipe", F.lit(False)), F.lit("item_type: must be recipe")), (~X.is_present(get("$.title")), F.lit("title: must not be empty")), (~F.coalesce(get("$.structured_data.schema") == "recipe.v1", F.lit(False)), F.lit("schema: must be recipe.v1")),
+        (~F.coalesce(F.from_json(get("$.source_span_ids"), "array<string>") == F.array(span_id), F.lit(False)), F.lit("source_span_ids: must be the one span")),
+        (get("$.structured_data.yield").isNotNull() & ~X.is_present(get("$.structured_data.yield")), F.lit("yield: must not be empty")),
+        *[(get(f"$.structured_data.{k}").isNotNull() & X.parse_minutes(get(f"$.structured_data.{k}")).isNull(), F.lit(f"{k}: no duration")) for k in TIMES],
+        *[(F.size(listed(k)) == 0, F.lit(f"{k}: must not be empty")) for k in parts], *[(wrong(k), F.lit(f"{k}: missing or unknown keys")) for k in parts],
+        (F.exists(listed("ingredients"), lambda j: ~X.is_present(F.get_json_object(j, "$.item_normalized")) & ~X.is_present(F.get_json_object(j, "$.raw_text"))), F.lit("ingredients: one has neither item nor line")),
+        (F.exists(listed("ingredients"), lambda j: F.get_json_object(j, "$.quantity_value").isNotNull() & F.get_json_object(j, "$.quantity_value").try_cast("double").isNull()), F.lit("ingredients: a quantity is no number")),
+        (F.exists(listed("steps"), lambda j: ~X.is_present(F.get_json_object(j, "$.text"))), F.lit("steps: one is empty")),
+    ]
+    return F.array_compact(F.array(*[F.when(c, message) for c, message in checks]))
+
+
+def fixture_hash(source: Column, expected: Column) -> Column:
+    return F.sha2(F.concat(source, F.char(F.lit(0)), expected), 256)
+
+
+JUDGE_KEY = ("fixture_set", "fixture_id", "fixture_content_hash", "extraction_prompt_version", "artifact_hash", "judge_name", "judge_version", "provider", "model")
+
+
+def judge_key(*parts: Column) -> Column:
+    """The name of a cached rating: all parts as slugs, then a digest of them."""
+    digest = F.substring(F.sha2(F.to_json(F.array(*parts)), 256), 1, 32)
+    return F.concat(F.substring(F.array_join(F.array(*[F.substring(X.slug(p), 1, 32) for p in parts]), "__"), 1, 120), F.lit("--"), digest)
+
+
+def judge(rows: DataFrame, cache: DataFrame, judge_of, key: str = "judge_key") -> DataFrame:
+    """rows: (key, prompt) -> (key, rating, critique, problem, cached). Known ratings are joined from the cache (key, rating, critique); judge_of: prompts -> JSON texts, asked once
+    for each other key. A verdict must be pass or fail with a critique; anything else is a problem and is not to be cached."""
+    from tessera.operators.runs import call_provider
+
+    known = cache.groupBy(key).agg(F.min_by("rating", F.struct("rating", "critique")).alias("rating"), F.min("critique").alias("critique"))
+    asked = rows.join(known, key, "left_anti").groupBy(key).agg(F.min("prompt").alias("prompt"))
+    told = call_provider(asked, lambda prompts: [(x, None) for x in judge_of(prompts)], [key]).withColumn("v", F.from_json("output", "rating string, critique string"))
+    good = F.coalesce(F.col("v.rating").isin("pass", "fail") & F.col("v.critique").isNotNull(), F.lit(False))
+    fresh = told.select(key, F.when(good, F.col("v.rating")).alias("rating"), F.when(good, F.col("v.critique")).alias("critique"), F.when(~good, F.coalesce("error", F.lit("no valid verdict"))).alias("problem"), F.lit(False).alias("cached"))
+    return fresh.unionByName(known.join(rows.select(key).distinct(), key, "left_semi").select(key, "rating", "critique", F.lit(None).cast("string").alias("problem"), F.lit(True).alias("cached")))
+
+
+def drifted(fixtures: DataFrame, run: DataFrame) -> DataFrame:
+    """Fixtures (fixture_id, content_hash) that changed since a run recorded their hash."""
+    return fixtures.join(run.select("fixture_id", F.col("content_hash").alias("recorded")), "fixture_id").where(F.col("recorded") != F.col("content_hash"))
+
+
+def alignment(current: DataFrame, records: DataFrame) -> DataFrame:
+    """current: (fixture_id, judge_version, artifact_hash, judge_rating); records: earlier ones with human_rating. A human rating holds only for the same judge version
+    and artifact; agreement is told where both sides rated."""
+    human = records.where("human_rating IN ('pass', 'fail')").groupBy("fixture_id", "judge_version", "artifact_hash").agg(F.max("human_rating").alias("human_rating"))
+    rows = current.join(human, ["fixture_id", "judge_version", "artifact_hash"], "left")
+    status = F.when(F.col("human_rating").isNull() | F.col("judge_rating").isNull(), "unrated").when(F.col("human_rating") == F.col("judge_rating"), "agree").otherwise("disagree")
+    return rows.withColumn("agreement_status", status)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 # Default caps.
 ITEMS, CHUNKS_PER_ITEM = 6, 3
 MENU_COURSES, MENU_CANDIDATES = 6, 5
+# Prompt version of each answer style; an unknown style takes the first.
+PROMPT_VERSIONS = {"recommendation": "answer-recommendation-v2", "summary": "answer-summary-v2", "comparison": "answer-comparison-v2", "direct_answer": "answer-direct-answer-v2"}
 
 
 def context_pack(chunks: DataFrame, items: int = ITEMS, per_item: int = CHUNKS_PER_ITEM) -> DataFrame:
@@ -102,3 +104,40 @@ def best_per_course(plan: DataFrame, assigned: DataFrame) -> DataFrame:
     """The fallback menu in plan order: each course's best candidate, or none."""
     best = assigned.groupBy("request_id", "course").agg(F.max_by("item_id", F.struct("score", F.col("item_id"))).alias("item_id"))
     return plan.join(best, ["request_id", "course"], "left")
+
+
+def prompt_version_of(style: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for kv in PROMPT_VERSIONS.items() for x in kv])
+    return F.coalesce(known[style], F.lit(next(iter(PROMPT_VERSIONS.values()))))
+
+
+def allowed_ids(pack: DataFrame) -> DataFrame:
+    """(query_id, footer): the citation and item ids that an answer may name, each once, in the pack's order."""
+    order = F.struct("item_place", "chunk_place")
+    once = lambda name: pack.groupBy("query_id", name).agg(F.min(order).alias("at")).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", name))), lambda s: s[name].cast("string")).alias(name))
+    both = once("cite_id").join(once("item_id"), "query_id")
+    listed = lambda name: F.coalesce(F.nullif(F.array_join(name, ", "), F.lit("")), F.lit("(none)"))
+    return both.select("query_id", F.concat(F.lit("Allowed citation IDs: "), listed("cite_id"), F.lit("\nAllowed knowledge_item_ids: "), listed("item_id")).alias("footer"))
+
+
+def pack_counts(queries: DataFrame, pack: DataFrame) -> DataFrame:
+    """Per query how many items and citations its context has."""
+    sums = pack.groupBy("query_id").agg(F.count_distinct("ctx_id").alias("n_context_items"), F.count_distinct("cite_id").alias("n_citations"))
+    return queries.select("query_id").join(sums, "query_id", "left").fillna(0)
+
+
+def over_fetch(cap: int = MENU_CANDIDATES, courses: int = MENU_COURSES) -> int:
+    """Results that each course asks for: what it may keep, and what all others may take from it."""
+    return cap * courses
+
+
+def menu_payload(plan: DataFrame, menu: DataFrame, assigned: DataFrame, valid: DataFrame) -> DataFrame:
+    """plan: (request_id, course, slot); menu: (request_id, course, item_id); valid: (request_id, valid) -> a row for each planned course in order: the
+    chosen item, else (where the menu is not valid) the course's best candidate, or none; status: menu, fallback or empty."""
+    best = best_per_course(plan.select("request_id", "course"), assigned).withColumnRenamed("item_id", "best_item")
+    chosen = menu.groupBy("request_id", "course").agg(F.min("item_id").alias("menu_item"))
+    rows = plan.join(best, ["request_id", "course"], "left").join(chosen, ["request_id", "course"], "left").join(valid, "request_id", "left")
+    good = F.coalesce("valid", F.lit(False))
+    rows = rows.withColumn("item_id", F.when(good, F.col("menu_item")).otherwise(F.col("best_item")))
+    filled = F.max(F.col("item_id").isNotNull()).over(Window.partitionBy("request_id"))
+    return rows.withColumn("status", F.when(~filled, "empty").when(good, "menu").otherwise("fallback")).select("request_id", "course", "slot", "item_id", "status")

@@ -115,7 +115,9 @@ def build_chunks(items: DataFrame, cap: int = 8000) -> DataFrame:
 
 
 def first_claim(items: DataFrame, order: list[str], size: str, most: int = BATCH_REQUESTS, most_bytes: int = BATCH_BYTES) -> DataFrame:
-    """The longest front of the queue within both caps; the first row always."""
+    """The longest front of the queue within both caps; the first row always. Spark takes the first `most` rows of each task and then of all, so one
+    task sees no more than these."""
+    items = items.orderBy(*order).limit(max(most, 1))
     window = Window.orderBy(*order)
     place, running = F.row_number().over(window), F.sum(size).over(window.rowsBetween(Window.unboundedPreceding, 0))
     return items.withColumn("place", place).withColumn("running", running).where((F.col("place") == 1) | ((F.col("place") <= most) & (F.col("running") <= most_bytes)))

@@ -16,8 +16,17 @@ def edges(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(EDGES, "from_status string, to_status string")
 
 
+def first_of(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row of each key: the first by `at` if there is such a column, then by the others in their order."""
+    others = [c for c in rows.columns if c not in key]
+    first = F.min(F.struct(*sorted(others, key=lambda c: c != "at"))).alias("__first")
+    return rows.groupBy(*key).agg(first).select(*key, *[F.col(f"__first.{c}").alias(c) for c in others])
+
+
 def transition(documents: DataFrame, commands: DataFrame) -> DataFrame:
-    """commands: (document_id, to_status) -> documents with `applied`: false for an edge that doesn't exist (the status stays)."""
+    """commands: (document_id, to_status, and maybe `at`) -> documents with `applied`: false for an edge that doesn't exist (the status stays), null
+    without a command. Of several commands for a document the first holds: by `at` if there is one, then by to_status."""
+    commands = first_of(commands.select("document_id", "to_status", *(["at"] if "at" in commands.columns else [])), ["document_id"]).select("document_id", "to_status")
     allowed = F.broadcast(edges(documents.sparkSession)).withColumn("allowed", F.lit(True))
     rows = documents.join(commands, "document_id", "left")
     rows = rows.join(allowed, (F.col("status") == F.col("from_status")) & (rows["to_status"] == allowed["to_status"]), "left").select(*[documents[c] for c in documents.columns], rows["to_status"].alias("__to"), "allowed")
@@ -50,10 +59,11 @@ def reprocess_mode(same_prompt: Column, same_schema: Column, same_extractor: Col
 
 def batch_results(items: DataFrame, results: DataFrame, runs: DataFrame, attempts: int = ATTEMPTS) -> DataFrame:
     """items: (document_id, source_version, input_hash, status, submit_attempts); results: (input_hash, result_type, parsed, valid, retryable)
-    -> items with new_status and run_status. Results that come again change nothing."""
+    -> items with new_status and run_status. Results that come again change nothing; of several for one
+    input the first holds, as in first_of()."""
     key = ["document_id", "source_version", "input_hash"]
     had = runs.select(*key).distinct().withColumn("had_run", F.lit(True))
-    rows = items.join(results.dropDuplicates(["input_hash"]), "input_hash", "left").join(had, key, "left")
+    rows = items.join(first_of(results, ["input_hash"]), "input_hash", "left").join(had, key, "left")
     active = (F.col("status") == "submitted") & F.col("result_type").isNotNull()
     again = (F.col("result_type") == "expired") | ((F.col("result_type") == "errored") & F.coalesce("retryable", F.lit(False)))
     good = (F.col("result_type") == "succeeded") & F.coalesce("parsed", F.lit(False)) & F.coalesce("valid", F.lit(False))

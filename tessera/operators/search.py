@@ -5,7 +5,10 @@ joined to them (queries, top-k rows) is bounded by queries times k."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,20 +45,76 @@ def ranked(hits: DataFrame, order: list, top_k: int, source: str) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= top_k).withColumn("retrieval_source", F.lit(source))
 
 
+def _nearest(rows: list, top_k: int, columns: list[str]):
+    """Batches of chunks -> each task's top_k of every query. A batch is one matrix product with the queries of its space; what is kept is at most
+    queries times top_k rows."""
+    spaces: dict = {}
+    for query_id, provider, model, vector in rows:
+        v = np.asarray([] if vector is None else vector, np.float64)
+        spaces.setdefault((provider, model, len(v)), []).append((query_id, v))
+    spaces = {k: ([q for q, _ in v], np.stack([x for _, x in v])) for k, v in spaces.items() if k[2]}
+
+    def run(batches):
+        best: dict = {}
+        for batch in batches:
+            pdf = batch.select(columns).to_pandas()
+            lists = batch.column(batch.schema.get_field_index("embedding"))
+            sizes = np.asarray(pc.list_value_length(lists).fill_null(0))
+            keys = list(zip(batch.column(batch.schema.get_field_index("provider")).to_pylist(), batch.column(batch.schema.get_field_index("model")).to_pylist(), sizes.tolist()))
+            for space, (ids, asked) in spaces.items():
+                at = np.array([k for k, key in enumerate(keys) if key == space], np.int64)
+                if not len(at):
+                    continue
+                chunk = np.asarray(lists.take(pa.array(at)).flatten(), np.float64).reshape(len(at), -1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    far = 1 - (chunk @ asked.T) / np.outer(np.linalg.norm(chunk, axis=1), np.linalg.norm(asked, axis=1))
+                far[~np.isfinite(far)] = np.inf
+                limit = np.partition(far, top_k - 1, axis=0)[top_k - 1] if len(far) > top_k else np.full(len(ids), np.inf)
+                known = best.get(space)
+                if known is not None:
+                    limit = np.minimum(limit, known[1])
+                row, query = np.nonzero((far <= limit) & np.isfinite(far))
+                new = pdf.iloc[at[row]].assign(query_id=[ids[q] for q in query], query_at=query, distance=far[row, query])
+                frame = pd.concat([known[0], new]) if known is not None else new
+                frame = frame.sort_values(["query_at", "distance", "chunk_id"], kind="stable").groupby("query_at").head(top_k)
+                full = frame.groupby("query_at")["distance"].agg(["size", "max"])
+                reach = np.full(len(ids), np.inf)
+                done = full[full["size"] >= top_k]
+                reach[done.index.to_numpy()] = done["max"].to_numpy()
+                best[space] = (frame, reach)
+        for frame, _ in best.values():
+            yield pa.RecordBatch.from_pandas(frame[["query_id", *columns, "distance"]], preserve_index=False)
+
+    return run
+
+
 def vector_leg(chunks: DataFrame, queries: DataFrame, top_k: int = 50, block: int = QUERY_BLOCK) -> DataFrame:
     """chunks: (chunk_id, item_id, chunk_type, provider, model, embedding); queries: (query_id, provider, model, vector).
-    Nearest first, then chunk_id. Queries go to all tasks in blocks of about `block`, a fixed bound whatever their number."""
-    blocks = max(1, -(-queries.count() // block))
+    Nearest first, then chunk_id. About `block` queries (a fixed bound whatever their number) go to all tasks at a time; a task keeps top_k
+    rows of each, so what is shuffled doesn't grow with the chunks of a task."""
+    asked = queries.select("query_id", "provider", "model", "vector")
+    blocks = max(1, -(-asked.count() // block))
+    columns = [c for c in chunks.columns if c != "embedding"]
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), *(chunks.schema[c] for c in columns), T.StructField("distance", T.DoubleType())])
     out = None
     for k in range(blocks):
-        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) if blocks > 1 else queries
-        pairs = chunks.join(F.broadcast(some), ["provider", "model"])
-        hits = pairs.withColumn("distance", cosine_distance(F.col("embedding"), F.col("vector"))).where("distance IS NOT NULL").drop("embedding", "vector")
+        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) if blocks > 1 else asked
+        rows = [tuple(r) for r in some.collect()]  # about `block` rows
+        hits = chunks.select(*columns, "embedding").mapInArrow(_nearest(rows, top_k, columns), schema)
         one = ranked(hits, [F.asc("distance"), F.asc("chunk_id")], top_k, "vector").withColumn("raw_score", 1 - F.col("distance"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def word_leg(chunks: DataFrame, queries: DataFrame, top_k: int = 50) -> DataFrame:
+    """Unstemmed word search. chunks: (chunk_id, item_id, chunk_type, words); queries: (query_id, terms). A chunk matches if it has all
+    terms; its score is how often it has them. Only words that a query asks for are counted."""
+    terms = queries.where(F.size("terms") > 0).select("query_id", F.array_distinct("terms").alias("terms")).select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("word"))
+    postings = chunks.select("chunk_id", "item_id", "chunk_type", F.explode("words").alias("word"))
+    found = postings.join(terms, "word").groupBy("query_id", "n_terms", "chunk_id", "item_id", "chunk_type").agg(F.count_distinct("word").alias("n_found"), F.count(F.lit(1)).alias("raw_score"))
+    return ranked(found.where("n_found = n_terms").drop("n_found", "n_terms"), [F.desc("raw_score"), F.asc("chunk_id")], top_k, "keyword")
+
+
 def cover_density(positions: dict[str, list[int]]) -> float:
     """Sum over minimal covers of all query terms, decaying with a cover's length (Clarke, Cormack, Tudhope 1999)."""
     events = sorted((p, t) for t, found in positions.items() for p in found)
@@ -79,7 +138,7 @@ def keyword_leg(chunks: DataFrame, queries: DataFrame, top_k: int = 50) -> DataF
     its own terms."""
     terms = queries.where(F.size("terms") > 0).select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("lexeme"))
     postings = chunks.select("chunk_id", "item_id", "chunk_type", F.explode("lexemes").alias("p")).select("chunk_id", "item_id", "chunk_type", "p.lexeme", "p.pos")
-    found = postings.join(F.broadcast(terms), "lexeme").groupBy("query_id", "chunk_id", "item_id", "chunk_type", "n_terms").agg(F.count_distinct("lexeme").alias("n_found"), F.collect_list(F.struct("lexeme", "pos")).alias("places"))
+    found = postings.join(terms, "lexeme").groupBy("query_id", "chunk_id", "item_id", "chunk_type", "n_terms").agg(F.count_distinct("lexeme").alias("n_found"), F.collect_list(F.struct("lexeme", "pos")).alias("places"))
     hits = found.where("n_found = n_terms").withColumn("raw_score", _density(F.col("places"))).drop("places", "n_terms", "n_found")
     return ranked(hits, [F.desc("raw_score"), F.asc("chunk_id")], top_k, "keyword")
 
@@ -131,10 +190,12 @@ def apply_rerank(merged: DataFrame, reranked: DataFrame) -> DataFrame:
 
 
 def group_items(merged: DataFrame, limit: int = 10) -> DataFrame:
-    """(query_id, item_id, item_score, best_chunk, n_types, chunks, place): the best chunk plus a bonus for each further chunk type."""
+    """(query_id, item_id, item_score, best_chunk, n_types, chunks, place): the best chunk plus a bonus for each further chunk type; no bonus where
+    merged has a column `reranked` that is true."""
     pair = F.struct((-F.col("score")).alias("order"), "chunk_id", "chunk_type", "score", "sources")
-    items = merged.groupBy("query_id", "item_id").agg(F.max("score").alias("best_chunk"), F.count_distinct("chunk_type").alias("n_types"), F.sort_array(F.collect_list(pair)).alias("chunks"))
-    items = items.withColumn("item_score", F.col("best_chunk") + F.least(F.lit(TYPE_BONUS) * (F.col("n_types") - 1), F.lit(TYPE_BONUS_CAP)))
+    plain = F.max("reranked") if "reranked" in merged.columns else F.lit(False)
+    items = merged.groupBy("query_id", "item_id").agg(plain.alias("plain"), F.max("score").alias("best_chunk"), F.count_distinct("chunk_type").alias("n_types"), F.sort_array(F.collect_list(pair)).alias("chunks"))
+    items = items.withColumn("item_score", F.col("best_chunk") + F.when(F.col("plain"), 0.0).otherwise(F.least(F.lit(TYPE_BONUS) * (F.col("n_types") - 1), F.lit(TYPE_BONUS_CAP)))).drop("plain")
     window = Window.partitionBy("query_id").orderBy(F.desc("item_score"), F.desc("best_chunk"), F.asc("item_id"))
     items = items.withColumn("place", F.row_number().over(window)).where(F.col("place") <= limit)
     return items.withColumn("chunks", F.transform("chunks", lambda c: c.dropFields("order")))

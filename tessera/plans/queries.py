@@ -7,22 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import catalog, evaluation, ground, ingest, lifecycle, search
+from tessera.streaming import events
+from tessera.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from tessera.plans.views import CHUNK_TYPE_SQL, ITEMS_SQL, LINES_SQL, chunk_type, items, lines, table
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 # -- search ------------------------------------------------------------------------------------------------------------
 
 
@@ -52,13 +40,9 @@ def vector_topk(spark, sf_dir):
 
 def _text_hits(spark, sf_dir):
     """Unstemmed word search: lines that hold all words of a query (the first three words of each benchmark text)."""
-    rows = lines(spark, sf_dir).select((F.col("doc_id") * 1000000 + F.col("page")).alias("chunk_id"), F.col("doc_id").alias("item_id"), chunk_type(F.col("page")).alias("chunk_type"), "text")
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.slice(X.words(F.col("text")), 1, 3))).alias("word"))
-    sizes = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    postings = rows.select("chunk_id", "item_id", "chunk_type", F.explode(X.words(F.col("text"))).alias("word")).groupBy("chunk_id", "item_id", "chunk_type", "word").agg(F.count(F.lit(1)).alias("n"))
-    found = postings.join(asked, "word").groupBy("query_id", "chunk_id", "item_id", "chunk_type").agg(F.count(F.lit(1)).alias("n_found"), F.sum("n").alias("raw_score"))
-    hits = found.join(sizes, "query_id").where("n_found = n_terms").drop("n_found", "n_terms")
-    return search.ranked(hits, [F.desc("raw_score"), F.asc("chunk_id")], 50, "keyword")
+    rows = lines(spark, sf_dir).select((F.col("doc_id") * 1000000 + F.col("page")).alias("chunk_id"), F.col("doc_id").alias("item_id"), chunk_type(F.col("page")).alias("chunk_type"), X.words(F.col("text")).alias("words"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(F.slice(X.words(F.col("text")), 1, 3)).alias("terms"))
+    return search.word_leg(rows, asked)
 
 
 _WORDS = "list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
@@ -262,8 +246,11 @@ def dedup_best_whole(spark, sf_dir):
 
 @query(f"WITH {LINES_SQL}, parts AS (SELECT doc_id, page, text, page % 5 AS k FROM pages WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' AND strlen(text) <= 8000) SELECT doc_id, page, {CHUNK_TYPE_SQL.format('page')} AS chunk_type, sha256(text) AS text_hash FROM parts")
 def chunk_small(spark, sf_dir):
-    rows = lines(spark, sf_dir).where((F.octet_length("text") <= 8000) & X.is_present(F.col("text")))
-    return rows.select("doc_id", "page", chunk_type(F.col("page")).alias("chunk_type"), F.sha2("text", 256).alias("text_hash"))
+    """Lines that fit as they are, as chunks."""
+    none = F.lit(None).cast("string")
+    rows = lines(spark, sf_dir).where(F.octet_length("text") <= 8000).select(F.struct("doc_id", "page").alias("item_id"), *[none.alias(k) for k in ("title", "summary", "ingredients_text", "steps_text")], F.col("text").alias("body_text"))
+    out = ingest.build_chunks(rows)
+    return out.select("item_id.doc_id", "item_id.page", chunk_type(F.col("item_id.page")).alias("chunk_type"), F.sha2("text", 256).alias("text_hash"))
 
 
 @query()
@@ -566,8 +553,9 @@ def parse_minutes(spark, sf_dir):
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return rows.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    """The streaming operator over the table as a batch."""
+    rows = events.tumbling_counts(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(lower(text), '[ \\t\\n\\v\\f\\r]+', ' ', 'g')) AS normalized FROM documents")

@@ -97,3 +97,56 @@ def save_baseline(spark: SparkSession, report: str, baseline: str) -> None:
 
 def insert_absent(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     return table.unionByName(rows.join(table, key, "left_anti"))
+
+
+def put_files(files: DataFrame, table: str) -> None:
+    """Stores (path, content) rows; a path that is there already stays as it is."""
+    rows = files.select("path", "content").dropDuplicates(["path"])
+    spark = files.sparkSession
+    if has_files(spark, table):
+        rows = rows.join(spark.read.parquet(table).select("path"), "path", "left_anti")
+    rows.write.mode("append").parquet(table)
+
+
+def has_files(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
+def delete_files(table: DataFrame, gone: DataFrame) -> DataFrame:
+    """What is left of stored files; paths that are not there are no error."""
+    return table.join(gone.select("path"), "path", "left_anti")
+
+
+# Fields of an alignment record.
+ALIGNMENT = "fixture_id string, human_rating string, judge_rating string, agreement_status string, judge_version string, artifact_hash string"
+
+
+def read_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Alignment records, none where the folder doesn't exist."""
+    return spark.read.schema(ALIGNMENT).json(folder) if has_files(spark, folder) else spark.createDataFrame([], ALIGNMENT)
+
+
+def write_alignment(records: DataFrame, folder: str, run_id: str) -> None:
+    """A run's records below folder/run_id; a record that is there already is never overwritten."""
+    records.select(*[c.split()[0] for c in ALIGNMENT.split(", ")]).write.mode("error").json(f"{folder.rstrip('/')}/{run_id}")
+
+
+def update_report(spark: SparkSession, report: str, section: str, rows: DataFrame) -> str:
+    """Adds a section to a report: a folder of its own beside the results, so the results are never rewritten. A failed run is refused."""
+    if not spark.read.json(report).where("run_status <> 'ok'").isEmpty():
+        raise ValueError("a failed run gets no further sections")
+    path = f"{report.rstrip('/')}.{section}"
+    rows.write.mode("error").json(path)
+    return path
+
+
+def latest_run(spark: SparkSession, folder: str) -> str | None:
+    """The run of the greatest name below a folder of reports; hidden ones and sections are skipped."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not has_files(spark, folder):
+        return None
+    found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
+    names = [s.getPath().getName() for s in found if s.isDirectory()]
+    names = [n for n in names if not n.startswith((".", "_")) and "." not in n]
+    return f"{folder.rstrip('/')}/{max(names)}" if names else None
