@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,8 +27,12 @@ def _own_folder() -> str:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The shared folder named by spark.checkpoint.dir. Where that is unset, a folder of our own if driver and executors are one
+    process; on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or _own_folder()
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -65,37 +70,58 @@ def _text(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
-def _row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
-    repeated = docs.groupBy(doc_key(id_col).alias("doc")).count().where("count > 1").limit(1).count()
-    return F.xxhash64(_text(text_col)) if repeated else F.lit(0).cast("long")
+def ids_repeat(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether some doc_id stands in several rows: one aggregation of the ids. Operators ask once and pass the answer on."""
+    return docs.groupBy(doc_key(id_col).alias("doc")).count().where("count > 1").limit(1).count() > 0
 
 
-def key_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+def _row_key(docs: DataFrame, id_col: str, text_col: str, repeat: bool | None) -> Column:
+    repeat = ids_repeat(docs, id_col) if repeat is None else repeat
+    return F.xxhash64(_text(text_col)) if repeat else F.lit(0).cast("long")
+
+
+def key_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeat: bool | None = None) -> list[Column]:
     """doc and row, as in rows_of()."""
-    return [doc_key(id_col).alias("doc"), _row_key(docs, id_col, text_col).alias("row")]
+    return [doc_key(id_col).alias("doc"), _row_key(docs, id_col, text_col, repeat).alias("row")]
 
 
-def rows_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def rows_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeat: bool | None = None) -> DataFrame:
     """doc (long, never null), row, text (string, never null). row tells apart different texts that share a doc_id: the
     hash of the text, or 0 where no doc_id repeats."""
-    return docs.select(doc_key(id_col).alias("doc"), _row_key(docs, id_col, text_col).alias("row"), _text(text_col).alias("text"))
+    return docs.select(*key_columns(docs, id_col, text_col, repeat), _text(text_col).alias("text"))
+
+
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of docs has."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def _by_keys(docs: DataFrame, keys: DataFrame, how: str, once: bool, id_col: str, text_col: str, repeat: bool | None) -> DataFrame:
+    repeat = ids_repeat(docs, id_col) if repeat is None else repeat
+    doc, row = free_names(docs, "doc_key", "row_key")
+    # a merge join at every size: the texts move once, however many keys there are
+    keys = keys.select(F.col("doc").alias(doc), F.col("row").alias(row)).distinct().hint("merge")
+    own = docs.select(*(F.col(f"`{c}`") for c in docs.columns), doc_key(id_col).alias(doc), _row_key(docs, id_col, text_col, repeat).alias(row))
+    kept = own.join(keys, [doc, row], how)
+    if once and repeat:
+        kept = kept.dropDuplicates([doc, row])
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-def keep_rows(docs: DataFrame, keys: DataFrame, once: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_rows(docs: DataFrame, keys: DataFrame, once: bool = False, id_col: str = "doc_id", text_col: str = "text", repeat: bool | None = None) -> DataFrame:
     """The rows of docs, with all their columns, whose (doc, row) is in keys; once: one of equal rows."""
-    row = _row_key(docs, id_col, text_col)
-    keys = keys.select(F.col("doc").alias("__doc"), F.col("row").alias("__row")).distinct()
-    kept = docs.withColumn("__doc", doc_key(id_col)).withColumn("__row", row).join(keys, ["__doc", "__row"], "left_semi")
-    if once and docs.groupBy(doc_key(id_col).alias("doc"), row.alias("row")).count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["__doc", "__row"])
-    return kept.select(*docs.columns)
+    return _by_keys(docs, keys, "left_semi", once, id_col, text_col, repeat)
 
 
-def drop_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeat: bool | None = None) -> DataFrame:
     """The rows of docs, with all their columns, whose (doc, row) is not in keys."""
-    row = _row_key(docs, id_col, text_col)
-    keys = keys.select(F.col("doc").alias("__doc"), F.col("row").alias("__row")).distinct()
-    return docs.withColumn("__doc", doc_key(id_col)).withColumn("__row", row).join(keys, ["__doc", "__row"], "left_anti").select(*docs.columns)
+    return _by_keys(docs, keys, "left_anti", False, id_col, text_col, repeat)
 
 
 # -- batches -----------------------------------------------------------------------------------------------------------
@@ -136,6 +162,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 BYTE_CODE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+OTHER_CODE = mix64(BYTE_CODE + np.uint64(1))
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 

@@ -26,7 +26,7 @@ from tessera.llm.common import discard, key_to_id, materialize, mix64, rows_of
 
 LINES = "doc long, row long, ord int, hi long, lo long"
 INDEX = "shard int, load long, n int, levels binary, sizes array<int>, prints binary, counts binary, firsts binary"
-KEYS_PER_SHARD = 1 << 16
+KEYS_PER_SHARD = 1 << 14
 GAMMA = 1.7
 
 
@@ -151,6 +151,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hits = probes.groupBy("shard", "copy").cogroup(served.groupBy("shard", "copy")).applyInPandas(_probe, "doc long, row long, ord int")
     drops = materialize(hits.groupBy("doc", "row").agg(F.sort_array(F.collect_set("ord")).alias("drops")), "line-drops")
     discard(lines)
-    out = rows.join(drops, ["doc", "row"], "left").select("doc", "text", "drops")
+    # a merge join at every size: the texts move once
+    out = rows.join(drops.hint("merge"), ["doc", "row"], "left").select("doc", "text", "drops")
     out = out.mapInArrow(_rebuild, "doc long, text string, n_lines long, n_dropped long, kept_sha256 string")
     return out.select(key_to_id("doc").alias("doc_id"), "text", "n_lines", "n_dropped", "kept_sha256")

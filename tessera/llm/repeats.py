@@ -26,14 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BYTE_CODE, blocks, byte_offsets, discard, key_to_id, materialize, mix64, prefix_hash, rows_of, signed, span_hash
+from tessera.llm.common import BYTE_CODE, OTHER_CODE, blocks, byte_offsets, discard, key_to_id, materialize, mix64, prefix_hash, rows_of, signed, span_hash
 
 LENGTH, GRAM = 100, 32
 PLACE_BITS = 24
 #: Bytes of one text that are parsed at once; the pieces overlap by a passage.
 PIECE = 1 << 22
 U = np.uint64
-OTHER_CODE = mix64(BYTE_CODE + U(1))
 RUNS = "trig long, run long, doc long, row long, start long, n int, lead int"
 FOUND = "doc long, row long, start long, n int, lead int, whole boolean"
 #: Neighbouring suffixes that are first compared as one.
