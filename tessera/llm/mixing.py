@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keep_rows, key_columns, materialize
+from tessera.llm.common import discard, free_names, materialize
 
 #: Weights are whole numbers; those of one family sum up to this at most (sums stay within 64 bits).
 MOST_WEIGHT = 10_000
@@ -86,10 +86,15 @@ def allocate(leaves: DataFrame, levels: list[str], weights: dict[str, dict[str,
     return plan.select(*levels, "tokens", "share", F.expr("share DIV greatest(tokens, 1)").alias("passes"), F.expr("share % greatest(tokens, 1)").alias("rest"))
 
 
+def epoch_order(seed: int, passes: Column, doc: Column) -> Column:
+    """A document's place in an epoch: it changes with the seed and with the number of whole passes before."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), passes.cast("string"), F.coalesce(doc.cast("string"), F.lit(""))).cast("binary"))
+
+
 def select_prefix(rows: DataFrame, levels: list[str], seed: int) -> DataFrame:
-    """rows: (doc_id, levels, n_tokens, passes, rest) -> the same with take_tokens: passes * n_tokens, and what the further pass takes."""
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("passes").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = rows.withColumn("order", order).withColumn("range", (F.conv(F.substring("order", 1, 3), 16, 10).cast("int") * RANGES / 4096).cast("int"))
+    """rows: (doc_id, levels, n_tokens, passes, rest) -> the same with take_tokens: passes * n_tokens, and what the further pass
+    takes; and order, the place in that pass."""
+    rows = rows.withColumn("order", epoch_order(seed, F.col("passes"), F.col("doc_id"))).withColumn("range", (F.conv(F.substring("order", 1, 3), 16, 10).cast("int") * RANGES / 4096).cast("int"))
     place = [*levels, "range"]
     sums = rows.groupBy(*place).agg(F.sum("n_tokens").alias("n"))
     ahead = Window.partitionBy(*levels).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -97,34 +102,54 @@ def select_prefix(rows: DataFrame, levels: list[str], seed: int) -> DataFrame:
     inside = Window.partitionBy(*place).orderBy("order", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(sums, place).withColumn("start", F.col("start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     cut = F.greatest(F.lit(0).cast("long"), F.least(F.col("n_tokens"), F.col("rest") - F.col("start")))
-    return rows.withColumn("take_tokens", (F.col("passes") * F.col("n_tokens") + cut).cast("long")).drop("order", "range", "start")
+    return rows.withColumn("take_tokens", (F.col("passes") * F.col("n_tokens") + cut).cast("long")).drop("range", "start")
 
 
-def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, int]], share: tuple[int, int] = SHARE, epochs: int = EPOCHS, seed: int = SEED, keep: list[Column] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the levels, n_tokens, passes (whole ones of the leaf), take_tokens (of this document, all passes together) and
-    the columns of `keep`, for each row of docs. share: the budget as a fraction (numerator, denominator) of all tokens."""
+def _planned(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, int]], share: tuple[int, int], epochs: int, seed: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Each row's tokens taken (with order), and the plan of the leaves."""
     names = list(levels)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, *(F.coalesce(c.cast("string"), F.lit("")).alias(k) for k, c in levels.items()), count_tokens(text).alias("n_tokens"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), *(F.coalesce(c.cast("string"), F.lit("")).alias(k) for k, c in levels.items()), count_tokens(text).alias("n_tokens"))
     rows = materialize(rows, "tokens")
     leaves = materialize(rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     plan = materialize(allocate(leaves, names, weights, total * share[0] // share[1], epochs), "leaf-plan")
+    discard(leaves)
     # the plan is as large as the tree; Spark sends it to all tasks if its files are small enough, and else splits large leaves
-    out = select_prefix(rows.join(plan.drop("tokens", "share"), names), names, seed)
-    return out.select("doc_id", *(c for c in out.columns if c not in ("doc_id", "rest")))
+    return select_prefix(rows.join(plan.drop("tokens", "share"), names), names, seed), plan
+
+
+def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, int]], share: tuple[int, int] = SHARE, epochs: int = EPOCHS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, the levels, n_tokens, passes (whole ones of the leaf), take_tokens (of this document, all passes together), for
+    each row of docs. share: the budget as a fraction (numerator, denominator) of all tokens."""
+    out, _ = _planned(docs, levels, weights, share, epochs, seed, id_col, text_col)
+    return out.select("doc_id", *levels, "n_tokens", "passes", "take_tokens")
+
+
+def production_levels() -> dict[str, Column]:
+    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    return {"domain": domain_of(source), "lang": F.col("lang"), "source": source}
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """mix() over domain, lang and source with the production parameters."""
-    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    return mix(docs, {"domain": domain_of(source), "lang": F.col("lang"), "source": source}, WEIGHTS, **options)
+    return mix(docs, production_levels(), WEIGHTS, **options)
 
 
 def keep_mixed(docs: DataFrame, share: tuple[int, int] = SHARE, seed: int = SEED) -> DataFrame:
-    """The rows of docs, with all their columns, of which one pass takes some token."""
-    mixed = mix_sources(docs, share=share, epochs=1, seed=seed, keep=key_columns(docs))
-    return keep_rows(docs, materialize(mixed.where("take_tokens > 0").select("doc", "row"), "mixed"))
+    """The rows of docs, with all their columns, of which one pass takes some token. Each leaf tells only where its prefix ends
+    (a table as large as the tree), so the texts stay where they are; rows that have the last one's place all stay."""
+    levels = production_levels()
+    taken, plan = _planned(docs, levels, WEIGHTS, share, 1, seed, "doc_id", "text")
+    last = taken.where("take_tokens > 0").groupBy(*levels).agg(F.max(F.struct("order", "n_tokens")).alias("last"), F.max("passes").alias("whole"))
+    last = materialize(last, "prefix-ends")
+    names = free_names(docs, "leaf_domain", "leaf_lang", "leaf_source", "leaf_last", "leaf_whole", "leaf_tokens")
+    keys = names[:3]
+    last = last.select(*(F.col(k).alias(n) for k, n in zip(levels, keys)), F.col("last").alias(names[3]), F.col("whole").alias(names[4]))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(*own, *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in zip(levels.values(), keys)), count_tokens(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(names[5]))
+    place = F.struct(epoch_order(seed, F.col(names[4]), F.col("doc_id")).alias("order"), F.col(names[5]).alias("n_tokens"))
+    return rows.join(last, keys).where((F.col(names[5]) > 0) & ((F.col(names[4]) > 0) | (place <= F.col(names[3])))).select(*own)
 
 
 def _case(level: str) -> str:
