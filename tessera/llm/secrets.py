@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # a run of letters and digits fails or passes as a whole
 HEX = r"[0-9a-f]{24,}"
-#: What the models judge.
-TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
+#: What the models judge, in a text whose base spans are covered by COVER.
+COVER = "\ue000"
+TOKEN = r"[A-Za-z0-9+/_=\x{E000}-]{16,}"
+#: Matches that are walked through at once: what is found grows by so many.
+BLOCK = 256
 LEAST_VALUE = 6
 KINDS = ("assign", "access", "hex", "markov")
 
@@ -40,30 +43,53 @@ def class_of(char: Column) -> Column:
     return F.when(code.between(97, 122), code - 86).when(code.between(48, 57), code - 47).when(code.between(65, 90), code - 28).otherwise(63)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def transitions(text: Column) -> Column:
     """Index of each step from one character to the next, in a table of CLASSES x CLASSES."""
-    at = lambda i: class_of(F.substring(text, i, F.lit(1)))
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.when(i > 1, at(i - 1)).otherwise(0) * CLASSES + at(i))
+    classes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), class_of)
+    return let(classes, lambda own: F.zip_with(F.slice(F.concat(F.array(F.lit(0)), own), F.lit(1), F.size(own)), own, lambda a, b: a * CLASSES + b))
+
+
+def _pieces(text: Column, pattern: str) -> Column:
+    """What stands before each match, and the match (null for the last piece)."""
+    return F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, found: F.struct(gap.alias("gap"), found.alias("found")))
 
 
 def spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
     """Leftmost non-overlapping matches as structs (start, end, order, kind, found). Where they stand follows from the pieces
-    between them."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    step = lambda acc, i: F.struct(
-        (acc["at"] + F.length(F.element_at(pieces, i)) + F.length(F.element_at(found, i))).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(F.element_at(pieces, i))).alias("start"), (acc["at"] + F.length(F.element_at(pieces, i)) + F.length(F.element_at(found, i))).alias("end"), F.lit(KINDS.index(kind)).alias("order"), F.lit(kind).alias("kind"), F.element_at(found, i).alias("found")))).alias("out"),
-    )
+    between them; the pieces are taken in blocks, so that the work grows with the text and hardly with the number of matches."""
     none = F.array().cast("array<struct<start:int,end:int,order:int,kind:string,found:string>>")
-    walked = F.aggregate(F.sequence(F.lit(1), F.size(found)), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.coalesce(F.length(x["found"]), F.lit(0))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("order"), F.lit(kind).alias("kind"), x["found"].alias("found")))).alias("out"))
+
+    def walk(pieces: Column) -> Column:
+        block = lambda acc, k: let(F.aggregate(F.slice(pieces, k * BLOCK + 1, F.lit(BLOCK)), F.struct(acc["at"].alias("at"), none.alias("out")), step), lambda got: F.struct(got["at"].alias("at"), F.concat(acc["out"], got["out"]).alias("out")))
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int")), F.struct(F.lit(0).alias("at"), none.alias("out")), block, lambda acc: acc["out"])
+
     # most texts have no match at all; the test is one pass and makes no copies
-    out = F.when(text.rlike(pattern), walked).otherwise(none)
+    out = F.when(text.rlike(pattern), F.filter(let(_pieces(text, pattern), walk), lambda s: s["found"].isNotNull())).otherwise(none)
     return F.filter(out, keep) if keep is not None else out
 
 
+def covered(text: Column, pattern: str, keep=None) -> Column:
+    """The text with COVER for each character of the matches."""
+    fill = lambda found: F.coalesce(F.repeat(F.lit(COVER), F.length(found)), F.lit(""))
+    one = lambda p: F.concat(p["gap"], fill(p["found"]) if keep is None else F.when(keep(p), fill(p["found"])).otherwise(F.coalesce(p["found"], F.lit(""))))
+    return F.when(text.rlike(pattern), F.array_join(F.transform(_pieces(text, pattern), one), "")).otherwise(text)
+
+
+def long_value(match: Column) -> Column:
+    return F.length(F.regexp_extract(match["found"], ASSIGN, 2)) >= LEAST_VALUE
+
+
 def base_spans(text: Column) -> list[Column]:
-    long_value = lambda s: F.length(F.regexp_extract(s["found"], ASSIGN, 2)) >= LEAST_VALUE
     return [spans(text, ASSIGN, "assign", long_value), spans(text, ACCESS, "access"), spans(text, HEX, "hex")]
 
 
@@ -103,10 +129,13 @@ def scan(docs: DataFrame, model: list[float] | None, threshold: float = THRESHOL
     if model is None:
         rows = rows.withColumn("markov", F.slice("base", 1, 0))
     else:
-        free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        # what touches a base span is no span of its own
+        rest = covered(covered(covered(F.col("text"), ASSIGN, long_value), ACCESS), HEX)
+        rows = rows.withColumn("rest", F.when(F.size("base") > 0, rest).otherwise(F.col("text")))
+        free = lambda s: ~s["found"].contains(COVER)
         # a random string mixes digits with letters or small letters with capitals
         mixed = lambda s: s["found"].rlike("[0-9]") & s["found"].rlike("[A-Za-z]") | s["found"].rlike("[a-z][^a-z]*[A-Z][^A-Z]*[a-z]")
-        rows = rows.withColumn("markov", spans(F.col("text"), TOKEN, "markov", lambda s: mixed(s) & free(s) & (ratio(s["found"], model) >= threshold)))
+        rows = rows.withColumn("markov", spans(F.col("rest"), TOKEN, "markov", lambda s: mixed(s) & free(s) & (ratio(s["found"], model) >= threshold)))
     rows = rows.withColumn("found", F.array_sort(F.concat("base", "markov"), _by_place))
     listed = lambda name: F.array_join(F.transform(name, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     return rows.select(
