@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import discard, materialize
 
 #: Most labelled documents of each class that the fit uses.
 SAMPLE = 12_000
-#: Entries of the lexicon at most, and learned exceptions; words of a learned exception at most.
-ENTRIES, PHRASE = 4_000, 3
+#: Words of a learned exception at most.
+PHRASE = 3
 PREFIXES = (3, 4, 5, 6)
 #: An entry is in so many toxic documents at least and has this weight; so many entries may get in by chance.
 LEAST_DOCS, LEAST_WEIGHT, BY_CHANCE = 3, 3.5, 0.05
@@ -105,6 +105,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * strength + self.bias, -40, 40)))
 
 
+def unspared(found: dict[int, float], spared: list[tuple[int, int]]) -> float:
+    """The weights of the matches that begin in no spared range: one walk over both in order."""
+    if not spared:
+        return sum([found[at] for at in sorted(found)])
+    spared.sort()
+    total, k, reach = 0.0, 0, -1
+    for at in sorted(found):
+        while k < len(spared) and spared[k][0] <= at:
+            reach = max(reach, spared[k][1])
+            k += 1
+        if at >= reach:
+            total += found[at]
+    return total
+
+
 def strength(text: str, automaton, folds: Folds) -> float:
     """Weights of the matches per 1000 words, as a logarithm. Of matches that begin at one word the heaviest counts."""
     folded = fold(text, folds)
@@ -118,7 +133,7 @@ def strength(text: str, automaton, folds: Folds) -> float:
             spared.append((start, end))
         elif weight > found.get(start, 0.0):
             found[start] = weight
-    total = sum([w for at, w in found.items() if not any(a <= at < b for a, b in spared)])
+    total = unspared(found, spared)
     return math.log1p(1000 * total / (folded.count(" ") + 10)) if total else 0.0
 
 
@@ -168,11 +183,11 @@ def _around(lexicon: dict[str, float]):
     return run
 
 
-def surprise(t: int, c: int, n_toxic: int, n_clean: int) -> float:
-    """Half the log-likelihood ratio of t toxic and c clean documents against equal shares; exp(-it) bounds the chance about."""
+def surprise(n_toxic: int, n_clean: int) -> Column:
+    """Half the log-likelihood ratio of a feature's toxic and clean documents against equal shares; exp(-it) bounds the chance about."""
     share = n_toxic / (n_toxic + n_clean)
-    part = lambda k, want: k * math.log(k / want) if k else 0.0
-    return part(t, (t + c) * share) + part(c, (t + c) * (1 - share))
+    part = lambda k, want: F.when(F.col(k) > 0, F.col(k) * F.ln(F.col(k) / ((F.col("toxic") + F.col("clean")) * want))).otherwise(0.0)
+    return part("toxic", share) + part("clean", 1 - share)
 
 
 def _lexicon(found: list, n_toxic: int, n_clean: int) -> dict[str, float]:
@@ -190,7 +205,7 @@ def _lexicon(found: list, n_toxic: int, n_clean: int) -> dict[str, float]:
         toxic, weight = known[f]
         if most[f] < 0.9 * toxic and not any(s in out and out[s] >= weight - 0.7 for s in shorter[f]):
             out[f] = weight
-    return dict(sorted(out.items(), key=lambda r: (-r[1], r[0]))[:ENTRIES])
+    return out
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -225,18 +240,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, phrases: list[
     bound = math.exp(LEAST_WEIGHT) * sizes[1] / sizes[0]
     tried = materialize(counts.where(F.col("toxic") >= LEAST_DOCS), "features")
     least = math.log(max(1, tried.count()) / BY_CHANCE)
-    found = tried.where(F.col("toxic") >= bound * F.col("clean") * 0.5).orderBy(F.desc("toxic"), "feature").limit(20 * ENTRIES).collect()
-    model = Model(_lexicon([tuple(r) for r in found if surprise(r[1], r[2], sizes[1], sizes[0]) >= least], sizes[1], sizes[0]))
+    # words of at most 2 * sample texts, and of these only the significant ones
+    found = tried.where((F.col("toxic") >= bound * F.col("clean") * 0.5) & (surprise(sizes[1], sizes[0]) >= least)).collect()
+    discard(tried)
+    model = Model(_lexicon([tuple(r) for r in found], sizes[1], sizes[0]))
     if not model.lexicon:
         return Model()
     # exceptions: words under a stem and phrases around matches that clean documents use as much as toxic ones
     around = known.mapInArrow(_around(model.lexicon), "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    usual = around.where((F.col("clean") >= 2) & (F.col("clean") * sizes[1] >= F.col("toxic") * sizes[0])).orderBy(F.length(F.regexp_replace("feature", "[^ ]", "")), F.desc("clean"), "feature").limit(20 * ENTRIES).collect()
+    usual = around.where((F.col("clean") >= 2) & (F.col("clean") * sizes[1] >= F.col("toxic") * sizes[0])).orderBy(F.length(F.regexp_replace("feature", "[^ ]", "")), F.desc("clean"), "feature").collect()
     learned: set[str] = set()
     for text in (r[0] for r in usual):  # a part stands for the phrases that hold it
         words = text.split()
         parts = (f" {' '.join(words[i:j])} " for i in range(len(words)) for j in range(i + 1, len(words) + 1) if j - i < len(words))
-        if len(learned) < ENTRIES and text not in model.lexicon and learned.isdisjoint(parts):
+        if text not in model.lexicon and learned.isdisjoint(parts):
             learned.add(text)
     folds = Folds()
     model.exceptions = sorted({*learned, *(fold(p, folds) for p in phrases)} - model.lexicon.keys() - {"  "})

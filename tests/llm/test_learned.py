@@ -65,10 +65,9 @@ def test_rare_terms(spark):
     assert not any(f.startswith((" zon", " sto", " tel")) for f in found)
 
 
-def test_learned_phrases(spark, monkeypatch):
+def test_learned_phrases(spark):
     """A phrase that is usual in clean documents spares the lexicon's word in it; callers' phrases are never cut."""
     texts = [(f"person{k} is a moron indeed", 1) for k in range(300)] + [(f"person{k} lives near moron town today" if k < 3 else f"person{k} lives near pleasant hills", 0) for k in range(300)]
-    monkeypatch.setattr(toxicity, "ENTRIES", 40)
     own = [f"phrase number {chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
     found = toxicity.fit(*labelled(spark, texts), phrases=own)
     automaton, folds = found.automaton(), toxicity.Folds()
@@ -109,7 +108,7 @@ def test_pages_odd(spark):
 
 def test_host_in_parts(spark, monkeypatch):
     """A large host gives each page the text that it has when all pages of the host are seen at once."""
-    monkeypatch.setattr(page_text, "PAGES_PER_PART", 4)
+    monkeypatch.setattr(page_text, "PART_BYTES", 400)
     notice = "this notice stands on very few pages of the large site only"
     motto = "half of all articles repeat this long motto of the house"
     rows = []
