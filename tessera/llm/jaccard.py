@@ -32,18 +32,22 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BYTE_CODE, LOWER, blocks, byte_offsets, discard, keep_rows, key_to_id, materialize, mix64, ngram_hash, prefix_hash, rows_of, signed, span_hash, word_spans
+from tessera.llm.common import BYTE_CODE, LOWER, blocks, byte_offsets, discard, ids_repeat, keep_rows, key_to_id, materialize, mix64, ngram_hash, prefix_hash, rows_of, signed, span_hash, word_spans
 from tessera.llm.components import components
 
 #: Sets of up to so many shingles have each shingle as a segment of its own; larger ones this many a segment at most.
-SINGLES, PER_SEGMENT = 192, 1.5
+SINGLES, PER_SEGMENT = 4096, 1.5
 #: A subset is common if it is seen so often in lots of LOT subsets that hold it more than once; the most common ones of these.
 COMMON_LEAST, COMMON_MOST, LOT = 8, 1 << 20, 1_000_000
-#: Rounds of pivots at most, and pivots of each; pairs per member of a group that are simply listed.
-MOST_TURNS, PIVOTS, PAIRS_PER_ROW = 4, 3, 2
+#: Rounds of further pivots at most; pairs per member of a group that are simply listed.
+MOST_TURNS, PAIRS_PER_ROW = 1, 8
+#: A pair meets under its first common subset; so many subsets before are compared to find that it isn't the first. Sets that a task remembers.
+LAST, REMEMBERED = 8, 1 << 18
+#: Longs of the bitmap of a set's keys.
+BITMAP = 8
 #: Distinct sets of a component that are verified at once; shingles of a slice of their product.
 BLOCK, COLUMNS = 256, 4096
 #: Shingles per cell of a sketch.
@@ -152,8 +156,8 @@ def chosen(owner: np.ndarray, key: np.ndarray, need: np.ndarray, band: np.ndarra
     place = np.arange(len(order)) - np.searchsorted(owner, np.arange(docs))[owner]
     take = place < need[owner]
     owner, order = owner[take], order[take]
-    hot = (order >> U(KEY_BITS)) & U((1 << CLASS_BITS) - 1) > 0
-    return owner, order & U((1 << KEY_BITS) - 1), hot, info_of(share[owner], sizes[owner], place[take], band[owner])
+    key = order & U((1 << HASH_BITS) - 1)  # with its class: keys are in the order of places
+    return owner, key, key >> U(KEY_BITS) > 0, info_of(share[owner], sizes[owner], place[take], band[owner])
 
 
 def can_link(x: str, y: str, t: float) -> str:
@@ -178,42 +182,53 @@ def set_hashes(tokens: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, n
     return np.diff(bounds), out[0], out[1]
 
 
+class _Seen:
+    """Which sets a task has met before; forgets all when full."""
+
+    def __init__(self):
+        self.known: set = set()
+
+    def new(self, node: np.ndarray, check: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(node), bool)
+        for k, pair in enumerate(zip(node.tolist(), check.tolist())):
+            if pair not in self.known:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known.add(pair)
+                out[k] = True
+        return out
+
+
 def _survey(n: int, t: float):
-    """Rows (0, doc, row, size, node, check) for documents; (1, subset, count, a node, its share, 0) for subsets that recur in a
-    lot, with the node of which most subsets recur; (2, ...) where a document has too few subsets."""
-
-    def recurring(keys, holders):
-        keys, holders = np.concatenate(keys), np.concatenate(holders)
-        value, at, count = np.unique(keys, return_inverse=True, return_counts=True)
-        node, own = np.unique(holders, return_inverse=True)
-        again = count[at] > 1
-        share = (1000 * np.bincount(own, weights=again) / np.bincount(own)).astype(np.int64)[own] if len(node) else np.zeros(0, np.int64)
-        at, share, holders = at[again], share[again], holders[again]
-        best = np.lexsort((holders, -share, at))
-        first = best[np.append(True, at[best][1:] != at[best][:-1])] if len(best) else best
-        return signed(value[at[first]]), count[at[first]], holders[first], share[first]
+    """Rows (0, doc, row, size, node, check) for documents; (1, subset, count, 0, 0, 0) for subsets that several sets of a lot hold;
+    (2, ...) where a document has too few subsets."""
+
+    def recurring(keys):
+        value, count = np.unique(np.concatenate(keys), return_counts=True)
+        return signed(value[count > 1]), count[count > 1], np.zeros(int(np.sum(count > 1)))
 
     def rows(kind, a, b, c, d=None, e=None, sketch=None):
         cols = [np.full(len(a), kind, np.int64), *(np.zeros(len(a), np.int64) if x is None else x.astype(np.int64) for x in (a, b, c, d, e))]
         return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(sketch or [None] * len(a), pa.binary())], names=["k", "a", "b", "c", "d", "e", "sketch"])
 
     def run(batches):
-        keys, holders, held, few = [], [], 0, 0
+        keys, held, few, seen = [], 0, 0, _Seen()
         for batch in batches:
             doc, row = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for first, last, tokens in token_sets(batch.column(2), n):
                 size, node, check = set_hashes(tokens, last - first)
                 yield rows(0, doc[first:last], row[first:last], size, signed(node), signed(check), sketches(tokens, last - first))
+                new = seen.new(node, check)
                 for owner, key, need, _ in subsets(tokens, last - first, t):
-                    keys.append(key), holders.append(signed(node)[owner])
-                    held += len(key)
                     present = np.bincount(owner, minlength=last - first)
                     few += int(np.sum((present > 0) & (present < need)))
+                    keys.append(key[new[owner]])
+                    held += len(keys[-1])
                 if held > LOT:
-                    yield rows(1, *recurring(keys, holders))
-                    keys, holders, held = [], [], 0
+                    yield rows(1, *recurring(keys))
+                    keys, held = [], 0
         if held:
-            yield rows(1, *recurring(keys, holders))
+            yield rows(1, *recurring(keys))
         if few:
             yield rows(2, np.array([few]), np.zeros(1), np.zeros(1))
 
@@ -221,46 +236,52 @@ def _survey(n: int, t: float):
 
 
 def _index(n: int, t: float, shared, finest: bool = False):
-    """(key, node, rep, info): rep is null for a rare subset, else the node that stands for all holders of the common subset."""
+    """(key, node, hot, info) of each set's places; a set once a task."""
 
     def run(batches):
-        common, reps, classes, alike = (np.frombuffer(x, np.int64) for x in shared.value)
+        common, classes, alike = (np.frombuffer(x, np.int64) for x in shared.value)
+        seen = _Seen()
         for batch in batches:
             for first, last, tokens in token_sets(batch.column(2), n):
                 size, node, check = set_hashes(tokens, last - first)
+                new = seen.new(node, check)
                 node = np.where(np.isin(signed(node), alike), signed(check), signed(node))
                 for owner, key, need, band in subsets(tokens, last - first, t, finest):
-                    owner, key, hot, info = chosen(owner, key, need, band, size, common.view(U), classes, last - first)
-                    key, rep = signed(key), np.zeros(len(key), np.int64)
-                    rep[hot] = reps[np.searchsorted(common, key[hot])]
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[owner]), pa.array(rep, mask=~hot), pa.array(info)], names=["key", "node", "rep", "info"])
+                    own = new[owner]
+                    owner, key, hot, info = chosen(owner[own], key[own], need, band, size, common.view(U), classes, last - first)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(node[owner]), pa.array(hot), pa.array(info)], names=["key", "node", "hot", "info"])
 
     return run
 
 
-INDEX = "key long, node long, rep long, info long"
-#: A group's members: rep stands for the group; the info of both (0: rep need not be a member itself).
-STARS = "key long, rep long, rep_info long, node long, info long"
+INDEX = "key long, node long, hot boolean, info long"
+GROUPS = "key long, node long, info long"
 
 
-def _stars(batches):
-    """Rows sorted by key -> rows of STARS for every further node of a key; the first one stands for the group, unless rep
-    is given."""
-    last_key, last_rep, last_info = None, 0, 0
+def _shared(batches):
+    """Rows of INDEX sorted by key and node -> (key, node, info), each pair once, without the keys that are not hot and only one node
+    holds."""
+    carry, told = None, False  # the last pair so far, and whether its key's pairs are told
     for batch in batches:
-        key, node, given, info = (np.asarray(c) for c in (batch.column(0), batch.column(1), batch.column(2).fill_null(0), batch.column(3)))
-        told = ~np.asarray(batch.column(2).is_null())
-        own = told & (given != node)
-        out = [[key[own], given[own], np.zeros(int(own.sum()), np.int64), node[own], info[own]]]
-        key, node, info = key[~told], node[~told], info[~told]
-        if len(key):
-            new = np.append(key[0] != last_key, key[1:] != key[:-1])
-            start = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            rep, rep_info = np.where(start >= 0, node[start], last_rep), np.where(start >= 0, info[start], last_info)
-            last_key, last_rep, last_info = key[-1], rep[-1], rep_info[-1]
-            own = rep != node
-            out.append([c[own] for c in (key, rep, rep_info, node, info)])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(5)], names=["key", "rep", "rep_info", "node", "info"])
+        cols = [np.asarray(c) for c in batch.columns]
+        if carry is not None:
+            cols = [np.append(x, c) for x, c in zip(carry, cols)]
+        key, node, hot, _ = cols
+        if not len(key):
+            continue
+        new_key = np.append(True, key[1:] != key[:-1])
+        new = new_key | np.append(True, node[1:] != node[:-1])
+        group = np.cumsum(new_key) - 1
+        several = (np.bincount(group, weights=new) > 1) | (np.bincount(group, weights=hot) > 0)
+        first_told = carry is not None and told
+        several[0] |= first_told
+        take = new & several[group]
+        told = bool(several[-1])
+        if first_told:
+            take[0] = False
+        last = np.flatnonzero(new)[-1]
+        carry = [c[last : last + 1] for c in cols]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[k][take]) for k in (0, 1, 3)], names=["key", "node", "info"])
 
 
 def _tokens(n: int):
@@ -307,24 +328,21 @@ def _prune(t: float):
 class _Checker:
     """Verifies pairs of nodes; loads only the texts that pairs need."""
 
-    def __init__(self, rows: DataFrame, sets: DataFrame, n: int, t: float):
-        self.rows, self.n, self.t = rows, n, t
-        self.sets = sets
+    def __init__(self, rows: DataFrame, nodes: DataFrame, n: int, t: float):
+        self.rows, self.nodes, self.n, self.t = rows, nodes, n, t
 
     def __call__(self, pairs: DataFrame, label: str) -> DataFrame:
         """Distinct pairs (a < b) -> those that link."""
-        sizes = self.sets.groupBy("node").agg(F.min("size").alias("size"), F.min(F.struct("doc", "row")).alias("at"), F.first("sketch").alias("sketch"))
-        a, b = (sizes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-        pairs = pairs.join(a, "a").join(b, "b").where(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * round(100 * self.t))
-        pairs = pairs.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_prune(self.t), "a long, b long")
+        a, b = (self.nodes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+        pairs = pairs.join(a, "a").join(b, "b").select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_prune(self.t), "a long, b long")
         pairs = materialize(pairs, f"{label}-pairs")
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = materialize(nodes.join(sizes, "node").select("node", "at.doc", "at.row"), f"{label}-nodes")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = materialize(ends.join(self.nodes, "node").select("node", "at.doc", "at.row"), f"{label}-nodes")
         texts = self.rows.join(wanted, ["doc", "row"]).select("node", "text")
         tokens = materialize(texts.mapInArrow(_tokens(self.n), "node long, tokens binary"), f"{label}-sets")
         a, b = (tokens.select(F.col("node").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
         found = pairs.join(a, "a").join(b, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(_verify(self.t), "a long, b long")
-        links = materialize(found.distinct(), f"{label}-links")
+        links = materialize(found, f"{label}-links")
         for x in (pairs, wanted, tokens):
             discard(x)
         return links
@@ -334,77 +352,111 @@ def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _apart(group: DataFrame, root: DataFrame) -> DataFrame:
-    """group: (key, x, ...) -> with x_root, and only the keys whose members have several roots."""
-    placed = group.join(root.select(F.col("node").alias("x"), F.col("root").alias("x_root")), "x", "left").withColumn("x_root", F.coalesce("x_root", "x"))
-    several = placed.groupBy("key").agg(F.min("x_root").alias("low"), F.max("x_root").alias("high")).where("low <> high").select("key")
-    return placed.join(several, "key", "left_semi")
+def _placed(members: DataFrame, t: float) -> DataFrame:
+    """Members of groups (key, node, info) -> with `before`: the node's last LAST keys before this one that others hold too; `own`: how many of its places
+    nobody else holds (in the finest band), its last key that others hold, and a bitmap of these keys. In `info` the place also counts the later places that
+    nobody else holds, as what these stand for is missing in every other set; rows that so can't link with any set are left out, and so are keys
+    whose members all have the same key before (their pairs meet there)."""
+    place, size, band = F.expr(f"(info >> {PLACE_AT}) & {MOST_PLACE}"), F.expr(f"(info >> {SIZE_AT}) & {MOST_SIZE}"), F.expr("info & 63")
+    all_of = Window.partitionBy("node", "band")
+    order = all_of.orderBy("key")
+    rows = members.select("key", "node", "info", place.alias("place"), size.alias("size"), band.alias("band"))
+    held = F.count(F.lit(1)).over(all_of)
+    need = F.floor(F.lit(1 - t) * F.col("size") + 1e-9) + 1  # places of a set in the finest band
+    bit = F.pmod(F.xxhash64("key"), F.lit(64 * BITMAP)).cast("int")
+    maps = [F.bit_or(F.when(F.floor(bit / 64) == k, F.call_function("shiftleft", F.lit(1).cast("long"), bit % 64)).otherwise(F.lit(0).cast("long"))).over(all_of) for k in range(BITMAP)]
+    rows = rows.withColumn("later", held - F.row_number().over(order)).withColumn("alone", F.when(F.col("band") == 0, F.greatest(F.lit(0), need - held)).otherwise(0).cast("long"))
+    rows = rows.withColumn("before", F.collect_list("key").over(order.rowsBetween(-LAST, -1))).withColumn("own", F.struct("alone", F.max("key").over(all_of).alias("end"), F.array(*maps).alias("bits")))
+    missing = F.col("place") + F.when(F.col("band") == 0, F.greatest(F.lit(0), need - 1 - F.col("place") - F.col("later"))).otherwise(0)
+    rows = rows.withColumn("missing", missing.cast("long")).where(f"band <> 0 OR 100 * (size - missing) >= {round(100 * t)} * size")
+    info = F.col("info") + F.shiftleft(F.least("missing", F.lit(MOST_PLACE)) - F.col("place"), PLACE_AT)
+    rows = materialize(rows.select("key", "node", info.alias("info"), "before", "own"), "places")
+    # who has no key before is apart from all others
+    last = F.when(F.size("before") > 0, F.element_at("before", -1)).otherwise(F.xxhash64("node"))
+    several = rows.groupBy("key").agg(F.min(last).alias("low"), F.max(last).alias("high")).where("low <> high").select("key")
+    out = materialize(rows.join(several, "key", "left_semi"), "groups")
+    discard(rows)
+    return out
 
 
-def _first_of_equal_groups(members: DataFrame) -> DataFrame:
-    """Of subsets that the same members hold only the one that comes first: whatever pair has its first common subset among
-    them has it there."""
-    place = F.expr(f"(info >> {PLACE_AT}) & {MOST_PLACE}")
-    # in one band, two subsets of a document never have the same place, so the sums order them as every member does
-    groups = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("x").cast("decimal(38,0)")).alias("who"), F.min(F.col("x")).alias("least"), F.sum(place).alias("places"), F.min(F.expr("info & 63")).alias("band"))
-    first = groups.groupBy("n", "who", "least", "band").agg(F.min_by("key", F.struct("places", "key")).alias("key")).select("key")
-    return members.join(first, "key", "left_semi")
+def _enough_keys(t: float) -> str:
+    """SQL: whether two members can link by all the keys that they have. Of the one whose keys end first, each key that the other lacks is missing in the
+    other set: a bit that only the one has stands for one at least, and what nobody else holds for one each."""
+    size, whole = (lambda c: f"(({c} >> {SIZE_AT}) & {MOST_SIZE})"), round(100 * t)
 
+    def holds(x: str, y: str, x_info: str, y_info: str) -> str:
+        lacks = " + ".join(f"bit_count({x}.bits[{k}] & ~{y}.bits[{k}])" for k in range(BITMAP))
+        both = f"({size(x_info)} + {size(y_info)})"
+        most = f"CASE WHEN info & 63 = 0 THEN 2 * ({size(x_info)} - {x}.alone - ({lacks})) ELSE {both} - ({lacks}) END"  # twice what they can share
+        return f"({most}) * {100 + whole} >= {2 * whole} * {both}"
 
-def _grouped(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    return f"CASE WHEN own.end <= y_own.end THEN {holds('own', 'y_own', 'info', 'y_info')} ELSE {holds('y_own', 'own', 'y_info', 'info')} END"
+
+
+def _grouped(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str, repeat: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc, row, size, node, root) of each row, and the verified links."""
     spark = docs.sparkSession
-    rows = rows_of(docs, id_col, text_col)
+    rows = rows_of(docs, id_col, text_col, repeat)
     seen = materialize(rows.mapInArrow(_survey(n, threshold), "k long, a long, b long, c long, d long, e long, sketch binary"), "survey")
     sets = seen.where("k = 0").selectExpr("a AS doc", "b AS row", "c AS size", "d AS node", "e AS check", "sketch")
+    common = seen.where("k = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= COMMON_LEAST)
+    common = common.orderBy(F.desc("n"), "a").limit(COMMON_MOST).orderBy("a").toPandas()  # at most 16 MB
+    classes = np.minimum(np.log2(np.maximum(common["n"].to_numpy(np.float64), COMMON_LEAST) / COMMON_LEAST).astype(np.int64) + 1, (1 << CLASS_BITS) - 1)
     # sets are told apart by 128 bits: where two share the first 64, both take the other 64 as their node
-    alike = sets.groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("node").toPandas()["node"].to_numpy(np.int64)  # about one pair in 10**10 sets
+    same = sets.groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high"), F.min("size").alias("size"), F.min(F.struct("doc", "row")).alias("at"), F.first("sketch").alias("sketch"))
+    nodes = materialize(same, "nodes")
+    alike = nodes.where("low <> high").select("node").toPandas()["node"].to_numpy(np.int64)  # about one pair in 10**10 sets
     if len(alike):
         sets = sets.withColumn("node", F.when(F.col("node").isin([int(x) for x in alike]), F.col("check")).otherwise(F.col("node")))
-    best = F.max(F.struct(F.col("d").alias("share"), F.col("c").alias("rep"))).alias("best")
-    common = seen.where("k = 1").groupBy("a").agg(F.sum("b").alias("n"), best).where(F.col("n") >= COMMON_LEAST)
-    common = common.orderBy(F.desc("n"), "a").limit(COMMON_MOST).selectExpr("a", "n", "best.rep AS rep").orderBy("a").toPandas()  # at most 25 MB
-    classes = np.minimum(np.log2(np.maximum(common["n"].to_numpy(np.float64), COMMON_LEAST) / COMMON_LEAST).astype(np.int64) + 1, (1 << CLASS_BITS) - 1)
-    shared = spark.sparkContext.broadcast(tuple(x.astype(np.int64).tobytes() for x in (common["a"].to_numpy(), common["rep"].to_numpy(), classes, alike)))
+        discard(nodes)
+        nodes = materialize(sets.groupBy("node").agg(F.min("size").alias("size"), F.min(F.struct("doc", "row")).alias("at"), F.first("sketch").alias("sketch")), "nodes")
+    shared = spark.sparkContext.broadcast(tuple(x.astype(np.int64).tobytes() for x in (common["a"].to_numpy(), classes, alike)))
     index = rows.mapInArrow(_index(n, threshold, shared), INDEX)
     if seen.where("k = 2").agg(F.sum("a")).first()[0]:
         index = index.union(rows.mapInArrow(_index(n, threshold, shared, True), INDEX))
-    # holders of a common subset have their star already: they are spread evenly
-    spread = index.repartition(F.coalesce(F.when(F.col("rep").isNull(), F.col("key")), F.xxhash64("key", "node"))).sortWithinPartitions("key")
-    stars = materialize(spread.mapInArrow(_stars, STARS), "stars")
-    check = _Checker(rows, sets, n, threshold)
-    tested = stars.where("rep_info = 0 OR " + can_link("rep_info", "info", threshold)).select(*_ordered("rep", "node")).distinct()
-    tested = materialize(tested, "star-tested")
+    # holders of a common subset are known to be several: they are spread evenly
+    spread = index.repartition(F.when(F.col("hot"), F.xxhash64("key", "node")).otherwise(F.col("key"))).sortWithinPartitions("key", "node")
+    members = materialize(spread.mapInArrow(_shared, GROUPS), "members")
+    groups = _placed(members, threshold)
+    discard(members)
+
+    check = _Checker(rows, nodes, n, threshold)
+    link = can_link("info", "y_info", threshold)
+    apart = F.expr(f"NOT arrays_overlap(before, y_before) AND {link} AND {_enough_keys(threshold)}")
+    # stars around the member with the largest share of common subsets
+    central = F.max(F.struct(F.expr(f"info >> {SHARE_AT}").alias("share"), F.xxhash64("node").alias("mix"), "node", "info", "before", "own")).alias("y")
+    heads = groups.groupBy("key").agg(central).select("key", F.col("y.node").alias("y"), F.col("y.info").alias("y_info"), F.col("y.before").alias("y_before"), F.col("y.own").alias("y_own"))
+    tested = materialize(groups.join(heads, "key").where(apart & (F.col("node") != F.col("y"))).select(*_ordered("node", "y")).distinct(), "star-tested")
     links = check(tested, "star")
     root = materialize(components(links), "roots")
 
-    # groups whose members are still in several components: further pivots, while listing all pairs would take many more
-    group = stars.select("key", F.col("node").alias("x"), "info").union(stars.where("rep_info > 0").select("key", "rep", "rep_info")).distinct()
-    members = materialize(_apart(group, root), "apart-0")
-    alike = F.expr("x_root <> y_root AND " + can_link("info", "y_info", threshold))
-    for turn in range(1, MOST_TURNS):
-        # of each root the member with the largest share of common subsets, later any: such a one links with most others
-        central = F.expr(f"info >> {SHARE_AT}") if turn == 1 else F.lit(0)
-        held = members.groupBy("key", "x_root").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(central.alias("share"), F.xxhash64("x", F.lit(turn)).alias("mix"), "x", "info")).alias("best"))
-        cross, rows_held = held.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside")).agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        if cross <= PAIRS_PER_ROW * rows_held:
+    # members that are still in several components meet each other, where one subset is their first common one
+    turn = 0
+    while True:
+        placed = groups.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        held = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.xxhash64("node", F.lit(turn)).alias("mix"), "node", "info", "before", "own")).alias("y"))
+        several = held.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"), F.max(F.struct("n", F.xxhash64("root").alias("mix"), "root", "y")).alias("most")).where("roots > 1")
+        several = materialize(several, f"apart-{turn}")
+        cross, rows_held = several.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if turn == MOST_TURNS or cross <= PAIRS_PER_ROW * rows_held:
             break
-        # the largest root's and some others'; the same for groups of the same roots, so pairs grow with the members, not with the subsets
-        scores = [F.col("n"), *(F.xxhash64("x_root", F.lit(PIVOTS * turn + k)) for k in range(1, PIVOTS))]
-        heads = [F.max(F.struct(score.alias("score"), "x_root", "best")) for score in scores]
-        pivot = held.groupBy("key").agg(F.array_distinct(F.transform(F.array(*heads), lambda h: F.struct(h["best"]["x"].alias("x"), h["x_root"].alias("x_root"), h["best"]["info"].alias("info")))).alias("p")).select("key", F.explode("p").alias("p"))
-        pivot = pivot.select("key", F.col("p.x").alias("y"), F.col("p.x_root").alias("y_root"), F.col("p.info").alias("y_info"))
-        pairs = members.join(pivot, "key").where(alike).select(*_ordered("x", "y")).distinct().join(tested, ["a", "b"], "left_anti")
+        # first with a further member of the group's largest component
+        pivot = several.select("key", F.col("most.root").alias("y_root"), F.col("most.y.node").alias("y"), F.col("most.y.info").alias("y_info"), F.col("most.y.before").alias("y_before"), F.col("most.y.own").alias("y_own"))
+        pairs = placed.join(pivot, "key").where(apart & (F.col("root") != F.col("y_root"))).select(*_ordered("node", "y")).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, f"pivot-{turn}")
         tested = tested.union(pairs)
-        links = links.union(check(pairs, f"pivot-{turn}"))
-        root = materialize(components(links), "roots")
-        before, members = members, materialize(_apart(members.drop("x_root"), root), f"apart-{turn}")
+        found = check(pairs, f"pivot-{turn}")
+        links = links.union(found)
+        before, root = root, materialize(components(links), "roots")
         discard(before)
-    members = _first_of_equal_groups(members)
-    others = members.select("key", F.col("x").alias("y"), F.col("x_root").alias("y_root"), F.col("info").alias("y_info"))
-    more = members.join(others, "key").where(alike & (F.col("x") < F.col("y"))).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        discard(several)
+        turn += 1
+    members = materialize(placed.join(several.select("key"), "key", "left_semi"), "members-apart")
+    others = members.select("key", F.col("node").alias("y"), F.col("root").alias("y_root"), F.col("info").alias("y_info"), F.col("before").alias("y_before"), F.col("own").alias("y_own"))
+    more = members.join(others, "key").where(apart & (F.col("root") != F.col("y_root")) & (F.col("node") < F.col("y"))).select(F.col("node").alias("a"), F.col("y").alias("b")).distinct()
     links = links.union(check(more.join(tested, ["a", "b"], "left_anti"), "apart"))
+    for x in (groups, several, members, root):
+        discard(x)
     root = materialize(components(links), "last-roots")
     placed = sets.join(root, "node", "left").select("doc", "row", "size", "node", F.coalesce("root", "node").alias("root"))
     return placed, links
@@ -490,7 +542,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.75, count_
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that have the smallest doc_id of their component; those without words stay."""
-    placed, _ = _grouped(docs, n, threshold, id_col, text_col)
+    repeat = ids_repeat(docs, id_col)
+    placed, _ = _grouped(docs, n, threshold, id_col, text_col, repeat)
     group = F.when(F.col("size") == 0, F.concat_ws(":", "doc", "row")).otherwise(F.col("root").cast("string"))
     first = placed.groupBy(group.alias("group")).agg(F.min(F.struct("doc", "row")).alias("at")).select("at.doc", "at.row")
-    return keep_rows(docs, materialize(first, "kept"), True, id_col, text_col)
+    return keep_rows(docs, materialize(first, "kept"), True, id_col, text_col, repeat)
