@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Default settings of a search.
 RRF_K = 60
@@ -45,7 +46,7 @@ def ranked(hits: DataFrame, order: list, top_k: int, source: str) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= top_k).withColumn("retrieval_source", F.lit(source))
 
 
-def _nearest(rows: list, top_k: int, columns: list[str]):
+def _nearest(rows: list, top_k: int, columns: list[str], schema: pa.Schema):
     """Batches of chunks -> each task's top_k of every query. A batch is one matrix product with the queries of its space; what is kept is at most
     queries times top_k rows."""
     spaces: dict = {}
@@ -83,7 +84,7 @@ def _nearest(rows: list, top_k: int, columns: list[str]):
                 reach[done.index.to_numpy()] = done["max"].to_numpy()
                 best[space] = (frame, reach)
         for frame, _ in best.values():
-            yield pa.RecordBatch.from_pandas(frame[["query_id", *columns, "distance"]], preserve_index=False)
+            yield pa.RecordBatch.from_pandas(frame[schema.names], schema=schema, preserve_index=False)
 
     return run
 
@@ -100,7 +101,7 @@ def vector_leg(chunks: DataFrame, queries: DataFrame, top_k: int = 50, block: in
     for k in range(blocks):
         some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) if blocks > 1 else asked
         rows = [tuple(r) for r in some.collect()]  # about `block` rows
-        hits = chunks.select(*columns, "embedding").mapInArrow(_nearest(rows, top_k, columns), schema)
+        hits = chunks.select(*columns, "embedding").mapInArrow(_nearest(rows, top_k, columns, to_arrow_schema(schema)), schema)
         one = ranked(hits, [F.asc("distance"), F.asc("chunk_id")], top_k, "vector").withColumn("raw_score", 1 - F.col("distance"))
         out = one if out is None else out.unionByName(one)
     return out

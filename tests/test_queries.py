@@ -1,7 +1,8 @@
 import pytest
 from compare import check
 
-from tessera.plans.queries import ORACLES, QUERIES
+from tessera.plans import library, queries  # noqa: F401
+from tessera.plans.registry import ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
