@@ -89,16 +89,28 @@ def snippet(text: Column, size: int = 240) -> Column:
     return F.substring(text, 1, size)
 
 
+def subtitle(document: Column, label: Column) -> Column:
+    """Document title and page label, whichever is present."""
+    return F.array_join(F.filter(F.array(document, label), is_present), " · ")
+
+
+# Minutes of the words for units of time.
+UNIT_MINUTES = {"hours": 60.0, "hour": 60.0, "hrs": 60.0, "hr": 60.0, "h": 60.0, "minutes": 1.0, "minute": 1.0, "mins": 1.0, "min": 1.0, "m": 1.0}
+
+
 def parse_minutes(text: Column) -> Column:
-    """Minutes of a bare number, an ISO duration, or the sum of hour and minute phrases; null if there is none."""
+    """Minutes of a bare number, an ISO duration, or the sum of hour and minute phrases; null if there is none. Numbers with units are read
+    alike from phrases and from ISO forms, where seconds count too."""
     t = F.lower(F.trim(text))
-    number = r"(\d+(?:\.\d+)?)"
-    iso = r"^pt(?:(\d+)h)?(?:(\d+)m)?(?:(\d+)s)?$"
-    pick = lambda i: F.coalesce(F.nullif(F.regexp_extract(t, iso, i), F.lit("")).cast("double"), F.lit(0.0))
-    summed = lambda pattern: F.aggregate(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), F.lit(0.0), lambda a, x: a + x.cast("double"))
-    hours, minutes = rf"{number}\s*(?:hours|hour|hrs|hr|h)\b", rf"{number}\s*(?:minutes|minute|mins|min|m)\b"
-    phrase = F.when(t.rlike(hours) | t.rlike(minutes), summed(hours) * 60 + summed(minutes))
-    return F.when(t.rlike(rf"^{number}$"), F.nullif(F.regexp_extract(t, rf"^{number}$", 1), F.lit("")).cast("double")).when(t.rlike(iso) & (t != "pt"), pick(1) * 60 + pick(2) + pick(3) / 60).otherwise(phrase)
+    worth = F.create_map(*[F.lit(x) for kv in {**UNIT_MINUTES, "s": 1 / 60}.items() for x in kv])
+
+    def total(source: Column, pattern: str) -> Column:
+        number, unit = (F.regexp_extract_all(source, F.lit(pattern), F.lit(k)) for k in (1, 2))
+        return F.aggregate(F.zip_with(number, unit, lambda n, u: n.cast("double") * worth[u]), F.lit(0.0), lambda a, x: a + x)
+
+    phrase = r"(\d+(?:\.\d+)?)\s*(" + "|".join(UNIT_MINUTES) + r")\b"
+    iso = t.rlike(r"^pt(\d+h)?(\d+m)?(\d+s)?$") & (t != "pt")
+    return F.when(t.rlike(r"^\d+(\.\d+)?$"), t.try_cast("double")).when(iso, total(F.substring(t, 3, 1000), r"(\d+)([hms])")).when(t.rlike(phrase), total(t, phrase))
 
 
 def same_text(a: Column, b: Column) -> Column:
@@ -123,18 +135,28 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+# Units of ingredients with their usual names, and the value of fraction characters.
+UNITS = {
+    "tablespoon": "tbsp tbsps tablespoon tablespoons tbs", "teaspoon": "tsp tsps teaspoon teaspoons", "cup": "cup cups", "pound": "lb lbs pound pounds", "ounce": "oz ounce ounces", "gram": "g gram grams", "kilogram": "kg", "milliliter": "ml", "liter": "l liter liters",
+    "quart": "quart quarts", "pint": "pint pints", "clove": "clove cloves", "inch": "inch inches", "sprig": "sprig sprigs", "package": "package packages", "can": "can cans", "stick": "stick sticks", "pinch": "pinch",
+}
+FRACTIONS = {"½": 1 / 2, "¼": 1 / 4, "¾": 3 / 4, "⅓": 1 / 3, "⅔": 2 / 3, "⅛": 1 / 8}
+
+
 def ingredient_parts(line: Column) -> Column:
-    """quantity (whole, decimal, fraction or mixed), unit and item of an ingredient line."""
-    # Units and their usual names.
-    units = {"teaspoon": ["tsp", "teaspoon", "teaspoons"], "tablespoon": ["tbsp", "tablespoon", "tablespoons"], "cup": ["cup", "cups"], "ounce": ["oz", "ounce", "ounces"], "pound": ["lb", "lbs", "pound", "pounds"], "gram": ["g", "gram", "grams"], "kilogram": ["kg"], "milliliter": ["ml"], "liter": ["l", "liter", "liters"], "clove": ["clove", "cloves"], "pinch": ["pinch"]}
-    names = {n: u for u, all_names in units.items() for n in all_names}
-    pattern = r"^\s*(?:(\d+(?:\.\d+)?)(?:\s+(\d+)/(\d+))?|(\d+)/(\d+))?\s*(?:(" + "|".join(sorted(names, key=len, reverse=True)) + r")\b\.?)?\s*(.*)$"
-    g = lambda i: F.nullif(F.regexp_extract(F.lower(line), pattern, i), F.lit(""))
-    num = lambda i: g(i).cast("double")
-    quantity = F.when(line.rlike(r"^\s*\d+/\d+"), F.try_divide(F.nullif(F.regexp_extract(line, r"^\s*(\d+)/(\d+)", 1), F.lit("")).cast("double"), F.nullif(F.regexp_extract(line, r"^\s*(\d+)/(\d+)", 2), F.lit("")).cast("double"))).otherwise(num(1) + F.coalesce(F.try_divide(num(2), num(3)), F.lit(0.0)))
-    unit = F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.coalesce(F.nullif(F.regexp_extract(F.lower(F.regexp_replace(line, r"^\s*[\d./ ]+", "")), r"^(" + "|".join(sorted(names, key=len, reverse=True)) + r")\b", 1), F.lit("")), F.lit("?")))
-    item = F.trim(F.regexp_replace(F.lower(F.regexp_replace(line, r"^\s*[\d./ ]+", "")), r"^(?:" + "|".join(sorted(names, key=len, reverse=True)) + r")\b\.?\s*", ""))
-    return F.struct(quantity.alias("quantity"), unit.alias("unit"), item.alias("item"))
+    """quantity (whole, decimal, fraction or mixed), unit, item and preparation (what follows the first comma) of an ingredient line."""
+    amount = r"^\s*•?\s*(?:(\d+(?:\.\d+)?)(?!\d*/)(?:\s+(\d+)/(\d+))?|(\d+)/(\d+))?\s*([" + "".join(FRACTIONS) + r"])?\s*"
+    part = lambda k: F.nullif(F.regexp_extract(line, amount, k), F.lit(""))
+    ratio = lambda a, b: F.try_divide(part(a).cast("double"), part(b).cast("double"))
+    table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    terms = [part(1).cast("double"), ratio(2, 3), ratio(4, 5), table(FRACTIONS)[part(6)]]
+    quantity = F.when(F.coalesce(*terms).isNotNull(), sum((F.coalesce(x, F.lit(0.0)) for x in terms), F.lit(0.0)))
+    rest = F.regexp_replace(line, amount, "")
+    unit = table({n: u for u, names in UNITS.items() for n in names.split()})[F.regexp_replace(F.lower(F.regexp_extract(rest, r"^(\S+)", 1)), r"[.,]+$", "")]
+    named = F.when(unit.isNotNull(), F.regexp_replace(rest, r"^\S+\s*", "")).otherwise(rest)
+    clean = lambda c: F.nullif(F.trim(c), F.lit(""))
+    item = clean(F.regexp_replace(F.lower(F.trim(F.regexp_extract(named, r"^([^,]*)", 1))), r"\.+$", ""))
+    return F.struct(quantity.alias("quantity"), unit.alias("unit"), item.alias("item"), clean(F.regexp_extract(named, r"^[^,]*,(.*)$", 1)).alias("preparation"))
 
 
 def _pack(parts: list[str], cap: int, glue: str) -> list[str]:

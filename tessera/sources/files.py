@@ -61,6 +61,14 @@ def read_whole_texts(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("path"), F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("folder"), F.col("value").alias("text"))
 
 
+def read_fixtures(spark: SparkSession, path: str, expected: str) -> DataFrame:
+    """(name, source, expected: parsed by the given schema, expected_text, notes: null without a file) of fixture folders with source.md, expected.json and maybe
+    notes.md. A folder without one of the first two has null there."""
+    of = lambda name: read_whole_texts(spark, path, name).select(F.col("folder").alias("name"), F.col("text").alias(name.split(".")[0]))
+    rows = of("source.md").join(of("expected.json"), "name", "full_outer").join(of("notes.md"), "name", "left")
+    return rows.select("name", "source", F.from_json("expected", expected).alias("expected"), F.col("expected").alias("expected_text"), "notes")
+
+
 def prompt_version(text: Column) -> Column:
     """The version that a prompt's header names, before the first blank line; null without one."""
     header = F.regexp_extract(F.concat(text, F.lit("\n\n")), r"(?s)^(.*?)\r?\n\r?\n", 1)
@@ -80,6 +88,22 @@ def cut_ranges(pages: DataFrame, ranges: DataFrame) -> DataFrame:
     return hit.groupBy("book", "name", "first", "last").agg(text.alias("text"), F.count(F.lit(1)).alias("n_pages"))
 
 
+def check_ranges(ranges: DataFrame, pages: DataFrame) -> None:
+    """Raises, before anything is cut, for ranges that are empty or end before they begin, lie outside their book, or share a name within a set."""
+    sizes = pages.groupBy("book").agg(F.max("page").alias("n"))
+    bad = ranges.join(sizes, "book", "left").where(F.col("first").isNull() | (F.col("first") < 1) | (F.col("last") < F.col("first")) | F.col("n").isNull() | (F.col("last") > F.col("n")))
+    problems = [f"{r['book']} {r['first']}-{r['last']} is no range of the book" for r in bad.limit(20).collect()]
+    problems += [f"the name {r['name']} repeats" for r in ranges.groupBy("set", "name").count().where("count > 1").limit(20).collect()]
+    if problems:
+        raise ValueError("; ".join(problems))
+
+
+def publish_cuts(pages: DataFrame, ranges: DataFrame, folder: str) -> None:
+    """Checks all ranges, then writes their texts in one job; Spark's committer shows the folder only when all are written."""
+    check_ranges(ranges, pages)
+    cut_ranges(pages, ranges).write.mode("error").json(folder)
+
+
 def write_report(rows: DataFrame, folder: str, run_id: str, status: str = "ok") -> str:
     """A report's rows as JSON lines below folder/run_id, with its status. An existing report is never overwritten."""
     path = f"{folder.rstrip('/')}/{run_id}"
@@ -87,6 +111,16 @@ def write_report(rows: DataFrame, folder: str, run_id: str, status: str = "ok")
     return path
 
 
+def run_report(make: Callable[[], DataFrame], folder: str, run_id: str, spark: SparkSession) -> str:
+    """write_report() of what make() returns; where it raises, a failed run with the error is recorded and the error goes on."""
+    try:
+        return write_report(make(), folder, run_id)
+    except Exception as e:
+        if not has_files(spark, f"{folder.rstrip('/')}/{run_id}"):
+            write_report(spark.createDataFrame([(f"{type(e).__name__}: {e}"[:2000],)], "error string"), folder, run_id, "failed")
+        raise
+
+
 def save_baseline(spark: SparkSession, report: str, baseline: str) -> None:
     """Copies a report's rows as a baseline; failed runs and used names are refused."""
     rows = spark.read.json(report)

@@ -18,7 +18,7 @@ def test_titles_and_queries(spark):
 
 
 def test_minutes(spark):
-    cases = {"45": 45.0, "PT1H30M": 90.0, "1 hour 15 minutes": 75.0, "2 hrs": 120.0, "soon": None, "pt": None}
+    cases = {"45": 45.0, "PT1H30M": 90.0, "PT90S": 1.5, "1.5 hours": 90.0, "2 h and 5m": 125.0, "1 hour 15 minutes": 75.0, "2 hrs": 120.0, "soon": None, "pt": None}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r[0]: r[1] for r in df.select("t", X.parse_minutes(F.col("t"))).collect()} == cases
 
@@ -40,7 +40,9 @@ def test_labels_and_ingredients(spark):
     df = spark.createDataFrame([(1, 1, "1 1/2 cups flour"), (2, 4, "3/4 tsp. salt"), (None, 3, "eggs")], "a int, b int, line string")
     assert [r[0] for r in df.select(X.page_label(F.col("a"), F.col("b"))).collect()] == ["page 1", "pages 2–4", ""]
     parsed = [tuple(r[0]) for r in df.select(X.ingredient_parts(F.col("line"))).collect()]
-    assert parsed == [(1.5, "cup", "flour"), (0.75, "teaspoon", "salt"), (None, None, "eggs")]
+    assert parsed == [(1.5, "cup", "flour", None), (0.75, "teaspoon", "salt", None), (None, None, "eggs", None)]
+    more = spark.createDataFrame([("• 1½ tbsp. olive oil, warmed, not hot",), ("½ onion.",), ("2 cans",), ("12/4 sticks butter",)], "line string")
+    assert [tuple(r[0]) for r in more.select(X.ingredient_parts(F.col("line"))).collect()] == [(1.5, "tablespoon", "olive oil", "warmed, not hot"), (0.5, None, "onion", None), (2.0, "can", None, None), (3.0, "stick", "butter", None)]
 
 
 def test_windows(spark):

@@ -157,3 +157,22 @@ def test_stored_files_and_reports(spark, tmp_path):
     records = spark.createDataFrame([("f", "pass", "fail", "disagree", "v1", "h")], files.ALIGNMENT)
     files.write_alignment(records, f"{tmp_path}/aligned", "r1")
     assert files.read_alignment(spark, f"{tmp_path}/aligned/r1").collect() == records.collect()
+
+
+def test_fixtures_and_cuts(spark, tmp_path):
+    root = tmp_path / "set"
+    for name, parts in {"a": {"source.md": "soup", "expected.json": '{"title": "Soup"}', "notes.md": "Verification: draft"}, "b": {"source.md": "pie", "expected.json": '{"title": "Pie"}'}}.items():
+        (root / name).mkdir(parents=True)
+        for file, text in parts.items():
+            (root / name / file).write_text(text)
+    got = files.read_fixtures(spark, str(root), "title string").orderBy("name").collect()
+    assert [(r["name"], r["source"], r["expected"]["title"], r["notes"]) for r in got] == [("a", "soup", "Soup", "Verification: draft"), ("b", "pie", "Pie", None)]
+    pages = spark.createDataFrame([("x", k, f"p{k}") for k in range(1, 5)], "book string, page int, text string")
+    ranges = spark.createDataFrame([("s", "x", 2, 3, "two")], "set string, book string, first int, last int, name string")
+    files.publish_cuts(pages, ranges, f"{tmp_path}/cuts")
+    assert spark.read.json(f"{tmp_path}/cuts").first()["text"] == "p2\n\np3"
+    with pytest.raises(ValueError, match="no range"):
+        files.publish_cuts(pages, ranges.union(spark.createDataFrame([("s", "x", 3, 9, "more")], ranges.schema)), f"{tmp_path}/cuts2")
+    with pytest.raises(ZeroDivisionError):
+        files.run_report(lambda: 1 / 0, f"{tmp_path}/runs", "r1", spark)
+    assert spark.read.json(f"{tmp_path}/runs/r1").first()["run_status"] == "failed"
