@@ -356,26 +356,31 @@ def _placed(members: DataFrame, t: float) -> DataFrame:
     """Members of groups (key, node, info) -> with `before`: the node's last LAST keys before this one that others hold too; `own`: how many of its places
     nobody else holds (in the finest band), its last key that others hold, and a bitmap of these keys. In `info` the place also counts the later places that
     nobody else holds, as what these stand for is missing in every other set; rows that so can't link with any set are left out, and so are keys
-    whose members all have the same key before (their pairs meet there)."""
-    place, size, band = F.expr(f"(info >> {PLACE_AT}) & {MOST_PLACE}"), F.expr(f"(info >> {SIZE_AT}) & {MOST_SIZE}"), F.expr("info & 63")
-    all_of = Window.partitionBy("node", "band")
-    order = all_of.orderBy("key")
-    rows = members.select("key", "node", "info", place.alias("place"), size.alias("size"), band.alias("band"))
-    held = F.count(F.lit(1)).over(all_of)
-    need = F.floor(F.lit(1 - t) * F.col("size") + 1e-9) + 1  # places of a set in the finest band
-    bit = F.pmod(F.xxhash64("key"), F.lit(64 * BITMAP)).cast("int")
-    maps = [F.bit_or(F.when(F.floor(bit / 64) == k, F.call_function("shiftleft", F.lit(1).cast("long"), bit % 64)).otherwise(F.lit(0).cast("long"))).over(all_of) for k in range(BITMAP)]
-    rows = rows.withColumn("later", held - F.row_number().over(order)).withColumn("alone", F.when(F.col("band") == 0, F.greatest(F.lit(0), need - held)).otherwise(0).cast("long"))
-    rows = rows.withColumn("before", F.collect_list("key").over(order.rowsBetween(-LAST, -1))).withColumn("own", F.struct("alone", F.max("key").over(all_of).alias("end"), F.array(*maps).alias("bits")))
-    missing = F.col("place") + F.when(F.col("band") == 0, F.greatest(F.lit(0), need - 1 - F.col("place") - F.col("later"))).otherwise(0)
+    whose members all have the same key before (their pairs meet there). Lists and bitmaps are kept by node and join only what is left."""
+    place, size, band = (lambda c: (F.shiftright(c, PLACE_AT).bitwiseAND(MOST_PLACE))), F.expr(f"(info >> {SIZE_AT}) & {MOST_SIZE}"), F.expr("info & 63")
+    one = F.struct("key", "info")
+    by_node = members.groupBy("node", band.alias("band")).agg(F.sort_array(F.collect_list(one)).alias("held"), F.max(size).alias("size"))  # a set's own places
+    by_node = materialize(by_node.withColumn("keys", F.transform("held", lambda h: h["key"])), "by-node")
+    held, need = F.size("keys"), F.floor(F.lit(1 - t) * F.col("size") + 1e-9) + 1  # places of a set in the finest band
+    bit = lambda key: F.pmod(F.xxhash64(key), F.lit(64 * BITMAP)).cast("int")
+    part = lambda k: F.aggregate(F.filter("keys", lambda key: F.floor(bit(key) / 64) == k), F.lit(0).cast("long"), lambda a, key: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit(key) % 64)))
+    alone = F.when(F.col("band") == 0, F.greatest(F.lit(0), need - held)).otherwise(0).cast("long")
+    lists = by_node.select("node", "band", "keys", F.struct(alone.alias("alone"), F.element_at("keys", -1).alias("end"), F.array(*[part(k) for k in range(BITMAP)]).alias("bits")).alias("own"))
+
+    rows = by_node.select("node", "band", "size", need.alias("need"), held.alias("n"), "keys", F.posexplode("held").alias("at", "h"))
+    rows = rows.withColumn("place", place("h.info")).withColumn("later", F.col("n") - 1 - F.col("at"))
+    missing = F.col("place") + F.when(F.col("band") == 0, F.greatest(F.lit(0), F.col("need") - 1 - F.col("place") - F.col("later"))).otherwise(0)
     rows = rows.withColumn("missing", missing.cast("long")).where(f"band <> 0 OR 100 * (size - missing) >= {round(100 * t)} * size")
-    info = F.col("info") + F.shiftleft(F.least("missing", F.lit(MOST_PLACE)) - F.col("place"), PLACE_AT)
-    rows = materialize(rows.select("key", "node", info.alias("info"), "before", "own"), "places")
+    info = F.col("h.info") + F.shiftleft(F.least("missing", F.lit(MOST_PLACE)) - F.col("place"), PLACE_AT)
     # who has no key before is apart from all others
-    last = F.when(F.size("before") > 0, F.element_at("before", -1)).otherwise(F.xxhash64("node"))
-    several = rows.groupBy("key").agg(F.min(last).alias("low"), F.max(last).alias("high")).where("low <> high").select("key")
-    out = materialize(rows.join(several, "key", "left_semi"), "groups")
+    last = F.when(F.col("at") > 0, F.get("keys", F.col("at") - 1)).otherwise(F.xxhash64("node"))
+    rows = materialize(rows.select(F.col("h.key").alias("key"), "node", "band", "at", info.alias("info"), last.alias("last")), "places")
+    several = rows.groupBy("key").agg(F.min("last").alias("low"), F.max("last").alias("high")).where("low <> high").select("key")
+    kept = rows.drop("last").join(several, "key", "left_semi").join(lists, ["node", "band"])
+    before = F.slice("keys", F.greatest(F.lit(1), F.col("at") + 1 - LAST), F.least("at", F.lit(LAST)))
+    out = materialize(kept.select("key", "node", "info", before.alias("before"), "own"), "groups")
     discard(rows)
+    discard(by_node)
     return out
 
 

@@ -79,6 +79,22 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(words.n_hit, 0) A
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM pairs JOIN sizes sx ON sx.doc_id = x JOIN sizes sy ON sy.doc_id = y WHERE 100 * c >= 75 * (sx.n + sy.n - c)
+), both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links), reach AS (
+  SELECT x AS doc_id, y AS other FROM both_ways UNION SELECT r.doc_id, b.y FROM reach r JOIN both_ways b ON b.x = r.other
+)
+SELECT d.doc_id, coalesce(any_value(sizes.n), 0) AS n_shingles, least(d.doc_id, coalesce(min(reach.other), d.doc_id)) AS component_id
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY d.doc_id
+"""
+
 OP8_SQL = r"""
 WITH lines AS (
   SELECT doc_id, u.line, u.ord,
@@ -94,4 +110,4 @@ FROM lines l LEFT JOIN firsts f ON l.key = f.key GROUP BY l.doc_id
 """
 
 QUERIES = {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op3_secrets": op3_secrets, "op4_decontaminate": op4_decontaminate, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_repeated_passages": op6_repeated_passages, "op7_main_text": op7_main_text, "op10_sharding": op10_sharding, "op8_line_dedup": op8_line_dedup, "op9_chunk_fingerprints": op9_chunk_fingerprints}
-ORACLES = {"op1_mixing": mixing.oracle() + "\nSELECT * FROM mixed", "op4_decontaminate": OP4_SQL, "op8_line_dedup": OP8_SQL}
+ORACLES = {"op1_mixing": mixing.oracle() + "\nSELECT * FROM mixed", "op4_decontaminate": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op8_line_dedup": OP8_SQL}
