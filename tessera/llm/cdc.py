@@ -20,12 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BYTE_CODE, NULL_ID, key_to_id, materialize, rows_of
+from tessera.llm.common import BYTE_CODE, key_to_id, materialize, rows_of
 
 LEAST, NORMAL, GREATEST = 24, 64, 256
 STRICT, LOOSE = np.uint32(0xFF), np.uint32(0x0F)  # 8 and 4 low bits around the 6 of the normal size
 #: Ranges of ids at most: their heads are sent to all tasks.
-MOST_RANGES = 100_000
+MOST_RANGES = 10_000
 GEAR = (BYTE_CODE >> np.uint64(32)).astype(np.uint32)
 
 
@@ -69,7 +69,7 @@ def chunks(data: bytes) -> dict[str, int]:
     """Digest -> length of the distinct chunks of one text."""
     digest, start, out = xxhash.xxh3_64_hexdigest, 0, {}
     for end in cuts(gear(np.frombuffer(data, np.uint8))):
-        out[digest(data[start:end])[:12]] = end - start
+        out[digest(data[start:end])] = end - start
         start = end
     return out
 
@@ -87,24 +87,36 @@ def likeness(a: dict[str, int], b: dict[str, int]) -> float:
     return min(1.0, sum([v for k, v in a.items() if k in b]) / min(sum(a.values()), sum(b.values())))
 
 
+def _span(cuts_at: np.ndarray):
+    """Adds the range of each row's id."""
+
+    def run(batches):
+        for batch in batches:
+            span = np.searchsorted(cuts_at, np.asarray(batch.column(0)), "right")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(span.astype(np.int64))], names=[*batch.schema.names, "span"])
+
+    return run
+
+
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 1 << 10) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row. The next
-    document stands beside each without moving texts twice: ids are cut into ranges, a range's rows are sorted in one
+    document stands beside each without moving texts twice: ids are cut into ranges of about rows_per_range rows, a range's rows are sorted in one
     task, and only the first row of each range is sent twice."""
     rows = rows_of(docs, id_col, text_col)
     ids = materialize(rows.select("doc", "row"), "ids")
-    # ranges of equal width over the ids; at most MOST_RANGES of them, so that their heads are a bounded table
-    real = F.when(F.col("doc") != F.lit(NULL_ID), F.col("doc"))
-    low, high, n = ids.agg(F.coalesce(F.min(real), F.lit(0)), F.coalesce(F.max(real), F.lit(0)), F.count(F.lit(1))).first()
-    width = max(1, -(-(high - low + 1) // max(1, min(MOST_RANGES, n // rows_per_range))))
-    span = F.when(F.col("doc") == F.lit(NULL_ID), F.lit(-1)).otherwise(F.floor((F.col("doc") - F.lit(low)) / F.lit(width))).cast("long")
+    # ranges of about as many rows each, cut at quantiles of the ids, whatever gaps these have
+    ranges = min(MOST_RANGES, ids.count() // rows_per_range)
+    cuts_at = []
+    if ranges > 1:
+        cuts_at = ids.agg(F.percentile_approx("doc", [k / ranges for k in range(1, ranges)], F.lit(20 * ranges))).first()[0]
+    span = _span(np.unique(np.array(cuts_at, np.int64)))
     place = F.struct("doc", "row")
-    spans = ids.groupBy(span.alias("span")).agg(F.min(place).alias("head"))
+    spans = ids.mapInArrow(span, "doc long, row long, span long").groupBy("span").agg(F.min(place).alias("head"))
     # the range before a range takes a copy of its first row; the last range that of the whole table
     order = Window.orderBy("span")
     heads = spans.select("head", F.lag("span").over(order).alias("prior"), F.last("span").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("end"))
     heads = materialize(heads.select("head.doc", "head.row", F.coalesce("prior", "end").alias("to"), F.col("prior").isNull().alias("wraps")), "heads")
-    own = rows.withColumn("span", span)
+    own = rows.mapInArrow(span, "doc long, row long, text string, span long")
     copies = own.join(F.broadcast(heads), ["doc", "row"], "left").select(
         "doc", "row", "text", F.explode(F.when(F.col("to").isNull(), F.array(F.struct("span", F.lit(0).alias("role")))).otherwise(F.array(F.struct("span", F.lit(0).alias("role")), F.struct(F.col("to").alias("span"), F.lit(1).alias("role"))))).alias("at")
     )
