@@ -14,12 +14,16 @@ each get a slot of their own; an empty table gives no rows; other columns are ig
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import discard, doc_key, key_to_id, materialize
 
-HUB_BITS, SUB_BITS = 8, 4
+HUB_BITS = 8
+#: Rows that one task ranks, about; a hub is hot if it has more than this part of a shard's quota.
+RANKED, HOT = 100_000, 1 / 64
 
 
 def by_shard(values: list, default=0) -> Column:
@@ -77,11 +81,13 @@ def ranked(df: DataFrame, bucket: Column, order: list) -> DataFrame:
 
 
 def settle(nodes: DataFrame, shards: int, quotas: list[int]) -> DataFrame:
-    """nodes with shard, linked, hub, mark -> the same with their last shard and slot; quotas hold exactly."""
+    """nodes with shard, linked, hot, hub, mark -> the same with their last shard and slot; quotas hold exactly."""
     held = _counts(nodes, shards)
     high = lambda name, bits: F.shiftrightunsigned(F.col(name), 64 - bits).cast("long")
-    alone = F.lit(1 << (HUB_BITS + SUB_BITS)) + high("mark", HUB_BITS + SUB_BITS)
-    bucket = F.when(F.col("linked"), high("hub", HUB_BITS) * F.lit(1 << SUB_BITS) + high("mark", SUB_BITS)).otherwise(alone)
+    # hot hubs are ranked in as many buckets as their rows need; the members of all others stand together
+    sub_bits = max(4, math.ceil(math.log2(max(1, max(quotas, default=0) / RANKED))))
+    alone = F.lit(1 << (HUB_BITS + sub_bits)) + high("mark", HUB_BITS + sub_bits)
+    bucket = F.when(F.col("linked"), high("hub", HUB_BITS) * F.lit(1 << sub_bits) + F.when(F.col("hot"), high("mark", sub_bits)).otherwise(0)).otherwise(alone)
     placed = ranked(nodes, bucket, ["hub", "mark", "doc"])
     over = [max(0, h - q) for h, q in zip(held, quotas)]
     short = [max(0, q - h) for h, q in zip(held, quotas)]
@@ -101,7 +107,13 @@ def settle(nodes: DataFrame, shards: int, quotas: list[int]) -> DataFrame:
     return out.withColumn("slot", F.when(stays, F.col("pos")).otherwise(slot).cast("long")).withColumn("shard", F.when(stays, F.col("shard")).otherwise(target).cast("int")).drop("index", "pos")
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 4, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_links(placed: DataFrame, hub: str = "hub") -> DataFrame:
+    """placed: rows with a hub and a shard -> (links, cut): links of rows to their hub, and those to another shard than most of the hub's rows have."""
+    tally = placed.groupBy(hub, "shard").agg(F.count(F.lit(1)).alias("n")).groupBy(hub).agg(F.sum("n").alias("n"), F.max("n").alias("most")).where("n > 1")
+    return tally.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("links"), F.coalesce(F.sum(F.col("n") - F.col("most")), F.lit(0)).alias("cut"))
+
+
+def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 8, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: one row for each row of docs."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     nodes = docs.select(doc_key(id_col).alias("doc"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("crc"), F.xxhash64(text).alias("hub"))
@@ -109,12 +121,13 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 4, seed: in
     rows = nodes.count()
     quotas = [rows // shards + (s < rows % shards) for s in range(shards)]
     first = F.pmod(F.xxhash64("mark", F.lit("first")), F.lit(shards)).cast("int").alias("shard")
-    groups = nodes.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hub")
-    groups = materialize(groups, "hubs")
+    groups = materialize(nodes.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "hubs")
+    hot = groups.where(F.col("n") > max(1, HOT * rows / shards)).select("hub", F.lit(True).alias("hot"))  # shards / HOT rows at most
     linked = materialize(nodes.join(groups, "hub", "left_semi").select("hub", "mark", first), "linked")
     labels = propagate(linked, shards, quotas, rounds, seed)
     # a label for each (hub, mark); equal rows have equal marks and so one label
     labels = labels.groupBy("hub", "mark").agg(F.min("shard").alias("label"))
     nodes = nodes.join(labels, ["hub", "mark"], "left").select("doc", "size", "crc", "hub", "mark", F.col("label").isNotNull().alias("linked"), F.coalesce("label", first).cast("int").alias("shard"))
+    nodes = nodes.join(F.broadcast(hot), "hub", "left").fillna(False, ["hot"])
     out = settle(materialize(nodes, "labelled"), shards, quotas)
     return out.select(key_to_id("doc").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
