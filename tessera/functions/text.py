@@ -126,6 +126,11 @@ def confidence_bucket(value: Column) -> Column:
     return F.when(value >= 0.9, ">=0.90").when(value >= 0.75, ">=0.75").when(value >= 0.5, ">=0.50").otherwise("<0.50")
 
 
+def json_int(text: Column, path: str) -> Column:
+    """A number inside a JSON text; null where it is missing or no whole number."""
+    return F.get_json_object(text, path).try_cast("int")
+
+
 def positive_or(value: Column, default) -> Column:
     return F.when(value > 0, value).otherwise(F.lit(default))
 

@@ -55,8 +55,10 @@ def list_documents(documents: DataFrame, items: DataFrame, category: str | None
     return rows.orderBy(F.desc("created_at"), F.desc("document_id")).offset(offset).limit(limit)
 
 
-def review_queue(items: DataFrame, documents: DataFrame) -> DataFrame:
-    return items.where("status = 'needs_review'").join(documents.where(F.col("status").isin(*TERMINAL)).select("document_id"), "document_id").orderBy(F.desc("created_at"), F.desc("item_id"))
+def review_queue(items: DataFrame, documents: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Pending items of finished documents, newest first; a page of them where a limit is given."""
+    rows = items.where("status = 'needs_review'").join(documents.where(F.col("status").isin(*TERMINAL)).select("document_id"), "document_id").orderBy(F.desc("created_at"), F.desc("item_id"))
+    return rows if limit is None else rows.offset(offset).limit(limit)
 
 
 def overlapping(spans: DataFrame, page_start: int | None = None, page_end: int | None = None) -> DataFrame:

@@ -89,6 +89,11 @@ def agreement(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_if(rated).alias("rated"), same.alias("agreed"), F.count_if(~rated).alias("unrated"), F.try_divide(same.cast("double"), F.count_if(rated)).alias("rate"))
 
 
+def disagreements(rows: DataFrame) -> DataFrame:
+    """The rated rows where human and judge differ."""
+    return rows.where("human_rating IS NOT NULL AND judge_rating IS NOT NULL AND human_rating <> judge_rating")
+
+
 def metric_diff(base: DataFrame, current: DataFrame) -> DataFrame:
     """(metric, value) tables -> one row per metric of either with delta and flag."""
     b, c = base.select("metric", F.col("value").alias("base"), F.lit(True).alias("in_base")), current.select("metric", F.col("value").alias("current"), F.lit(True).alias("in_current"))
@@ -109,6 +114,30 @@ def retrieval_diff(base: DataFrame, current: DataFrame, k: int = 10) -> DataFram
     return rows.withColumn("change", kind)
 
 
+def query_changes(base: DataFrame, current: DataFrame) -> DataFrame:
+    """(query_id, change) of the queries that only one run has: added or removed."""
+    b, c = (df.select("query_id").distinct() for df in (base, current))
+    return c.join(b, "query_id", "left_anti").withColumn("change", F.lit("added")).unionByName(b.join(c, "query_id", "left_anti").withColumn("change", F.lit("removed")))
+
+
+def comparable(base: dict, current: dict) -> list[str]:
+    """The settings in which two runs differ; a comparison needs none."""
+    return [k for k in COMPARED if base.get(k) != current.get(k)]
+
+
+def diff_reports(base: DataFrame, current: DataFrame) -> DataFrame:
+    """The difference of two reports' rows as write_report() stores them: of metrics (metric, value) or of retrieval (query_id, item_id, rank). Failed runs and reports of
+    different kinds are refused."""
+    kinds = []
+    for rows in (base, current):
+        if "run_status" in rows.columns and not rows.where("run_status <> 'ok'").isEmpty():
+            raise ValueError("a failed run can't be compared")
+        kinds.append("metrics" if {"metric", "value"} <= set(rows.columns) else "retrieval" if {"query_id", "item_id", "rank"} <= set(rows.columns) else "unknown")
+    if len(set(kinds)) > 1 or "unknown" in kinds:
+        raise ValueError(f"reports of kinds {kinds} can't be compared")
+    return metric_diff(base, current) if kinds[0] == "metrics" else retrieval_diff(base, current)
+
+
 def run_status(comparable: bool, query_regressions: int, deltas: list[float]) -> str:
     """Status of a difference, the first that holds."""
     if not comparable:

@@ -17,12 +17,13 @@ BATCH_REQUESTS, BATCH_BYTES = 10_000, 200 * 1024 * 1024
 EMBED_INPUTS, EMBED_TOKENS = 100, 300_000
 
 
-def page_spans(pages: DataFrame, sparse: int = SPARSE_CHARS) -> DataFrame:
-    """pages: (document_id, page, text) -> spans with digests; nearly empty pages get confidence 0.0."""
+def page_spans(pages: DataFrame, sparse: int = SPARSE_CHARS, extractor: str = "pages-v1") -> DataFrame:
+    """pages: (document_id, page, text) -> spans with digests and the extractor's identity; nearly empty pages get confidence 0.0."""
     thin = F.length(F.trim(F.coalesce("text", F.lit("")))) < sparse
     return pages.select(
         "document_id", "page", F.coalesce("text", F.lit("")).alias("text"), F.when(thin, F.lit(0.0)).alias("confidence"), F.lit("embedded_text").alias("method"),
         X.content_hash(F.coalesce("text", F.lit(""))).alias("text_hash"), X.locator_hash(F.col("page"), F.col("page"), F.lit("page")).alias("locator_hash"),
+        F.to_json(F.struct(F.col("page").alias("page_start"), F.col("page").alias("page_end"), F.struct(F.lit(extractor).alias("extractor_identity")).alias("meta"))).alias("locator"),
     )
 
 
@@ -114,6 +115,33 @@ def build_chunks(items: DataFrame, cap: int = 8000) -> DataFrame:
     return parts.select("item_id", "type_order", "chunk_type", "part_count", F.posexplode("parts").alias("part", "text")).withColumn("part", F.col("part") + 1)
 
 
+def chunk_ready(items: DataFrame, chunks: DataFrame, cap: int = 8000) -> DataFrame:
+    """build_chunks() of ready items that have no chunks yet: a replay adds nothing."""
+    return build_chunks(items.where("status = 'ready'").join(chunks.select("item_id").distinct(), "item_id", "left_anti"), cap)
+
+
+def embed_chunks(chunks: DataFrame, known: DataFrame, provider: Callable[[list[str]], list], space: tuple[str, str], most: int = EMBED_INPUTS) -> DataFrame:
+    """Embeddings (chunk_id, provider, model, embedding) of the chunks (chunk_id, text) that have none in the space (provider, model). provider: at most `most` texts -> as many
+    vectors, or it raises and the job fails. Another model is another space: all chunks are embedded again and the old space stays."""
+    had = known.where((F.col("provider") == space[0]) & (F.col("model") == space[1])).select("chunk_id")
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+
+    def run(frames):
+        for pdf in frames:
+            for at in range(0, len(pdf), most):
+                part = pdf.iloc[at : at + most]
+                yield pd.DataFrame({"chunk_id": part["chunk_id"].to_numpy(), "embedding": list(provider(list(part["text"].fillna(""))))})
+
+    out = chunks.join(had, "chunk_id", "left_anti").select("chunk_id", "text").mapInPandas(run, f"chunk_id {kind}, embedding array<float>")
+    return out.select("chunk_id", F.lit(space[0]).alias("provider"), F.lit(space[1]).alias("model"), "embedding")
+
+
+def unregistered(windows: DataFrame, registered: DataFrame, key: list[str] = ("document_id", "source_version", "input_hash")) -> DataFrame:
+    """Windows whose input no batch item has yet, one for each input (the first by window)."""
+    fresh = windows.join(registered.select(*key).distinct(), list(key), "left_anti")
+    return fresh.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy("window"))).where("__n = 1").drop("__n")
+
+
 def first_claim(items: DataFrame, order: list[str], size: str, most: int = BATCH_REQUESTS, most_bytes: int = BATCH_BYTES) -> DataFrame:
     """The longest front of the queue within both caps; the first row always. Spark takes the first `most` rows of each task and then of all, so one
     task sees no more than these."""

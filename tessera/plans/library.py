@@ -400,6 +400,48 @@ def cached_windows(spark, sf_dir):
     return catalog.cached_runs(_orders(spark, sf_dir).select("item_id", "document_id"), done, ["document_id"]).select("item_id", "run_id")
 
 
+@query(
+    f"""WITH {_ORDERS_SQL} SELECT item_id, 'recipe_full' AS chunk_type, concat('body ', item_id) AS text FROM o WHERE status = 'ready' AND item_id % 3 > 0 UNION ALL SELECT item_id, 'recipe_title', 'title' FROM o WHERE status = 'ready' AND item_id % 3 > 0"""
+)
+def ready_chunks(spark, sf_dir):
+    """A third of the items have chunks already."""
+    none = F.lit(None).cast("string")
+    rows = _orders(spark, sf_dir).withColumn("title", F.lit("title")).withColumn("body_text", F.concat(F.lit("body "), F.col("item_id").cast("string")))
+    rows = rows.select("*", *[none.alias(k) for k in ("summary", "ingredients_text", "steps_text")])
+    return ingest.chunk_ready(rows, rows.where("item_id % 3 = 0").select("item_id")).select("item_id", "chunk_type", "text")
+
+
+@query(f"WITH {_ORDERS_SQL} SELECT item_id AS chunk_id, 'p' AS provider, 'm2' AS model, CAST(item_id % 100 AS DOUBLE) AS first FROM o WHERE item_id % 4 > 0")
+def embedded_chunks(spark, sf_dir):
+    """A quarter of the chunks has its embedding in this space, all have one in another."""
+    chunks = _orders(spark, sf_dir).select(F.col("item_id").alias("chunk_id"), F.col("item_id").cast("string").alias("text"))
+    known = chunks.select("chunk_id", F.lit("p").alias("provider"), F.lit("m1").alias("model")).union(chunks.where("chunk_id % 4 = 0").select("chunk_id", F.lit("p"), F.lit("m2")))
+    out = ingest.embed_chunks(chunks, known, lambda texts: [[float(int(t) % 100), 1.0] for t in texts], ("p", "m2"))
+    return out.select("chunk_id", "provider", "model", F.element_at("embedding", 1).cast("double").alias("first"))
+
+
+@query("SELECT conv_id AS document_id, min(turn) AS window, sha256(text) AS input_hash FROM conversations WHERE sha256(text) >= '8' GROUP BY conv_id, sha256(text)")
+def unregistered_windows(spark, sf_dir):
+    rows = _windows(spark, sf_dir).withColumn("source_version", F.lit(1))
+    return ingest.unregistered(rows, rows.where("input_hash < '8'")).select("document_id", "window", "input_hash")
+
+
+@query(f"WITH {LINES_SQL} SELECT doc_id, page, 'pages-v1' AS extractor, page AS page_end FROM pages")
+def span_locators(spark, sf_dir):
+    rows = ingest.page_spans(lines(spark, sf_dir).withColumnRenamed("doc_id", "document_id"))
+    return rows.select(F.col("document_id").alias("doc_id"), "page", F.get_json_object("locator", "$.meta.extractor_identity").alias("extractor"), X.json_int(F.col("locator"), "$.page_end").alias("page_end"))
+
+
+@query(
+    """SELECT o_orderkey AS chunk_id, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS text, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS created FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0"""
+)
+def upserted_rows(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chunk_id"))
+    old = o.where("chunk_id % 2 = 0").select("chunk_id", F.lit("old").alias("text"), F.lit(1).alias("created"))
+    new = o.where("chunk_id % 3 = 0").select("chunk_id", F.lit("new").alias("text"), F.lit(2).alias("created"))
+    return ingest.upsert(old, new, ["chunk_id"], ["created"])
+
+
 # -- answers -----------------------------------------------------------------------------------------------------------
 
 
@@ -560,6 +602,18 @@ def retrieval_report(spark, sf_dir):
     return out.select("query_id", F.array_join(F.transform("retrieved_ids", lambda i: i.cast("string")), ",").alias("retrieved"), F.size("expected_item_ranks").cast("long").alias("n_expected"), F.size(ranks).cast("long").alias("n_found"), F.aggregate(ranks, F.lit(0).cast("long"), lambda a, r: a + r).alias("ranks"))
 
 
+@query("SELECT o_custkey AS query_id, CASE WHEN bool_or(o_orderstatus = 'F') THEN 'removed' ELSE 'added' END AS change FROM orders GROUP BY 1 HAVING bool_or(o_orderstatus = 'F') <> bool_or(o_orderstatus = 'O')")
+def query_changes(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").withColumn("query_id", F.col("o_custkey"))
+    return evaluation.query_changes(rows.where("o_orderstatus = 'F'"), rows.where("o_orderstatus = 'O'"))
+
+
+@query("SELECT doc_id FROM labels WHERE quality <> toxic AND doc_id % 4 > 0")
+def judge_disagreements(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("human_rating"), F.when(F.col("doc_id") % 4 > 0, F.col("toxic")).alias("judge_rating"))
+    return evaluation.disagreements(rows).select("doc_id")
+
+
 @query("SELECT l_orderkey AS query_id, l_suppkey AS item_id, CAST(arg_max(l_linenumber % 3, l_linenumber) AS INTEGER) AS relevance FROM lineitem GROUP BY ALL")
 def folded_qrels(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").alias("item_id"), (F.col("l_linenumber") % 3).cast("int").alias("relevance"), F.col("l_linenumber").alias("line"))
