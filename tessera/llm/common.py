@@ -35,11 +35,26 @@ def scratch_root(spark: SparkSession) -> str:
     return found or _own_folder()
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """Where this application's scratch tables are."""
+    return f"{scratch_root(spark).rstrip('/')}/tessera/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application. For when its results are written: what an operator returns may still read some."""
+    _delete(spark, scratch_folder(spark))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df below the shared folder and read it back: lineage ends there, lost executors don't redo earlier steps,
     and later joins know the real size. The shuffle files of the run are deleted when it is over."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/tessera/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
@@ -52,10 +67,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a table that materialize() wrote and that no later step reads."""
-    spark = df.sparkSession
     for file in df.inputFiles()[:1]:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(df.sparkSession, file.rsplit("/", 1)[0])
 
 
 def doc_key(name: str = "doc_id") -> Column:

@@ -431,8 +431,10 @@ def _grouped(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: s
     # stars around the member with the largest share of common subsets
     central = F.max(F.struct(F.expr(f"info >> {SHARE_AT}").alias("share"), F.xxhash64("node").alias("mix"), "node", "info", "before", "own")).alias("y")
     heads = groups.groupBy("key").agg(central).select("key", F.col("y.node").alias("y"), F.col("y.info").alias("y_info"), F.col("y.before").alias("y_before"), F.col("y.own").alias("y_own"))
+    checked = []
     tested = materialize(groups.join(heads, "key").where(apart & (F.col("node") != F.col("y"))).select(*_ordered("node", "y")).distinct(), "star-tested")
     links = check(tested, "star")
+    checked.append(tested)
     root = materialize(components(links), "roots")
 
     # members that are still in several components meet each other, where one subset is their first common one
@@ -449,6 +451,7 @@ def _grouped(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: s
         pivot = several.select("key", F.col("most.root").alias("y_root"), F.col("most.y.node").alias("y"), F.col("most.y.info").alias("y_info"), F.col("most.y.before").alias("y_before"), F.col("most.y.own").alias("y_own"))
         pairs = placed.join(pivot, "key").where(apart & (F.col("root") != F.col("y_root"))).select(*_ordered("node", "y")).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, f"pivot-{turn}")
+        checked.append(pairs)
         tested = tested.union(pairs)
         found = check(pairs, f"pivot-{turn}")
         links = links.union(found)
@@ -463,6 +466,8 @@ def _grouped(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: s
     for x in (groups, several, members, root):
         discard(x)
     root = materialize(components(links), "last-roots")
+    for x in (nodes, *checked):
+        discard(x)
     placed = sets.join(root, "node", "left").select("doc", "row", "size", "node", F.coalesce("root", "node").alias("root"))
     return placed, links
 

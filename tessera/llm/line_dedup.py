@@ -151,6 +151,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hits = probes.groupBy("shard", "copy").cogroup(served.groupBy("shard", "copy")).applyInPandas(_probe, "doc long, row long, ord int")
     drops = materialize(hits.groupBy("doc", "row").agg(F.sort_array(F.collect_set("ord")).alias("drops")), "line-drops")
     discard(lines)
+    discard(index)
     # a merge join at every size: the texts move once
     out = rows.join(drops.hint("merge"), ["doc", "row"], "left").select("doc", "text", "drops")
     out = out.mapInArrow(_rebuild, "doc long, text string, n_lines long, n_dropped long, kept_sha256 string")

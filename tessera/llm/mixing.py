@@ -105,8 +105,8 @@ def select_prefix(rows: DataFrame, levels: list[str], seed: int) -> DataFrame:
     return rows.withColumn("take_tokens", (F.col("passes") * F.col("n_tokens") + cut).cast("long")).drop("range", "start")
 
 
-def _planned(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, int]], share: tuple[int, int], epochs: int, seed: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Each row's tokens taken (with order), and the plan of the leaves."""
+def _planned(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, int]], share: tuple[int, int], epochs: int, seed: int, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Each row's tokens taken (with order), and the scratch tables that it reads."""
     names = list(levels)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), *(F.coalesce(c.cast("string"), F.lit("")).alias(k) for k, c in levels.items()), count_tokens(text).alias("n_tokens"))
@@ -116,7 +116,7 @@ def _planned(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict
     plan = materialize(allocate(leaves, names, weights, total * share[0] // share[1], epochs), "leaf-plan")
     discard(leaves)
     # the plan is as large as the tree; Spark sends it to all tasks if its files are small enough, and else splits large leaves
-    return select_prefix(rows.join(plan.drop("tokens", "share"), names), names, seed), plan
+    return select_prefix(rows.join(plan.drop("tokens", "share"), names), names, seed), [rows, plan]
 
 
 def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, int]], share: tuple[int, int] = SHARE, epochs: int = EPOCHS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,9 +140,11 @@ def keep_mixed(docs: DataFrame, share: tuple[int, int] = SHARE, seed: int = SEED
     """The rows of docs, with all their columns, of which one pass takes some token. Each leaf tells only where its prefix ends
     (a table as large as the tree), so the texts stay where they are; rows that have the last one's place all stay."""
     levels = production_levels()
-    taken, plan = _planned(docs, levels, WEIGHTS, share, 1, seed, "doc_id", "text")
+    taken, tables = _planned(docs, levels, WEIGHTS, share, 1, seed, "doc_id", "text")
     last = taken.where("take_tokens > 0").groupBy(*levels).agg(F.max(F.struct("order", "n_tokens")).alias("last"), F.max("passes").alias("whole"))
     last = materialize(last, "prefix-ends")
+    for x in tables:
+        discard(x)
     names = free_names(docs, "leaf_domain", "leaf_lang", "leaf_source", "leaf_last", "leaf_whole", "leaf_tokens")
     keys = names[:3]
     last = last.select(*(F.col(k).alias(n) for k, n in zip(levels, keys)), F.col("last").alias(names[3]), F.col("whole").alias(names[4]))

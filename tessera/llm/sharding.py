@@ -124,10 +124,13 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 8, seed: in
     groups = materialize(nodes.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "hubs")
     hot = groups.where(F.col("n") > max(1, HOT * rows / shards)).select("hub", F.lit(True).alias("hot"))  # shards / HOT rows at most
     linked = materialize(nodes.join(groups, "hub", "left_semi").select("hub", "mark", first), "linked")
-    labels = propagate(linked, shards, quotas, rounds, seed)
+    moved = propagate(linked, shards, quotas, rounds, seed)
     # a label for each (hub, mark); equal rows have equal marks and so one label
-    labels = labels.groupBy("hub", "mark").agg(F.min("shard").alias("label"))
-    nodes = nodes.join(labels, ["hub", "mark"], "left").select("doc", "size", "crc", "hub", "mark", F.col("label").isNotNull().alias("linked"), F.coalesce("label", first).cast("int").alias("shard"))
+    labels = moved.groupBy("hub", "mark").agg(F.min("shard").alias("label"))
+    rows_of_docs, nodes = nodes, nodes.join(labels, ["hub", "mark"], "left").select("doc", "size", "crc", "hub", "mark", F.col("label").isNotNull().alias("linked"), F.coalesce("label", first).cast("int").alias("shard"))
     nodes = nodes.join(F.broadcast(hot), "hub", "left").fillna(False, ["hot"])
-    out = settle(materialize(nodes, "labelled"), shards, quotas)
+    labelled = materialize(nodes, "labelled")
+    for x in (rows_of_docs, groups, linked, moved):
+        discard(x)
+    out = settle(labelled, shards, quotas)
     return out.select(key_to_id("doc").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

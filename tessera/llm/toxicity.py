@@ -228,11 +228,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, phrases: list[
     taken = marked.where("toxic = 1").orderBy(*order).limit(sample).union(marked.where("toxic = 0").orderBy(*order).limit(sample))
     texts = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # at most 2 * sample rows
-    known = texts.join(F.broadcast(materialize(taken, "labels")), "doc").select(F.col("doc").cast("string").alias("doc"), "text", "toxic")
+    taken = materialize(taken, "labels")
+    known = texts.join(F.broadcast(taken), "doc").select(F.col("doc").cast("string").alias("doc"), "text", "toxic")
     known = known.mapInArrow(_folded_hash, "doc string, text string, toxic int, folded binary")
     # copies count once, by the one of the least doc_id
     least = F.min(F.struct(F.length("doc").alias("size"), "doc", "text")).alias("least")
     known = materialize(known.groupBy("toxic", "folded").agg(least).select("least.text", "toxic"), "labelled")
+    discard(taken)
     sizes = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return Model()
@@ -258,6 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, phrases: list[
     folds = Folds()
     model.exceptions = sorted({*learned, *(fold(p, folds) for p in phrases)} - model.lexicon.keys() - {"  "})
     scored = known.mapInArrow(_strengths(model, ["toxic"]), "toxic int, strength double").toPandas()
+    discard(known)
     model.slope, model.bias = _curve(scored["strength"].to_numpy(), scored["toxic"].to_numpy())
     return model
 

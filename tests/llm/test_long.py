@@ -262,3 +262,16 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
         ids = [r["doc_id"] for r in frame.collect()]
         assert ids.count(1) <= 1 and 2 not in ids and 3 not in ids
         assert len(ids) == 0 if not some else len(ids) > 15
+
+
+def test_scratch_goes(spark):
+    """Operators delete what nothing reads any more, drop_scratch() all the rest."""
+    import glob
+
+    df = texts_frame(spark, [f"some words of document {k} and a few more of {k}" for k in range(30)])
+    kept = jaccard.keep_one_of_each(df).count()
+    folder = common.scratch_folder(spark)
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in glob.glob(folder.removeprefix("file://") + "/*")}
+    assert kept == 30 and not left & {"members", "by-node", "places", "groups", "nodes", "star-tested"}
+    common.drop_scratch(spark)
+    assert not glob.glob(folder.removeprefix("file://") + "/*")
