@@ -153,7 +153,13 @@ def samples_from(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Labelled samples where no others are given: of the `limit` documents with the least hash of doc_id the words that no
     base pattern touches are ordinary; random strings are cut from digests of a counter in the usual alphabets."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    few = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), text.alias("text")).orderBy(F.xxhash64("doc"), "doc").limit(limit)
+    # ids first, and of these only the share of hashes that surely holds the least ones: no text goes through the one task that takes the first
+    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"))
+    rows = docs.count()
+    if rows > 4 * limit:
+        ids = ids.where(F.xxhash64("doc") < F.lit(-(2**63) + 2**64 * 4 * limit // rows))
+    ids = ids.distinct().orderBy(F.xxhash64("doc"), "doc").limit(limit)
+    few = docs.select(F.col(id_col).alias("doc"), text.alias("text")).join(F.broadcast(ids), "doc")
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     words = few.select(F.explode(F.regexp_extract_all(clean, F.lit(r"[A-Za-z][A-Za-z_.-]{5,}"), F.lit(0))).alias("word"))
     # ordinary identifiers come joined as well: snake case, camel case, with a short number, all capitals
