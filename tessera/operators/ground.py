@@ -18,7 +18,8 @@ def context_pack(chunks: DataFrame, items: int = ITEMS, per_item: int = CHUNKS_P
     cite_id. The caps come first; then chunks without text or known span go, and items without chunks; cite ids count the first valid
     spans within their item."""
     by_item = Window.partitionBy("query_id", "item_id").orderBy("chunk_place")
-    capped = chunks.where(F.col("item_place") <= items).withColumn("__n", F.row_number().over(by_item)).where(F.col("__n") <= per_item)
+    # all windows below are within a query, so one shuffle serves them
+    capped = chunks.where(F.col("item_place") <= items).repartition("query_id").withColumn("__n", F.row_number().over(by_item)).where(F.col("__n") <= per_item)
     span = F.element_at(F.filter("span_ids", lambda s: F.array_contains("known_spans", s)), 1)
     kept = capped.withColumn("span_id", F.when(F.size(F.array_intersect("span_ids", "known_spans")) > 0, span)).where((F.length(F.trim(F.coalesce("text", F.lit("")))) > 0) & F.col("span_id").isNotNull())
     first = Window.partitionBy("query_id", "item_id", "span_id").orderBy("chunk_place")

@@ -464,6 +464,18 @@ def answer_citations(spark, sf_dir):
     return out.select("query_id", "cite_id", "span_id", "item_id", F.col("place").cast("long").alias("place"))
 
 
+@query(
+    f"""WITH {_PACK_SQL}, a AS (SELECT o_custkey AS query_id, o_orderkey AS item_id, unnest(CASE WHEN o_orderkey % 3 = 0 THEN [NULL] ELSE ['cite_1', 'cite_2'] END) AS cite_id FROM orders), owned AS (SELECT DISTINCT query_id, cite_id, item_id AS owner FROM pack), known AS (SELECT DISTINCT query_id, item_id, true AS k FROM pack)
+SELECT query_id, count(*) FILTER (WHERE k IS NULL) AS unknown_items, count(*) FILTER (WHERE cite_id IS NOT NULL AND owner IS NULL) AS unknown, count(*) FILTER (WHERE owner <> a.item_id) AS wrong_owner, count(*) FILTER (WHERE cite_id IS NULL) AS uncited, count(cite_id) AS total,
+  count(*) FILTER (WHERE k IS NULL OR cite_id IS NULL OR owner IS NULL OR owner <> a.item_id) = 0 AS valid FROM a LEFT JOIN owned USING (query_id, cite_id) LEFT JOIN known USING (query_id, item_id) GROUP BY query_id"""
+)
+def answer_checks(spark, sf_dir):
+    """Answers of which some recommendations cite nothing."""
+    cites = F.when(F.col("o_orderkey") % 3 > 0, F.array(F.lit("cite_1"), F.lit("cite_2"))).otherwise(F.array().cast("array<string>"))
+    answers = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("recommendation"), F.col("o_orderkey").alias("item_id"), cites.alias("cite_ids"))
+    return ground.check_citations(answers, _pack(spark, sf_dir))
+
+
 @query(
     """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'no_results' WHEN o_orderkey % 5 = 0 THEN 'no_context' WHEN o_orderkey % 3 = 0 THEN 'technical_error' WHEN o_orderkey % 2 = 0 THEN 'unparsable' WHEN o_orderstatus <> 'F' THEN 'invalid' ELSE 'answered' END AS status,
 CASE o_orderkey % 5 WHEN 0 THEN 'answer-summary-v2' WHEN 1 THEN 'answer-comparison-v2' WHEN 2 THEN 'answer-direct-answer-v2' ELSE 'answer-recommendation-v2' END AS prompt_version FROM orders"""

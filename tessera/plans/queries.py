@@ -161,7 +161,7 @@ def span_hashes(spark, sf_dir):
 
 def _recipes(spark, sf_dir, whole=False):
     """Documents as extracted recipes: lines with even numbers are ingredients, the others steps; confidences come from the id.
-    whole: all lines, not only those that the SQL reads."""
+    whole: all lines, not only the first 15."""
     docs = table(spark, sf_dir, "documents")
     parts = F.split("text", "\n", -1)
     parts = parts if whole else F.slice(parts, 1, 15)
@@ -198,7 +198,7 @@ def validate_hard(spark, sf_dir):
     return _recipes(spark, sf_dir).select("doc_id", F.array_join(ingest.hard_failures(F.col("rec"), window), ",").alias("failures"))
 
 
-@query()
+@query(ORACLES["validate_hard"].replace("[1:15]", ""))
 def validate_hard_whole(spark, sf_dir):
     window = F.array(*[F.lit(f"span_{k}") for k in range(6)])
     return _recipes(spark, sf_dir, True).select("doc_id", F.array_join(ingest.hard_failures(F.col("rec"), window), ",").alias("failures"))
@@ -216,7 +216,7 @@ def validate_soft(spark, sf_dir):
     return _recipes(spark, sf_dir).select("doc_id", F.array_join(found, ",").alias("warnings"), ingest.item_status(found).alias("status"))
 
 
-@query()
+@query(ORACLES["validate_soft"].replace("[1:15]", ""))
 def validate_soft_whole(spark, sf_dir):
     found = ingest.soft_warnings(F.col("rec"))
     return _recipes(spark, sf_dir, True).select("doc_id", F.array_join(found, ",").alias("warnings"), ingest.item_status(found).alias("status"))
@@ -239,7 +239,7 @@ def dedup_best(spark, sf_dir):
     return ingest.best_per_title(_scored(spark, sf_dir)).drop("item_id")
 
 
-@query()
+@query(ORACLES["dedup_best"].replace("[1:15]", ""))
 def dedup_best_whole(spark, sf_dir):
     return ingest.best_per_title(_scored(spark, sf_dir, True)).drop("item_id")
 
@@ -534,7 +534,10 @@ def prf_spans(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *[F.round(parts[k], 6).alias(k) for k in ("precision", "recall")])
 
 
-@query()
+@query(
+    f"""WITH t AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), s AS (SELECT doc_id, list_distinct(w[1 : len(w) - len(w) // 3]) AS e, list_distinct(w[len(w) // 3 + 1 :]) AS f FROM t), c AS (SELECT *, CAST(len(list_intersect(e, f)) AS DOUBLE) AS k FROM s)
+SELECT doc_id, round(CASE WHEN len(e) = 0 AND len(f) = 0 THEN 1.0 WHEN len(f) = 0 THEN 0 ELSE k / len(f) END, 6) AS "precision", round(CASE WHEN len(e) = 0 AND len(f) = 0 THEN 1.0 WHEN len(e) = 0 THEN 0 ELSE k / len(e) END, 6) AS recall FROM c"""
+)
 def prf_spans_whole(spark, sf_dir):
     """The words but the last third against the words but the first third."""
     rows = table(spark, sf_dir, "documents").select("doc_id", X.words(F.col("text")).alias("w")).withColumn("third", F.floor(F.size("w") / 3).cast("int"))
