@@ -1,4 +1,7 @@
-"""Connected components by alternating large and small stars, each a join and an aggregation."""
+"""Connected components by alternating large and small stars, each a join and an aggregation.
+
+Results in odd cases: edges from a node to itself and edges with a null end are left out; repeated edges and edges in both directions count
+once; without edges there are no rows; a hub with very many edges is split by Spark's skew handling, as no step gathers its neighbours."""
 
 from __future__ import annotations
 

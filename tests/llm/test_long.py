@@ -275,3 +275,12 @@ def test_scratch_goes(spark):
     assert kept == 30 and not left & {"members", "by-node", "places", "groups", "nodes", "star-tested"}
     common.drop_scratch(spark)
     assert not glob.glob(folder.removeprefix("file://") + "/*")
+
+
+def test_components_odd(spark):
+    from tessera.llm.components import components
+
+    edges = [(1, 2), (2, 1), (2, 3), (3, 3), (9, 9), (None, 4), (7, 8), (7, 8)] + [(100, k) for k in range(101, 400)] + [(k, k + 1) for k in range(500, 530)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7} | {k: 100 for k in range(100, 400)} | {k: 500 for k in range(500, 531)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
