@@ -15,6 +15,8 @@ indexed in the finest band, where each shingle is a segment and h + 1 subsets al
 Where each shingle is a segment of its own, only a set's own shingles can be missing in the other: the larger set needs its first
 (1 - t) * size + 1 places. Every indexed subset tells its place: what stands before the first common subset of a pair is missing in the
 other set, so a pair counts under a subset only if the rest can still be similar enough.
+A pair is listed under its first common subset only: members tell the subsets before that others hold too, and those that share one of
+these have met there. Bitmaps of all such subsets show early that too many are missing.
 
 A group of documents under one subset is a star around one of them (for common subsets, the one with the largest share of
 common subsets, which is nearest to all copies); the pairs of the stars are verified exactly, and the components of the links
