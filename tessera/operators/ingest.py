@@ -120,16 +120,20 @@ def chunk_ready(items: DataFrame, chunks: DataFrame, cap: int = 8000) -> DataFra
     return build_chunks(items.where("status = 'ready'").join(chunks.select("item_id").distinct(), "item_id", "left_anti"), cap)
 
 
-def embed_chunks(chunks: DataFrame, known: DataFrame, provider: Callable[[list[str]], list], space: tuple[str, str], most: int = EMBED_INPUTS) -> DataFrame:
-    """Embeddings (chunk_id, provider, model, embedding) of the chunks (chunk_id, text) that have none in the space (provider, model). provider: at most `most` texts -> as many
-    vectors, or it raises and the job fails. Another model is another space: all chunks are embedded again and the old space stays."""
+def embed_chunks(chunks: DataFrame, known: DataFrame, provider: Callable[[list[str]], list], space: tuple[str, str], most: int = EMBED_INPUTS, most_tokens: int = EMBED_TOKENS) -> DataFrame:
+    """Embeddings (chunk_id, provider, model, embedding) of the chunks (chunk_id, text) that have none in the space (provider, model). provider: at most `most` texts of most_tokens together (four characters
+    count as one; a longer text goes alone) -> as many vectors, or it raises and the job fails. Another model is another space: all chunks are embedded again and the old space stays."""
     had = known.where((F.col("provider") == space[0]) & (F.col("model") == space[1])).select("chunk_id")
     kind = chunks.schema["chunk_id"].dataType.simpleString()
 
     def run(frames):
         for pdf in frames:
-            for at in range(0, len(pdf), most):
-                part = pdf.iloc[at : at + most]
+            tokens, at = [len(t or "") // 4 + 1 for t in pdf["text"]], 0
+            while at < len(pdf):
+                end, total = at + 1, tokens[at]
+                while end < min(len(pdf), at + most) and total + tokens[end] <= most_tokens:
+                    total, end = total + tokens[end], end + 1
+                part, at = pdf.iloc[at:end], end
                 yield pd.DataFrame({"chunk_id": part["chunk_id"].to_numpy(), "embedding": list(provider(list(part["text"].fillna(""))))})
 
     out = chunks.join(had, "chunk_id", "left_anti").select("chunk_id", "text").mapInPandas(run, f"chunk_id {kind}, embedding array<float>")

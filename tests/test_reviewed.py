@@ -176,3 +176,12 @@ def test_fixtures_and_cuts(spark, tmp_path):
     with pytest.raises(ZeroDivisionError):
         files.run_report(lambda: 1 / 0, f"{tmp_path}/runs", "r1", spark)
     assert spark.read.json(f"{tmp_path}/runs/r1").first()["run_status"] == "failed"
+
+
+def test_embedding_requests(spark):
+    """Requests keep to both caps; known chunks of the space are not sent again."""
+    chunks = spark.createDataFrame([(k, "x" * (4000 if k == 5 else 36)) for k in range(12)], "chunk_id int, text string").coalesce(1)
+    known = spark.createDataFrame([(0, "p", "m"), (1, "p", "old")], "chunk_id int, provider string, model string")
+    out = ingest.embed_chunks(chunks, known, lambda texts: [[float(len(texts)), float(sum(len(t) // 4 + 1 for t in texts))] for t in texts], ("p", "m"), 4, 35).orderBy("chunk_id").collect()
+    assert [r["chunk_id"] for r in out] == list(range(1, 12))
+    assert all(r["embedding"][0] <= 4 and (r["embedding"][1] <= 35 or r["embedding"][0] == 1) for r in out)
