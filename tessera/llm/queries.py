@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import cdc, decontaminate, jaccard, line_dedup, mixing, page_text, repeats, secrets, sharding, toxicity, vector_tree
+from tessera.llm import block_max, cdc, decontaminate, divergence, jaccard, line_dedup, mixing, page_text, repeats, secrets, sharding, toxicity, vector_tree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,14 @@ def op11_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_tree.nearest_rows(table(spark, sf_dir, "embeddings"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_max.rank_documents(block_max.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -113,5 +121,5 @@ SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f.first <> l.doc_id
 FROM lines l LEFT JOIN firsts f ON l.key = f.key GROUP BY l.doc_id
 """
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op3_secrets": op3_secrets, "op4_decontaminate": op4_decontaminate, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_repeated_passages": op6_repeated_passages, "op7_main_text": op7_main_text, "op10_sharding": op10_sharding, "op8_line_dedup": op8_line_dedup, "op9_chunk_fingerprints": op9_chunk_fingerprints, "op11_vector_tree": op11_vector_tree}
-ORACLES = {"op1_mixing": mixing.oracle() + "\nSELECT * FROM mixed", "op4_decontaminate": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op8_line_dedup": OP8_SQL}
+QUERIES = {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op3_secrets": op3_secrets, "op4_decontaminate": op4_decontaminate, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_repeated_passages": op6_repeated_passages, "op7_main_text": op7_main_text, "op10_sharding": op10_sharding, "op8_line_dedup": op8_line_dedup, "op9_chunk_fingerprints": op9_chunk_fingerprints, "op11_vector_tree": op11_vector_tree, "op12_divergence": op12_divergence, "op13_block_max": op13_block_max}
+ORACLES = {"op1_mixing": mixing.oracle() + "\nSELECT * FROM mixed", "op4_decontaminate": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op8_line_dedup": OP8_SQL, "op12_divergence": divergence.oracle(), "op13_block_max": block_max.ORACLE}

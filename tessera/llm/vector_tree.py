@@ -182,7 +182,7 @@ class Index:
 
 
 def _grow_cell(each: dict[int, float], longest: float, leaf_rows: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["one", "two"])
         below = grow(_lifted(_matrix(pdf["vector"]), longest), each[key[0]], 2, np.random.default_rng(key[0]), leaf_rows)
         out = []
