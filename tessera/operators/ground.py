@@ -127,9 +127,9 @@ def pack_counts(queries: DataFrame, pack: DataFrame) -> DataFrame:
     return queries.select("query_id").join(sums, "query_id", "left").fillna(0)
 
 
-def over_fetch(cap: int = MENU_CANDIDATES, courses: int = MENU_COURSES) -> int:
-    """Results that each course asks for: what it may keep, and what all others may take from it."""
-    return cap * courses
+def over_fetch(cap: int = MENU_CANDIDATES) -> int:
+    """Results that each course asks for: twice what it may keep, so that others may take some from it; one more at least."""
+    return max(2 * cap, cap + 1)
 
 
 def menu_payload(plan: DataFrame, menu: DataFrame, assigned: DataFrame, valid: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from tessera.functions import text as X
 # Default settings.
 WINDOW, OVERLAP, SPARSE_CHARS = 3, 1, 20
 THRESHOLDS = {"overall": 0.5, "boundary": 0.5, "normalization": 0.5, "min_chars": 200, "max_chars": 20_000, "assembly_min": 3, "assembly_max": 12, "assembly_chars": 400}
-BATCH_REQUESTS, BATCH_BYTES = 10_000, 200 * 1024 * 1024
+BATCH_REQUESTS, BATCH_BYTES = 10_000, 200_000_000
 EMBED_INPUTS, EMBED_TOKENS = 100, 300_000
 
 
@@ -68,8 +68,8 @@ def soft_warnings(rec: Column, t: dict = THRESHOLDS) -> Column:
     least = F.array_min(F.transform(rec["ingredients"], lambda i: i["normalization"]))
     exempt = is_assembly(rec, t)
     checks = [
-        (n("ingredients") == 0, "no_ingredients"), ((n("steps") == 0) & ~exempt, "no_steps"), (rec["overall"] < t["overall"], "low_overall"), (rec["boundary"] < t["boundary"], "low_boundary"),
-        ((size < t["min_chars"]) & ~exempt, "too_short"), (size > t["max_chars"], "too_long"), (least < t["normalization"], "low_normalization"),
+        (n("ingredients") == 0, "no_ingredients"), ((n("steps") == 0) & ~exempt, "no_steps"), (rec["overall"] < t["overall"], "low_overall_confidence"), (rec["boundary"] < t["boundary"], "low_boundary_confidence"),
+        ((size < t["min_chars"]) & ~exempt, "recipe_too_short"), (size > t["max_chars"], "recipe_too_long"), (least < t["normalization"], "low_normalization_confidence"),
     ]
     return F.array_compact(F.array(*[F.when(c, code) for c, code in checks]))
 
@@ -121,14 +121,14 @@ def chunk_ready(items: DataFrame, chunks: DataFrame, cap: int = 8000) -> DataFra
 
 
 def embed_chunks(chunks: DataFrame, known: DataFrame, provider: Callable[[list[str]], list], space: tuple[str, str], most: int = EMBED_INPUTS, most_tokens: int = EMBED_TOKENS) -> DataFrame:
-    """Embeddings (chunk_id, provider, model, embedding) of the chunks (chunk_id, text) that have none in the space (provider, model). provider: at most `most` texts of most_tokens together (four characters
-    count as one; a longer text goes alone) -> as many vectors, or it raises and the job fails. Another model is another space: all chunks are embedded again and the old space stays."""
+    """Embeddings (chunk_id, provider, model, embedding) of the chunks (chunk_id, text) that have none in the space (provider, model). provider: at most `most` texts of most_tokens together (a text has at most
+    as many tokens as UTF-8 bytes; a longer text goes alone) -> as many vectors, or it raises and the job fails. Another model is another space: all chunks are embedded again and the old space stays."""
     had = known.where((F.col("provider") == space[0]) & (F.col("model") == space[1])).select("chunk_id")
     kind = chunks.schema["chunk_id"].dataType.simpleString()
 
     def run(frames):
         for pdf in frames:
-            tokens, at = [len(t or "") // 4 + 1 for t in pdf["text"]], 0
+            tokens, at = [len((t or "").encode()) for t in pdf["text"]], 0
             while at < len(pdf):
                 end, total = at + 1, tokens[at]
                 while end < min(len(pdf), at + most) and total + tokens[end] <= most_tokens:

@@ -10,14 +10,15 @@ from tessera.operators import ingest
 
 #: Confidence where none is recorded, and of what a person wrote.
 ASSUMED = 1.0
+# Fixed values (the keys): codes of stored warnings, as ingest.soft_warnings() gives them.
 MESSAGES = {
     "no_ingredients": "The recipe has no ingredients.",
     "no_steps": "The recipe has no steps.",
-    "low_overall": "The confidence of the whole extraction is too low.",
-    "low_boundary": "The confidence of where the recipe begins and ends is too low.",
-    "too_short": "The text is very short.",
-    "too_long": "The text is very long.",
-    "low_normalization": "The confidence of some ingredient is too low.",
+    "low_overall_confidence": "The confidence of the whole extraction is too low.",
+    "low_boundary_confidence": "The confidence of where the recipe begins and ends is too low.",
+    "recipe_too_short": "The text is very short.",
+    "recipe_too_long": "The text is very long.",
+    "low_normalization_confidence": "The confidence of some ingredient is too low.",
 }
 
 
@@ -50,9 +51,9 @@ def review_reasons(status: Column, warnings: Column, overall: Column, boundary:
         message = known[w]
         return F.struct(
             F.when(message.isNotNull(), w).otherwise("llm_warning").alias("code"), F.coalesce(message, w).alias("message"),
-            pick(w, {"low_overall": overall, "low_boundary": boundary, "low_normalization": lowest}).alias("value"),
-            pick(w, {f"low_{k}": thresholds[k] for k in ("overall", "boundary", "normalization")}).alias("threshold"),
-            F.when(w == "low_normalization", positions).alias("positions"),
+            pick(w, {"low_overall_confidence": overall, "low_boundary_confidence": boundary, "low_normalization_confidence": lowest}).alias("value"),
+            pick(w, {f"low_{k}_confidence": thresholds[k] for k in ("overall", "boundary", "normalization")}).alias("threshold"),
+            F.when(w == "low_normalization_confidence", positions).alias("positions"),
         )
 
     found = F.transform(F.coalesce(warnings, F.array()), reason)

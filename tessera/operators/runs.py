@@ -16,7 +16,8 @@ REASONS = {
     "EmptyPdfError": "pdf_empty", "PdfExtractionError": "pdf_extraction_failed", "FileStorageError": "file_storage_error", "LLMTechnicalError": "llm_extraction_failed",
     "EmbeddingTechnicalError": "embedding_failed", "IntegrityError": "duplicate_span_constraint", "LookupError": "document_or_asset_not_found", "InvalidTransitionError": "invalid_status_transition",
 }
-SUBMITTING_MINUTES, WINDOWS_PER_COMMIT = 15, 5
+# Default settings.
+SUBMITTING_MINUTES, WINDOWS_PER_COMMIT = 60, 5
 #: What a valid output has: its fields, all of which must be there.
 OUTPUT = "struct<items: array<struct<title: string, body_text: string>>>"
 

@@ -241,7 +241,7 @@ def _flagged(spark, sf_dir):
     doc = F.col("doc_id")
     scores = F.transform(F.split("text", "\n", -1), lambda x, k: F.struct(F.when(k % 4 == 3, k + 100).cast("int").alias("position"), F.when((k + doc) % 6 > 0, ((k + doc) % 10 / 10.0)).alias("normalization")))
     record = F.struct(F.when(doc % 2 == 0, 0.6).alias("overall"), F.lit(0.7).alias("boundary"), F.lit(0.3).alias("normalization"), *[F.lit(v).alias(k) for k, v in list(ingest.THRESHOLDS.items())[3:]])
-    warnings = F.array_compact(F.array(F.when(doc % 3 == 0, "low_overall"), F.when(doc % 4 == 0, "low_normalization"), F.when(doc % 5 == 0, "odd words")))
+    warnings = F.array_compact(F.array(F.when(doc % 3 == 0, "low_overall_confidence"), F.when(doc % 4 == 0, "low_normalization_confidence"), F.when(doc % 5 == 0, "odd words")))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.when(doc % 7 == 0, "ready").otherwise("needs_review").alias("status"), warnings.alias("warnings"), scores.alias("ingredients"), review.resolve_thresholds(record).alias("t"))
     return rows.select("doc_id", "t.source", F.explode_outer(review.review_reasons(F.col("status"), F.col("warnings"), doc % 100 / 100.0, F.lit(0.4), F.col("ingredients"), F.col("t.values"))).alias("r"))
 
@@ -250,7 +250,7 @@ def _flagged(spark, sf_dir):
     """WITH n AS (SELECT doc_id, CASE WHEN (k - 1) % 4 = 3 THEN k + 99 ELSE k - 1 END AS position, CAST((k - 1 + doc_id) % 10 AS DOUBLE) / 10 AS score FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents) WHERE (k - 1 + doc_id) % 6 > 0),
 b AS (SELECT doc_id, min(score) AS lowest FROM n GROUP BY 1), t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'recorded' ELSE 'current' END AS source, CASE WHEN doc_id % 2 = 0 THEN 0.6 ELSE 0.5 END AS o, CASE WHEN doc_id % 2 = 0 THEN 0.3 ELSE 0.5 END AS z, lowest FROM documents LEFT JOIN b USING (doc_id)),
 p AS (SELECT doc_id, string_agg(CAST(position AS VARCHAR), ',' ORDER BY position) AS positions FROM (SELECT n.*, bool_or(score < z) OVER (PARTITION BY doc_id) AS any_below, z, lowest FROM n JOIN t USING (doc_id)) WHERE CASE WHEN any_below THEN score < z ELSE score = lowest END GROUP BY 1),
-r AS (SELECT doc_id, 'low_overall' AS code, doc_id % 100 / 100.0::DOUBLE AS value, o AS threshold, NULL AS positions FROM t WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'low_normalization', lowest, z, p.positions FROM t LEFT JOIN p USING (doc_id) WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, 'llm_warning', NULL, NULL, NULL FROM t WHERE doc_id % 5 = 0)
+r AS (SELECT doc_id, 'low_overall_confidence' AS code, doc_id % 100 / 100.0::DOUBLE AS value, o AS threshold, NULL AS positions FROM t WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'low_normalization_confidence', lowest, z, p.positions FROM t LEFT JOIN p USING (doc_id) WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, 'llm_warning', NULL, NULL, NULL FROM t WHERE doc_id % 5 = 0)
 SELECT t.doc_id, t.source, r.code, round(r.value, 6) AS value, CAST(r.threshold AS DOUBLE) AS threshold, r.positions FROM t LEFT JOIN r ON r.doc_id = t.doc_id AND t.doc_id % 7 <> 0"""
 )
 def review_reasons(spark, sf_dir):
@@ -261,7 +261,7 @@ def review_reasons(spark, sf_dir):
 @query(
     """WITH x AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda l: trim(regexp_replace(l, '\\s+', ' ', 'g')) <> '') AS i, doc_id % 3 > 0 AS has_steps FROM documents), y AS (SELECT *, array_to_string(list_concat(['A title'], CASE WHEN len(i) > 0 THEN [array_to_string(i, chr(10))] ELSE [] END, CASE WHEN has_steps THEN ['stir well'] ELSE [] END), chr(10) || chr(10)) AS body FROM x),
 z AS (SELECT *, NOT has_steps AND len(i) BETWEEN 3 AND 12 AND length(body) <= 400 AS assembly FROM y)
-SELECT doc_id, 'indexing' AS status, sha256(body) AS body_hash, array_to_string(list_filter([CASE WHEN len(i) = 0 THEN 'no_ingredients' END, CASE WHEN NOT has_steps AND NOT assembly THEN 'no_steps' END, CASE WHEN length(trim(body)) < 200 AND NOT assembly THEN 'too_short' END, CASE WHEN length(trim(body)) > 20000 THEN 'too_long' END], lambda w: w IS NOT NULL), ',') AS warnings, CASE WHEN assembly THEN 'assembly' ELSE '' END AS notes FROM z"""
+SELECT doc_id, 'indexing' AS status, sha256(body) AS body_hash, array_to_string(list_filter([CASE WHEN len(i) = 0 THEN 'no_ingredients' END, CASE WHEN NOT has_steps AND NOT assembly THEN 'no_steps' END, CASE WHEN length(trim(body)) < 200 AND NOT assembly THEN 'recipe_too_short' END, CASE WHEN length(trim(body)) > 20000 THEN 'recipe_too_long' END], lambda w: w IS NOT NULL), ',') AS warnings, CASE WHEN assembly THEN 'assembly' ELSE '' END AS notes FROM z"""
 )
 def authored_recipes(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

@@ -159,12 +159,10 @@ def span_hashes(spark, sf_dir):
     return rows.select(F.col("document_id").alias("doc_id"), "page", "text_hash", "locator_hash", "confidence")
 
 
-def _recipes(spark, sf_dir, whole=False):
-    """Documents as extracted recipes: lines with even numbers are ingredients, the others steps; confidences come from the id.
-    whole: all lines, not only the first 15."""
+def _recipes(spark, sf_dir):
+    """Documents as extracted recipes: lines with even numbers are ingredients, the others steps; confidences come from the id."""
     docs = table(spark, sf_dir, "documents")
     parts = F.split("text", "\n", -1)
-    parts = parts if whole else F.slice(parts, 1, 15)
     span = lambda k: F.concat(F.lit("span_"), k.cast("string"))
     pairs = F.transform(parts, lambda x, i: F.struct(i.alias("i"), x.alias("text")))
     return docs.select(
@@ -180,7 +178,7 @@ def _recipes(spark, sf_dir, whole=False):
 
 
 _RECIPE_SQL = """r AS (
-  SELECT doc_id, text, substr(text, 1, 30) AS title, doc_id % 100 / 99.0::DOUBLE AS overall, doc_id % 101 / 99.0::DOUBLE AS boundary, string_split(text, chr(10))[1:15] AS parts FROM documents
+  SELECT doc_id, text, substr(text, 1, 30) AS title, doc_id % 100 / 99.0::DOUBLE AS overall, doc_id % 101 / 99.0::DOUBLE AS boundary, string_split(text, chr(10)) AS parts FROM documents
 ), recipe AS (
   SELECT *, [p for p, i in parts if (i - 1) % 2 = 0] AS ingr, len(parts) // 2 AS n_odd, [CAST((i - 1 + doc_id) % 10 AS DOUBLE) / 10 for p, i in parts if (i - 1) % 2 = 0] AS norm,
     CASE WHEN doc_id % 3 > 0 THEN len(parts) // 2 ELSE 0 END AS n_steps, (len(parts) + 1) // 2 AS n_ingr FROM r
@@ -198,16 +196,10 @@ def validate_hard(spark, sf_dir):
     return _recipes(spark, sf_dir).select("doc_id", F.array_join(ingest.hard_failures(F.col("rec"), window), ",").alias("failures"))
 
 
-@query(ORACLES["validate_hard"].replace("[1:15]", ""))
-def validate_hard_whole(spark, sf_dir):
-    window = F.array(*[F.lit(f"span_{k}") for k in range(6)])
-    return _recipes(spark, sf_dir, True).select("doc_id", F.array_join(ingest.hard_failures(F.col("rec"), window), ",").alias("failures"))
-
-
 _EXEMPT = "(n_steps = 0 AND n_ingr BETWEEN 3 AND 12 AND length(text) <= 400)"
 _SOFT = f"""list_filter([
-  CASE WHEN n_ingr = 0 THEN 'no_ingredients' END, CASE WHEN n_steps = 0 AND NOT {_EXEMPT} THEN 'no_steps' END, CASE WHEN overall < 0.5 THEN 'low_overall' END, CASE WHEN boundary < 0.5 THEN 'low_boundary' END,
-  CASE WHEN length(trim(text)) < 200 AND NOT {_EXEMPT} THEN 'too_short' END, CASE WHEN length(trim(text)) > 20000 THEN 'too_long' END, CASE WHEN list_min(norm) < 0.5 THEN 'low_normalization' END], lambda x: x IS NOT NULL)"""
+  CASE WHEN n_ingr = 0 THEN 'no_ingredients' END, CASE WHEN n_steps = 0 AND NOT {_EXEMPT} THEN 'no_steps' END, CASE WHEN overall < 0.5 THEN 'low_overall_confidence' END, CASE WHEN boundary < 0.5 THEN 'low_boundary_confidence' END,
+  CASE WHEN length(trim(text)) < 200 AND NOT {_EXEMPT} THEN 'recipe_too_short' END, CASE WHEN length(trim(text)) > 20000 THEN 'recipe_too_long' END, CASE WHEN list_min(norm) < 0.5 THEN 'low_normalization_confidence' END], lambda x: x IS NOT NULL)"""
 
 
 @query(f"WITH {_RECIPE_SQL} SELECT doc_id, array_to_string({_SOFT}, ',') AS warnings, CASE WHEN len({_SOFT}) = 0 THEN 'ready' ELSE 'needs_review' END AS status FROM recipe")
@@ -216,16 +208,10 @@ def validate_soft(spark, sf_dir):
     return _recipes(spark, sf_dir).select("doc_id", F.array_join(found, ",").alias("warnings"), ingest.item_status(found).alias("status"))
 
 
-@query(ORACLES["validate_soft"].replace("[1:15]", ""))
-def validate_soft_whole(spark, sf_dir):
-    found = ingest.soft_warnings(F.col("rec"))
-    return _recipes(spark, sf_dir, True).select("doc_id", F.array_join(found, ",").alias("warnings"), ingest.item_status(found).alias("status"))
-
-
-def _scored(spark, sf_dir, whole=False):
+def _scored(spark, sf_dir):
     rec = F.col("rec")
     score = ingest.candidate_score(rec["overall"], rec["boundary"], F.size(rec["ingredients"]) > 0, F.size(rec["steps"]) > 0, F.size(rec["source_span_ids"]) + F.least(F.size(rec["steps"]), F.lit(2)), F.lit(3))
-    return _recipes(spark, sf_dir, whole).select("doc_id", F.lower(F.substring("text", 1, 12)).alias("normalized_title"), F.round(score, 9).alias("candidate_score"), F.col("doc_id").alias("item_id"))
+    return _recipes(spark, sf_dir).select("doc_id", F.lower(F.substring("text", 1, 12)).alias("normalized_title"), F.round(score, 9).alias("candidate_score"), F.col("doc_id").alias("item_id"))
 
 
 _SCORE_SQL = """scored AS (
@@ -239,26 +225,37 @@ def dedup_best(spark, sf_dir):
     return ingest.best_per_title(_scored(spark, sf_dir)).drop("item_id")
 
 
-@query(ORACLES["dedup_best"].replace("[1:15]", ""))
-def dedup_best_whole(spark, sf_dir):
-    return ingest.best_per_title(_scored(spark, sf_dir, True)).drop("item_id")
+#: Lines as parts of at most 8,000 UTF-8 bytes: a longer line is cut at the last code point that fits, again and again; blank parts are dropped.
+_PARTS_SQL = f"""{LINES_SQL}, letters AS (
+  SELECT doc_id, page, k, sum(strlen(substr(text, k, 1))) OVER (PARTITION BY doc_id, page ORDER BY k) AS upto FROM (SELECT doc_id, page, text, unnest(range(1, length(text) + 1)) AS k FROM pages WHERE strlen(text) > 8000)
+), ends AS (SELECT * FROM letters UNION ALL SELECT DISTINCT doc_id, page, 0, 0 FROM letters), hops AS (
+  SELECT a.doc_id, a.page, a.k, b.k AS reach FROM ends a ASOF JOIN ends b ON a.doc_id = b.doc_id AND a.page = b.page AND a.upto + 8000 >= b.upto
+), cuts AS (
+  SELECT doc_id, page, k, reach FROM hops WHERE k = 0 UNION ALL SELECT h.doc_id, h.page, h.k, h.reach FROM cuts c JOIN hops h ON h.doc_id = c.doc_id AND h.page = c.page AND h.k = c.reach WHERE h.reach > h.k
+), pieces AS (
+  SELECT doc_id, page, 0 AS k, text FROM pages WHERE strlen(text) <= 8000 UNION ALL SELECT doc_id, page, c.k, substr(p.text, CAST(c.k + 1 AS BIGINT), CAST(c.reach - c.k AS BIGINT)) FROM cuts c JOIN pages p USING (doc_id, page)
+), parts AS (
+  SELECT doc_id, page, text, row_number() OVER (PARTITION BY doc_id, page ORDER BY k) AS part, count(*) OVER (PARTITION BY doc_id, page) AS part_count FROM pieces WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''
+)"""
 
 
-@query(f"WITH {LINES_SQL}, parts AS (SELECT doc_id, page, text, page % 5 AS k FROM pages WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' AND strlen(text) <= 8000) SELECT doc_id, page, {CHUNK_TYPE_SQL.format('page')} AS chunk_type, sha256(text) AS text_hash FROM parts")
-def chunk_small(spark, sf_dir):
-    """Lines that fit as they are, as chunks."""
+def _line_chunks(spark, sf_dir):
     none = F.lit(None).cast("string")
-    rows = lines(spark, sf_dir).where(F.octet_length("text") <= 8000).select(F.struct("doc_id", "page").alias("item_id"), *[none.alias(k) for k in ("title", "summary", "ingredients_text", "steps_text")], F.col("text").alias("body_text"))
-    out = ingest.build_chunks(rows)
+    rows = lines(spark, sf_dir).select(F.struct("doc_id", "page").alias("item_id"), *[none.alias(k) for k in ("title", "summary", "ingredients_text", "steps_text")], F.col("text").alias("body_text"))
+    return ingest.build_chunks(rows)
+
+
+@query(f"WITH RECURSIVE {_PARTS_SQL} SELECT doc_id, page, {CHUNK_TYPE_SQL.format('page')} AS chunk_type, sha256(text) AS text_hash FROM parts")
+def chunk_small(spark, sf_dir):
+    """All lines as chunks of the line's type."""
+    out = _line_chunks(spark, sf_dir)
     return out.select("item_id.doc_id", "item_id.page", chunk_type(F.col("item_id.page")).alias("chunk_type"), F.sha2("text", 256).alias("text_hash"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_PARTS_SQL} SELECT doc_id, page, CAST(part AS INTEGER) AS part, CAST(part_count AS INTEGER) AS part_count, CAST(strlen(text) AS INTEGER) AS bytes, sha256(text) AS text_hash FROM parts")
 def chunk_lines(spark, sf_dir):
     """All lines as chunks; long ones in parts."""
-    none = F.lit(None).cast("string")
-    rows = lines(spark, sf_dir).select(F.struct("doc_id", "page").alias("item_id"), *[none.alias(k) for k in ("title", "summary", "ingredients_text", "steps_text")], F.col("text").alias("body_text"))
-    return ingest.build_chunks(rows).select("item_id.doc_id", "item_id.page", "part", "part_count", F.octet_length("text").alias("bytes"), F.sha2("text", 256).alias("text_hash"))
+    return _line_chunks(spark, sf_dir).select("item_id.doc_id", "item_id.page", "part", "part_count", F.octet_length("text").alias("bytes"), F.sha2("text", 256).alias("text_hash"))
 
 
 @query()
@@ -524,21 +521,11 @@ def retrieval_diff(spark, sf_dir):
     return evaluation.retrieval_diff(run.where("item_id % 4 <> 0"), run.where("item_id % 5 <> 0").withColumn("rank", F.col("rank") + F.col("item_id") % 6))
 
 
-@query(
-    f"""WITH s AS (SELECT doc_id, list_distinct({_WORDS.format("text")}[1:20]) AS e, list_distinct({_WORDS.format("text")}[11:30]) AS f FROM documents), c AS (SELECT *, CAST(len(list_intersect(e, f)) AS DOUBLE) AS k FROM s)
-SELECT doc_id, round(CASE WHEN len(e) = 0 AND len(f) = 0 THEN 1.0 WHEN len(f) = 0 THEN 0 ELSE k / len(f) END, 6) AS "precision", round(CASE WHEN len(e) = 0 AND len(f) = 0 THEN 1.0 WHEN len(e) = 0 THEN 0 ELSE k / len(e) END, 6) AS recall FROM c"""
-)
-def prf_spans(spark, sf_dir):
-    w = X.words(F.col("text"))
-    parts = evaluation.prf(F.array_distinct(F.slice(w, 1, 20)), F.array_distinct(F.slice(w, 11, 20)))
-    return table(spark, sf_dir, "documents").select("doc_id", *[F.round(parts[k], 6).alias(k) for k in ("precision", "recall")])
-
-
 @query(
     f"""WITH t AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), s AS (SELECT doc_id, list_distinct(w[1 : len(w) - len(w) // 3]) AS e, list_distinct(w[len(w) // 3 + 1 :]) AS f FROM t), c AS (SELECT *, CAST(len(list_intersect(e, f)) AS DOUBLE) AS k FROM s)
 SELECT doc_id, round(CASE WHEN len(e) = 0 AND len(f) = 0 THEN 1.0 WHEN len(f) = 0 THEN 0 ELSE k / len(f) END, 6) AS "precision", round(CASE WHEN len(e) = 0 AND len(f) = 0 THEN 1.0 WHEN len(e) = 0 THEN 0 ELSE k / len(e) END, 6) AS recall FROM c"""
 )
-def prf_spans_whole(spark, sf_dir):
+def prf_spans(spark, sf_dir):
     """The words but the last third against the words but the first third."""
     rows = table(spark, sf_dir, "documents").select("doc_id", X.words(F.col("text")).alias("w")).withColumn("third", F.floor(F.size("w") / 3).cast("int"))
     parts = evaluation.prf(F.array_distinct(F.slice("w", F.lit(1), F.size("w") - F.col("third"))), F.array_distinct(F.slice("w", F.col("third") + 1, F.size("w"))))
@@ -564,3 +551,8 @@ def event_windows(spark, sf_dir):
 @query("SELECT doc_id, trim(regexp_replace(lower(text), '[ \\t\\n\\v\\f\\r]+', ' ', 'g')) AS normalized FROM documents")
 def normalize_query(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.normalize_query(F.col("text")).alias("normalized"))
+
+
+#: Earlier names of queries that run over whole texts.
+for _name in ("validate_hard", "validate_soft", "dedup_best", "prf_spans"):
+    QUERIES[f"{_name}_whole"], ORACLES[f"{_name}_whole"] = QUERIES[_name], ORACLES[_name]

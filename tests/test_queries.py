@@ -36,7 +36,7 @@ def test_whole_texts(spark, tmp_path):
     for i, text in texts.items():
         size = len(text.split("\n"))
         assert ("span_outside_window" in hard[i]) == (i % 7 > 5 or (i % 3 > 0 and size > 7))
-        assert ("low_normalization" in soft[i]) == any((k + i) % 10 < 5 for k in range(0, size, 2))
+        assert ("low_normalization_confidence" in soft[i]) == any((k + i) % 10 < 5 for k in range(0, size, 2))
     assert {r["doc_id"] for r in run("dedup_best_whole")} == set(texts)
     parts = sorted((r["part"], r["bytes"]) for r in run("chunk_lines") if r["doc_id"] == 24)
     assert len(parts) >= 3 and all(n <= 8000 for _, n in parts) and sum(n for _, n in parts) >= len(long.strip()) - len(parts)

@@ -134,7 +134,7 @@ def test_failures_and_batches(spark):
 def test_footer_and_over_fetch(spark):
     pack = spark.createDataFrame([(1, "b", 2, 1, "cite_2", "ctx_2"), (1, "a", 1, 1, "cite_1", "ctx_1"), (1, "a", 1, 2, "cite_1", "ctx_1")], "query_id int, item_id string, item_place int, chunk_place int, cite_id string, ctx_id string")
     assert ground.allowed_ids(pack).first()["footer"] == "Allowed citation IDs: cite_1, cite_2\nAllowed knowledge_item_ids: a, b"
-    assert ground.over_fetch(5, 6) == 30
+    assert [ground.over_fetch(k) for k in (5, 1, 0)] == [10, 2, 1]
 
 
 def test_stored_files_and_reports(spark, tmp_path):
@@ -180,8 +180,8 @@ def test_fixtures_and_cuts(spark, tmp_path):
 
 def test_embedding_requests(spark):
     """Requests keep to both caps; known chunks of the space are not sent again."""
-    chunks = spark.createDataFrame([(k, "x" * (4000 if k == 5 else 36)) for k in range(12)], "chunk_id int, text string").coalesce(1)
+    chunks = spark.createDataFrame([(k, "x" * 4000 if k == 5 else "ж" * 18 if k == 7 else "x" * 36) for k in range(12)], "chunk_id int, text string").coalesce(1)
     known = spark.createDataFrame([(0, "p", "m"), (1, "p", "old")], "chunk_id int, provider string, model string")
-    out = ingest.embed_chunks(chunks, known, lambda texts: [[float(len(texts)), float(sum(len(t) // 4 + 1 for t in texts))] for t in texts], ("p", "m"), 4, 35).orderBy("chunk_id").collect()
+    out = ingest.embed_chunks(chunks, known, lambda texts: [[float(len(texts)), float(sum(len(t.encode()) for t in texts))] for t in texts], ("p", "m"), 4, 150).orderBy("chunk_id").collect()
     assert [r["chunk_id"] for r in out] == list(range(1, 12))
-    assert all(r["embedding"][0] <= 4 and (r["embedding"][1] <= 35 or r["embedding"][0] == 1) for r in out)
+    assert all(r["embedding"][0] <= 4 and (r["embedding"][1] <= 150 or r["embedding"][0] == 1) for r in out)
