@@ -140,16 +140,18 @@ def keyword_leg(chunks: DataFrame, queries: DataFrame, top_k: int = 50) -> DataF
     terms = queries.where(F.size("terms") > 0).select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("lexeme"))
     postings = chunks.select("chunk_id", "item_id", "chunk_type", F.explode("lexemes").alias("p")).select("chunk_id", "item_id", "chunk_type", "p.lexeme", "p.pos")
     found = postings.join(terms, "lexeme").groupBy("query_id", "chunk_id", "item_id", "chunk_type", "n_terms").agg(F.count_distinct("lexeme").alias("n_found"), F.collect_list(F.struct("lexeme", "pos")).alias("places"))
-    hits = found.where("n_found = n_terms").withColumn("raw_score", _density(F.col("places"))).drop("places", "n_terms", "n_found")
+    hits = found.where("n_found = n_terms").withColumn("raw_score", cover_density_of(F.col("places"))).drop("places", "n_terms", "n_found")
     return ranked(hits, [F.desc("raw_score"), F.asc("chunk_id")], top_k, "keyword")
 
 
 @F.pandas_udf(T.DoubleType())
-def _density(places: pd.Series) -> pd.Series:
+def cover_density_of(places: pd.Series) -> pd.Series:
+    """Of rows (lexeme, pos) or (lexeme, places)."""
+
     def one(rows):
         found: dict[str, list[int]] = {}
         for r in rows:
-            found.setdefault(r["lexeme"], []).append(r["pos"])
+            found.setdefault(r["lexeme"], []).extend(r["places"] if "places" in r else [r["pos"]])
         return cover_density(found)
 
     return places.map(one)

@@ -9,6 +9,7 @@ from tessera.functions import text as X
 from tessera.operators import catalog, evaluation, ground, ingest, lifecycle, results, review, runs, search
 from tessera.plans.queries import _FUSED_SQL, _JUDGED_SQL, _ITEMS_SQL, _PACK_SQL, _VECTOR_SQL, _WORDS, _judged, _legs, _pack, _vectors
 from tessera.plans.registry import query
+from tessera.plans.stems_sql import stemmed_search
 from tessera.plans.views import LIBRARY_SQL, LINES_SQL, items, library, lines, table
 
 # -- search ------------------------------------------------------------------------------------------------------------
@@ -28,9 +29,13 @@ def search_words(spark, sf_dir):
     return hits.select("query_id", "chunk_id", "item_id", "chunk_type", F.col("rank").cast("long").alias("rank"), F.col("raw_score").alias("score"))
 
 
-@query()
+@query(
+    f"""WITH {LIBRARY_SQL}, shelf AS (SELECT chunk_id, item_id, text FROM searchable WHERE category = 'src0'),
+{stemmed_search("shelf", 2)}
+SELECT query_id, chunk_id, item_id, CAST(rank AS INTEGER) AS rank, round(raw_score, 6) AS score FROM found JOIN shelf USING (chunk_id)"""
+)
 def search_keyword(spark, sf_dir):
-    """The stemmed leg over the same tables; SQL has no stems here."""
+    """The stemmed leg over the same tables."""
     lib = library(spark, sf_dir)
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), X.lexemes(F.col("text")).alias("l")).select("query_id", F.array_distinct(F.slice(F.transform("l", lambda x: x["lexeme"]), 1, 2)).alias("terms"))
     hits = results.keyword_search(lib["chunks"].withColumn("lexemes", X.lexemes(F.col("text"))), lib["items"], lib["documents"], asked, search.search_predicate(category="src0"))

@@ -9,6 +9,7 @@ from tessera.functions import text as X
 from tessera.operators import catalog, evaluation, ground, ingest, lifecycle, search
 from tessera.streaming import events
 from tessera.plans.registry import ORACLES, QUERIES, query  # noqa: F401
+from tessera.plans.stems_sql import stemmed_search
 from tessera.plans.views import CHUNK_TYPE_SQL, ITEMS_SQL, LINES_SQL, chunk_type, items, lines, table
 
 # -- search ------------------------------------------------------------------------------------------------------------
@@ -61,9 +62,9 @@ def keyword_topk(spark, sf_dir):
     return _text_hits(spark, sf_dir).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.col("raw_score").cast("long").alias("raw_score"))
 
 
-@query()
+@query(f"WITH {LINES_SQL}, lined AS (SELECT doc_id * 1000000 + page AS chunk_id, text FROM pages),\n{stemmed_search('lined', 3)}\nSELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(raw_score, 6) AS raw_score FROM found")
 def keyword_stemmed(spark, sf_dir):
-    """Stemmed search ranked by cover density; SQL has no stems here."""
+    """Stemmed search ranked by cover density."""
     rows = lines(spark, sf_dir).select((F.col("doc_id") * 1000000 + F.col("page")).alias("chunk_id"), F.col("doc_id").alias("item_id"), chunk_type(F.col("page")).alias("chunk_type"), X.lexemes(F.col("text")).alias("lexemes"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), X.lexemes(F.col("text")).alias("l")).select("query_id", F.array_distinct(F.slice(F.transform("l", lambda x: x["lexeme"]), 1, 3)).alias("terms"))
     return search.keyword_leg(rows, asked).select("query_id", "chunk_id", "rank", F.round("raw_score", 6).alias("raw_score"))

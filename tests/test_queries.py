@@ -1,7 +1,7 @@
 import pytest
 from compare import check
 
-from tessera.plans import library, queries  # noqa: F401
+from tessera.plans import library, queries, stored  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES
 
 
