@@ -155,26 +155,6 @@ def first_claim(items: DataFrame, order: list[str], size: str, most: int = BATCH
     return items.withColumn("place", place).withColumn("running", running).where((F.col("place") == 1) | ((F.col("place") <= most) & (F.col("running") <= most_bytes)))
 
 
-def pack(items: DataFrame, key: str, order: list[str], size: str, most: int, most_size: int) -> DataFrame:
-    """Adds `batch`: the queue of each key cut into runs within both caps, in order. One pass over sorted rows; only the running sums are held."""
-    schema = items.withColumn("batch", F.lit(0).cast("long")).schema
-
-    def run(frames):
-        now, batch, count, total = object(), 0, 0, 0
-        for pdf in frames:
-            out = []
-            for k, s in zip(pdf[key], pdf[size]):
-                if k != now:
-                    now, batch, count, total = k, 0, 0, 0
-                elif count >= most or total + s > most_size:
-                    batch, count, total = batch + 1, 0, 0
-                count, total = count + 1, total + s
-                out.append(batch)
-            yield pdf.assign(batch=pd.Series(out, index=pdf.index, dtype="int64"))
-
-    return items.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInPandas(run, schema)
-
-
 def hash_embedding(provider: str = "fake", model: str = "hash", dimensions: int = 64) -> Callable[[Column], Column]:
     """A deterministic stand-in for an embedding service: components from digests of (provider, model, dimensions, text); an
     empty text has the zero vector."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import catalog, evaluation, ground, ingest, lifecycle, search
+from tessera.operators import catalog, evaluation, ground, ingest, lifecycle, packing, search
 from tessera.streaming import events
 from tessera.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from tessera.plans.stems_sql import stemmed_search
@@ -288,7 +288,7 @@ def batch_claim_prefix(spark, sf_dir):
 )
 def batch_packing(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.abs("value").cast("long").alias("size"))
-    return ingest.pack(rows, "user_id", ["event_id"], "size", 4, 150).select("user_id", "event_id", "batch")
+    return packing.pack(rows, "user_id", ["event_id"], "size", 4, 150).select("user_id", "event_id", "batch")
 
 
 @query("SELECT p_partkey, trim(regexp_replace(lower(strip_accents(p_name)), '\\s+', ' ', 'g')) AS normalized_title FROM part")

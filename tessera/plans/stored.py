@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import keyword_index, vector_index
+from tessera.operators import keyword_index, packing, vector_index
 from tessera.plans.queries import ORACLES, _vectors, query
 from tessera.plans.views import chunk_type, lines, table
 from tessera.sources import scratch
@@ -49,3 +49,16 @@ def keyword_stemmed_indexed(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), X.lexemes(F.col("text")).alias("l")).select("query_id", F.array_distinct(F.slice(F.transform("l", lambda x: x["lexeme"]), 1, 3)).alias("terms"))
     hits = keyword_index.keyword_leg(_index(spark, _lexeme_chunks(spark, sf_dir, X.lexemes(F.col("text")))), asked)
     return hits.select("query_id", "chunk_id", "rank", F.round("raw_score", 6).alias("raw_score"))
+
+
+@query(
+    """WITH RECURSIVE q AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS size, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS n FROM lineitem),
+r AS (SELECT *, sum(size) OVER (ORDER BY n) AS upto FROM q), hops AS MATERIALIZED (
+  SELECT a.n, least(greatest(b.n + 1, a.n + 1), a.n + 90) AS hop FROM r a ASOF JOIN r b ON a.upto - a.size + 2000 >= b.upto
+), starts AS (SELECT 1::BIGINT AS n, 0 AS batch UNION ALL SELECT h.hop, s.batch + 1 FROM starts s JOIN hops h ON h.n = s.n WHERE h.hop <= (SELECT count(*) FROM q))
+SELECT l_orderkey, l_linenumber, CAST(s.batch AS BIGINT) AS batch FROM q ASOF JOIN starts s ON q.n >= s.n"""
+)
+def queue_packing(spark, sf_dir):
+    """All lines of orders as one queue, packed by many tasks."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.col("l_quantity").cast("long").alias("size"), F.lit(1).alias("queue"))
+    return packing.pack(rows, "queue", ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], "size", 90, 2000, 4096).select("l_orderkey", "l_linenumber", "batch")
