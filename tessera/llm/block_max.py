@@ -32,7 +32,7 @@ from tessera.llm.common import LOWER, doc_key, key_to_id, materialize
 
 SHARD_DOCS, SHARD_BYTES, BLOCK = 1 << 13, 1 << 24, 128
 #: Items that are searched together; intervals of the first wave; one shard in FIRST is searched first.
-ITEMS, WAVE, FIRST = 256, 64, 16
+ITEMS, WAVE, FIRST = 256, 16, 16
 #: Fixed values of the score.
 SCALE, COUNT_SCALE, LENGTH_SCALE, FLAT, SLOPE = 1_000_000_000, 1000, 8, 10, 90
 PIECE = 1 << 20
