@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import catalog, ingest
 from tessera.operators.lifecycle import edges
+from tessera.sources import scratch, versioned
 
 # Reasons that failures are recorded under, by kind of error.
 REASONS = {
@@ -85,6 +86,54 @@ def extract(windows: DataFrame, runs: DataFrame, provider: Callable[[list[str]],
     return cached.unionByName(fresh)
 
 
+class ExtractionFailed(RuntimeError):
+    """Some windows of a commit had no answer; the others are recorded."""
+
+
+def prepare_windows(windows: DataFrame, path: str, key: str = "document_id", order: str = "window", size: int = WINDOWS_PER_COMMIT, commits_at_once: int = 64) -> None:
+    """Store the windows of a job below path/windows, one folder for each group of commits that extract_durably() asks for at once: every commit is `size`
+    consecutive windows of one document, and a document's commits are in groups that follow each other."""
+    rows = commit_batches(windows, key, order, size)
+    group = F.floor(F.col("commit") + F.pmod(F.xxhash64(key), F.lit(2))).cast("int")
+    within = F.pmod(F.xxhash64(key, "commit"), F.lit(max(1, commits_at_once)))
+    rows.withColumn("wave", group).repartition("wave", within).write.partitionBy("wave").parquet(f"{path.rstrip('/')}/windows")
+
+
+def recorded(spark: SparkSession, path: str, key: list[str]) -> DataFrame | None:
+    """The run records so far, of a window's several ones its last success or else its last; None before the first commit."""
+    if versioned.version(spark, f"{path}/runs") < 0:
+        return None
+    rows = versioned.read(spark, f"{path}/runs")
+    return catalog.latest(rows, key, [F.desc(F.col("status") == "success"), F.desc("recorded_at"), F.desc("run_id")]).drop("recent")
+
+
+def extract_durably(spark: SparkSession, path: str, provider: Callable[[list[str]], list], key: list[str], version: list[str] = ("input_hash",), after: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """extract() over the prepared windows, group by group: a group's records are committed to the versioned table path/runs before its errors are
+    raised, so whatever breaks the job (a provider, a lost driver) costs one group at most; run again, it asks only for windows that no success is
+    recorded for. A commit that was made is never made again. after: called with each group's records once they are committed (a heartbeat). Returns
+    recorded()."""
+    path = path.rstrip("/")
+    windows = spark.read.parquet(f"{path}/windows")
+    for wave in sorted(r["wave"] for r in windows.select("wave").distinct().collect()):
+        known = recorded(spark, path, key)
+        mine = windows.where(F.col("wave") == wave).drop("wave", "commit")
+        if known is not None:
+            mine = mine.join(known.where("status <> 'failed'").select(*key), key, "left_anti")
+        if mine.isEmpty():
+            continue
+        none = spark.createDataFrame([], "run_id string, status string, output_json string, created_at timestamp").select("*", *[F.lit(None).cast(mine.schema[v].dataType).alias(v) for v in version])
+        runs = none if known is None else known.select("run_id", "status", "output_json", F.col("recorded_at").alias("created_at"), *version)
+        done = scratch.stored(extract(mine, runs, provider, key, version).withColumn("run_id", F.uuid()).withColumn("recorded_at", F.current_timestamp()), "commit")
+        tries = sum(e["commit"] is not None and e["commit"].startswith(f"{wave}.") for e in versioned.entries(spark, f"{path}/runs"))
+        versioned.append(done, f"{path}/runs", f"{wave}.{tries}")
+        if after is not None:
+            after(done)
+        failed = done.where("status = 'failed'")
+        if not failed.isEmpty():
+            raise ExtractionFailed(failed.first()["error"])
+    return recorded(spark, path, key)
+
+
 def produced_by(items: DataFrame, runs: DataFrame, again: DataFrame) -> DataFrame:
     """Items with the window of the run that made them, and `carried`: that window is not among those extracted again (window_key)."""
     rows = items.join(runs.select("run_id", "window_key"), "run_id")

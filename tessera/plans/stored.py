@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import keyword_index, packing, vector_index
+from tessera.operators import keyword_index, lifecycle, packing, runs, vector_index
 from tessera.plans.queries import ORACLES, _vectors, query
 from tessera.plans.views import chunk_type, lines, table
-from tessera.sources import scratch
+from tessera.sources import scratch, versioned
 
 
 @query(ORACLES["vector_topk"])
@@ -62,3 +62,51 @@ def queue_packing(spark, sf_dir):
     """All lines of orders as one queue, packed by many tasks."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.col("l_quantity").cast("long").alias("size"), F.lit(1).alias("queue"))
     return packing.pack(rows, "queue", ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], "size", 90, 2000, 4096).select("l_orderkey", "l_linenumber", "batch")
+
+
+@query(
+    """WITH w AS (SELECT conv_id AS document_id, turn AS window, text, sha256(text) AS h FROM conversations)
+SELECT document_id, "window", 'success' AS status, sha256(concat('{"items": [{"title": "', h, '", "body_text": "b"}]}')) AS output_hash FROM w"""
+)
+def durable_extraction(spark, sf_dir):
+    """All turns as windows through a provider that breaks down at some prompts, and again through one that doesn't: what the first run had recorded
+    is not asked again."""
+    import hashlib
+
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("window"), F.col("text").alias("prompt"), F.sha2("text", 256).alias("input_hash"))
+    path = scratch.new_path(spark, "extraction")
+
+    def answer(prompts, broken):
+        hashes = [hashlib.sha256(p.encode()).hexdigest() for p in prompts]
+        if broken and any(h < "01" for h in hashes):
+            raise ConnectionError("the provider is away")
+        return [(f'{{"items": [{{"title": "{h}", "body_text": "b"}}]}}', None) for h in hashes]
+
+    runs.prepare_windows(rows, path)
+    try:
+        out = runs.extract_durably(spark, path, lambda prompts: answer(prompts, True), ["document_id", "window"])
+    except runs.ExtractionFailed:
+        out = runs.extract_durably(spark, path, lambda prompts: answer(prompts, False), ["document_id", "window"])
+    return out.select("document_id", "window", "status", F.sha2("output_json", 256).alias("output_hash"))
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN CASE WHEN o_orderkey % 3 = 0 THEN 'indexing' ELSE 'failed' END ELSE 'queued' END AS status,
+  CAST(2 AS INTEGER) AS version, true AS first_refused FROM orders"""
+)
+def guarded_writes(spark, sf_dir):
+    """Two writers from one version: the second is refused, and succeeds on the first one's version."""
+    path = scratch.new_path(spark, "documents")
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.when(F.col("o_orderstatus") == "O", "embedding_chunks").otherwise("ready").alias("status"))
+    seen = versioned.publish(docs, path)
+    mine = versioned.read(spark, path, seen)
+    step = lambda rows: lifecycle.transition(rows, rows.where("status = 'embedding_chunks'").select("document_id", F.when(F.col("document_id") % 3 == 0, "indexing").otherwise("failed").alias("to_status"))).drop("applied")
+    again = lambda rows: lifecycle.transition(rows, rows.where("status = 'ready'").select("document_id", F.lit("queued").alias("to_status"))).drop("applied")
+    versioned.publish(step(mine), path, seen)
+    try:
+        versioned.publish(again(mine), path, seen)
+        refused = False
+    except versioned.StaleWriter:
+        refused = True
+        versioned.update(spark, path, again)
+    return versioned.read(spark, path).select(F.col("document_id").alias("o_orderkey"), "status", F.lit(versioned.version(spark, path)).alias("version"), F.lit(refused).alias("first_refused"))
