@@ -123,16 +123,8 @@ def decide(items: DataFrame, decisions: DataFrame, documents: DataFrame) -> Data
     return rows.withColumn("status", F.when(F.col("outcome").isin("indexing", "rejected"), F.col("outcome")).otherwise(F.col("status"))).drop("decision", "newest", "done")
 
 
-def edit_lines(old: Column, new_lines: Column) -> Column:
-    """Lines of an edited list matched to the old rows by their exact text; of equal lines each old row serves one new line, in
-    order. An unmatched line has a null match."""
-    used = lambda line, i: F.size(F.filter(F.slice(new_lines, 1, i), lambda x: x == line))
-    same = lambda line: F.filter(old, lambda r: r["raw_text"] == line)
-    return F.transform(new_lines, lambda line, i: F.struct(line.alias("raw_text"), F.try_element_at(same(line), used(line, i) + 1).alias("match")))
-
-
 def apply_edits(items: DataFrame, edits: DataFrame) -> DataFrame:
-    """edits: (item_id, title, body_text) -> items: a ready item goes to indexing, one under review stays; the first edit keeps a snapshot.
+    """Edits of title and body alone (editing.apply_edits() has whole recipes). edits: (item_id, title, body_text) -> items: a ready item goes to indexing, one under review stays; the first edit keeps a snapshot.
     Of several edits of an item the first holds, as in first_of()."""
     edits = first_of(edits.select("item_id", "title", "body_text", *(["at"] if "at" in edits.columns else [])), ["item_id"])
     rows = items.join(edits.select("item_id", F.col("title").alias("__t"), F.col("body_text").alias("__b"), F.lit(True).alias("__e")), "item_id", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import keyword_index, lifecycle, packing, runs, vector_index
+from tessera.operators import editing, keyword_index, lifecycle, packing, runs, vector_index
 from tessera.plans.queries import ORACLES, _vectors, query
 from tessera.plans.views import chunk_type, lines, table
 from tessera.sources import scratch, versioned
@@ -110,3 +110,40 @@ def guarded_writes(spark, sf_dir):
         refused = True
         versioned.update(spark, path, again)
     return versioned.read(spark, path).select(F.col("document_id").alias("o_orderkey"), "status", F.lit(versioned.version(spark, path)).alias("version"), F.lit(refused).alias("first_refused"))
+
+
+def _cooked(spark, sf_dir):
+    """Documents as recipes: each line an ingredient, and maybe one step."""
+    doc = F.col("doc_id")
+    row = lambda x, k: F.struct((k + 1).alias("position"), x.alias("raw_text"), k.cast("double").alias("quantity"), ((k + doc) % 10 / 10.0).alias("normalization"), F.lit(False).alias("edited"))
+    step = F.array(F.struct(F.lit(1).alias("step_number"), F.lit("stir well").alias("text"), F.array(F.lit("s1")).alias("source_span_ids"), F.lit(0.4).alias("confidence"), F.lit(False).alias("edited")))
+    status = F.element_at(F.array(*[F.lit(x) for x in ("ready", "needs_review", "ready", "superseded")]), (doc % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select(
+        doc.alias("item_id"), status.alias("status"), F.lit("Item").alias("title"), F.lit(None).cast("string").alias("summary"), F.concat(F.lit("prose "), doc.cast("string")).alias("body_text"), F.transform(F.split("text", "\n", -1), row).alias("ingredients"),
+        F.when(doc % 3 > 0, step).alias("steps"), F.col("text").alias("ingredients_text"), F.when(doc % 3 > 0, "stir well").alias("steps_text"), (doc % 7 / 7.0).alias("overall"), F.lit(0.9).alias("boundary"), F.lit(None).cast("string").alias("snapshot"), F.array(F.lit("old")).alias("warnings"),
+    )
+
+
+@query(
+    """WITH d AS (SELECT *, string_split(text, chr(10)) AS parts, doc_id % 4 <> 3 AND (doc_id % 2 = 0 OR doc_id % 3 = 0 OR doc_id % 5 = 0) AS e FROM documents), f AS (SELECT *, e AND doc_id % 2 = 0 AS e_i, e AND doc_id % 5 = 0 AS e_s, e AND doc_id % 3 = 0 AS e_t FROM d),
+old AS (SELECT doc_id, k - 1 AS at, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS rank FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS k FROM f)),
+lines AS (SELECT doc_id, CASE WHEN e_i THEN list_concat(['a new line'], list_reverse(parts)) ELSE parts END AS l FROM f),
+new AS (SELECT doc_id, k, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS rank FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS k FROM lines)),
+rows AS (SELECT n.doc_id, count(*) AS n_ingr, min(CASE WHEN o.at IS NULL THEN 1 ELSE (o.at + n.doc_id) % 10 / 10 END) AS norm, string_agg(concat(n.k, ':', sha256(n.line), ':', coalesce(CAST(o.at AS VARCHAR), 'none')), ' ' ORDER BY n.k) AS listed, string_agg(n.line, chr(10) ORDER BY n.k) AS text FROM new n LEFT JOIN old o ON o.doc_id = n.doc_id AND o.line = n.line AND o.rank = n.rank GROUP BY n.doc_id),
+g AS (SELECT f.*, n_ingr, norm, listed, CASE WHEN e_i THEN rows.text ELSE f.text END AS i_text, CASE WHEN e_s THEN 'stir well' || chr(10) || 'bake' WHEN doc_id % 3 > 0 THEN 'stir well' ELSE '' END AS s_text, CASE WHEN e_s THEN 2 WHEN doc_id % 3 > 0 THEN 1 ELSE 0 END AS n_steps, CASE WHEN e_t THEN NULL ELSE 'Item' END AS title FROM f JOIN rows USING (doc_id)),
+h AS (SELECT *, CASE WHEN e_i OR e_s THEN array_to_string(list_filter([title, i_text, s_text], lambda x: x IS NOT NULL AND trim(regexp_replace(x, '\\s+', ' ', 'g')) <> ''), chr(10) || chr(10)) ELSE concat('prose ', doc_id) END AS body FROM g),
+z AS (SELECT *, n_steps = 0 AND n_ingr BETWEEN 3 AND 12 AND length(body) <= 400 AS assembly FROM h)
+SELECT doc_id, CASE WHEN e AND doc_id % 2 = 0 THEN 'indexing' ELSE (['ready', 'needs_review', 'ready', 'superseded'])[CAST(doc_id % 4 AS INTEGER) + 1] END AS status, title, sha256(listed) AS listed, n_steps, sha256(body) AS body_hash, e_i OR e_s AS body_rebuilt, e AS kept,
+  CASE WHEN e THEN array_to_string(list_filter([CASE WHEN n_steps = 0 AND NOT assembly THEN 'no_steps' END, CASE WHEN doc_id % 7 / 7 < 0.5 THEN 'low_overall_confidence' END, CASE WHEN length(trim(body)) < 200 AND NOT assembly THEN 'recipe_too_short' END, CASE WHEN length(trim(body)) > 20000 THEN 'recipe_too_long' END, CASE WHEN norm < 0.5 THEN 'low_normalization_confidence' END], lambda w: w IS NOT NULL), ',') ELSE 'old' END AS warnings FROM z"""
+)
+def edited_recipes(spark, sf_dir):
+    """Lines added and reversed, steps retyped, titles taken away; of two edits of an item the earlier holds."""
+    items = _cooked(spark, sf_dir)
+    named = lambda name, n: F.when(F.col("item_id") % n == 0, name)
+    fields = F.array_compact(F.array(named("ingredients", 2), named("title", 3), named("steps", 5)))
+    lines = F.concat(F.array(F.lit("a new line")), F.reverse(F.transform("ingredients", lambda r: r["raw_text"])))
+    edits = items.select("item_id", fields.alias("fields"), F.lit(None).cast("string").alias("title"), lines.alias("ingredients"), F.array(F.lit("stir well"), F.lit("bake")).alias("steps"), F.lit(1).alias("at"))
+    later = edits.where("size(fields) > 0").withColumn("at", F.lit(2)).withColumn("fields", F.array(F.lit("steps"))).withColumn("steps", F.array(F.lit("too late")))
+    out = editing.apply_edits(items, edits.union(later))
+    listed = F.array_join(F.transform("ingredients", lambda r: F.concat_ws(":", r["position"].cast("string"), F.sha2(r["raw_text"], 256), F.coalesce(r["quantity"].cast("int").cast("string"), F.lit("none")))), " ")
+    return out.select(F.col("item_id").alias("doc_id"), "status", "title", F.sha2(listed, 256).alias("listed"), F.coalesce(F.size("steps"), F.lit(0)).alias("n_steps"), F.sha2("body_text", 256).alias("body_hash"), "body_rebuilt", F.col("snapshot").isNotNull().alias("kept"), F.array_join("warnings", ",").alias("warnings"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import catalog, evaluation, ground, ingest, lifecycle, search
+from tessera.operators import catalog, editing, evaluation, ground, ingest, lifecycle, search
 
 
 def values(df, *columns):
@@ -132,10 +132,11 @@ def test_alignment(spark):
     assert got == [[(0, 0), (1, 2), (2, 1)], [(0, 2), (1, 1)], []]
 
 
-def test_edit_lines(spark):
-    df = spark.createDataFrame([([("salt", 1), ("salt", 2), ("egg", 3)], ["salt", "new", "salt", "salt"])], "old array<struct<raw_text:string,n:int>>, lines array<string>")
-    got = [(x["raw_text"], x["match"]["n"] if x["match"] else None) for x in df.select(catalog.edit_lines(F.col("old"), F.col("lines"))).first()[0]]
-    assert got == [("salt", 1), ("new", None), ("salt", 2), ("salt", None)]
+def test_edited_lines(spark):
+    items = spark.createDataFrame([(1, [(1, "salt", 1.0, 0.3, False), (2, "salt", 2.0, 0.4, False), (3, "egg", 3.0, 0.5, False), (4, None, 4.0, 0.5, False)]), (2, None)], "item_id int, ingredients array<struct<position:int,raw_text:string,quantity:double,normalization:double,edited:boolean>>")
+    edits = spark.createDataFrame([(1, ["salt", "new", "salt", "salt"]), (2, ["egg"]), (3, [])], "item_id int, lines array<string>")
+    got = {r["item_id"]: [tuple(x) for x in r["rows"]] for r in editing.matched_lines(items, edits, "ingredients", "raw_text", "position").collect()}
+    assert got == {1: [(1, "salt", 1.0, 0.3, False), (2, "new", None, 1.0, True), (3, "salt", 2.0, 0.4, False), (4, "salt", None, 1.0, True)], 2: [(1, "egg", None, 1.0, True)], 3: []}
 
 
 def test_courses(spark):
