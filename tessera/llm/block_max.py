@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import LOWER, doc_key, key_to_id, materialize
 
-SHARD_DOCS, SHARD_BYTES, BLOCK = 1 << 13, 1 << 24, 128
+SHARD_DOCS, SHARD_BYTES, BLOCK = 1 << 13, 1 << 23, 128
 #: Items that are searched together; intervals of the first wave; one shard in FIRST is searched first.
 ITEMS, WAVE, FIRST = 256, 16, 16
 #: Fixed values of the score.
@@ -147,8 +147,8 @@ def _index(batches):
     shard, made = Shard(), 0
     first = TaskContext.get().partitionId() << 32
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
-            shard.add(doc, text)
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
+            shard.add(doc, text.as_py())
             if shard.full():
                 yield shard.rows(first + made)
                 shard, made = Shard(), made + 1
