@@ -67,7 +67,7 @@ def _walk(chunk: int, key: str, size: str, most: int, most_size: int, columns: l
         first = int(at[0]) * chunk
         pdf, hops = _own(pdf, first, chunk, key, size, most, most_size)
         new = np.zeros(len(hops), np.int64)
-        here = int(entered["entry"].iloc[0]) - first if len(entered) else len(hops)
+        here = int(entered["entry"].min()) - first if len(entered) else len(hops)  # the end of all rows may be in the last chunk too
         while here < len(hops):
             new[here] = 1
             here = int(hops[here])
