@@ -5,7 +5,8 @@ budget by weight, none gets more than its documents can give in `epochs` passes,
 siblings first; only what a whole family cannot take goes to the family's own siblings. A leaf then takes whole passes and, of
 one more pass in a seeded order, the documents at the front until its budget is spent to the token (the last one in part).
 
-All sums are whole numbers, so any split is exact and the same on every run. Prefix sums within a leaf first count hash
+All sums are whole numbers and products of tokens and weights have 38 digits, so any split is exact and the same on every run; a family's work grows with its
+members (two sorts and running sums). Prefix sums within a leaf first count hash
 ranges and then sort within a range, so a leaf with a third of all rows is no single task.
 
 Results in odd cases: nulls in a level count as ""; a null or empty text has no tokens and is never taken; sources without a
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import discard, free_names, materialize
 
-#: Weights are whole numbers; those of one family sum up to this at most (sums stay within 64 bits).
+#: Weights are whole numbers; those given for one level sum up to this at most.
 MOST_WEIGHT = 10_000
 RANGES = 4096
 SPACE = r"[\x20\x09-\x0D]+"
@@ -42,22 +43,27 @@ def count_tokens(text: Column) -> Column:
     return F.size(F.filter(F.split(text, SPACE), lambda w: w != "")).cast("long")
 
 
+def _wide(tokens: str, weight: str) -> str:
+    """A product of tokens and weights: it may be longer than 64 bits."""
+    return f"CAST({tokens} AS DECIMAL(19, 0)) * CAST({weight} AS DECIMAL(18, 0))"
+
+
 def fill(nodes: DataFrame, parents: list[str], level: str) -> DataFrame:
     """nodes: (parents, level, cap, weight, budget of the parent) -> the same with `share`: the budget of each node."""
     family = Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(0))
     by_need = family.orderBy(F.col("cap").cast("double") / F.col("weight"), level)
     by_name = family.orderBy(level)
-    so_far, later = (Window.unboundedPreceding, -1), (0, Window.unboundedFollowing)
+    so_far = (Window.unboundedPreceding, -1)
     nodes = nodes.withColumn("budget", F.least("budget", F.sum("cap").over(family)))
     nodes = nodes.withColumn("before", F.coalesce(F.sum("cap").over(by_need.rowsBetween(*so_far)), F.lit(0)))
-    nodes = nodes.withColumn("rest", F.sum("weight").over(by_need.rowsBetween(*later)))
+    nodes = nodes.withColumn("rest", F.sum("weight").over(family) - F.coalesce(F.sum("weight").over(by_need.rowsBetween(*so_far)), F.lit(0)))
     # full: its share by weight of what is left after those that need least is all it can take
-    nodes = nodes.withColumn("full", F.expr("cap * rest <= weight * (budget - before)"))
+    nodes = nodes.withColumn("full", F.expr(f"{_wide('cap', 'rest')} <= {_wide('budget - before', 'weight')}"))
     nodes = nodes.withColumn("full", F.min("full").over(by_need.rowsBetween(Window.unboundedPreceding, 0)))
     nodes = nodes.withColumn("open", F.when(F.col("full"), 0).otherwise(F.col("weight")))
     nodes = nodes.withColumn("left", F.col("budget") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(family))
     nodes = nodes.withColumn("total", F.greatest(F.sum("open").over(family), F.lit(1))).withColumn("upto", F.sum("open").over(by_name.rowsBetween(Window.unboundedPreceding, 0)))
-    share = F.expr("CASE WHEN full THEN cap ELSE (left * upto) DIV total - (left * (upto - open)) DIV total END")
+    share = F.expr(f"CASE WHEN full THEN cap ELSE {_wide('left', 'upto')} DIV total - {_wide('left', 'upto - open')} DIV total END")
     return nodes.withColumn("share", share.cast("long")).drop("before", "rest", "full", "open", "left", "total", "upto")
 
 
