@@ -3,7 +3,8 @@
 Pages are read into blocks of text by one walk over the markup. The pages of a host put their tokens into one stream, whose suffixes
 are ranked to a depth of RUN tokens by prefix doubling. Runs of tokens that recur on several pages of different text are boilerplate; a block
 which they cover goes, the runs of a page that are its own stay. Markup helps: navigation, forms, adverts and the like go at once,
-and what stands inside <article> or <main> goes only if at least half of the pages repeat it, so passages that a few articles share stay.
+and what stands inside <article> or <main> goes only if at least half of the pages repeat it, so passages that a few articles share stay. Names
+of classes and ids never hide a page's only article: where all of them stand in parts with such names, they are read.
 
 A large host is ranked in parts of even size. A run that is on so many of the host's pages is on as large a share of some part's
 pages, so each part names the runs that are so frequent in it; only these are counted in all parts, and their sums over the host
@@ -36,11 +37,11 @@ PART_BYTES, REMEMBERED = 16 << 20, 1 << 16
 # HTML's elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
-NEVER = frozenset("aside audio button canvas datalist dialog footer form head iframe input label legend map math menu nav noscript object option script select style svg template textarea title video".split())
+NEVER = frozenset("aside audio button canvas datalist dialog footer form head iframe input legend map menu nav noscript object option script select style svg template textarea title video".split())
 CLOSES = {"p": BLOCKS - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 # Word lists of our own: class and id names of parts beside the article, and ARIA roles of these.
 HINTS = frozenset(
-    "ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup privacy promo promoted promotion recommended related respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription topbar toolbar widget widgets".split()
+    "ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup privacy promo promoted promotion recommended related respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription topbar toolbar widget widgets".split()
 )
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 
@@ -49,8 +50,12 @@ _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*+")
 _STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 _PART = re.compile(r"[a-z0-9]+")
-#: Why a part is left out: not at all, as a form, otherwise. An article or main inside a form is read.
-STAYS, AS_FORM, OTHERWISE = 0, 1, 2
+_MAIN = re.compile(r"<(?:article|main)\b|role=\"main\"", re.I)
+#: Why a part is left out: not at all, as a form, by a name, otherwise. An article or main inside a form is read; one inside a part with such a name only
+#: where the page has none elsewhere.
+STAYS, AS_FORM, BY_NAME, OTHERWISE = 0, 1, 2, 3
+#: Inside an article names count on containers only (ids on div only): what text itself is called says nothing about it.
+CONTAINERS = frozenset("a div ol section span table ul".split())
 
 
 def _tag_end(page: str, at: int, unclosed: set[str]) -> int:
@@ -113,8 +118,10 @@ def _left_out(name: str, attributes: str, inside: bool) -> int:
             if name == "article":
                 if words & {"comment", "comments"}:
                     return OTHERWISE
+            elif inside and (name not in CONTAINERS or (key == "id" and name != "div")):
+                continue
             elif words & HINTS or ("header" in words and not inside):
-                return OTHERWISE
+                return BY_NAME
         elif name == "article":
             continue
         elif (key == "role" and value in ROLES) or (key == "aria-hidden" and value == "true") or key == "hidden":
@@ -122,9 +129,9 @@ def _left_out(name: str, attributes: str, inside: bool) -> int:
     return STAYS
 
 
-def blocks_of(page: str, hints: bool = True, forms: bool = False) -> list[tuple[str, bool, bool]]:
+def blocks_of(page: str, hints: bool = True, forms: bool = False, wrapped: bool = False) -> list[tuple[str, bool, bool]]:
     """(text, inside an article or main, only links) of the blocks in page order, without those that markup rules out. forms: those
-    are read like any part."""
+    are read like any part; wrapped: an article or main is read whatever the parts around it are called."""
     out: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
     stack: list[tuple[str, int, bool, bool]] = []  # name, left out, inside, link
@@ -178,7 +185,7 @@ def blocks_of(page: str, hints: bool = True, forms: bool = False) -> list[tuple[
         own = (_left_out(name, attributes, inside) if hints else OTHERWISE if name in NEVER else STAYS)
         if name == "form":
             own = STAYS if forms else AS_FORM
-        gone = own if is_main and above == AS_FORM else max(above, own)
+        gone = own if is_main and above in ((AS_FORM, BY_NAME) if wrapped else (AS_FORM,)) else max(above, own)
         stack.append((name, gone, inside, link or name == "a"))
         open_tags[name] = open_tags.get(name, 0) + 1
     flush()
@@ -239,7 +246,11 @@ class Stream:
 def parse(page: str) -> tuple[str, str]:
     """The blocks' texts, one a line, and a digit for each: 1 inside an article or main, 2 only links."""
     in_form = bool(re.search(r"<form\b", page, re.I) and re.search(r"<p[\s>]", page, re.I))
-    blocks = blocks_of(page) or (blocks_of(page, forms=True) if in_form else []) or blocks_of(page, hints=False)
+    blocks = blocks_of(page)
+    if not any(b[1] for b in blocks) and _MAIN.search(page):  # an article, but in a part whose name is a hint
+        wrapped = blocks_of(page, wrapped=True)
+        blocks = wrapped if any(b[1] for b in wrapped) else blocks
+    blocks = blocks or (blocks_of(page, forms=True) if in_form else []) or blocks_of(page, hints=False)
     return "\n".join([b[0] for b in blocks]), "".join([str(b[1] + 2 * b[2]) for b in blocks])
 
 
