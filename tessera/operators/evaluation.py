@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import text as X
+from tessera.operators.payloads import INGREDIENT_KEYS as SUB_FIELDS
+from tessera.operators.payloads import METRICS, TIMES, golden_problems, report_problems  # noqa: F401
 
 TOLERANCE, SLACK, HEADLINE, RANK_DROP = 0.01, 1e-9, 0.005, 3
 
@@ -150,8 +152,6 @@ def run_status(comparable: bool, query_regressions: int, deltas: list[float]) ->
 # -- extraction: scores of fields, ingredients and whole sets ----------------------------------------------------------
 
 # Fields of an ingredient that are scored, and of a recipe that hold times.
-SUB_FIELDS = ("raw_text", "quantity_value", "unit_normalized", "item_normalized", "preparation")
-TIMES = ("prep_time", "cook_time", "total_time")
 
 
 def _identities(lines: Column) -> Column:
@@ -276,69 +276,25 @@ def retrieval_report(found: DataFrame, qrels: DataFrame, k: int = 10) -> DataFra
     return ir_metrics(found, qrels, k).join(listed, "query_id", "left").join(ranks, "query_id", "left")
 
 
-# Settings of a run that must agree for a comparison, and the metrics that a report leads with.
-COMPARED, METRICS = ("query_set", "mode", "k", "limit", "reranking_enabled", "embedding_model"), ("ndcg_cut_10", "recall_5", "recall_10", "recip_rank")
-REPORT = "run struct<query_set: string, mode: string, k: string, limit: string, reranking_enabled: string, embedding_model: string>, aggregate map<string, string>, per_query map<string, struct<metrics: map<string, string>, expected_item_ranks: map<string, string>>>"
-
-
-def report_problems(report: Column) -> Column:
-    """What is wrong with a retrieval report (JSON text), as an array of messages; empty for one that can be compared."""
-    r = F.from_json(report, REPORT)
-    number = lambda c: c.rlike(r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$")
-    whole = lambda c: c.rlike(r"^[1-9]\d*$")
-    false = lambda c: ~F.coalesce(c, F.lit(False))
-    queries = F.coalesce(F.map_entries(r["per_query"]), F.array())
-    ranks = lambda q: F.coalesce(F.map_entries(q["value"]["expected_item_ranks"]), F.array())
-    checks = [
-        (r["run"].isNull(), F.lit("run is missing")), *[(r["run"].isNotNull() & r["run"][k].isNull(), F.lit(f"run.{k} is missing")) for k in COMPARED], *[(r["run"][k].isNotNull() & false(whole(r["run"][k])), F.lit(f"run.{k} is no positive whole number")) for k in ("k", "limit")],
-        (r["aggregate"].isNull(), F.lit("aggregate is missing")), *[(r["aggregate"].isNotNull() & false(number(r["aggregate"][m])), F.lit(f"aggregate.{m} is no finite number")) for m in METRICS],
-        (F.size(queries) == 0, F.lit("per_query is missing or empty")),
-        (F.exists(queries, lambda q: false(number(q["value"]["metrics"]["ndcg_cut_10"]))), F.lit("a query's ndcg_cut_10 is no finite number")),
-        (F.exists(queries, lambda q: q["value"]["expected_item_ranks"].isNull()), F.lit("a query has no expected_item_ranks")),
-        (F.exists(queries, lambda q: F.exists(ranks(q), lambda x: x["value"].isNotNull() & ~whole(x["value"]))), F.lit("a rank is no positive whole number")),
-    ]
-    return F.array_compact(F.array(*[F.when(c, message) for c, message in checks]))
-
-
 # -- goldens, judges, alignment ----------------------------------------------------------------------------------------
 
-# The keys of an expected recipe at its levels, and the states of its verification.
-GOLDEN_KEYS = {"$": ("item_type", "title", "source_span_ids", "structured_data"), "$.structured_data": ("schema", "yield", *TIMES, "ingredients", "steps"), "ingredients": SUB_FIELDS, "steps": ("text",)}
-VERIFIED = ("draft", "verified")
+# The key of the line that states it, and the states of a verification.
+VERIFICATION, VERIFIED = "Verification:", ("draft", "verified")
 
 
 def verification_status(notes: Column) -> Column:
-    """"draft" or "verified" as the notes say, else null."""
-    found = F.lower(F.regexp_extract(notes, r"(?m)^\s*[-*]?\s*Verification:\s*([A-Za-z]+)\b", 1))
-    return F.when(found.isin(*VERIFIED), found)
-
-
-def golden_problems(text: Column, span_id: Column) -> Column:
-    """What is wrong with an expected recipe (JSON text), as an array of messages: unknown and missing keys at every level, empty names, times that can't be
-    read, ingredients that nothing can be matched to, other spans than span_id."""
-    get = lambda path: F.get_json_object(text, path)
-    keys = lambda where, js, want: [(F.size(F.array_except(F.array(*map(F.lit, want)), F.coalesce(F.json_object_keys(js), F.array()))) > 0, F.lit(f"{where}: missing keys")), (F.size(F.array_except(F.coalesce(F.json_object_keys(js), F.array()), F.array(*map(F.lit, want)))) > 0, F.lit(f"{where}: unknown keys"))]
-    parts = {k: F.from_json(get(f"$.structured_data.{k}"), "array<string>") for k in ("ingredients", "steps")}
-    listed = lambda k: F.coalesce(parts[k], F.array())
-    wrong = lambda k: F.exists(listed(k), lambda j: F.size(F.array_union(F.array_except(F.array(*map(F.lit, GOLDEN_KEYS[k])), F.coalesce(F.json_object_keys(j), F.array())), F.array_except(F.coalesce(F.json_object_keys(j), F.array()), F.array(*map(F.lit, GOLDEN_KEYS[k]))))) > 0)
-    checks = [
-        *keys("recipe", text, GOLDEN_KEYS["$"]), *keys("structured_data", get("$.structured_data"), GOLDEN_KEYS["$.structured_data"]),
-        (~F.coalesce(get("$.item_type") == "recipe", F.lit(False)), F.lit("item_type: must be recipe")), (~X.is_present(get("$.title")), F.lit("title: must not be empty")), (~F.coalesce(get("$.structured_data.schema") == "recipe.v1", F.lit(False)), F.lit("schema: must be recipe.v1")),
-        (~F.coalesce(F.from_json(get("$.source_span_ids"), "array<string>") == F.array(span_id), F.lit(False)), F.lit("source_span_ids: must be the one span")),
-        (get("$.structured_data.yield").isNotNull() & ~X.is_present(get("$.structured_data.yield")), F.lit("yield: must not be empty")),
-        *[(get(f"$.structured_data.{k}").isNotNull() & X.parse_minutes(get(f"$.structured_data.{k}")).isNull(), F.lit(f"{k}: no duration")) for k in TIMES],
-        *[(F.size(listed(k)) == 0, F.lit(f"{k}: must not be empty")) for k in parts], *[(wrong(k), F.lit(f"{k}: missing or unknown keys")) for k in parts],
-        (F.exists(listed("ingredients"), lambda j: ~X.is_present(F.get_json_object(j, "$.item_normalized")) & ~X.is_present(F.get_json_object(j, "$.raw_text"))), F.lit("ingredients: one has neither item nor line")),
-        (F.exists(listed("ingredients"), lambda j: F.get_json_object(j, "$.quantity_value").isNotNull() & F.get_json_object(j, "$.quantity_value").try_cast("double").isNull()), F.lit("ingredients: a quantity is no number")),
-        (F.exists(listed("steps"), lambda j: ~X.is_present(F.get_json_object(j, "$.text"))), F.lit("steps: one is empty")),
-    ]
-    return F.array_compact(F.array(*[F.when(c, message) for c, message in checks]))
+    """"draft" or "verified" as the first line of the notes says that begins, maybe after a bullet, with the key; else null."""
+    lines = F.transform(F.split(notes, "\n"), lambda line: F.ltrim(F.regexp_replace(F.trim(line), "^[-*]", "")))
+    stated = F.try_element_at(F.filter(lines, lambda line: line.startswith(VERIFICATION)), F.lit(1))
+    word = F.lower(F.regexp_extract(F.trim(F.substr(stated, F.lit(len(VERIFICATION) + 1))), "^[A-Za-z]+", 0))
+    return F.when(word.isin(*VERIFIED), word)
 
 
 def fixture_hash(source: Column, expected: Column) -> Column:
     return F.sha2(F.concat(source, F.char(F.lit(0)), expected), 256)
 
 
+# The parts of a cached rating's name.
 JUDGE_KEY = ("fixture_set", "fixture_id", "fixture_content_hash", "extraction_prompt_version", "artifact_hash", "judge_name", "judge_version", "provider", "model")
 
 

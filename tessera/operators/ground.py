@@ -112,13 +112,17 @@ def prompt_version_of(style: Column) -> Column:
     return F.coalesce(known[style], F.lit(next(iter(PROMPT_VERSIONS.values()))))
 
 
+# The sentences of the footer, which prompts rely on.
+CITATIONS, ITEMS, NONE = "Allowed citation IDs: ", "Allowed knowledge_item_ids: ", "(none)"
+
+
 def allowed_ids(pack: DataFrame) -> DataFrame:
     """(query_id, footer): the citation and item ids that an answer may name, each once, in the pack's order."""
     order = F.struct("item_place", "chunk_place")
     once = lambda name: pack.groupBy("query_id", name).agg(F.min(order).alias("at")).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", name))), lambda s: s[name].cast("string")).alias(name))
     both = once("cite_id").join(once("item_id"), "query_id")
-    listed = lambda name: F.coalesce(F.nullif(F.array_join(name, ", "), F.lit("")), F.lit("(none)"))
-    return both.select("query_id", F.concat(F.lit("Allowed citation IDs: "), listed("cite_id"), F.lit("\nAllowed knowledge_item_ids: "), listed("item_id")).alias("footer"))
+    listed = lambda name: F.coalesce(F.nullif(F.array_join(name, ", "), F.lit("")), F.lit(NONE))
+    return both.select("query_id", F.concat(F.lit(CITATIONS), listed("cite_id"), F.lit(f"\n{ITEMS}"), listed("item_id")).alias("footer"))
 
 
 def pack_counts(queries: DataFrame, pack: DataFrame) -> DataFrame:

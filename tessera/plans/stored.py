@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import editing, keyword_index, lifecycle, packing, runs, vector_index
+from tessera.operators import editing, keyword_index, lifecycle, packing, payloads, runs, vector_index
 from tessera.plans.queries import ORACLES, _vectors, query
 from tessera.plans.views import chunk_type, lines, table
 from tessera.sources import scratch, versioned
@@ -147,3 +147,20 @@ def edited_recipes(spark, sf_dir):
     out = editing.apply_edits(items, edits.union(later))
     listed = F.array_join(F.transform("ingredients", lambda r: F.concat_ws(":", r["position"].cast("string"), F.sha2(r["raw_text"], 256), F.coalesce(r["quantity"].cast("int").cast("string"), F.lit("none")))), " ")
     return out.select(F.col("item_id").alias("doc_id"), "status", "title", F.sha2(listed, 256).alias("listed"), F.coalesce(F.size("steps"), F.lit(0)).alias("n_steps"), F.sha2("body_text", 256).alias("body_hash"), "body_rebuilt", F.col("snapshot").isNotNull().alias("kept"), F.array_join("warnings", ",").alias("warnings"))
+
+
+@query(
+    """SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 5 > 0 THEN 'run.k is no positive whole number' END, CASE WHEN doc_id % 3 > 0 THEN 'aggregate.ndcg_cut_10 is no finite number' END, CASE WHEN doc_id % 4 > 1 THEN 'a rank is no positive whole number' END], lambda x: x IS NOT NULL), '; ') AS report,
+  array_to_string(list_filter([CASE WHEN doc_id % 7 = 0 OR trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN 'title: must not be empty' END, CASE WHEN doc_id % 4 IN (1, 2) THEN 'ingredients: a quantity is no number' END, CASE WHEN doc_id % 6 = 5 THEN 'steps: one is empty' END], lambda x: x IS NOT NULL), '; ') AS golden FROM documents"""
+)
+def payload_checks(spark, sf_dir):
+    """Reports and expected recipes with numbers, strings of digits, booleans and nulls in each other's places."""
+    of = lambda *values: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % len(values) + 1).cast("int"))
+    run = F.concat(F.lit('{"run": {"query_set": "t", "mode": "hybrid", "limit": 20, "reranking_enabled": false, "embedding_model": "m", "k": '), of("10", '"10"', "true", "10.0", "0"), F.lit('}, "aggregate": {"recall_5": 1, "recall_10": 0.5, "recip_rank": 1e-3, "ndcg_cut_10": '))
+    report = F.concat(run, of("0.5", '"0.5"', "null"), F.lit('}, "per_query": {"q": {"metrics": {"ndcg_cut_10": 0.5}, "expected_item_ranks": {"a": '), of("3", "null", '"3"', "2.5"), F.lit("}}}}"))
+    quoted = F.regexp_extract(F.to_json(F.array("text")), r"(?s)^\[(.*)\]$", 1)
+    title = F.when(F.col("doc_id") % 7 == 0, "5").otherwise(quoted)
+    golden = F.concat(F.lit('{"item_type": "recipe", "source_span_ids": ["s1"], "title": '), title, F.lit(', "structured_data": {"schema": "recipe.v1", "yield": null, "prep_time": "10 min", "cook_time": null, "total_time": null, "steps": [{"text": "stir"}, {"text": '), of('"a"', '"b"', '"c"', '"d"', '"e"', "7"))
+    golden = F.concat(golden, F.lit('}], "ingredients": [{"raw_text": "egg", "unit_normalized": null, "item_normalized": "egg", "preparation": null, "quantity_value": '), of("1.5", '"1.5"', "true", "null"), F.lit("}]}}"))
+    told = lambda c: F.array_join(c, "; ")
+    return table(spark, sf_dir, "documents").select("doc_id", told(payloads.report_problems(report)).alias("report"), told(payloads.golden_problems(golden, F.lit("s1"))).alias("golden"))
