@@ -58,3 +58,41 @@ def test_streams(spark, small, tmp_path):
     assert events.run_to_memory(events.once(rows, ["event_id"]), "once", "append", str(tmp_path / "c2")).count() == len({r[0] for r in spark.read.parquet(str(tmp_path / "in")).select("event_id").collect()})
     states = events.run_to_memory(events.lifecycle(rows), "states", "update", str(tmp_path / "c3"))
     assert states.groupBy("document_id").agg(F.max("steps").alias("n")).agg(F.sum("n")).first()[0] == spark.read.parquet(str(tmp_path / "in")).count()
+
+
+def test_paged_source(spark, tmp_path):
+    from tessera.sources import paged
+
+    (tmp_path / "books").mkdir()
+    texts = {"a.txt": [f"page {k} " + "é" * (k % 50) for k in range(1, 400)], "b.txt": [""], "c.txt": ["one", "", "three"], "d.bin": ["other"]}
+    for name, pages in texts.items():
+        (tmp_path / "books" / name).write_text("\f".join(pages))
+    paged.register(spark)
+    whole = spark.read.format("pages").option("pathGlobFilter", "*.txt").option("partBytes", 1000).load(str(tmp_path / "books"))
+    want = sorted((name, k + 1, t) for name, pages in texts.items() if name != "d.bin" for k, t in enumerate(pages))
+    got = [(r["path"].rsplit("/", 1)[1], r["page"], r["text"]) for r in whole.collect()]
+    assert sorted(got) == want and whole.rdd.getNumPartitions() > 15
+    some = whole.where((F.col("page") > 2) & (F.col("page") <= 5) & (F.col("path") == f"{tmp_path}/books/a.txt"))
+    assert sorted(r["page"] for r in some.collect()) == [3, 4, 5]
+    assert "Filter" not in some._jdf.queryExecution().executedPlan().toString().split("BatchScan")[0] or some.rdd.getNumPartitions() < whole.rdd.getNumPartitions()
+    reader = paged.PageReader({"path": str(tmp_path / "books"), "partbytes": "1000"})
+    from pyspark.sql.datasource import EqualTo, GreaterThan, LessThan, StringContains
+
+    left = list(reader.pushFilters([EqualTo(("path",), f"{tmp_path}/books/c.txt"), GreaterThan(("page",), 1), LessThan(("page",), 3), StringContains(("text",), "x")]))
+    assert len(left) == 1 and [(p.least, p.most) for p in reader.partitions()] == [(2, 2)]
+    lone = spark.read.format("pages").load(str(tmp_path / "books" / "c.txt"))
+    assert lone.count() == 3
+
+
+@pytest.mark.parametrize("step", [1, 2, 5, 1000])
+def test_pages_of_ranges(step, monkeypatch):
+    import io
+
+    from tessera.sources import paged
+
+    monkeypatch.setattr(paged, "STEP", 7)
+    for data in (b"", b"\f", b"ab\fcd\f\fe", b"abc", b"\fx", b"\f\f", b"a\f" * 20 + b"end"):
+        want = list(enumerate(data.split(b"\f"), 1))
+        cuts = [(k, k + step if k + step < len(data) else len(data) + 1) for k in range(0, max(1, len(data)), step)]
+        assert [x for a, b in cuts for x in paged.pages_in(io.BytesIO(data), a, b, 10**9)] == want
+        assert [x for a, b in cuts for x in paged.pages_in(io.BytesIO(data), a, b, 2)] == want[:2]
