@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import tables
 from tessera.functions import text as X
 from tessera.operators import editing, keyword_index, lifecycle, packing, payloads, runs, vector_index
 from tessera.plans.queries import ORACLES, _vectors, query
@@ -164,3 +165,11 @@ def payload_checks(spark, sf_dir):
     golden = F.concat(golden, F.lit('}], "ingredients": [{"raw_text": "egg", "unit_normalized": null, "item_normalized": "egg", "preparation": null, "quantity_value": '), of("1.5", '"1.5"', "true", "null"), F.lit("}]}}"))
     told = lambda c: F.array_join(c, "; ")
     return table(spark, sf_dir, "documents").select("doc_id", told(payloads.report_problems(report)).alias("report"), told(payloads.golden_problems(golden, F.lit("s1"))).alias("golden"))
+
+
+@query(ORACLES["chunk_lines"])
+def chunk_lines_sql(spark, sf_dir):
+    """chunk_lines by the table function, in SQL."""
+    tables.register(spark)
+    asked = "SELECT l.doc_id, l.page, s.part, s.part_count, octet_length(s.part_text) AS bytes, sha2(s.part_text, 256) AS text_hash FROM {lines} AS l, LATERAL split_text(l.text, 8000) AS s"
+    return spark.sql(asked, lines=lines(spark, sf_dir))

@@ -191,3 +191,18 @@ def test_known_inputs_are_not_asked(spark, tmp_path):
     runs.prepare_windows(windows, path, size=5)
     out = runs.extract_durably(spark, path, provider_in(str(notes), set()), key)
     assert len(os.listdir(notes)) == 2 and out.count() == 24 and math.isclose(out.where("cached").count(), 24, abs_tol=10)
+
+
+# -- table function ----------------------------------------------------------------------------------------------------
+
+
+def test_split_text_in_sql(spark):
+    from tessera.functions import tables
+
+    tables.register(spark)
+    rows = spark.sql("SELECT k, part, part_count, part_text FROM VALUES (1, 'ab\\ncdef'), (2, NULL), (3, '  '), (4, 'x') AS t(k, text), LATERAL split_text(text, 4)")
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, 1, 2, "ab"), (1, 2, 2, "cdef"), (4, 1, 1, "x")]
+    assert spark.sql("SELECT * FROM split_text('short')").columns == ["part", "part_count", "part_text"]
+    for bad in ("split_text(5)", "split_text('a', 0)", "split_text('a', 'b')"):
+        with pytest.raises(Exception, match="split_text"):
+            spark.sql(f"SELECT * FROM {bad}").collect()
