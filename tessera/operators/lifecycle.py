@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 STEPS = ["extracting_text", "creating_source_spans", "extracting_items", "validating_items", "creating_chunks", "embedding_chunks", "indexing"]
 EDGES = [("queued", "extracting_text"), ("queued", "extracting_items"), ("queued", "failed"), *zip(STEPS, STEPS[1:]), *((s, "failed") for s in STEPS), ("indexing", "ready"), ("indexing", "needs_review"), *((s, "queued") for s in ("ready", "needs_review", "failed"))]
 TERMINAL = ("ready", "needs_review", "failed")
+# Fixed value: the state in which documents rest without being stuck.
+RESTING = ("creating_source_spans",)
 STUCK_MINUTES, STUCK_ITEM_MINUTES, ATTEMPTS = 30, 15, 2
 
 
@@ -35,10 +37,10 @@ def transition(documents: DataFrame, commands: DataFrame) -> DataFrame:
 
 
 def stuck_documents(documents: DataFrame, batch_items: DataFrame, now: Column, minutes: int = STUCK_MINUTES) -> DataFrame:
-    """Unfinished documents without progress for so long, but for those that wait for a batch."""
+    """Unfinished documents without progress for so long, but for resting ones and those that wait for a batch."""
     waiting = batch_items.where(F.col("status").isin("submitting", "submitted")).select("document_id").distinct()
     old = F.coalesce("last_progress_at", "updated_at") < now - F.expr(f"INTERVAL {int(minutes)} MINUTES")
-    rows = documents.where(~F.col("status").isin(*TERMINAL, "queued") & old)
+    rows = documents.where(~F.col("status").isin(*TERMINAL, *RESTING) & old)
     exempt = rows.where("status = 'extracting_items'").join(waiting, "document_id", "left_semi").select("document_id")
     return rows.join(exempt, "document_id", "left_anti")
 
@@ -89,3 +91,23 @@ def hand_off(documents: DataFrame, items: DataFrame, chunks: DataFrame, forward_
         moves = moves & (F.col("active_version").isNull() | (F.col("active_version") < F.col("version")))
     status = F.when(F.coalesce("searchable", F.lit(False)), "ready").otherwise("needs_review")
     return rows.withColumn("status", status).withColumn("active_version", F.when(moves, F.col("version")).otherwise(F.col("active_version"))).drop("searchable")
+
+
+def index_items(documents: DataFrame, items: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """asked: (item_id) of approved items -> documents (document_id, active_version, ...) and items (item_id, document_id, source_version, status, ...). Only items
+    that are still indexing count, so a job that comes twice changes nothing. One that has a newer version beside it by now goes back to review instead; the
+    others are ready. The active version moves forward only, to the newest version with a ready one; then the items of other versions are superseded, but
+    for rejected ones and those being indexed."""
+    newest = items.groupBy("document_id").agg(F.max("source_version").alias("__newest"))
+    rows = items.join(asked.select("item_id").distinct().withColumn("__asked", F.lit(True)), "item_id", "left").join(newest, "document_id")
+    hit = F.coalesce("__asked", F.lit(False)) & (F.col("status") == "indexing")
+    rows = rows.withColumn("__done", hit & (F.col("source_version") == F.col("__newest")))
+    rows = rows.withColumn("status", F.when(F.col("__done"), "ready").when(hit, "needs_review").otherwise(F.col("status")))
+    moved = rows.where("__done").groupBy("document_id").agg(F.max("source_version").alias("__to"))
+    docs = documents.join(moved, "document_id", "left")
+    forward = F.col("__to").isNotNull() & (F.col("active_version").isNull() | (F.col("__to") > F.col("active_version")))
+    docs = docs.withColumn("__to", F.when(forward, F.col("__to")))
+    rows = rows.join(docs.where("__to IS NOT NULL").select("document_id", "__to"), "document_id", "left")
+    old = F.col("__to").isNotNull() & (F.col("source_version") != F.col("__to")) & ~F.col("status").isin("superseded", "rejected", "indexing")
+    out = rows.withColumn("status", F.when(old, "superseded").otherwise(F.col("status"))).select(*items.columns)
+    return docs.withColumn("active_version", F.coalesce("__to", "active_version")).select(*documents.columns), out

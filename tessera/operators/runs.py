@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import catalog, ingest
+from tessera.operators import catalog, ingest, lifecycle
 from tessera.operators.lifecycle import edges
 from tessera.sources import scratch, versioned
 
@@ -165,3 +165,42 @@ def stale_batches(batches: DataFrame, now: Column, minutes: int = SUBMITTING_MIN
     """Batches that a crash left submitting, as answers for settle_batches(): all go back."""
     late = (F.col("processing_status") == "submitting") & (F.col("created_at") < now - F.expr(f"INTERVAL {int(minutes)} MINUTES"))
     return batches.where(late).select("batch_id", F.lit(None).cast("string").alias("provider_batch_id"))
+
+
+#: What a provider says of a request.
+RESULT = "array<struct<input_hash:string,result_type:string,parsed:boolean,valid:boolean,retryable:boolean>>"
+
+
+def poll_batches(batches: DataFrame, items: DataFrame, retrieve: Callable[[str, list[str]], tuple[str, list[dict]]]) -> DataFrame:
+    """(batch_id, ended, error, results) of the submitted batches that a provider knows. retrieve: (provider_batch_id, input hashes of its requests) -> (status,
+    results). A batch whose call raises has the error and stays as it is, the others go on."""
+    requests = items.where("status = 'submitted'").groupBy("batch_id").agg(F.collect_list("input_hash").alias("hashes"))  # BATCH_REQUESTS at most
+    open_ = batches.where("processing_status = 'submitted' AND provider_batch_id IS NOT NULL").select("batch_id", "provider_batch_id").join(requests, "batch_id", "left")
+    fields = ["input_hash", "result_type", "parsed", "valid", "retryable"]
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for batch, known, hashes in zip(pdf["batch_id"], pdf["provider_batch_id"], pdf["hashes"]):
+                try:
+                    status, results = retrieve(known, [] if hashes is None else list(hashes))
+                    out.append((batch, status == "ended", None, [{k: r.get(k) for k in fields} for r in results] if status == "ended" else []))
+                except Exception as e:  # isolated: the next poll tries again
+                    out.append((batch, False, f"{type(e).__name__}: {e}", []))
+            yield pd.DataFrame(out, columns=["batch_id", "ended", "error", "results"])
+
+    return open_.mapInPandas(run, f"batch_id {batches.schema['batch_id'].dataType.simpleString()}, ended boolean, error string, results {RESULT}")
+
+
+def ingest_polled(batches: DataFrame, items: DataFrame, runs: DataFrame, polled: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What poll_batches() found -> batches, items with `run_status` (the run record that each new result makes), and (document_id, source_version) of the
+    documents that have no unfinished window left since: these are to be driven on."""
+    ended = polled.where("ended")
+    told = lifecycle.batch_results(items, ended.select(F.inline("results")), runs)
+    mine = ended.select("batch_id", F.lit(True).alias("__mine"))
+    rows = told.join(mine, "batch_id", "left").withColumn("new_status", F.when(F.col("__mine"), F.col("new_status")).otherwise(F.col("status")))
+    after = rows.select(*[F.col("new_status").alias("status") if c == "status" else F.when(F.col("new_status") != "pending", F.col("batch_id")).alias("batch_id") if c == "batch_id" else F.col(c) for c in items.columns], F.when(F.col("__mine"), F.col("run_status")).alias("run_status"))
+    touched = rows.where("new_status <> status").select("document_id", "source_version").distinct()
+    done = lifecycle.finished(after).join(touched, ["document_id", "source_version"])
+    moved = batches.join(mine, "batch_id", "left").withColumn("processing_status", F.when(F.col("__mine"), "ended").otherwise(F.col("processing_status"))).select(*batches.columns)
+    return moved, after, done

@@ -370,7 +370,7 @@ SELECT user_id, stage FROM last WHERE stage NOT IN ('purchase', 'signup') AND se
 )
 def stuck_sweep(spark, sf_dir):
     last = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("document_id")).agg(F.max("ts").alias("last_progress_at"), F.max_by("event_type", F.struct("ts", "event_id")).alias("stage"))
-    stages = {"purchase": "ready", "signup": "needs_review", "view": "extracting_items", "click": "creating_chunks", "error": "indexing"}
+    stages = {"purchase": "creating_source_spans", "signup": "needs_review", "view": "extracting_items", "click": "creating_chunks", "error": "queued"}
     status = F.create_map(*[F.lit(x) for kv in stages.items() for x in kv])
     docs = last.withColumn("status", status[F.col("stage")]).withColumn("updated_at", F.col("last_progress_at"))
     waiting = docs.where("document_id % 5 = 0").select("document_id", F.lit("submitted").alias("status"))

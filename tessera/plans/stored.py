@@ -1,4 +1,5 @@
-"""Queries over what the engine stores for itself: vector and keyword indexes, packed queues, versioned tables, edited recipes."""
+"""Queries over what the engine stores for itself (vector and keyword indexes, versioned tables, committed extraction), packed queues, edited recipes,
+checked payloads, polled batches."""
 
 from __future__ import annotations
 
@@ -173,3 +174,47 @@ def chunk_lines_sql(spark, sf_dir):
     tables.register(spark)
     asked = "SELECT l.doc_id, l.page, s.part, s.part_count, octet_length(s.part_text) AS bytes, sha2(s.part_text, 256) AS text_hash FROM {lines} AS l, LATERAL split_text(l.text, 8000) AS s"
     return spark.sql(asked, lines=lines(spark, sf_dir))
+
+
+@query(
+    """WITH i AS (SELECT o_orderkey, o_custkey, o_orderkey % 3 AS v, (['indexing', 'ready', 'needs_review', 'rejected', 'indexing'])[CAST(o_orderkey % 5 AS INTEGER) + 1] AS s, CASE WHEN o_custkey % 4 > 0 THEN o_custkey % 3 END AS active FROM orders),
+n AS (SELECT *, max(v) OVER (PARTITION BY o_custkey) AS newest, s = 'indexing' AND o_orderkey % 2 = 0 AS hit FROM i),
+d AS (SELECT *, hit AND v = newest AS done, max(CASE WHEN hit AND v = newest THEN v END) OVER (PARTITION BY o_custkey) AS target FROM n), e AS (SELECT *, CASE WHEN target IS NOT NULL AND (active IS NULL OR target > active) THEN target END AS moved, CASE WHEN done THEN 'ready' WHEN hit THEN 'needs_review' ELSE s END AS t FROM d)
+SELECT o_orderkey, CASE WHEN moved IS NOT NULL AND v <> moved AND t NOT IN ('superseded', 'rejected', 'indexing') THEN 'superseded' ELSE t END AS status, coalesce(moved, active) AS active_version FROM e"""
+)
+def indexed_items(spark, sf_dir):
+    """Approved items are indexed, unless a newer version came in between."""
+    status = F.element_at(F.array(*[F.lit(x) for x in ("indexing", "ready", "needs_review", "rejected", "indexing")]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    orders = table(spark, sf_dir, "orders")
+    items = orders.select(F.col("o_orderkey").alias("item_id"), F.col("o_custkey").alias("document_id"), (F.col("o_orderkey") % 3).alias("source_version"), status.alias("status"))
+    docs = items.select("document_id").distinct().withColumn("active_version", F.when(F.col("document_id") % 4 > 0, F.col("document_id") % 3))
+    docs, items = lifecycle.index_items(docs, items, items.where("item_id % 2 = 0").select("item_id"))
+    return items.join(docs, "document_id").select(F.col("item_id").alias("o_orderkey"), "status", "active_version")
+
+
+@query(
+    """WITH i AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_linenumber % 3 AS attempts, l_suppkey % 7 > 0 AND l_suppkey % 11 > 0 AND l_suppkey % 5 > 0 AND l_suppkey % 3 > 0 AS ended FROM lineitem),
+s AS (SELECT *, CASE WHEN NOT ended THEN 'submitted' WHEN l_linenumber % 4 = 0 THEN 'succeeded' WHEN l_linenumber % 4 = 1 OR attempts >= 2 THEN 'rejected' ELSE 'pending' END AS status FROM i)
+SELECT l_orderkey, l_linenumber, status, status = 'pending' AS freed, CASE WHEN status IN ('succeeded', 'rejected') THEN CASE status WHEN 'succeeded' THEN 'success' ELSE 'rejected' END END AS run_status,
+  bool_and(status NOT IN ('pending', 'submitted')) OVER (PARTITION BY l_orderkey) AS driven_on, CASE WHEN ended OR l_suppkey % 7 = 0 THEN 'ended' ELSE 'submitted' END AS batch_status FROM s"""
+)
+def polled_batches(spark, sf_dir):
+    """Suppliers as batches, lines as their requests: some calls break down, some batches still run; what came back is recorded, and orders without open
+    lines are driven on."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.lit(1).alias("source_version"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("input_hash"), F.lit("submitted").alias("status"), (F.col("l_linenumber") % 3).alias("submit_attempts"), F.col("l_suppkey").alias("batch_id"), "l_linenumber", F.col("l_suppkey").alias("supplier"))
+    batches = items.select("batch_id").distinct().select("batch_id", F.when(F.col("batch_id") % 11 > 0, F.concat(F.lit("p"), F.col("batch_id").cast("string"))).alias("provider_batch_id"), F.when(F.col("batch_id") % 7 == 0, "ended").otherwise("submitted").alias("processing_status"))
+
+    def retrieve(batch, hashes):
+        number = int(batch[1:])
+        if number % 5 == 0:
+            raise TimeoutError("no answer")
+        kind = lambda h: int(h.split("-")[1]) % 4
+        types = ("succeeded", "succeeded", "expired", "errored")
+        return "in_progress" if number % 3 == 0 else "ended", [{"input_hash": h, "result_type": types[kind(h)], "parsed": True, "valid": kind(h) == 0, "retryable": True} for h in hashes]
+
+    none = items.limit(0).select("document_id", "source_version", "input_hash")
+    polled = scratch.stored(runs.poll_batches(batches, items, retrieve), "polled")
+    after, out, done = runs.ingest_polled(batches, items, none, polled)
+    rows = out.withColumn("of", F.col("batch_id")).join(done.select("document_id", F.lit(True).alias("driven_on")), "document_id", "left")
+    rows = rows.join(after.select(F.col("batch_id").alias("supplier"), "processing_status"), "supplier")
+    return rows.select(F.col("document_id").alias("l_orderkey"), "l_linenumber", "status", F.col("of").isNull().alias("freed"), "run_status", F.coalesce("driven_on", F.lit(False)).alias("driven_on"), F.col("processing_status").alias("batch_status"))
