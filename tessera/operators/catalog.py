@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.lifecycle import first_of
+from tessera.sources.files import insert_absent
 
 # Statuses that end a document's ingest, with and without items.
 TERMINAL_OK = ("ready", "needs_review")
@@ -219,3 +220,19 @@ def ingestion_status(documents: DataFrame, spans: DataFrame, failures: DataFrame
     last = latest(failures, ["document_id"], [F.desc("failed_at"), F.desc("reason")]).select("document_id", F.struct("reason", F.col("last_status").alias("stage"), "failed_at").alias("__failure"))
     out = rows.join(last, "document_id", "left").withColumn("failure", F.when(F.col("status") == "failed", F.col("__failure")))
     return out.select("document_id", "status", "active_version", "current_version", "pages_processed", "pages_total", "terminal", "failure")
+
+
+# The three rows that recipes typed by hand hang on.
+SHELF_ASSET = {"asset_id": "asset_manual_shelf", "source_type": "manual", "original_filename": "Handwritten", "storage_provider": "none", "storage_key": "", "content_hash": "manual:handwritten-shelf", "upload_status": "uploaded"}
+SHELF_DOCUMENT = {"document_id": "doc_manual_shelf", "asset_id": "asset_manual_shelf", "category": "recipes", "title": "Handwritten", "author": "", "source_type": "manual", "active_source_version": 1, "status": "ready"}
+SHELF_RUN = {"run_id": "run_manual_shelf", "document_id": "doc_manual_shelf", "source_version": 1, "provider": "manual", "model": "manual", "prompt_version": "manual", "input_hash": "manual", "status": "success"}
+
+
+def ensure_shelf(assets: DataFrame, documents: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables with the shelf's rows, which are added where they are absent; columns that a row doesn't name are null."""
+
+    def with_row(table: DataFrame, row: dict, key: str) -> DataFrame:
+        one = table.sparkSession.range(1).select(*[F.lit(row.get(f.name)).cast(f.dataType).alias(f.name) for f in table.schema])
+        return insert_absent(table, one, [key])
+
+    return with_row(assets, SHELF_ASSET, "asset_id"), with_row(documents, SHELF_DOCUMENT, "document_id"), with_row(runs, SHELF_RUN, "run_id")

@@ -261,7 +261,7 @@ def chunk_lines(spark, sf_dir):
 
 @query()
 def chunk_split_bytes(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.substring("text", 1, 40).alias("title"), F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("ingredients_text"), F.lit(None).cast("string").alias("steps_text"), F.col("text").alias("body_text"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("source").alias("title"), F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("ingredients_text"), F.lit(None).cast("string").alias("steps_text"), F.col("text").alias("body_text"))
     return ingest.build_chunks(rows).select("item_id", "chunk_type", "part", "part_count", F.octet_length("text").alias("bytes"))
 
 

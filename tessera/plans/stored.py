@@ -3,12 +3,13 @@ checked payloads, polled batches."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import tables
 from tessera.functions import text as X
-from tessera.operators import editing, keyword_index, lifecycle, packing, payloads, runs, vector_index
-from tessera.plans.queries import ORACLES, _vectors, query
+from tessera.operators import catalog, editing, evaluation, keyword_index, lifecycle, packing, payloads, results, runs, vector_index
+from tessera.plans.queries import _VECTOR_SQL, ORACLES, _vectors, query
 from tessera.plans.views import chunk_type, lines, table
 from tessera.sources import scratch, versioned
 
@@ -218,3 +219,95 @@ def polled_batches(spark, sf_dir):
     rows = out.withColumn("of", F.col("batch_id")).join(done.select("document_id", F.lit(True).alias("driven_on")), "document_id", "left")
     rows = rows.join(after.select(F.col("batch_id").alias("supplier"), "processing_status"), "supplier")
     return rows.select(F.col("document_id").alias("l_orderkey"), "l_linenumber", "status", F.col("of").isNull().alias("freed"), "run_status", F.coalesce("driven_on", F.lit(False)).alias("driven_on"), F.col("processing_status").alias("batch_status"))
+
+
+# -- smaller functions -------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH p AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda l: trim(regexp_replace(l, '\\s+', ' ', 'g')) <> '') AS l FROM documents)
+SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 AND len(l) > 0 THEN text ELSE array_to_string(l, chr(10)) END) AS resolved FROM p"""
+)
+def resolved_lines(spark, sf_dir):
+    """The stored text of some documents, the present lines of the others."""
+    rows = F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("raw_text")))
+    stored = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, "  ")
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.resolve_lines(stored, rows, "raw_text"), 256).alias("resolved"))
+
+
+@query(
+    """WITH c AS (SELECT o_custkey AS query_id, o_orderkey AS item_id, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS item_place, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_linenumber) AS chunk_place, l_partkey, l_linenumber FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
+SELECT query_id, item_id, CAST(item_place AS INTEGER) AS item_place, CAST(chunk_place AS INTEGER) AS chunk_place, concat('part ', l_partkey) AS text FROM c WHERE chunk_place <= 2"""
+)
+def result_previews(spark, sf_dir):
+    """The texts of the first two chunks of each found item."""
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    chunk = F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice")
+    order = F.struct((-F.col("l_extendedprice")).alias("by"), "l_partkey", "l_linenumber", chunk.alias("chunk_id"))
+    top = rows.groupBy(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("item_id")).agg(F.sort_array(F.collect_list(order)).alias("chunks"))
+    place = F.dense_rank().over(Window.partitionBy("query_id").orderBy("item_id"))
+    texts = rows.select(chunk.alias("chunk_id"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("text"))
+    return results.previews(top.withColumn("place", place), texts, 2).select("query_id", "item_id", "item_place", "chunk_place", "text")
+
+
+@query(
+    """SELECT p_partkey AS item_id, CASE WHEN p_partkey % 3 = 0 THEN 'recipe.v1' ELSE 'other.v1' END AS schema, p_name AS title, CASE WHEN p_partkey % 4 > 0 THEN concat('p. ', p_size) ELSE '' END AS source_label,
+  CASE WHEN p_partkey % 5 > 0 THEN '4 servings' END AS yield, array_to_string(list_filter([p_brand, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE 'line' END, p_name, 'a', 'b', 'c'][1 : 5], lambda x: true), '|') AS top_ingredients FROM part"""
+)
+def projected_results(spark, sf_dir):
+    """What a client shows of parts as results."""
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    of = lambda norm, text, raw: F.struct(norm.alias("item_normalized"), text.alias("item_text"), raw.alias("raw_text"))
+    no = F.lit(None).cast("string")
+    listed = F.array(of(F.col("p_brand"), no, no), of(F.when(k % 2 == 0, F.col("p_type")), F.lit(""), F.lit("line")), of(F.lit(""), no, F.lit("")), of(no, F.col("p_name"), F.lit("x")), *[of(F.lit(x), no, no) for x in "abc"])
+    data = F.struct(F.when(k % 3 > 0, "other.v1").alias("schema"), F.when(k % 5 > 0, "4 servings").alias("yield"), no.alias("prep_time"), no.alias("cook_time"), no.alias("total_time"), listed.alias("ingredients"))
+    cited = F.when(k % 4 > 0, F.array(F.struct(F.concat(F.lit("p. "), F.col("p_size").cast("string")).alias("label")))).otherwise(F.array().cast("array<struct<label:string>>"))
+    found = part.select(F.lit(1).alias("query_id"), k.alias("place"), k.alias("item_id"), F.struct(F.col("p_name").alias("title"), F.lit("short").alias("summary")).alias("item"), F.lit("d").alias("document"), F.lit("m").alias("matched_chunks"), cited.alias("source_citations"))
+    out = results.project(found, part.select(k.alias("item_id"), data.alias("data"), F.lit(0.5).alias("confidence")))
+    return out.select("item_id", "schema", "display.title", "display.source_label", F.col("structured_preview.yield").alias("yield"), F.array_join("structured_preview.top_ingredients", "|").alias("top_ingredients"))
+
+
+@query(ORACLES["metric_diff"])
+def reports_compared(spark, sf_dir):
+    """metric_diff between reports as they are stored, of runs that went well."""
+    nation, name = table(spark, sf_dir, "nation"), F.concat(F.when(F.col("n_nationkey") % 5 == 0, "count.").otherwise("m."), "n_name").alias("metric")
+    of = lambda rows, key, value, without: rows.join(nation, rows[key] == nation["n_nationkey"]).where(F.col("n_nationkey") != without).groupBy(name).agg(F.round(F.avg(value) / 10000, 6).alias("value")).withColumn("run_status", F.lit("ok"))
+    out = evaluation.diff_reports(of(table(spark, sf_dir, "customer"), "c_nationkey", "c_acctbal", 3), of(table(spark, sf_dir, "supplier"), "s_nationkey", "s_acctbal", 4))
+    return out.withColumn("delta", F.round("delta", 6))
+
+
+@query(
+    """SELECT o_orderkey, round(list_avg(list_filter([CASE WHEN o_orderkey % 2 = 0 THEN 1.0 WHEN o_orderkey % 3 = 0 THEN 0.0 END, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 7 / 7.0 END, CASE WHEN o_orderkey % 4 = 0 THEN 0.0 END]::DOUBLE[], lambda x: x IS NOT NULL)), 6) AS accuracy FROM orders WHERE o_orderkey % 11 > 0
+UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_orderkey % 11 = 0"""
+)
+def objective_accuracies(spark, sf_dir):
+    """The mean of the scores that can be compared, of orders as recipes."""
+    k = F.col("o_orderkey")
+    values = {"title_normalized": F.when(k % 2 == 0, 1.0).when(k % 3 == 0, 0.0), "ingredients_f1": F.when(k % 5 > 0, k % 7 / 7.0), "step_count": F.when(k % 4 == 0, 0.0), "title_exact": F.lit(0.25)}
+    scores = F.struct(*[values.get(name, F.lit(None).cast("double")).alias(name) for name in evaluation.SCORES])
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(evaluation.objective_accuracy(F.when(k % 11 > 0, scores)), 6).alias("accuracy"))
+
+
+#: A walk over all candidates of a request.
+ORACLES["menu_assign"] = f"""WITH RECURSIVE {_VECTOR_SQL}, c AS (SELECT query_id // 300 AS request_id, query_id AS course, item_id, round(max(1 - distance), 9) AS score FROM vector WHERE rank <= 11 GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, course, item_id) AS n FROM c), walk AS (
+  SELECT request_id, 0::BIGINT AS n, []::BIGINT[] AS taken, []::BIGINT[] AS filled, NULL::BIGINT AS course, NULL::BIGINT AS item_id, NULL::DOUBLE AS score FROM o WHERE n = 1
+  UNION ALL SELECT w.request_id, o.n, CASE WHEN good THEN list_append(taken, o.item_id) ELSE taken END, CASE WHEN good THEN list_append(filled, o.course) ELSE filled END, CASE WHEN good THEN o.course END, o.item_id, o.score
+  FROM walk w JOIN o ON o.request_id = w.request_id AND o.n = w.n + 1, LATERAL (SELECT NOT list_contains(w.taken, o.item_id) AND len(list_filter(w.filled, lambda x: x = o.course)) < 5 AS good)
+) SELECT request_id, course, item_id, score FROM walk WHERE course IS NOT NULL"""
+
+
+@query(
+    """SELECT 'document' AS kind, concat('d', c_custkey) AS id, c_name AS title, 'failed' AS status FROM customer UNION ALL SELECT 'document', 'doc_manual_shelf', 'Handwritten', 'ready' UNION ALL SELECT 'asset', concat('a', c_custkey), c_name, 'uploaded' FROM customer UNION ALL SELECT 'asset', 'asset_manual_shelf', 'Handwritten', 'uploaded'
+UNION ALL SELECT 'run', 'run_manual_shelf', NULL, 'rejected'"""
+)
+def manual_shelf(spark, sf_dir):
+    """The shelf of typed recipes is made once; rows that are there (here its run, spoilt) stay as they are."""
+    c = table(spark, sf_dir, "customer")
+    key = lambda p: F.concat(F.lit(p), F.col("c_custkey").cast("string"))
+    assets = c.select(key("a").alias("asset_id"), F.col("c_name").alias("original_filename"), F.lit("uploaded").alias("upload_status"))
+    docs = c.select(key("d").alias("document_id"), F.col("c_name").alias("title"), F.lit("failed").alias("status"))
+    made = spark.range(1).select(F.lit("run_manual_shelf").alias("run_id"), F.lit("rejected").alias("status"))
+    assets, docs, made = catalog.ensure_shelf(*catalog.ensure_shelf(assets, docs, made))
+    rows = docs.select(F.lit("document").alias("kind"), F.col("document_id").alias("id"), "title", "status").union(assets.select(F.lit("asset"), "asset_id", "original_filename", "upload_status"))
+    return rows.union(made.select(F.lit("run"), "run_id", F.lit(None).cast("string"), "status"))

@@ -133,9 +133,17 @@ def insert_absent(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFram
     return table.unionByName(rows.join(table, key, "left_anti"))
 
 
+def safe_path(path: Column) -> Column:
+    """The path; a job over one that is empty, absolute, has a drive, a back slash, a control character or a part "..", "." or "" fails: what is stored under
+    it could leave the store's folder."""
+    parts = F.split(path, "/", -1)
+    bad = path.isNull() | path.rlike(r"^$|^/|^[A-Za-z]:|[\\\x00-\x1f]") | F.exists(parts, lambda p: p.isin("..", ".", ""))
+    return F.when(bad, F.raise_error(F.concat(F.lit("unsafe path: "), F.coalesce(path, F.lit("null"))))).otherwise(path)
+
+
 def put_files(files: DataFrame, table: str) -> None:
-    """Stores (path, content) rows; a path that is there already stays as it is."""
-    rows = files.select("path", "content").dropDuplicates(["path"])
+    """Stores (path, content) rows; a path that is there already stays as it is, and one that safe_path() refuses fails the job before anything is stored."""
+    rows = files.select(safe_path(F.col("path")).alias("path"), "content").dropDuplicates(["path"])
     spark = files.sparkSession
     if has_files(spark, table):
         rows = rows.join(spark.read.parquet(table).select("path"), "path", "left_anti")
@@ -175,6 +183,28 @@ def update_report(spark: SparkSession, report: str, section: str, rows: DataFram
     return path
 
 
+def append_summary(spark: SparkSession, report: str, block: str) -> None:
+    """Add a block to the summary that stands beside a report, below the blocks that are there."""
+    known = read_summary(spark, report)
+    n = 0 if known is None else spark.read.json(f"{report.rstrip('/')}.summary").agg(F.max("n")).first()[0] + 1
+    spark.createDataFrame([(n, block.rstrip("\n"))], "n int, block string").coalesce(1).write.mode("append").json(f"{report.rstrip('/')}.summary")
+
+
+def read_summary(spark: SparkSession, report: str) -> str | None:
+    """The blocks of a report's summary in order, None where there is none."""
+    path = f"{report.rstrip('/')}.summary"
+    if not has_files(spark, path):
+        return None
+    return "".join(f"{r['block']}\n" for r in spark.read.json(path).orderBy("n").collect())
+
+
+def write_items(rows: DataFrame, report: str, key: str, text: str) -> None:
+    """One folder of text for each item of a report, named by the item's slug."""
+    from tessera.functions.text import slug
+
+    rows.select(slug(F.col(key).cast("string")).alias("item"), F.col(text).alias("value")).repartition("item").write.mode("error").partitionBy("item").text(f"{report.rstrip('/')}.items")
+
+
 def latest_run(spark: SparkSession, folder: str) -> str | None:
     """The run of the greatest name below a folder of reports; hidden ones and sections are skipped."""
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

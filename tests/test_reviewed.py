@@ -142,6 +142,10 @@ def test_stored_files_and_reports(spark, tmp_path):
     one = spark.createDataFrame([("a", bytearray(b"1")), ("b", bytearray(b"2"))], "path string, content binary")
     files.put_files(one, store)
     files.put_files(spark.createDataFrame([("a", bytearray(b"9")), ("c", bytearray(b"3"))], one.schema), store)
+    for bad in ("../a", "/a", "a/../b", "a//b", "", "c:x", "a\\b", "a\n", "./a"):
+        with pytest.raises(Exception, match="unsafe path"):
+            files.put_files(spark.createDataFrame([(bad, bytearray(b"x"))], one.schema), f"{store}-bad")
+    assert not files.has_files(spark, f"{store}-bad") or spark.read.schema(one.schema).parquet(f"{store}-bad").count() == 0
     left = files.delete_files(spark.read.parquet(store), spark.createDataFrame([("b",), ("zz",)], "path string"))
     assert sorted((r["path"], bytes(r["content"])) for r in left.collect()) == [("a", b"1"), ("c", b"3")]
     rows = spark.createDataFrame([("q", 0.5)], "query_id string, ndcg_10 double")
@@ -150,7 +154,13 @@ def test_stored_files_and_reports(spark, tmp_path):
     for name in ("2024-01-01", "2024-02-01"):
         path = files.write_report(rows, folder, name)
     assert files.latest_run(spark, folder) == path
-    assert files.update_report(spark, path, "summary", rows) == f"{path}.summary" and files.latest_run(spark, folder) == path
+    assert files.update_report(spark, path, "review", rows) == f"{path}.review" and files.latest_run(spark, folder) == path
+    assert files.read_summary(spark, path) is None
+    files.append_summary(spark, path, "# Run\n")
+    files.append_summary(spark, path, "more")
+    assert files.read_summary(spark, path) == "# Run\nmore\n" and files.latest_run(spark, folder) == path
+    files.write_items(spark.createDataFrame([("Apple Pie!", "good"), ("soup", "thin")], "name string, note string"), path, "name", "note")
+    assert sorted((r["item"], r["value"]) for r in spark.read.text(f"{path}.items").collect()) == [("apple-pie", "good"), ("soup", "thin")]
     with pytest.raises(ValueError):
         files.update_report(spark, files.write_report(rows, folder, "2024-03-01", "failed"), "summary", rows)
     assert files.read_alignment(spark, f"{tmp_path}/none").count() == 0
