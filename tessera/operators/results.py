@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import search
+from tessera.operators import keyword_index, search, vector_index
 
 # Schema names of a result and of its preview; ingredients of a preview.
 SCHEMA, PREVIEW_SCHEMA, TOP_INGREDIENTS = "recipe.v1", "recipe.preview.v1", 5
@@ -29,9 +29,11 @@ def searchable(chunks: DataFrame, items: DataFrame, documents: DataFrame, predic
     return known.join(allowed.select("item_id", "document_id", "category", "subcategory"), "item_id")
 
 
-def keyword_search(chunks: DataFrame, items: DataFrame, documents: DataFrame, queries: DataFrame, predicate: Column, top_k: int = 50) -> DataFrame:
-    """search.keyword_leg() over searchable chunks."""
-    return search.keyword_leg(searchable(chunks, items, documents, predicate), queries, top_k)
+def keyword_search(chunks: DataFrame, items: DataFrame, documents: DataFrame, queries: DataFrame, predicate: Column, top_k: int = 50, index: str | None = None) -> DataFrame:
+    """search.keyword_leg() over searchable chunks; with a stored index (keyword_index) only the blocks of the queries' terms are read, and chunks need no
+    lexemes."""
+    found = searchable(chunks, items, documents, predicate)
+    return search.keyword_leg(found, queries, top_k) if index is None else keyword_index.keyword_leg(index, queries, top_k, found.select("chunk_id"))
 
 
 def check_space(queries: DataFrame, provider: str, model: str) -> DataFrame:
@@ -40,8 +42,11 @@ def check_space(queries: DataFrame, provider: str, model: str) -> DataFrame:
     return queries.withColumn("provider", F.when(right, F.col("provider")).otherwise(F.raise_error(F.concat(F.lit(f"query vector is not of the space {provider}/{model}: "), F.concat_ws("/", "provider", "model")))))
 
 
-def vector_search(embeddings: DataFrame, chunks: DataFrame, items: DataFrame, documents: DataFrame, queries: DataFrame, predicate: Column, provider: str, model: str, top_k: int = 50) -> DataFrame:
-    """search.vector_leg() over the embeddings of searchable chunks in one space. embeddings: (chunk_id, provider, model, embedding)."""
+def vector_search(embeddings: DataFrame, chunks: DataFrame, items: DataFrame, documents: DataFrame, queries: DataFrame, predicate: Column, provider: str, model: str, top_k: int = 50, index: str | None = None) -> DataFrame:
+    """search.vector_leg() over the embeddings of searchable chunks in one space. embeddings: (chunk_id, provider, model, embedding); with a stored index
+    (vector_index) its rows are used instead, and only cells that can hold a result are read."""
+    if index is not None:
+        return vector_index.vector_leg(index, check_space(queries, provider, model), top_k, searchable(chunks, items, documents, predicate).select("chunk_id"))
     rows = embeddings.where((F.col("provider") == provider) & (F.col("model") == model)).join(searchable(chunks, items, documents, predicate).select("chunk_id", "item_id", "chunk_type"), "chunk_id")
     return search.vector_leg(rows, check_space(queries, provider, model), top_k)
 

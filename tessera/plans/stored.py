@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import tables
 from tessera.functions import text as X
-from tessera.operators import catalog, editing, evaluation, keyword_index, lifecycle, packing, payloads, results, runs, vector_index
+from tessera.operators import catalog, editing, evaluation, keyword_index, lifecycle, packing, payloads, results, runs, search, vector_index
+from tessera.plans.library import _shelf
 from tessera.plans.queries import _VECTOR_SQL, ORACLES, _vectors, query
-from tessera.plans.views import chunk_type, lines, table
+from tessera.plans.views import chunk_type, library, lines, table
 from tessera.sources import scratch, versioned
 
 
@@ -311,3 +312,23 @@ def manual_shelf(spark, sf_dir):
     assets, docs, made = catalog.ensure_shelf(*catalog.ensure_shelf(assets, docs, made))
     rows = docs.select(F.lit("document").alias("kind"), F.col("document_id").alias("id"), "title", "status").union(assets.select(F.lit("asset"), "asset_id", "original_filename", "upload_status"))
     return rows.union(made.select(F.lit("run"), "run_id", F.lit(None).cast("string"), "status"))
+
+
+@query(ORACLES["search_keyword"])
+def search_keyword_indexed(spark, sf_dir):
+    """search_keyword from a stored index of all chunks; what may be found is filtered as the blocks are read."""
+    lib = library(spark, sf_dir)
+    path = scratch.new_path(spark, "keywords")
+    keyword_index.append(lib["chunks"].withColumn("lexemes", X.lexemes(F.col("text"))), path)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), X.lexemes(F.col("text")).alias("l")).select("query_id", F.array_distinct(F.slice(F.transform("l", lambda x: x["lexeme"]), 1, 2)).alias("terms"))
+    hits = results.keyword_search(lib["chunks"], lib["items"], lib["documents"], asked, search.search_predicate(category="src0"), index=path)
+    return hits.select("query_id", "chunk_id", "item_id", "rank", F.round("raw_score", 6).alias("score"))
+
+
+@query(ORACLES["search_vector"])
+def search_vector_indexed(spark, sf_dir):
+    """search_vector from a stored index of all embeddings."""
+    shelf, path = _shelf(spark, sf_dir), scratch.new_path(spark, "vectors")
+    vector_index.build(shelf["embeddings"].join(shelf["chunks"], "chunk_id"), path)
+    hits = results.vector_search(shelf["embeddings"], shelf["chunks"], shelf["items"], shelf["documents"], shelf["queries"], search.search_predicate(subcategory="en"), "fake", "even", 20, path)
+    return hits.select("query_id", "chunk_id", "item_id", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"))
