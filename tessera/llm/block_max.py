@@ -33,6 +33,8 @@ from tessera.llm.common import LOWER, doc_key, key_to_id, materialize
 SHARD_DOCS, SHARD_BYTES, BLOCK = 1 << 13, 1 << 23, 128
 #: Items that are searched together; intervals of the first wave; one shard in FIRST is searched first.
 ITEMS, WAVE, FIRST = 256, 16, 16
+#: Up to so many (item, term) pairs (about 8 MB) are sent to all tasks, which then keep only the lists asked for; more of them are joined by term.
+SENT = 1 << 17
 #: Fixed values of the score.
 SCALE, COUNT_SCALE, LENGTH_SCALE, FLAT, SLOPE = 1_000_000_000, 1000, 8, 10, 90
 PIECE = 1 << 20
@@ -282,9 +284,10 @@ def rank_documents(index: DataFrame, items: DataFrame, k: int = 10, item_col: st
     texts = numbered.alias("n").join(said.alias("s"), F.expr("n.item <=> s.item")).select("no", "text")
     asked = materialize(texts.mapInArrow(_item_terms, "no long, term string").distinct(), "item-terms")
     # the corpus in numbers, and each asked term's documents
+    send = F.broadcast if asked.count() <= SENT else lambda df: df
     corpus = index.where("term IS NULL").agg(F.sum("n_docs").alias("n"), F.sum("n_terms").alias("l")).first()
     n, length, parts = int(corpus["n"] or 0), int(corpus["l"] or 1), max(1, -(-numbered.count() // ITEMS))
-    known = index.where("term IS NOT NULL").join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n_docs").alias("df"))
+    known = index.where("term IS NOT NULL").join(send(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("n_docs").alias("df"))
     weights = materialize(known.select("term", F.floor(1000 * F.log(F.lit(2.0 * n + 2) / (2 * F.col("df") + 1))).cast("long").alias("weight")), "weights")
     asked = asked.join(weights, "term").withColumn("part", F.pmod(F.xxhash64("no"), F.lit(parts)))
     documents = index.where("term IS NULL").withColumns({"weight": F.lit(0).cast("long"), "part": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))), "wanted": F.lit(None).cast("array<struct<no:bigint,floor:bigint>>")})
@@ -292,7 +295,7 @@ def rank_documents(index: DataFrame, items: DataFrame, k: int = 10, item_col: st
     def searched(which, floors: DataFrame | None) -> DataFrame:
         own = asked.join(floors, "no", "left") if floors is not None else asked.withColumn("floor", F.lit(0).cast("long"))
         own = own.groupBy("part", "term", "weight").agg(F.collect_list(F.struct("no", F.coalesce("floor", F.lit(0).cast("long")).alias("floor"))).alias("wanted"))
-        lists = index.where("term IS NOT NULL").where(which).join(own, "term").unionByName(documents.where(which))
+        lists = index.where("term IS NOT NULL").where(which).join(send(own), "term").unionByName(documents.where(which))
         return lists.groupBy("shard", "part").applyInPandas(_search(n, length, k), "no long, doc long, score long")
 
     early = F.pmod(F.xxhash64("shard"), F.lit(FIRST)) == 0

@@ -219,3 +219,13 @@ def test_equal_documents_and_nothing(spark):
     same = ranked(spark, [(k, "red green") for k in range(40, 0, -1)] + [(3, "red green")], [(1, "green")])
     assert [(r[1], r[2]) for r in sorted(same, key=lambda r: r[1])] == [(1, 1), (2, 2), (3, 3), (4, 3), (5, 4), (6, 5), (7, 6), (8, 7), (9, 8), (10, 9)]
     assert ranked(spark, [], [(1, "green")]) == [] and ranked(spark, [(1, "green")], []) == []
+
+
+def test_many_items_are_joined(spark, monkeypatch):
+    """More items than are sent to all tasks, in several parts: the same rows."""
+    docs = [(k, f"w{k % 7} w{k % 5} common") for k in range(60)]
+    items = [(k, f"w{k % 9} common") for k in range(40)]
+    few = ranked(spark, docs, items)
+    monkeypatch.setattr(block_max, "SENT", 0)
+    monkeypatch.setattr(block_max, "ITEMS", 8)
+    assert ranked(spark, docs, items) == few and len(few) == 400
