@@ -7,7 +7,7 @@ joined with the items' windows (128-bit hashes); runs of such windows are the sh
 window: its hash is sought at every place. A document's work grows with its own words, an item's with its own, whatever repeats in them.
 
 Results in odd cases: a null or empty text has no words and no hits; an item without words matches nothing; items that
-share an item_id are one item; a null doc_id or item_id is kept as such (a null item_id can't be listed, so it is ignored);
+share an item_id are one item; a null doc_id is kept as such; an item without an item_id can't be listed, so it is ignored;
 repeated rows each get their row; other columns are ignored.
 """
 

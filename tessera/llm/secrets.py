@@ -1,13 +1,15 @@
 """Secret scans by character Markov models, in DataFrame functions only.
 
-Base patterns (assignments, access keys, hex strings) give the sure spans. For all other long tokens two Markov models of
+Base patterns (assignments, access keys, hex strings) give the sure spans. For all other tokens of 16 or more characters that hold letters and digits, or
+small letters around a capital, two Markov models of
 character classes, one of random strings and one of ordinary identifiers, are compared: a token whose log-likelihood ratio per
 transition is over the threshold is a span of kind "markov". The models are transition counts, trained from labelled samples
 (text, label 1: random, 0: ordinary).
 
 Results in odd cases: a null or empty text has no spans (the digest of the empty string); spans count code points, end
 exclusive; a null doc_id is kept; repeated rows each get their row; samples without text or label are ignored; without
-samples of both labels no markov spans are found; other columns are ignored.
+samples of both labels no markov spans are found; U+E000 in a text counts as a covered character, so no markov span holds it; other columns are
+ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ Lexicon, exceptions and curve are fitted on labelled documents, at most SAMPLE o
 doc_id; of texts that fold alike one of each class), so the model has a fixed bound at any size of input; every text is scored whole.
 
 Results in odd cases: a null or empty text scores as one without any match; rows without a label are only scored; labels that
-are null or neither 0 nor 1 are ignored; without labels of both classes the lexicon is empty and all scores are 0; repeated rows
+are null or neither 0 nor 1 are ignored; a document that is labelled both 0 and 1 is an example of either; without labels of both classes the lexicon is empty and all scores are 0; repeated rows
 each get their row; a null doc_id counts as text "" and is never used for fitting; other columns are ignored.
 """
 
