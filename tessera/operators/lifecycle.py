@@ -111,3 +111,26 @@ def index_items(documents: DataFrame, items: DataFrame, asked: DataFrame) -> tup
     old = F.col("__to").isNotNull() & (F.col("source_version") != F.col("__to")) & ~F.col("status").isin("superseded", "rejected", "indexing")
     out = rows.withColumn("status", F.when(old, "superseded").otherwise(F.col("status"))).select(*items.columns)
     return docs.withColumn("active_version", F.coalesce("__to", "active_version")).select(*documents.columns), out
+
+
+# How a document may be processed again, and outcomes of asking for it.
+MODES = ("auto", "reuse_source_spans", "new_source_version")
+
+
+def reprocess(documents: DataFrame, asked: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """asked: (document_id, mode, maybe `at`); documents: (document_id, source_type, status, active_version, last_progress_at, ...); facts: (document_id,
+    max_version, same_prompt, same_schema, same_extractor) -> documents, of which the accepted ones are queued without progress, and a row for each asked
+    document: outcome (invalid_mode, not_found, manual, already_running or queued), previous_version, the version to work on and whether its spans are
+    reused; a null version means that there is nothing to dispatch. Only finished documents are accepted, so of several requests the first (as in
+    first_of()) holds; with versioned.update() a writer that was slower sees the queued document and is refused."""
+    asked = first_of(asked.select("document_id", "mode", *(["at"] if "at" in asked.columns else [])), ["document_id"]).select("document_id", "mode")
+    rows = asked.join(documents.select("document_id", "source_type", "status", F.col("active_version").alias("previous_version"), F.lit(True).alias("__known")), "document_id", "left").join(facts, "document_id", "left")
+    outcome = F.when(~F.coalesce(F.col("mode").isin(*MODES), F.lit(False)), "invalid_mode").when(F.col("__known").isNull(), "not_found").when(F.col("source_type") == "manual", "manual").when(~F.col("status").isin(*TERMINAL), "already_running").otherwise("queued")
+    mode = F.when(F.col("mode") == "auto", reprocess_mode(F.col("same_prompt"), F.col("same_schema"), F.col("same_extractor"))).otherwise(F.col("mode"))
+    rows = rows.withColumn("outcome", outcome).withColumn("reuse", F.when(F.col("outcome") == "queued", mode == "reuse_source_spans"))
+    version = F.when(F.col("reuse"), F.coalesce("previous_version", "max_version")).otherwise(F.coalesce("max_version", F.lit(0)) + 1)
+    rows = rows.withColumn("version", F.when(F.col("outcome") == "queued", version))
+    taken = rows.where("outcome = 'queued'").select("document_id", F.lit(True).alias("__taken"))
+    after = documents.join(taken, "document_id", "left")
+    after = after.withColumn("status", F.when(F.col("__taken"), "queued").otherwise(F.col("status"))).withColumn("last_progress_at", F.when(F.col("__taken").isNull(), F.col("last_progress_at")))
+    return after.select(*documents.columns), rows.select("document_id", "outcome", "previous_version", "version", "reuse")

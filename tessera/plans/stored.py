@@ -332,3 +332,23 @@ def search_vector_indexed(spark, sf_dir):
     vector_index.build(shelf["embeddings"].join(shelf["chunks"], "chunk_id"), path)
     hits = results.vector_search(shelf["embeddings"], shelf["chunks"], shelf["items"], shelf["documents"], shelf["queries"], search.search_predicate(subcategory="en"), "fake", "even", 20, path)
     return hits.select("query_id", "chunk_id", "item_id", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"))
+
+
+@query(
+    """WITH d AS (SELECT o_orderkey AS k, (['ready', 'needs_review', 'failed', 'indexing', 'queued'])[CAST(o_orderkey % 5 AS INTEGER) + 1] AS status, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 4 END AS active, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 4 + 1 END AS most FROM orders WHERE o_orderkey % 13 > 0),
+a AS (SELECT o_orderkey AS k, (['auto', 'reuse_source_spans', 'new_source_version', 'odd'])[CAST(o_orderkey // 4 % 4 AS INTEGER) + 1] AS mode FROM orders WHERE o_orderkey % 2 = 0),
+r AS (SELECT a.k, mode, status, active, most, CASE WHEN mode = 'odd' THEN 'invalid_mode' WHEN status IS NULL THEN 'not_found' WHEN a.k % 11 = 0 THEN 'manual' WHEN status IN ('indexing', 'queued') THEN 'already_running' ELSE 'queued' END AS outcome FROM a LEFT JOIN d USING (k)),
+m AS (SELECT *, CASE WHEN outcome = 'queued' THEN mode = 'reuse_source_spans' OR (mode = 'auto' AND k % 6 = 0) END AS reuse FROM r)
+SELECT k AS o_orderkey, outcome, active AS previous_version, CASE WHEN reuse THEN coalesce(active, most) WHEN outcome = 'queued' THEN coalesce(most, 0) + 1 END AS version, reuse, CASE WHEN outcome = 'queued' THEN 'queued' ELSE status END AS status FROM m"""
+)
+def reprocess_requests(spark, sf_dir):
+    """Half of the orders as documents are to be processed again, some of them twice at once."""
+    k = F.col("document_id")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"))
+    of = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
+    docs = rows.where(k % 13 > 0).select(k, F.when(k % 11 == 0, "manual").otherwise("pdf").alias("source_type"), of(("ready", "needs_review", "failed", "indexing", "queued"), k).alias("status"), F.when(k % 3 > 0, k % 4).alias("active_version"), F.lit("then").alias("last_progress_at"))
+    facts = docs.where(k % 7 > 0).select(k, (k % 4 + 1).alias("max_version"), F.lit(True).alias("same_prompt"), (k % 6 == 0).alias("same_schema"), F.lit(True).alias("same_extractor"))
+    facts = facts.union(docs.where(k % 7 == 0).select(k, F.lit(None).cast("long"), F.lit(True), k % 6 == 0, F.lit(True)))
+    asked = rows.where(k % 2 == 0).select(k, of(("auto", "reuse_source_spans", "new_source_version", "odd"), F.floor(k / 4)).alias("mode"), F.lit(1).alias("at"))
+    after, told = lifecycle.reprocess(docs, asked.union(asked.where(k % 3 == 0).select(k, F.lit("auto"), F.lit(2))), facts)
+    return told.join(after.select("document_id", "status"), "document_id", "left").withColumnRenamed("document_id", "o_orderkey")
