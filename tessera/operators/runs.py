@@ -148,6 +148,25 @@ def claim_batch(items: DataFrame, batch_id: str, schema_version: str, order: lis
     return rows.withColumn("status", F.when(F.col("__taken"), "submitting").otherwise(F.col("status"))).withColumn("batch_id", F.when(F.col("__taken"), F.lit(batch_id)).otherwise(F.col("batch_id"))).select(*items.columns)
 
 
+def submit_batches(batches: DataFrame, items: DataFrame, submit: Callable[[list[tuple[str, str]]], str]) -> DataFrame:
+    """(batch_id, provider_batch_id, error) of the batches that are to be submitted, as settle_batches() wants answers. submit: the requests (input_hash, prompt) of
+    one batch, at most BATCH_REQUESTS of them -> the provider's id for it; where it raises, that batch alone has no id."""
+    requests = items.where("status = 'submitting'").groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct("input_hash", "prompt"))).alias("requests"))
+    waiting = batches.where("processing_status = 'submitting'").select("batch_id").join(requests, "batch_id")
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for batch, listed in zip(pdf["batch_id"], pdf["requests"]):
+                try:
+                    out.append((batch, str(submit([(r["input_hash"], r["prompt"]) for r in listed])), None))
+                except Exception as e:  # isolated: its items are pending again
+                    out.append((batch, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["batch_id", "provider_batch_id", "error"])
+
+    return waiting.mapInPandas(run, f"batch_id {batches.schema['batch_id'].dataType.simpleString()}, provider_batch_id string, error string")
+
+
 def settle_batches(batches: DataFrame, items: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """answers: (batch_id, provider_batch_id: null where the call failed) for submitting batches -> batches and items. Accepted ones are submitted; of the
     others the batch is failed and its items are pending again."""

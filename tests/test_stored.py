@@ -206,3 +206,37 @@ def test_split_text_in_sql(spark):
     for bad in ("split_text(5)", "split_text('a', 0)", "split_text('a', 'b')"):
         with pytest.raises(Exception, match="split_text"):
             spark.sql(f"SELECT * FROM {bad}").collect()
+
+
+# -- batches of requests -----------------------------------------------------------------------------------------------
+
+
+def test_batches_from_submission_to_results(spark):
+    """One batch is refused, one breaks down when it is polled, one comes back; only its documents are driven on."""
+    batches = spark.createDataFrame([(b, None, "submitting") for b in (1, 2, 3)], "batch_id int, provider_batch_id string, processing_status string")
+    rows = [(f"d{b}", 1, f"h{b}{k}", "submitting", 1, b, f"p{b}{k}") for b in (1, 2, 3) for k in range(2)]
+    items = spark.createDataFrame(rows, "document_id string, source_version int, input_hash string, status string, submit_attempts int, batch_id int, prompt string")
+
+    def submit(requests):
+        if requests[0][1].startswith("p2"):
+            raise ConnectionError("refused")
+        return f"x{requests[0][0]}"
+
+    answers = runs.submit_batches(batches, items, submit)
+    assert sorted_rows(answers, "batch_id", "provider_batch_id", "error") == [(1, "xh10", None), (2, None, "ConnectionError: refused"), (3, "xh30", None)]
+    batches, items = runs.settle_batches(batches, items, answers)
+    assert sorted_rows(items.select("batch_id", "status").distinct().fillna(0), "batch_id", "status") == [(0, "pending"), (1, "submitted"), (3, "submitted")]
+
+    def retrieve(batch, hashes):
+        if batch == "xh10":
+            raise TimeoutError("slow")
+        return "ended", [{"input_hash": h, "result_type": "succeeded", "parsed": True, "valid": h.endswith("0")} for h in hashes]
+
+    polled = runs.poll_batches(batches, items, retrieve)
+    none = items.limit(0).select("document_id", "source_version", "input_hash")
+    after, out, done = runs.ingest_polled(batches, items, none, polled)
+    assert sorted_rows(after, "batch_id", "processing_status") == [(1, "submitted"), (2, "failed"), (3, "ended")]
+    assert sorted_rows(out.where("run_status IS NOT NULL"), "input_hash", "status", "run_status") == [("h30", "succeeded", "success"), ("h31", "rejected", "rejected")]
+    assert sorted_rows(done, "document_id", "source_version") == [("d3", 1)]
+    again = runs.ingest_polled(after, out.drop("run_status"), none, runs.poll_batches(after, out, retrieve))
+    assert again[2].count() == 0 and again[1].where("run_status IS NOT NULL").count() == 0
