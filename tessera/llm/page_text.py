@@ -54,8 +54,8 @@ _MAIN = re.compile(r"<(?:article|main)\b|role=\"main\"", re.I)
 #: Why a part is left out: not at all, as a form, by a name, otherwise. An article or main inside a form is read; one inside a part with such a name only
 #: where the page has none elsewhere.
 STAYS, AS_FORM, BY_NAME, OTHERWISE = 0, 1, 2, 3
-#: Inside an article names count on containers only (ids on div only): what text itself is called says nothing about it.
-CONTAINERS = frozenset("a div ol section span table ul".split())
+#: Inside an article names count on containers only (ids on div only, those of readers' comments on all): what text itself is called says nothing about it.
+CONTAINERS, REMARKS = frozenset("a div ol section span table ul".split()), frozenset("comment comments commentlist disqus respond".split())
 
 
 def _tag_end(page: str, at: int, unclosed: set[str]) -> int:
@@ -118,7 +118,7 @@ def _left_out(name: str, attributes: str, inside: bool) -> int:
             if name == "article":
                 if words & {"comment", "comments"}:
                     return OTHERWISE
-            elif inside and (name not in CONTAINERS or (key == "id" and name != "div")):
+            elif inside and (name not in CONTAINERS or (key == "id" and name != "div" and not words & REMARKS)):
                 continue
             elif words & HINTS or ("header" in words and not inside):
                 return BY_NAME

@@ -12,6 +12,7 @@ CASES = {
     '<article><p>one</p><p class="social">two</p><section id="privacy"><p>three</p></section><h2 id="comments">four</h2></article>': "one\ntwo\nthree\nfour",
     '<article><p>one</p><div class="ad">buy</div><div id="comments"><p>nice</p></div><ul class="share"><li>x</li></ul></article>': "one",
     '<article><p>one</p></article><div class="related"><article>teaser</article></div>': "one",
+    '<article><p>one</p><section id="comments"><p>nice</p></section></article>': "one",
     '<aside><article>teaser</article></aside><p>the page has no article that is read</p>': "the page has no article that is read",
     '<article><p>let <math><mi>x</mi></math> be</p><p><label>a label</label></p></article>': "let x be\na label",
     '<div class="footer"><p>only text</p></div>': "only text",
