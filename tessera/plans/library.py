@@ -616,7 +616,7 @@ def report_drops(spark, sf_dir):
 def retrieval_report(spark, sf_dir):
     out = evaluation.retrieval_report(*_judged(spark, sf_dir))
     ranks = F.filter(F.map_values("expected_item_ranks"), lambda r: r.isNotNull())
-    return out.select("query_id", F.array_join(F.transform("retrieved_ids", lambda i: i.cast("string")), ",").alias("retrieved"), F.size("expected_item_ranks").cast("long").alias("n_expected"), F.size(ranks).cast("long").alias("n_found"), F.aggregate(ranks, F.lit(0).cast("long"), lambda a, r: a + r).alias("ranks"))
+    return out.select("query_id", F.array_join(F.transform("retrieved_ids", lambda i: i.cast("string")), ",").alias("retrieved"), F.size("expected_item_ranks").cast("long").alias("n_expected"), F.size(ranks).cast("long").alias("n_found"), F.when(F.size(ranks) > 0, F.aggregate(ranks, F.lit(0).cast("long"), lambda a, r: a + r)).alias("ranks"))
 
 
 @query("SELECT o_custkey AS query_id, CASE WHEN bool_or(o_orderstatus = 'F') THEN 'removed' ELSE 'added' END AS change FROM orders GROUP BY 1 HAVING bool_or(o_orderstatus = 'F') <> bool_or(o_orderstatus = 'O')")
