@@ -173,7 +173,8 @@ def _scan(top_k: int):
 def _visit(rows: DataFrame, asked: DataFrame, top_k: int) -> DataFrame:
     """asked: (query_id, vector, cell, angle, reach). The nearest rows of each asked block of a cell."""
     wanted = [r["cell"] for r in asked.select("cell").distinct().collect()]  # cells, not queries: MOST_CELLS a space
-    rows = rows.where(F.col("cell").isin(wanted))
+    # a partition column is read back as int; as a key of cogroup() it would be dealt to other tasks than a long
+    rows = rows.where(F.col("cell").isin(wanted)).withColumn("cell", F.col("cell").cast("long"))
     sizes = rows.groupBy("cell").count().select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     parts = asked.groupBy("cell").count().select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
     sizes = scratch.stored(sizes.join(parts, "cell"), "cell-sizes")

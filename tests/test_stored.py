@@ -240,3 +240,16 @@ def test_batches_from_submission_to_results(spark):
     assert sorted_rows(done, "document_id", "source_version") == [("d3", 1)]
     again = runs.ingest_polled(after, out.drop("run_status"), none, runs.poll_batches(after, out, retrieve))
     assert again[2].count() == 0 and again[1].where("run_status IS NOT NULL").count() == 0
+
+
+def test_vector_index_over_many_tasks(spark, tmp_path):
+    """Queries and rows of a cell meet in one task, also where no small tasks are joined into one."""
+    chunks, queries = clustered(spark)
+    path = f"{tmp_path}/index"
+    vector_index.build(chunks, path)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted_rows(vector_index.vector_leg(path, queries, 7), "query_id", "chunk_id", "rank")
+        assert got == sorted_rows(search.vector_leg(chunks, queries, 7), "query_id", "chunk_id", "rank")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
