@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -260,18 +262,23 @@ def stem(word: str) -> str:
     return w
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("lexeme", T.StringType()), T.StructField("pos", T.IntegerType())])))
-def lexemes(texts: pd.Series) -> pd.Series:
-    """Stems with their places; stop words take a place but are left out."""
-    known: dict[str, str] = {}
+@functools.lru_cache(1 << 16)
+def _stem(word: str) -> str:
+    return stem(word)
 
-    def of(text):
-        out = []
-        for k, w in enumerate(re.findall(r"[^\W_]+", (text or "").lower())):
-            if w not in STOP_WORDS:
-                if w not in known:
-                    known[w] = stem(w)
-                out.append((known[w], k + 1))
-        return out
 
-    return texts.map(of)
+_LEXEMES = T.ArrayType(T.StructType([T.StructField("lexeme", T.StringType()), T.StructField("pos", T.IntegerType())]))
+
+
+@F.arrow_udf(_LEXEMES)
+def lexemes(texts: pa.Array) -> pa.Array:
+    """Stems with their places; stop words take a place but are left out."""
+    found, places, ends = [], [], [0]
+    for text in texts:
+        for k, w in enumerate(re.findall(r"[^\W_]+", (text.as_py() or "").lower()), 1):
+            if w not in STOP_WORDS:
+                found.append(_stem(w))
+                places.append(k)
+        ends.append(len(found))
+    rows = pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(places, pa.int32())], ["lexeme", "pos"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)

@@ -30,9 +30,11 @@ def searchable(chunks: DataFrame, items: DataFrame, documents: DataFrame, predic
 
 
 def keyword_search(chunks: DataFrame, items: DataFrame, documents: DataFrame, queries: DataFrame, predicate: Column, top_k: int = 50, index: str | None = None) -> DataFrame:
-    """search.keyword_leg() over searchable chunks; with a stored index (keyword_index) only the blocks of the queries' terms are read, and chunks need no
-    lexemes."""
+    """search.keyword_leg() over searchable chunks, whose texts are stemmed here if they have no lexemes; with a stored index (keyword_index) only the blocks
+    of the queries' terms are read."""
     found = searchable(chunks, items, documents, predicate)
+    if index is None and "lexemes" not in found.columns:
+        found = found.withColumn("lexemes", X.lexemes(F.col("text")))
     return search.keyword_leg(found, queries, top_k) if index is None else keyword_index.keyword_leg(index, queries, top_k, found.select("chunk_id"))
 
 

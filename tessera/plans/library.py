@@ -38,7 +38,7 @@ def search_keyword(spark, sf_dir):
     """The stemmed leg over the same tables."""
     lib = library(spark, sf_dir)
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), X.lexemes(F.col("text")).alias("l")).select("query_id", F.array_distinct(F.slice(F.transform("l", lambda x: x["lexeme"]), 1, 2)).alias("terms"))
-    hits = results.keyword_search(lib["chunks"].withColumn("lexemes", X.lexemes(F.col("text"))), lib["items"], lib["documents"], asked, search.search_predicate(category="src0"))
+    hits = results.keyword_search(lib["chunks"], lib["items"], lib["documents"], asked, search.search_predicate(category="src0"))
     return hits.select("query_id", "chunk_id", "item_id", "rank", F.round("raw_score", 6).alias("score"))
 
 
