@@ -11,6 +11,7 @@ from tessera.streaming import events
 from tessera.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from tessera.plans.stems_sql import stemmed_search
 from tessera.plans.views import CHUNK_TYPE_SQL, ITEMS_SQL, LINES_SQL, chunk_type, items, lines, table
+from tessera.sources import scratch
 
 # -- search ------------------------------------------------------------------------------------------------------------
 
@@ -78,9 +79,13 @@ def _legs(spark, sf_dir):
     """The vector leg, and as the keyword leg the ranking by label equality and id that SQL shares."""
     chunks, queries = _vectors(spark, sf_dir)
     vector = search.vector_leg(chunks, queries)
-    asked = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    hits = chunks.join(asked, "label").where("chunk_id >= query_id").select("query_id", "chunk_id", "item_id", "chunk_type")
-    return search.ranked(hits, ["chunk_id"], 50, "keyword"), vector
+    # a query's hits are the next 50 rows of its label: they are found by place, so what is joined grows with the queries and not with the pairs
+    placed = scratch.stored(packing.global_places(chunks.where("label IS NOT NULL AND chunk_id IS NOT NULL").select("label", "chunk_id", "item_id", "chunk_type"), ["label", "chunk_id"], "place"), "places")
+    asked = placed.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "label", F.col("place").alias("first"))
+    asked = asked.withColumn("block", F.explode(F.array(F.floor(F.col("first") / 50), F.floor(F.col("first") / 50) + 1)))
+    hits = placed.withColumn("block", F.floor(F.col("place") / 50)).join(asked, ["label", "block"]).withColumn("rank", (F.col("place") - F.col("first") + 1).cast("int"))
+    keyword = hits.where("rank BETWEEN 1 AND 50").select("query_id", "chunk_id", "item_id", "chunk_type", "rank").withColumn("retrieval_source", F.lit("keyword"))
+    return keyword, vector
 
 
 _FUSED_SQL = f"""{_VECTOR_SQL}, keyword AS (

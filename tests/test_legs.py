@@ -25,3 +25,17 @@ def test_postings_are_not_shuffled(spark, stems):
         want += [(q, c, k, round(-s, 9)) for k, (s, c) in enumerate(sorted(found)[:8], 1)]
     assert sorted((r["query_id"], r["chunk_id"], r["rank"], round(r["raw_score"], 9)) for r in leg.collect()) == sorted(want)
     assert "Join" not in leg._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_legs_make_no_pairs(spark, small):
+    """The ranking by label and id joins places, not all later rows of a label."""
+    from tessera.plans import queries
+
+    keyword, _ = queries._legs(spark, small)
+    rows = spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "label").collect()
+    want = []
+    for q, label in rows:
+        if q % 100 == 0:
+            want += [(q, v, k) for k, v in enumerate(sorted(v for v, other in rows if other == label and v >= q)[:50], 1)]
+    assert sorted((r["query_id"], r["chunk_id"], r["rank"]) for r in keyword.collect()) == sorted(want)
+    assert "Window" not in keyword._jdf.queryExecution().optimizedPlan().toString()
