@@ -186,6 +186,8 @@ def stale_batches(batches: DataFrame, now: Column, minutes: int = SUBMITTING_MIN
     return batches.where(late).select("batch_id", F.lit(None).cast("string").alias("provider_batch_id"))
 
 
+#: Batches whose results a task holds at once.
+POLLED = 16
 #: What a provider says of a request.
 RESULT = "array<struct<input_hash:string,result_type:string,parsed:boolean,valid:boolean,retryable:boolean>>"
 
@@ -198,7 +200,7 @@ def poll_batches(batches: DataFrame, items: DataFrame, retrieve: Callable[[str,
     fields = ["input_hash", "result_type", "parsed", "valid", "retryable"]
 
     def run(frames):
-        for pdf in frames:
+        for pdf in (whole.iloc[k : k + POLLED] for whole in frames for k in range(0, len(whole), POLLED)):
             out = []
             for batch, known, hashes in zip(pdf["batch_id"], pdf["provider_batch_id"], pdf["hashes"]):
                 try:
