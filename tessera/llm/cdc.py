@@ -26,6 +26,8 @@ LEAST, NORMAL, GREATEST = 24, 64, 256
 STRICT, LOOSE = np.uint32(0xFF), np.uint32(0x0F)  # 8 and 4 low bits around the 6 of the normal size
 #: Ranges of ids at most: their heads are sent to all tasks.
 MOST_RANGES = 10_000
+#: Rows whose fingerprints a task holds at once.
+AT_ONCE = 256
 GEAR = (BYTE_CODE >> np.uint64(32)).astype(np.uint32)
 
 
@@ -139,7 +141,7 @@ def _compare(batches):
         edited_chunk = own_chunk if edited == own else chunks(edited_bytes)
         return doc, len(own), hashlib.sha256(edited_bytes).hexdigest(), fingerprint(own_chunk), fingerprint(edited_chunk), likeness(own_chunk, edited_chunk), likeness(own_chunk, chunk)
 
-    for batch in batches:
+    for batch in (whole.slice(k, AT_ONCE) for whole in batches for k in range(0, whole.num_rows, AT_ONCE)):
         out = []
         texts = batch.column(2)
         for k, (doc, span, role) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist())):
