@@ -39,7 +39,8 @@ def normalize_title(titles: pd.Series) -> pd.Series:
 
 
 def is_present(text: Column) -> Column:
-    return F.coalesce(F.length(F.trim(F.regexp_replace(text, r"(?U)\s+", " "))) > 0, F.lit(False))
+    """Something else than white space stands in it."""
+    return F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))
 
 
 def compose_body(title: Column, ingredients: Column, steps: Column) -> Column:
@@ -198,11 +199,13 @@ def split_text(text: str, cap: int) -> list[str]:
 
 
 def split_bytes(cap: int = 8000):
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t or "", cap))
+    """Only texts above the cap go to Python, a few at a time: an Arrow batch of 10,000 long ones would be as large as they are together."""
 
-    return lambda text: F.when(F.octet_length(text) <= cap, F.filter(F.array(text), is_present)).otherwise(run(text))
+    @F.udf(T.ArrayType(T.StringType()), useArrow=False)
+    def run(text):
+        return None if text is None else split_text(text, cap)
+
+    return lambda text: F.when(F.octet_length(text) <= cap, F.filter(F.array(text), is_present)).otherwise(F.coalesce(run(F.when(F.octet_length(text) > cap, text)), F.array().cast("array<string>")))
 
 
 # -- stems (Porter 1980) -----------------------------------------------------------------------------------------------

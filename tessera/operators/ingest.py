@@ -112,7 +112,9 @@ def build_chunks(items: DataFrame, cap: int = 8000) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(k).alias("type_order"), F.lit(name).alias("chunk_type"), F.col(column).alias("text")) for k, (name, column) in enumerate(kinds)])
     texts = items.select("item_id", F.explode(rows).alias("c")).select("item_id", "c.*").where(X.is_present(F.col("text")))
     parts = texts.withColumn("parts", X.split_bytes(cap)(F.col("text"))).withColumn("part_count", F.size("parts"))
-    return parts.select("item_id", "type_order", "chunk_type", "part_count", F.posexplode("parts").alias("part", "text")).withColumn("part", F.col("part") + 1)
+    # outer, as Spark would else split all texts a second time, to tell beforehand which have parts
+    rows = parts.select("item_id", "type_order", "chunk_type", "part_count", F.posexplode_outer("parts").alias("part", "text"))
+    return rows.where("part IS NOT NULL").withColumn("part", F.col("part") + 1)
 
 
 def chunk_ready(items: DataFrame, chunks: DataFrame, cap: int = 8000) -> DataFrame:

@@ -4,7 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from tessera.operators import payloads
+from tessera.functions import text as X
+from tessera.operators import ingest, payloads
 
 
 def analyzed(df) -> str:
@@ -30,3 +31,30 @@ def test_odd_payloads(spark):
         "a query's ndcg_cut_10 is no finite number", "a query has no expected_item_ranks", "a rank is no positive whole number",
     ]
     assert all(g[0] == "recipe: missing keys" and "steps: must not be empty" in g and "source_span_ids: must be the one span" in g for _, g in got.values())
+
+
+def optimized(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def chunk_items(spark, texts):
+    none = F.lit(None).cast("string")
+    return spark.createDataFrame(list(enumerate(texts)), "item_id int, body_text string").select("*", *[none.alias(k) for k in ("title", "summary", "ingredients_text", "steps_text")])
+
+
+def test_texts_are_split_once_and_short_ones_not_in_python(spark):
+    """Long texts reach Python once and not by Arrow batches, whose bytes nothing bounds; short and blank ones don't."""
+    texts = ["short", None, " \u2003\n", " " * 50, "word é " * 30, "one\n\ntwo", "x" * 41]
+    out = ingest.build_chunks(chunk_items(spark, texts), 40)
+    assert optimized(out).count("BatchEvalPython") == 1 and "ArrowEvalPython" not in optimized(out)
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: (r["item_id"], r["part"])):
+        got.setdefault(r["item_id"], []).append(r["text"])
+        assert r["chunk_type"] == "recipe_full" and r["part_count"] == len(X.split_text(texts[r["item_id"]], 40))
+    assert got == {k: X.split_text(t, 40) for k, t in enumerate(texts) if t and t.strip()}
+
+
+def test_present(spark):
+    blank = [None, "", " ", "\t\n\x0b\f\r", "\u00a0\u2003\u3000\u0085"]
+    df = spark.createDataFrame([(t,) for t in [*blank, " x", "\u200b", "0"]], "t string")
+    assert [r[0] for r in df.select(X.is_present(F.col("t"))).collect()] == [False] * len(blank) + [True] * 3
