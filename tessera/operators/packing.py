@@ -99,10 +99,13 @@ def pack(items: DataFrame, key: str, order: list[str], size: str, most: int, mos
     entered = entered.withColumn("__chunk", F.floor(F.col("entry") / chunk))
     schema = placed.withColumns({"__chunk": F.lit(0).cast("long"), "__batch": F.lit(0).cast("long")}).schema
     walked = scratch.stored(seen.groupBy("__chunk").cogroup(entered.groupBy("__chunk")).applyInPandas(_walk(*settings, placed.columns), schema), "walked")
-    # batches are numbered along all chunks (one row each), then from each queue's first
-    sums = walked.groupBy("__chunk").agg(F.max("__batch").alias("n"))
+    # batches are numbered along all chunks (one row each), then from each queue's first; rows meet what is known of their chunk and queue, so that a
+    # long queue stays spread over its chunks
+    known = scratch.stored(walked.groupBy("__chunk", F.col(key).alias("__key")).agg(F.min("__batch").alias("__least"), F.max("__batch").alias("__most")), "queues")
+    sums = known.groupBy("__chunk").agg(F.max("__most").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = walked.join(sums.select("__chunk", before.alias("__before")), "__chunk").withColumn("__batch", F.col("__batch") + F.col("__before"))
-    firsts = numbered.groupBy(F.col(key).alias("__key")).agg(F.min("__batch").alias("__first"))
-    out = numbered.join(firsts, F.col(key).eqNullSafe(F.col("__key")))
-    return out.select(*items.columns, (F.col("__batch") - F.col("__first")).alias("batch"))
+    known = known.join(sums.select("__chunk", before.alias("__before")), "__chunk")
+    firsts = known.groupBy(F.col("__key").alias("__queue")).agg(F.min(F.col("__least") + F.col("__before")).alias("__first"))
+    shifts = known.join(firsts, F.col("__key").eqNullSafe(F.col("__queue"))).select(F.col("__chunk").alias("__in"), "__key", (F.col("__before") - F.col("__first")).alias("__shift"))
+    out = walked.join(shifts, (F.col("__chunk") == F.col("__in")) & F.col(key).eqNullSafe(F.col("__key")))
+    return out.select(*items.columns, (F.col("__batch") + F.col("__shift")).alias("batch"))

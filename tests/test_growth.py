@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import ingest, payloads
+from tessera.operators import ingest, packing, payloads
 
 
 def analyzed(df) -> str:
@@ -58,3 +58,26 @@ def test_present(spark):
     blank = [None, "", " ", "\t\n\x0b\f\r", "\u00a0\u2003\u3000\u0085"]
     df = spark.createDataFrame([(t,) for t in [*blank, " x", "\u200b", "0"]], "t string")
     assert [r[0] for r in df.select(X.is_present(F.col("t"))).collect()] == [False] * len(blank) + [True] * 3
+
+
+def test_long_queues_stay_spread(spark):
+    """One queue of many chunks is numbered by as many tasks as there are partitions; no join brings all its rows together."""
+    rows = spark.range(4000).selectExpr("if(id < 3990, 'long', if(id < 3995, NULL, 'z')) AS queue", "id AS n", "id % 7 AS size")
+    keep = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = packing.pack(rows, "queue", ["n"], "size", 10, 25, 64)
+        spread = {r["p"]: r["count"] for r in out.where("queue = 'long'").groupBy(F.spark_partition_id().alias("p")).count().collect()}
+        got = {(r["queue"], r["n"]): r["batch"] for r in out.collect()}
+    finally:
+        for k, v in keep.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    want, state = {}, {}
+    for n in range(4000):
+        queue, size = "long" if n < 3990 else None if n < 3995 else "z", n % 7
+        batch, count, total = state.get(queue, (0, 0, 0))
+        batch, count, total = (batch + 1, 1, size) if count and (count == 10 or total + size > 25) else (batch, count + 1, total + size)
+        state[queue], want[queue, n] = (batch, count, total), batch
+    assert got == want
+    assert len(spread) == 4 and max(spread.values()) < 3990 / 2, spread
