@@ -11,7 +11,7 @@ from tessera.functions.text import split_text
 CAP = 8000
 
 
-@udtf(useArrow=True)
+@udtf(useArrow=False)  # with Arrow each text's parts are a table of their own, which takes far longer than to cut it
 class SplitText:
     """split_text(text[, cap]): the parts of a text of at most `cap` UTF-8 bytes, as ingest.build_chunks() cuts them. Null and blank texts have none."""
 

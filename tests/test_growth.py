@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from tessera.functions import tables
 from tessera.functions import text as X
 from tessera.operators import ingest, packing, payloads
 
@@ -81,3 +82,11 @@ def test_long_queues_stay_spread(spark):
         state[queue], want[queue, n] = (batch, count, total), batch
     assert got == want
     assert len(spread) == 4 and max(spread.values()) < 3990 / 2, spread
+
+
+def test_split_text_takes_rows_as_they_are(spark):
+    """A table function over Arrow would build a table for each text."""
+    tables.register(spark)
+    out = spark.sql("SELECT k, part, part_count, part_text FROM VALUES (1, 'ab\ncdef'), (2, NULL), (3, '  '), (4, 'x') AS t(k, text), LATERAL split_text(text, 4)")
+    assert "ArrowEvalPythonUDTF" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [(1, 1, 2, "ab"), (1, 2, 2, "cdef"), (4, 1, 1, "x")]
