@@ -28,6 +28,8 @@ def normalize_query(text: Column) -> Column:
 def _title(text: str | None) -> str | None:
     if text is None:
         return None
+    if text.isascii():  # nothing to fold
+        return " ".join(text.lower().split())
     plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
     return " ".join("".join(FOLDS.get(c, c) for c in plain).lower().split())
 

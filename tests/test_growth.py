@@ -1,12 +1,14 @@
 """Work that grows no faster than the tables."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from tessera.functions import tables
 from tessera.functions import text as X
-from tessera.operators import ingest, packing, payloads
+from tessera.operators import evaluation, ingest, packing, payloads
 
 
 def analyzed(df) -> str:
@@ -90,3 +92,32 @@ def test_split_text_takes_rows_as_they_are(spark):
     out = spark.sql("SELECT k, part, part_count, part_text FROM VALUES (1, 'ab\ncdef'), (2, NULL), (3, '  '), (4, 'x') AS t(k, text), LATERAL split_text(text, 4)")
     assert "ArrowEvalPythonUDTF" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, out.collect())) == [(1, 1, 2, "ab"), (1, 2, 2, "cdef"), (4, 1, 1, "x")]
+
+
+def test_ingredients_are_aligned_from_plain_lists(spark):
+    """Names reach Python as Arrow lists of strings, not as an object for each ingredient; the pairs are those of the plain rule."""
+    assert evaluation.align_lines.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+    rng = random.Random(5)
+    name = lambda: rng.choice([None, "", " A", "a ", "b", "c", "d"])
+    side = lambda: None if rng.random() < 0.05 else [(name(), name()) for _ in range(rng.randrange(8))]
+    rows = [(k, side(), side()) for k in range(400)]
+    line = "array<struct<item_normalized:string,raw_text:string>>"
+    df = spark.createDataFrame(rows, f"k int, e {line}, f {line}")
+    lists = [evaluation._identities(F.col(c), n) for c in "ef" for n in ("item_normalized", "raw_text")]
+    got = {r["k"]: [tuple(p) for p in r["p"]] for r in df.select("k", evaluation.align_lines(*lists).alias("p")).collect()}
+    for k, e, f in rows:
+        clean = lambda x: [tuple((n or "").strip().lower() or None for n in i) for i in x or []]
+        e, f = clean(e), clean(f)
+        same = lambda a, b: any(x is not None and x == y for x, y in zip(e[a], f[b]))
+        pairs = [(a, a) for a in range(min(len(e), len(f))) if same(a, a)]
+        for b in range(len(f)):
+            left = [a for a in range(len(e)) if a not in [x for x, _ in pairs] and same(a, b)]
+            if left and b not in [y for _, y in pairs]:
+                pairs.append((left[0], b))
+        assert got[k] == sorted(pairs), (e, f)
+
+
+def test_plain_titles(spark):
+    """Titles without anything to fold come out as by the whole rule."""
+    df = spark.createDataFrame([(" A\tB\x1c c ",), ("",), ("A B’s",)], "t string")
+    assert [r[0] for r in df.select(X.normalize_title("t")).collect()] == ["a b c", "", "a b's"]
