@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tessera.functions import text as X
 from tessera.operators.payloads import INGREDIENT_KEYS as SUB_FIELDS
 from tessera.operators.payloads import METRICS, TIMES, golden_problems, report_problems  # noqa: F401
+from tessera.sources import scratch
 
 TOLERANCE, SLACK, HEADLINE, RANK_DROP = 0.01, 1e-9, 0.005, 3
 
@@ -254,6 +255,7 @@ def missing_fields(expected: Column, found: Column) -> Column:
 def extraction_summary(rows: DataFrame) -> DataFrame:
     """rows: as field_scores() gives, with confidence and missing -> (metric, value): counts, success rate, mean confidence, mean of each score over
     the fixtures where it is comparable, how often each field is missing."""
+    rows = scratch.stored(rows.select("scores", "confidence", "missing"), "scored")  # both sums below read it; the recipes are scored once
     one = rows.agg(
         F.count(F.lit(1)).cast("double").alias("count.fixtures"), F.count_if(F.col("scores").isNotNull()).cast("double").alias("count.success"), F.avg(F.col("scores").isNotNull().cast("double")).alias("success_rate"), F.avg(F.when(F.col("scores").isNotNull(), F.col("confidence"))).alias("mean_confidence"),
         *[F.avg(F.col(f"scores.{k}").cast("double")).alias(f"accuracy.{k}") for k in SCORES],

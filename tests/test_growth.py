@@ -121,3 +121,14 @@ def test_plain_titles(spark):
     """Titles without anything to fold come out as by the whole rule."""
     df = spark.createDataFrame([(" A\tB\x1c c ",), ("",), ("A B’s",)], "t string")
     assert [r[0] for r in df.select(X.normalize_title("t")).collect()] == ["a b c", "", "a b's"]
+
+
+def test_recipes_of_a_report_are_scored_once(spark):
+    """Neither sum of a report works the recipes' scores out again."""
+    scored = F.struct(*[F.lit(1.0).alias(k) for k in evaluation.SCORES])
+    rows = spark.range(4).select(F.when(F.col("id") > 0, scored).alias("scores"), X.normalize_title(F.lit("0.5")).cast("double").alias("confidence"), F.array(F.lit("steps")).alias("missing"))
+    out = evaluation.extraction_summary(rows)
+    assert "EvalPython" not in optimized(out)
+    got = {r["metric"]: r["value"] for r in out.collect()}
+    assert (got["count.fixtures"], got["count.success"], got["mean_confidence"], got["accuracy.yield"], got["count.missing.steps"]) == (4, 3, 0.5, 1, 3)
+    assert evaluation.extraction_summary(rows.limit(0)).where("metric = 'count.fixtures'").first()["value"] == 0
