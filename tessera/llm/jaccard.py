@@ -171,6 +171,12 @@ def can_link(x: str, y: str, t: float) -> str:
     return f"(least({size(x)}, {size(y)}) * 100 >= greatest({size(x)}, {size(y)}) * {whole} AND 100 * ({twice}) >= {whole} * (2 * ({size(x)} + {size(y)}) - ({twice})))"
 
 
+def most_size(x: str, t: float) -> str:
+    """SQL: the size that a partner of a member may have at most, by what can_link() asks of this member alone."""
+    size, place, whole = f"(({x} >> {SIZE_AT}) & {MOST_SIZE})", f"(({x} >> {PLACE_AT}) & {MOST_PLACE})", round(100 * t)
+    return f"CASE WHEN {x} & 63 = 0 THEN {100 + whole} * ({size} - {place}) DIV {whole} - {size} ELSE 100 * {size} DIV {whole} END"
+
+
 def set_hashes(tokens: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Size and a 128-bit hash of each document's set."""
     owner = (tokens >> U(HASH_BITS)).astype(np.int64)
@@ -354,11 +360,21 @@ def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _reach(t: float) -> list:
+    """The least size of a group's members, and the greatest that a partner of one may have."""
+    return [F.min(F.expr(f"(info >> {SIZE_AT}) & {MOST_SIZE}")).alias("least_size"), F.max(F.expr(most_size("info", t))).alias("most_size")]
+
+
+def _reached(t: float):
+    """Whether some size of the group, as in _reach(), is one that a partner of this member may have, and the member's size one that some member asks for."""
+    return F.expr(f"{most_size('info', t)} >= least_size AND ((info >> {SIZE_AT}) & {MOST_SIZE}) <= most_size")
+
+
 def _placed(members: DataFrame, t: float) -> DataFrame:
     """Members of groups (key, node, info) -> with `before`: the node's last LAST keys before this one that others hold too; `own`: how many of its places
     nobody else holds (in the finest band), its last key that others hold, and a bitmap of these keys. In `info` the place also counts the later places that
-    nobody else holds, as what these stand for is missing in every other set; rows that so can't link with any set are left out, and so are keys
-    whose members all have the same key before (their pairs meet there). Lists and bitmaps are kept by node and join only what is left."""
+    nobody else holds, as what these stand for is missing in every other set; rows that so can't link with any set, or with none of their group's sizes, are
+    left out, and so are keys whose members all have the same key before (their pairs meet there). Lists and bitmaps are kept by node and join only what is left."""
     place, size, band = (lambda c: (F.shiftright(c, PLACE_AT).bitwiseAND(MOST_PLACE))), F.expr(f"(info >> {SIZE_AT}) & {MOST_SIZE}"), F.expr("info & 63")
     one = F.struct("key", "info")
     by_node = members.groupBy("node", band.alias("band")).agg(F.sort_array(F.collect_list(one)).alias("held"), F.max(size).alias("size"))  # a set's own places
@@ -377,8 +393,8 @@ def _placed(members: DataFrame, t: float) -> DataFrame:
     # who has no key before is apart from all others
     last = F.when(F.col("at") > 0, F.get("keys", F.col("at") - 1)).otherwise(F.xxhash64("node"))
     rows = materialize(rows.select(F.col("h.key").alias("key"), "node", "band", "at", info.alias("info"), last.alias("last")), "places")
-    several = rows.groupBy("key").agg(F.min("last").alias("low"), F.max("last").alias("high")).where("low <> high").select("key")
-    kept = rows.drop("last").join(several, "key", "left_semi").join(lists, ["node", "band"])
+    several = rows.groupBy("key").agg(F.min("last").alias("low"), F.max("last").alias("high"), *_reach(t)).where("low <> high").drop("low", "high")
+    kept = rows.drop("last").join(several, "key").where(_reached(t)).drop("least_size", "most_size").join(lists, ["node", "band"])
     before = F.slice("keys", F.greatest(F.lit(1), F.col("at") + 1 - LAST), F.least("at", F.lit(LAST)))
     out = materialize(kept.select("key", "node", "info", before.alias("before"), "own"), "groups")
     discard(rows)
@@ -429,12 +445,13 @@ def _grouped(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: s
 
     check = _Checker(rows, nodes, n, threshold)
     link = can_link("info", "y_info", threshold)
-    apart = F.expr(f"NOT arrays_overlap(before, y_before) AND {link} AND {_enough_keys(threshold)}")
+    # cheap tests first: most pairs of a group fail by sizes and places
+    apart = F.expr(f"{link} AND NOT arrays_overlap(before, y_before) AND {_enough_keys(threshold)}")
     # stars around the member with the largest share of common subsets
     central = F.max(F.struct(F.expr(f"info >> {SHARE_AT}").alias("share"), F.xxhash64("node").alias("mix"), "node", "info", "before", "own")).alias("y")
     heads = groups.groupBy("key").agg(central).select("key", F.col("y.node").alias("y"), F.col("y.info").alias("y_info"), F.col("y.before").alias("y_before"), F.col("y.own").alias("y_own"))
     checked = []
-    tested = materialize(groups.join(heads, "key").where(apart & (F.col("node") != F.col("y"))).select(*_ordered("node", "y")).distinct(), "star-tested")
+    tested = materialize(groups.join(heads, "key").where((F.col("node") != F.col("y")) & apart).select(*_ordered("node", "y")).distinct(), "star-tested")
     links = check(tested, "star")
     checked.append(tested)
     root = materialize(components(links), "roots")
@@ -443,15 +460,15 @@ def _grouped(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: s
     turn = 0
     while True:
         placed = groups.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        held = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.xxhash64("node", F.lit(turn)).alias("mix"), "node", "info", "before", "own")).alias("y"))
-        several = held.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"), F.max(F.struct("n", F.xxhash64("root").alias("mix"), "root", "y")).alias("most")).where("roots > 1")
+        held = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.xxhash64("node", F.lit(turn)).alias("mix"), "node", "info", "before", "own")).alias("y"), *_reach(threshold))
+        several = held.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"), F.max(F.struct("n", F.xxhash64("root").alias("mix"), "root", "y")).alias("most"), F.min("least_size").alias("least_size"), F.max("most_size").alias("most_size")).where("roots > 1")
         several = materialize(several, f"apart-{turn}")
         cross, rows_held = several.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
         if turn == MOST_TURNS or cross <= PAIRS_PER_ROW * rows_held:
             break
         # first with a further member of the group's largest component
         pivot = several.select("key", F.col("most.root").alias("y_root"), F.col("most.y.node").alias("y"), F.col("most.y.info").alias("y_info"), F.col("most.y.before").alias("y_before"), F.col("most.y.own").alias("y_own"))
-        pairs = placed.join(pivot, "key").where(apart & (F.col("root") != F.col("y_root"))).select(*_ordered("node", "y")).distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = placed.join(pivot, "key").where((F.col("root") != F.col("y_root")) & apart).select(*_ordered("node", "y")).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, f"pivot-{turn}")
         checked.append(pairs)
         tested = tested.union(pairs)
@@ -461,9 +478,14 @@ def _grouped(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: s
         discard(before)
         discard(several)
         turn += 1
-    members = materialize(placed.join(several.select("key"), "key", "left_semi"), "members-apart")
+    # what fits no size of its group goes, and then groups that one component is left of
+    members = placed.join(several.select("key", "least_size", "most_size"), "key").where(_reached(threshold)).drop("least_size", "most_size")
+    met = materialize(members, "members-met")
+    several_left = met.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), *_reach(threshold)).where("low <> high").drop("low", "high")
+    members = materialize(met.join(several_left, "key").where(_reached(threshold)).drop("least_size", "most_size"), "members-apart")
+    discard(met)
     others = members.select("key", F.col("node").alias("y"), F.col("root").alias("y_root"), F.col("info").alias("y_info"), F.col("before").alias("y_before"), F.col("own").alias("y_own"))
-    more = members.join(others, "key").where(apart & (F.col("root") != F.col("y_root")) & (F.col("node") < F.col("y"))).select(F.col("node").alias("a"), F.col("y").alias("b")).distinct()
+    more = members.join(others, "key").where((F.col("node") < F.col("y")) & (F.col("root") != F.col("y_root")) & apart).select(F.col("node").alias("a"), F.col("y").alias("b")).distinct()
     links = links.union(check(more.join(tested, ["a", "b"], "left_anti"), "apart"))
     for x in (groups, several, members, root):
         discard(x)

@@ -102,6 +102,44 @@ def test_jaccard_near_copies(spark):
     assert kept == {c for _, _, c in brute_components(rows)}
 
 
+def test_jaccard_apart(spark, monkeypatch):
+    """A large family whose members share much but hardly link: who can link with no size of its group isn't compared with all others."""
+    rng = random.Random(17)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(160):
+        w = list(base)
+        for _ in range(rng.randint(10, 13) if k % 8 else rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = f"x{rng.randint(0, 10**6)}"
+        rows.append((k, " ".join(w)))
+    held, plain = {}, jaccard.materialize
+
+    def counted(frame, label):
+        out = plain(frame, label)
+        held[label] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert pairs_of(jaccard.near_duplicates(df), "doc_id", "n_shingles", "component_id") == brute_components(rows)
+    assert held["places"] > 2000 and held["members-apart"] < held["places"] / 20, held
+
+
+def test_jaccard_sizes(spark):
+    """What most_size() and _reached() leave out never links by can_link()."""
+    rng, infos = random.Random(23), set()
+    for _ in range(400):
+        size = rng.choice([1, 2, 7, 40, 390, 396, 400, rng.randint(1, 10**5)])
+        infos.add(int(jaccard.info_of(*(jaccard.np.array([x], jaccard.np.int64) for x in (rng.randint(0, 63), size, rng.randint(0, size // 3), rng.choice([0, 0, 12]))))[0]))
+    one = spark.createDataFrame([(x,) for x in infos], "info long")
+    for t in (0.5, 0.75, 0.9, 1.0):
+        pairs = one.crossJoin(one.withColumnRenamed("info", "y_info")).where("info & 63 = y_info & 63").selectExpr(
+            f"{jaccard.can_link('info', 'y_info', t)} AS can", f"{jaccard.most_size('info', t)} AS most", f"{jaccard.most_size('y_info', t)} AS y_most", f"(info >> {jaccard.SIZE_AT}) & {jaccard.MOST_SIZE} AS size", f"(y_info >> {jaccard.SIZE_AT}) & {jaccard.MOST_SIZE} AS y_size"
+        )
+        counts = pairs.groupBy("can").agg({"*": "count"}).collect()
+        assert len(counts) == 2 and pairs.where("can AND (y_size > most OR size > y_most)").count() == 0
+
+
 def brute_links(rows):
     sets = [shingles(t) for _, t in rows]
     linked = lambda x, y: bool(x and y) and 100 * len(x & y) >= 75 * len(x | y)
