@@ -48,6 +48,8 @@ COMMON_LEAST, COMMON_MOST, LOT = 8, 1 << 20, 1_000_000
 MOST_TURNS, PAIRS_PER_ROW = 1, 8
 #: A pair meets under its first common subset; so many subsets before are compared to find that it isn't the first. Sets that a task remembers.
 LAST, REMEMBERED = 8, 1 << 18
+#: Places of sets that a task deals out at once, and buckets for each partition of a shuffle.
+DEALT, PER_PARTITION = 1 << 19, 8
 #: Longs of the bitmap of a set's keys.
 BITMAP = 8
 #: Distinct sets of a component that are verified at once; shingles of a slice of their product.
@@ -243,12 +245,22 @@ def _survey(n: int, t: float):
     return run
 
 
-def _index(n: int, t: float, shared, finest: bool = False):
-    """(key, node, hot, info) of each set's places; a set once a task."""
+def dealt(key: np.ndarray, node: np.ndarray, info: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One row of INDEX for each bucket. Holders of a common subset are known to be several: they are spread evenly."""
+    bucket = (mix64(np.where(key >> U(KEY_BITS) > 0, key ^ mix64(node.view(U)), key)) % U(buckets)).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    held, starts = np.unique(bucket[order], return_index=True)
+    offsets = pa.array(np.append(starts, len(order)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (signed(key), node, info)]
+    return pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), *lists], names=["bucket", "key", "node", "info"])
+
+
+def _index(n: int, t: float, shared, buckets: int, finest: bool = False):
+    """(key, node, info) of each set's places, many in a row; a set once a task."""
 
     def run(batches):
         common, classes, alike = (np.frombuffer(x, np.int64) for x in shared.value)
-        seen = _Seen()
+        seen, found, held = _Seen(), [], 0
         for batch in batches:
             for first, last, tokens in token_sets(batch.column(2), n):
                 size, node, check = set_hashes(tokens, last - first)
@@ -256,40 +268,50 @@ def _index(n: int, t: float, shared, finest: bool = False):
                 node = np.where(np.isin(signed(node), alike), signed(check), signed(node))
                 for owner, key, need, band in subsets(tokens, last - first, t, finest):
                     own = new[owner]
-                    owner, key, hot, info = chosen(owner[own], key[own], need, band, size, common.view(U), classes, last - first)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(node[owner]), pa.array(hot), pa.array(info)], names=["key", "node", "hot", "info"])
+                    owner, key, _, info = chosen(owner[own], key[own], need, band, size, common.view(U), classes, last - first)
+                    found.append((key, node[owner], info))
+                    held += len(key)
+                if held >= DEALT:
+                    yield dealt(*map(np.concatenate, zip(*found)), buckets)
+                    found, held = [], 0
+        if held:
+            yield dealt(*map(np.concatenate, zip(*found)), buckets)
 
     return run
 
 
-INDEX = "key long, node long, hot boolean, info long"
+INDEX = "bucket int, key array<long>, node array<long>, info array<long>"
 GROUPS = "key long, node long, info long"
 
 
+def several_hold(parts: list) -> pa.RecordBatch:
+    """A bucket's (key, node, info) -> each pair of key and node once, without the keys that are not common and only one node holds."""
+    key, node, info = map(np.concatenate, zip(*parts))
+    for pairs in (False, True):  # most keys are left out before pairs are sorted
+        order = np.lexsort((node, key)) if pairs else np.argsort(key)
+        key, node, info = key[order], node[order], info[order]
+        new_key = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
+        new = new_key | np.append(True, node[1:] != node[:-1]) if pairs and len(key) else np.ones(len(key), bool)
+        group = np.cumsum(new_key) - 1
+        take = new & ((np.bincount(group, weights=new)[group] > 1) | (key >> KEY_BITS > 0)) if len(key) else new
+        key, node, info = key[take], node[take], info[take]
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(info)], names=["key", "node", "info"])
+
+
 def _shared(batches):
-    """Rows of INDEX sorted by key and node -> (key, node, info), each pair once, without the keys that are not hot and only one node
-    holds."""
-    carry, told = None, False  # the last pair so far, and whether its key's pairs are told
+    """Rows of INDEX sorted by bucket -> what several_hold() leaves of each bucket."""
+    own, parts = None, []
     for batch in batches:
-        cols = [np.asarray(c) for c in batch.columns]
-        if carry is not None:
-            cols = [np.append(x, c) for x, c in zip(carry, cols)]
-        key, node, hot, _ = cols
-        if not len(key):
-            continue
-        new_key = np.append(True, key[1:] != key[:-1])
-        new = new_key | np.append(True, node[1:] != node[:-1])
-        group = np.cumsum(new_key) - 1
-        several = (np.bincount(group, weights=new) > 1) | (np.bincount(group, weights=hot) > 0)
-        first_told = carry is not None and told
-        several[0] |= first_told
-        take = new & several[group]
-        told = bool(several[-1])
-        if first_told:
-            take[0] = False
-        last = np.flatnonzero(new)[-1]
-        carry = [c[last : last + 1] for c in cols]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[k][take]) for k in (0, 1, 3)], names=["key", "node", "info"])
+        bucket = np.asarray(batch.column(0))
+        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
+        for a, b in zip(starts, np.append(starts[1:], len(bucket))):
+            if parts and bucket[a] != own:
+                yield several_hold(parts)
+                parts = []
+            own = bucket[a]
+            parts.append([np.asarray(batch.column(k).slice(a, b - a).flatten()) for k in (1, 2, 3)])
+    if parts:
+        yield several_hold(parts)
 
 
 def _tokens(n: int):
@@ -434,12 +456,11 @@ def _grouped(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: s
         discard(nodes)
         nodes = materialize(sets.groupBy("node").agg(F.min("size").alias("size"), F.min(F.struct("doc", "row")).alias("at"), F.first("sketch").alias("sketch")), "nodes")
     shared = spark.sparkContext.broadcast(tuple(x.astype(np.int64).tobytes() for x in (common["a"].to_numpy(), classes, alike)))
-    index = rows.mapInArrow(_index(n, threshold, shared), INDEX)
+    buckets = min(PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
+    index = rows.mapInArrow(_index(n, threshold, shared, buckets), INDEX)
     if seen.where("k = 2").agg(F.sum("a")).first()[0]:
-        index = index.union(rows.mapInArrow(_index(n, threshold, shared, True), INDEX))
-    # holders of a common subset are known to be several: they are spread evenly
-    spread = index.repartition(F.when(F.col("hot"), F.xxhash64("key", "node")).otherwise(F.col("key"))).sortWithinPartitions("key", "node")
-    members = materialize(spread.mapInArrow(_shared, GROUPS), "members")
+        index = index.union(rows.mapInArrow(_index(n, threshold, shared, buckets, True), INDEX))
+    members = materialize(index.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, GROUPS), "members")
     groups = _placed(members, threshold)
     discard(members)
 

@@ -140,6 +140,26 @@ def test_jaccard_sizes(spark):
         assert len(counts) == 2 and pairs.where("can AND (y_size > most OR size > y_most)").count() == 0
 
 
+def test_jaccard_dealt():
+    """Places dealt out in buckets keep each pair of key and node once where several nodes hold the key or it is common, however rows arrive."""
+    np, pa = jaccard.np, jaccard.pa
+    rng = np.random.default_rng(29)
+    for _ in range(20):
+        batches, holders = [], defaultdict(set)
+        for _ in range(rng.integers(1, 6)):
+            key = rng.integers(0, 300, int(rng.integers(1, 400))).astype(np.uint64)
+            key |= (key % 7 == 0).astype(np.uint64) << np.uint64(jaccard.KEY_BITS)
+            node = rng.integers(-50, 50, len(key))
+            batches.append(jaccard.dealt(key, node, node * 10, 16))
+            for k, v in zip(key.tolist(), node.tolist()):
+                holders[k].add(v)
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["bucket"])
+        arrived = pa.Table.from_pylist(rows, schema=batches[0].schema).to_batches(max_chunksize=int(rng.integers(1, 9)))
+        got = [tuple(r.values()) for b in jaccard._shared(iter(arrived)) for r in b.to_pylist()]
+        assert sorted(got) == sorted((k, v, v * 10) for k, nodes in holders.items() for v in nodes if len(nodes) > 1 or k >> jaccard.KEY_BITS)
+    assert not list(jaccard._shared(iter([])))
+
+
 def brute_links(rows):
     sets = [shingles(t) for _, t in rows]
     linked = lambda x, y: bool(x and y) and 100 * len(x & y) >= 75 * len(x | y)
